@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join
+from . import jaccard_join, secret_scan, token_count
 
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -34,5 +34,17 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.least, d.doc_id) AS
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT id, min(seen) AS least FROM r GROUP BY id) c ON c.id = d.doc_id
 """
 
-QUERIES = {"op7_ngram_jaccard_join": op7_ngram_jaccard_join}
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every text, by patterns and by the randomness battery."""
+    return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
+
+
+def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text by the 50k byte-level BPE; a limit of 512."""
+    import public_tokenizers
+
+    return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+QUERIES = {f.__name__: f for f in (op7_ngram_jaccard_join, op8_secret_scan, op10_token_count)}
 ORACLES = {"op7_ngram_jaccard_join": OP7_SQL}
