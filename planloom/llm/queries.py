@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, secret_scan, token_count
+from . import decontamination, jaccard_join, license_scan, mixing, secret_scan, sharding, token_count, toxicity
 
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -14,6 +14,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold, within eight edits for each hundred characters."""
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of the labelled ones that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id"), 64)
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), k=3, percent=90)
@@ -39,6 +60,28 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix with weights 1, 2, 3 by source takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size, md5(coalesce(doc_id::VARCHAR, '') || ':mix-1') AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS place, 3.0::DOUBLE * source_size AS cap FROM s),
+w AS (SELECT *, ([1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE])[place % 3 + 1] AS weight FROM r),
+l AS (SELECT *, row_number() OVER o AS k, (sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w WINDOW o AS (ORDER BY cap / weight, place)),
+f AS (SELECT min(k) AS k, arg_min(level, k) AS level FROM l WHERE weight * level <= cap),
+g AS (SELECT l.source, l.source_size, CASE WHEN f.k IS NULL OR l.k < f.k THEN l.cap ELSE l.weight * f.level END AS target FROM l CROSS JOIN f),
+q AS (SELECT d.*, g.source_size, g.target, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+e AS (SELECT q.*, c.n, (upto + c.n * source_size)::DOUBLE / target AS finish FROM q CROSS JOIN (VALUES (0), (1), (2)) c(n) WHERE size > 0 AND target > 0),
+t AS (SELECT *, sum(size) OVER (ORDER BY finish, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END, h, doc_id, n ROWS UNBOUNDED PRECEDING) AS total FROM e),
+b AS (SELECT floor(sum(target) + 1e-6) AS budget FROM g),
+m AS (SELECT doc_id, count(*) AS copies FROM t CROSS JOIN b WHERE total <= budget GROUP BY doc_id)
+SELECT q.doc_id, q.size::BIGINT AS size, q.source_size, q.target, (q.size * coalesce(m.copies, 0))::BIGINT AS taken FROM q LEFT JOIN m USING (doc_id)
+"""
+
+
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text by the 50k byte-level BPE; a limit of 512."""
     import public_tokenizers
@@ -46,5 +89,8 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op7_ngram_jaccard_join, op8_secret_scan, op10_token_count)}
-ORACLES = {"op7_ngram_jaccard_join": OP7_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_license_scan, op2_decontamination, op3_toxicity, op6_sharding, op7_ngram_jaccard_join, op8_secret_scan, op9_source_mixing, op10_token_count)
+}
+ORACLES = {"op7_ngram_jaccard_join": OP7_SQL, "op9_source_mixing": OP9_SQL}

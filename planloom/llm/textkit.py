@@ -92,13 +92,13 @@ class Words(NamedTuple):
     first: np.ndarray
 
 
-def words(part: Slice) -> Words:
-    """Runs of bytes that aren't white space; runs end where a text ends."""
+def words(part: Slice, space: np.ndarray = IS_SPACE) -> Words:
+    """Runs of bytes that aren't white space (or ``space``, a flag for each byte); runs end where a text ends."""
     data = part.data
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(none, none, np.zeros(len(part.bounds), np.int64))
-    solid = ~IS_SPACE[data]
+    solid = ~space[data]
     opens = solid.copy()
     opens[1:] &= ~solid[:-1]
     closes = solid.copy()
