@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, license_scan, mixing, secret_scan, sharding, token_count, toxicity
+from . import decontamination, jaccard_join, license_scan, mixing, secret_scan, sharding, token_count, toxicity, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -30,6 +30,20 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC records, read back through the merged index of the archives."""
+    return warc.archive_and_index(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT p.*, CASE WHEN f.first IS DISTINCT FROM p.page_id AND f.first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f.first IS DISTINCT FROM p.page_id THEN f.first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document."""
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id"), 64)
@@ -91,6 +105,6 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_decontamination, op3_toxicity, op6_sharding, op7_ngram_jaccard_join, op8_secret_scan, op9_source_mixing, op10_token_count)
+    for f in (op1_license_scan, op2_decontamination, op3_toxicity, op5_warc_index, op6_sharding, op7_ngram_jaccard_join, op8_secret_scan, op9_source_mixing, op10_token_count)
 }
-ORACLES = {"op7_ngram_jaccard_join": OP7_SQL, "op9_source_mixing": OP9_SQL}
+ORACLES = {"op5_warc_index": OP5_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op9_source_mixing": OP9_SQL}
