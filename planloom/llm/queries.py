@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, license_scan, mixing, secret_scan, sharding, token_count, toxicity, warc
+from . import cover_tree, decontamination, jaccard_join, license_scan, mixing, secret_scan, sharding, token_count, toxicity, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -30,6 +30,21 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_dual_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every fiftieth vector, by integer inner product."""
+    return cover_tree.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+
 def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as WARC records, read back through the merged index of the archives."""
     return warc.archive_and_index(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -105,6 +120,6 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_decontamination, op3_toxicity, op5_warc_index, op6_sharding, op7_ngram_jaccard_join, op8_secret_scan, op9_source_mixing, op10_token_count)
+    for f in (op1_license_scan, op2_decontamination, op3_toxicity, op4_dual_cover_tree, op5_warc_index, op6_sharding, op7_ngram_jaccard_join, op8_secret_scan, op9_source_mixing, op10_token_count)
 }
-ORACLES = {"op5_warc_index": OP5_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op9_source_mixing": OP9_SQL}
+ORACLES = {"op4_dual_cover_tree": OP4_SQL, "op5_warc_index": OP5_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op9_source_mixing": OP9_SQL}
