@@ -27,7 +27,8 @@ def _band(spark, sf):
 def walls_of(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """points, levels and walls of the homes."""
     p, levels, band, bands = _band(spark, sf)
-    return p, levels, wl.find_walls(band, pt.wall_spikes(pt.strips(band)), bands)
+    # a few walls for each home, used by all that follows
+    return p, levels, wl.find_walls(band, pt.wall_spikes(pt.strips(band)), bands).persist()
 
 
 @query("scene_levels", f"""WITH {scene.SCENE_SQL}, m AS (SELECT capture_id, min(y) AS low, median(y) AS middle FROM p GROUP BY 1), c AS (SELECT capture_id, middle, low + (floor((y-low)/0.02::DOUBLE)+0.5::DOUBLE)*0.02::DOUBLE AS centre, count(*) AS n FROM p JOIN m USING (capture_id) GROUP BY ALL)
@@ -88,13 +89,13 @@ def _cells(spark, sf, p=None, walls=None, gaps=None):
         p, _, walls = walls_of(spark, sf)
         gaps = wl.find_gaps(walls)
     cells = p.select("capture_id", F.floor(C("z") / 0.05).cast("int").alias("row"), F.floor(C("x") / 0.05).cast("int").alias("col")).distinct()
-    closed = rs.close(cells, rs.ellipse(7))
+    closed = rs.close(cells, rs.square(3))
     line = F.when(C("ax") == C("bx"), "x").otherwise("z")
     shut = gaps.select("capture_id", line.alias("axis"), F.when(line == "x", C("ax")).otherwise(C("az")).alias("position"), F.when(line == "x", F.least("az", "bz")).otherwise(F.least("ax", "bx")).alias("start"), F.when(line == "x", F.greatest("az", "bz")).otherwise(F.greatest("ax", "bx")).alias("end"))
     free = rs.subtract(rs.subtract(closed, rs.barrier(walls)), rs.barrier(shut, extend=0.0))
     seeds = rs.components(free).withColumnRenamed("component_id", "room_id")
     big = seeds.groupBy("capture_id", "room_id").agg(F.count("*").alias("n")).where("n * 0.0025 >= 1.5").select("capture_id", "room_id")
-    return seeds.join(big, ["capture_id", "room_id"])
+    return seeds.join(big, ["capture_id", "room_id"]).persist()
 
 
 @query("scene_gaps")
@@ -116,9 +117,9 @@ def scene_rooms(spark, sf):
 @query("scene_heights")
 def scene_heights(spark, sf):
     """Floors and ceilings of the homes' rooms."""
-    p, levels, _ = walls_of(spark, sf)
+    p, levels, walls = walls_of(spark, sf)
     placed = p.withColumns({"row": F.floor(C("z") / 0.05).cast("int"), "col": F.floor(C("x") / 0.05).cast("int")})
-    return rounded(wl.room_heights(placed, _cells(spark, sf), levels))
+    return rounded(wl.room_heights(placed, _cells(spark, sf, p, walls, wl.find_gaps(walls)), levels))
 
 
 @query("scene_adjacency")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import aggregates, findings, plan, projections  # noqa: F401  each registers its queries
+from .plans import aggregates, findings, plan, projections, results  # noqa: F401  each registers its queries
 from .plans.bind import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["voxel_downsample"](spark, sf_dir)
+    return QUERIES["scene_rooms"](spark, sf_dir)
