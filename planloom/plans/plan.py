@@ -132,7 +132,7 @@ def scene_adjacency(spark, sf):
     return wl.adjacency(wl.door_rooms(numbered, cells))
 
 
-@query("wall_spread", f"{_FOUND}, s AS (SELECT w.capture_id, wall_idx, stddev_pop(across - position) AS spread FROM walls w JOIN (SELECT capture_id, 'x' AS axis, x AS across, z AS along FROM p UNION ALL SELECT capture_id, 'z', z, x FROM p) a ON w.capture_id = a.capture_id AND w.axis = a.axis AND abs(across - position) <= 0.05::DOUBLE AND along BETWEEN \"start\" AND \"end\" WHERE length >= 1 GROUP BY ALL HAVING count(*) > 100) SELECT capture_id, round(median(spread), 6) AS wall_spread, count(*) AS walls FROM s GROUP BY 1")
+@query("wall_spread", f"{_FOUND}, sp AS (SELECT w.capture_id, wall_idx, stddev_pop(across - position) AS spread FROM walls w JOIN (SELECT capture_id, 'x' AS axis, x AS across, z AS along FROM p UNION ALL SELECT capture_id, 'z', z, x FROM p) a ON w.capture_id = a.capture_id AND w.axis = a.axis AND abs(across - position) <= 0.05::DOUBLE AND along BETWEEN \"start\" AND \"end\" WHERE length >= 1 GROUP BY ALL HAVING count(*) > 100) SELECT capture_id, round(median(spread), 6) AS wall_spread, count(*) AS walls FROM sp GROUP BY 1")
 def wall_spread(spark, sf):
     p, _, walls = walls_of(spark, sf)
     return rounded(wl.wall_spread(walls, p))
@@ -140,14 +140,14 @@ def wall_spread(spark, sf):
 
 # --- walls of the test tables -------------------------------------------------------------------------------------
 
-_W = """w AS (SELECT c_custkey // 30 AS capture_id, (c_custkey % 30)::INT AS wall_idx, CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE 'z' END AS axis, round((c_custkey * 37 % 97)/20.0::DOUBLE + (c_custkey % 3)*0.013::DOUBLE, 4) AS position, c_nationkey/8.0::DOUBLE AS "start", c_nationkey/8.0::DOUBLE + 0.5::DOUBLE + (c_custkey % 7)/2.0::DOUBLE AS "end", 0.5::DOUBLE + (c_custkey % 7)/2.0::DOUBLE AS length, 1000 + c_custkey % 50 AS points FROM customer)"""
+_W = """w AS (SELECT c_custkey // 30 AS capture_id, (c_custkey % 30)::INT AS wall_idx, CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE 'z' END AS axis, round((c_custkey * 37 % 23)/20.0::DOUBLE + (c_custkey % 3)*0.013::DOUBLE, 4) AS position, c_nationkey/8.0::DOUBLE AS "start", c_nationkey/8.0::DOUBLE + 0.5::DOUBLE + (c_custkey % 7)/2.0::DOUBLE AS "end", 0.5::DOUBLE + (c_custkey % 7)/2.0::DOUBLE AS length, 1000 + c_custkey % 50 AS points FROM customer)"""
 
 
 def _walls(spark, sf) -> DataFrame:
     c = table(spark, sf, "customer")
     k = C("c_custkey")
     start, length = C("c_nationkey") / 8.0, 0.5 + (k % 7) / 2.0
-    return c.select(F.floor(k / 30).cast("long").alias("capture_id"), (k % 30).cast("int").alias("wall_idx"), F.when(k % 2 == 0, "x").otherwise("z").alias("axis"), F.round((k * 37 % 97) / 20.0 + (k % 3) * 0.013, 4).alias("position"), start.alias("start"), (start + length).alias("end"), length.alias("length"), (1000 + k % 50).alias("points"))
+    return c.select(F.floor(k / 30).cast("long").alias("capture_id"), (k % 30).cast("int").alias("wall_idx"), F.when(k % 2 == 0, "x").otherwise("z").alias("axis"), F.round((k * 37 % 23) / 20.0 + (k % 3) * 0.013, 4).alias("position"), start.alias("start"), (start + length).alias("end"), length.alias("length"), (1000 + k % 50).alias("points"))
 
 
 @query("find_gaps", f"""WITH {_W}, e AS (SELECT capture_id, wall_idx AS u, axis, position, "end" AS pos, 1 AS way FROM w UNION ALL SELECT capture_id, wall_idx, axis, position, "start", -1 FROM w),
@@ -238,7 +238,7 @@ def geodesic_grow(spark, sf):
 def room_cells(spark, sf):
     """Rooms with their holes filled."""
     m = _marks(spark, sf)
-    return rs.fill_rooms(rs.components(m).withColumnRenamed("component_id", "room_id"), m.where("row = 7").select("capture_id", "row", "col"))
+    return rs.fill_rooms(rs.components(m).withColumnRenamed("component_id", "room_id"), m.where("row = 7").select("capture_id", "row", "col"), min_area=0.02)
 
 
 @query("barrier_cells", f"WITH {_W}, s AS (SELECT capture_id, axis, floor(position/0.05::DOUBLE)::INT AS pos, unnest(range(floor((\"start\" - 0.15::DOUBLE)/0.05::DOUBLE)::INT, floor((\"end\" + 0.15::DOUBLE)/0.05::DOUBLE)::INT + 1)) AS k FROM w), t AS (SELECT capture_id, axis, k, unnest([pos - 1, pos]) AS a FROM s) SELECT DISTINCT capture_id, (CASE WHEN axis = 'x' THEN k ELSE a END)::INT AS row, (CASE WHEN axis = 'x' THEN a ELSE k END)::INT AS col FROM t")
