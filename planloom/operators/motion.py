@@ -129,3 +129,23 @@ def piece_up(candidates: DataFrame, rough: DataFrame, keys: list[str], min_walk:
     m = m.select(*keys, pick.alias("u")).withColumn("s", F.when(C("u.cos") < 0, -1.0).otherwise(1.0))
     ok = F.abs("u.cos") >= float(np.cos(np.radians(max_tilt)))
     return m.select(*keys, *[F.when(ok, C(f"u.{c}") * C("s")).alias(c) for c in "xyz"])
+
+
+def wall_anchor(plan: DataFrame, chunk: DataFrame, shifts: list[float], turns: list[float], cell: float = 0.02, min_overlap: int = 150, min_gain: float = 1.05) -> DataFrame:
+    """The small move of a chunk's wall points that lays most of them on the plan's wall cells: capture_id, turn, dx, dz, overlap, start, accepted.
+
+    All turns (about the origin) and shifts of the given short lists are tried; overlap counts distinct cells. Of equal overlaps the least move counts, then
+    the first. It is accepted with 150 cells and 5 % more than without a move.
+    """
+    spark = plan.sparkSession
+    moves = [(float(t), float(x), float(z), abs(t) + abs(x) + abs(z)) for t in turns for x in shifts for z in shifts]
+    sweep = spark.createDataFrame(moves, "turn double, dx double, dz double, size double")
+    places = chunk.select("capture_id", F.round("x", 3).alias("x"), F.round("z", 3).alias("z")).distinct()
+    zero = F.lit(0.0)
+    moved = places.crossJoin(F.broadcast(sweep))
+    x, z = g.turn_and_shift(C("x"), C("z"), zero, zero, C("turn"), C("dx"), C("dz"))
+    laid = moved.select("capture_id", "turn", "dx", "dz", "size", F.floor(z / cell).cast("long").alias("row"), F.floor(x / cell).cast("long").alias("col")).distinct()
+    n = laid.join(plan.select("capture_id", "row", "col"), ["capture_id", "row", "col"]).groupBy("capture_id", "turn", "dx", "dz", "size").agg(F.count("*").alias("n"))
+    best = F.max_by(F.struct("turn", "dx", "dz", "n"), F.struct(C("n"), -C("size"), -C("turn"), -C("dx"), -C("dz")))
+    m = n.groupBy("capture_id").agg(best.alias("b"), F.coalesce(F.max(F.when(C("size") == 0, C("n"))), F.lit(0)).alias("start"))
+    return m.select("capture_id", "b.turn", "b.dx", "b.dz", C("b.n").alias("overlap"), "start", ((C("b.n") >= min_overlap) & (C("b.n") >= min_gain * C("start"))).alias("accepted"))

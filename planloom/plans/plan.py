@@ -220,7 +220,7 @@ _COMP = f"""WITH RECURSIVE {_RC}, e AS MATERIALIZED (SELECT a.capture_id, a.row*
 r AS (SELECT capture_id, row*1000+col AS x, row*1000+col AS y FROM c UNION SELECT r.capture_id, r.x, e.y FROM r JOIN e ON r.capture_id = e.capture_id AND r.y = e.x), m AS (SELECT capture_id, x, min(y) AS f FROM r GROUP BY ALL)"""
 
 
-@query("connected_components")
+@query("connected_components", f"{_COMP} SELECT capture_id, (x // 1000)::INT AS row, (x % 1000)::INT AS col, dense_rank() OVER (PARTITION BY capture_id ORDER BY f)::INT AS component_id FROM m")
 def connected_components(spark, sf):
     """Components of cells, numbered by their first cells."""
     return rs.components(_marks(spark, sf))

@@ -290,3 +290,17 @@ def plan_picture(spark, sf):
 def chunk_stream(spark, sf):
     """Tumbling windows of frames that arrive as a stream."""
     return twins.tumbling_stream(spark, sf)
+
+
+@query("wall_anchor", """WITH c AS (SELECT DISTINCT o_custkey % 10 AS capture_id, round(floor(o_totalprice) % 997 / 200.0::DOUBLE + 0.0037::DOUBLE, 3) AS x, round(o_orderkey % 991 / 200.0::DOUBLE + 0.0013::DOUBLE, 3) AS z FROM orders),
+p AS (SELECT DISTINCT capture_id, floor((z - 0.02::DOUBLE)/0.02::DOUBLE)::BIGINT AS row, floor((x + 0.04::DOUBLE)/0.02::DOUBLE)::BIGINT AS col FROM c),
+s AS (SELECT t.v AS turn, a.v AS dx, b.v AS dz, abs(t.v)+abs(a.v)+abs(b.v) AS size FROM (VALUES (-0.5::DOUBLE), (0.0::DOUBLE), (0.5::DOUBLE)) t(v), (VALUES (-0.04::DOUBLE), (-0.02::DOUBLE), (0.0::DOUBLE), (0.02::DOUBLE), (0.04::DOUBLE)) a(v), (VALUES (-0.04::DOUBLE), (-0.02::DOUBLE), (0.0::DOUBLE), (0.02::DOUBLE), (0.04::DOUBLE)) b(v)),
+l AS (SELECT DISTINCT capture_id, turn, dx, dz, size, floor((0.0 + sin(radians(turn))*x + cos(radians(turn))*z + dz)/0.02::DOUBLE)::BIGINT AS row, floor((0.0 + cos(radians(turn))*x - sin(radians(turn))*z + dx)/0.02::DOUBLE)::BIGINT AS col FROM c CROSS JOIN s),
+n AS (SELECT capture_id, turn, dx, dz, size, count(*) AS n FROM l JOIN p USING (capture_id, row, col) GROUP BY ALL), b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY n DESC, size, turn, dx, dz) = 1), z AS (SELECT capture_id, max(n) AS start FROM n WHERE size = 0 GROUP BY 1)
+SELECT capture_id, turn, dx, dz, n AS overlap, coalesce(start, 0) AS start, n >= 150 AND n >= 1.05::DOUBLE*coalesce(start, 0) AS accepted FROM b LEFT JOIN z USING (capture_id)""")
+def wall_anchor(spark, sf):
+    """The small move that lays wall points best on a plan's wall cells."""
+    o = table(spark, sf, "orders")
+    c = o.select((C("o_custkey") % 10).alias("capture_id"), F.round(F.floor("o_totalprice") % 997 / 200.0 + 0.0037, 3).alias("x"), F.round(C("o_orderkey") % 991 / 200.0 + 0.0013, 3).alias("z")).distinct()
+    plan = c.select("capture_id", F.floor((C("z") - 0.02) / 0.02).cast("long").alias("row"), F.floor((C("x") + 0.04) / 0.02).cast("long").alias("col")).distinct()
+    return mo.wall_anchor(plan, c, [-0.04, -0.02, 0.0, 0.02, 0.04], [-0.5, 0.0, 0.5])
