@@ -29,12 +29,17 @@ from .components import connected_components
 from .workspace import materialise, ship
 
 #: Counters of the frequency sketch (as a power of two) and the pieces in which they travel.
-SKETCH_BITS = 22
+SKETCH_BITS = 24
 PIECES = 64
+#: Bits of a set's signature; the bits in which two differ bound from below by how much the sets differ.
+SIGNATURE_BITS = 256
 #: The largest number of matches that a document may ask for.
-MOST_MATCHES = 4
-#: Rounds that tie documents to leaders before candidates of different components are made.
-LEADER_ROUNDS = 3
+MOST_MATCHES = 6
+MEETS, CUTS = 0.1, 8
+#: Leaders that each prefix shingle ties its documents to, before candidates of different components are made.
+LEADERS = 2
+#: Bits of the filter that picks the documents whose sets are fetched (as a power of two): 8 MB.
+FILTER_BITS = 26
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -54,21 +59,29 @@ def _set_id(own: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def signature(own: np.ndarray) -> bytes:
+    """A bit for each class of hashes: whether the set has an odd number of them. A shingle more or less turns one bit."""
+    return np.packbits((np.bincount((own >> np.uint64(8)).astype(np.int64) % SIGNATURE_BITS, minlength=SIGNATURE_BITS) & 1).astype(np.uint8)).tobytes()
+
+
 def _census(k: int):
-    """Rows of two kinds: each document's set size and set id; counts of shingles, by piece of the sketch."""
+    """Rows of two kinds: each document's set size, set id and (as counts) signature; counts of shingles, by piece of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)  # they stop at 255 in a task
         shift = np.uint64(64 - SKETCH_BITS)
         for batch in batches:
             size, ids = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            signs: list[bytes | None] = [None] * len(batch)
             for i, own in _sets(batch.column(1), k):
                 size[i] = len(own)
                 if len(own):
                     ids[i] = _set_id(own)
-                    np.add.at(counts, (own >> shift).astype(np.int64), 1)
-            nulls = pa.nulls(len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(ids), nulls.cast(pa.int32()), nulls.cast(pa.binary())], ["doc_id", "n", "set_id", "piece", "counts"])
+                    signs[i] = signature(own)
+                    at = (own >> shift).astype(np.int64)
+                    seen = counts[at]
+                    counts[at] = seen + (seen < 255)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(ids), pa.nulls(len(batch)).cast(pa.int32()), pa.array(signs, pa.binary())], ["doc_id", "n", "set_id", "piece", "counts"])
         if counts.any():
             each = len(counts) // PIECES
             blobs = [zlib.compress(counts[p * each : (p + 1) * each].tobytes(), 1) for p in range(PIECES)]
@@ -82,7 +95,7 @@ def _add_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            got = np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.int64)
+            got = np.frombuffer(zlib.decompress(blob), np.uint8).astype(np.int64)
             sums[p] = sums[p] + got if p in sums else got
     for p, total in sums.items():
         # half steps of the logarithm: enough to order by, a byte each
@@ -106,14 +119,18 @@ def required(n, percent: int):
 
 
 def choose_matches(frequency: np.ndarray, n: int, percent: int, most: int = MOST_MATCHES) -> int:
-    """The l of least estimated cost: rows of the prefix that meet others, and candidates left to verify."""
+    """The l of least estimated cost: prefix rows, rows that meet others, and candidates left to verify.
+
+    A shingle that seems to be in one document alone still meets another one now and then (MEETS); a further match leaves
+    about one candidate in CUTS; verifying one costs about as many rows as a sixteenth of the set.
+    """
     t = int(required(n, percent))
     top = min(most, t)
-    met = np.cumsum(np.maximum(frequency[: n - t + top] - 1, 0))
+    met = np.cumsum(np.maximum(frequency[: n - t + top] - 1, MEETS))
     best, least = 1, None
     for m in range(1, top + 1):
         rows = met[n - t + m - 1]
-        cost = rows + rows / m**2 * (1 + n / 16)
+        cost = n - t + m + rows + rows / CUTS ** (m - 1) * (1 + n / 16)
         if least is None or cost < least:
             best, least = m, cost
     return best
@@ -127,7 +144,7 @@ def _prefixes(k: int, percent: int, levels):
         noise = float(np.median(2.0 ** (level[:: 1 << 8] / 2.0)))
         seen: set[int] = set()
         for batch in batches:
-            out: list[tuple[np.ndarray, int, int, int]] = []
+            out: list[tuple[np.ndarray, int, int, int, int]] = []
             for _, own in _sets(batch.column(1), k):
                 if not len(own) or (ident := _set_id(own)) in seen:
                     continue
@@ -136,25 +153,42 @@ def _prefixes(k: int, percent: int, levels):
                 rank = level[(own >> shift).astype(np.int64)]
                 order = np.argsort(rank, kind="stable")  # hashes are sorted, so ties are by hash
                 want = choose_matches(np.maximum(2.0 ** (rank[order] / 2.0) - noise, 1.0), n, percent)
-                out.append((own[order[: n - int(required(n, percent)) + want]], ident, n, want))
+                taken = order[: n - int(required(n, percent)) + want]
+                last = int(rank[taken[-1]]) << 55 | int(own[taken[-1]]) >> 9  # grows with the global order
+                out.append((own[taken], ident, n, want, last))
             if out:
                 sizes = [len(x[0]) for x in out]
                 token = np.concatenate([x[0] for x in out]).view(np.int64)
-                ids, ns, wants = (np.repeat(np.array([x[i] for x in out], dtype=kind), sizes) for i, kind in ((1, np.int64), (2, np.int32), (3, np.int8)))
+                each = [np.repeat(np.array([x[i] for x in out], dtype=kind), sizes) for i, kind in ((1, np.int64), (2, np.int32), (3, np.int8), (4, np.int64))]
                 for a in range(0, len(token), 1 << 16):
                     z = slice(a, a + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(token[z]), pa.array(ids[z]), pa.array(ns[z]), pa.array(wants[z])], ["token", "set_id", "n", "want"])
+                    yield pa.RecordBatch.from_arrays([pa.array(token[z]), *(pa.array(x[z]) for x in each)], ["token", "set_id", "n", "want", "last"])
 
     return run
 
 
-def _set_arrays(k: int):
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of set ids: 2**FILTER_BITS bits whatever their number."""
+    slot = F.expr(f"shiftrightunsigned(set_id, {64 - FILTER_BITS})")
+    words = ids.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, int(shiftrightunsigned(set_id, {64 - FILTER_BITS}) & 63))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
+    got = words.toPandas()
+    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _set_arrays(k: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        bits = wanted.value
         for batch in batches:
             ids, blobs, held = [], [], 0
             for _, own in _sets(batch.column(1), k):
-                if len(own) and (ident := _set_id(own)) not in seen:
+                if not len(own):
+                    continue
+                ident = _set_id(own)
+                slot = (ident & (1 << 64) - 1) >> (64 - FILTER_BITS)
+                if int(bits[slot >> 6]) >> (slot & 63) & 1 and ident not in seen:
                     seen.add(ident)
                     ids.append(ident)
                     blobs.append(own.tobytes())
@@ -193,8 +227,33 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verifier(percent), "a long, b long")
 
 
-def _fits(percent: int, n: str = "n", m: str = "m"):
-    return (100 * F.col(n) >= percent * F.col(m)) & (100 * F.col(m) >= percent * F.col(n))
+def _enough(met: DataFrame) -> DataFrame:
+    """Pairs a < b that share as many prefix shingles as they ask for."""
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "asked")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("asked").alias("asked")).where("shared >= asked").select("a", "b")
+
+
+def _can_link(percent: int, n, most, last, m, most_too, last_too):
+    """Whether two sets can be as similar as asked.
+
+    Of two prefixes, let one end first in the global order. A shingle of it that the other set holds is in the other prefix
+    too. So its shingles that no other prefix has are not in the other set, and the two share at most its ``most``.
+    """
+    shared = F.when(last < last_too, most).when(last > last_too, most_too).otherwise(F.greatest(most, most_too))
+    shared = F.least(shared, n, m)
+    return (100 + percent) * shared >= percent * (n + m)
+
+
+def _still_can(percent: int):
+    """Whether two sets p and q, whose prefixes share ``shared`` shingles, can be as similar as asked.
+
+    They share as many as either asks for; and of the prefix that ends first, the other set holds no further shingle, so beyond those shared it can hold
+    only what follows that prefix.
+    """
+    after = lambda side: F.col("shared") + F.expr(f"({percent} * n_{side} + 99) div 100") - F.col(f"want_{side}")
+    bound = F.when(F.col("last_p") < F.col("last_q"), after("p")).when(F.col("last_p") > F.col("last_q"), after("q")).otherwise(F.greatest(after("p"), after("q")))
+    bound = F.least(bound, F.col("n_p"), F.col("n_q"))
+    return (F.col("shared") >= F.least("want_p", "want_q")) & ((100 + percent) * bound >= percent * (F.col("n_p") + F.col("n_q")))
 
 
 def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,45 +271,49 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     census = materialise(texts.mapInArrow(_census(k), "doc_id long, n long, set_id long, piece int, counts binary"), "census")
     members = census.where("piece is null").select("doc_id", "n", "set_id")
-    classes = members.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    signs = [F.conv(F.hex(F.substring("counts", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"s{i}") for i in range(SIGNATURE_BITS // 64)]
+    # copies are one row from here on
+    classes = materialise(census.where("piece is null and n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("counts").alias("counts")).select("set_id", "least", *signs), "classes")
     levels = spark.sparkContext.broadcast(frequency_levels(census))
 
-    rows = texts.mapInArrow(_prefixes(k, percent, levels), "token long, set_id long, n int, want byte")
+    rows = texts.mapInArrow(_prefixes(k, percent, levels), "token long, set_id long, n int, want byte, last long")
     rows = rows.repartition("token").dropDuplicates(["token", "set_id"])
-    # a prefix shingle of one set alone meets nothing
-    alone = F.count("*").over(Window.partitionBy("token"))
-    prefix = materialise(rows.withColumn("in_all", alone).where("in_all > 1").drop("in_all"), "prefix")
-
-    # the sets of all documents that meet others, made once
-    met = prefix.select("set_id").distinct().join(classes, "set_id").select(F.col("least").alias("doc_id"))
-    wanted = texts.join(met.distinct(), texts.doc_id.eqNullSafe(met.doc_id), "left_semi").mapInArrow(_set_arrays(k), "set_id long, shingles binary")
-    sets = materialise(wanted, "sets")
-
-    label = prefix.select("set_id").distinct().withColumn("label", F.col("set_id"))
-    links: DataFrame | None = None
-    tried: DataFrame | None = None
-    for turn in range(LEADER_ROUNDS):
-        tagged = prefix.join(label, "set_id")
-        leaders = tagged.groupBy("token").agg(F.min_by(F.struct("set_id", "n", "label"), F.xxhash64("set_id", F.lit(turn))).alias("lead"))
-        pairs = tagged.join(leaders, "token").where("label <> lead.label").select(F.col("lead.set_id").alias("a"), F.col("set_id").alias("b"), F.col("lead.n").alias("m"), "n").where(_fits(percent)).select("a", "b").distinct()
+    # a prefix shingle that no other prefix of a fitting size has meets nothing; ``most`` is a set's size without these
+    by_size = Window.partitionBy("token").orderBy("n")
+    fits = (100 * F.lag("n").over(by_size) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(by_size))
+    rows = rows.withColumn("meets", fits).where("meets").drop("meets")
+    length = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + F.col("want")
+    prefix = materialise(rows.withColumn("most", (F.col("n") - length + F.count("*").over(Window.partitionBy("set_id"))).cast("int")), "prefix")
+
+    def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs, "pairs")
-        found = materialise(_verify(pairs, sets, percent), "found")
-        links = found if links is None else links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        label = _relabel(prefix, links)
-    # what is left: candidates of different components, by the full multi-match rule
-    tagged = prefix.join(label, "set_id")
-    parts = tagged.select("token", "label").distinct()
-    mixed = parts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    parts = parts.join(mixed, "token")
-    ends = parts.alias("p").join(parts.alias("q"), (F.col("p.token") == F.col("q.token")) & (F.col("p.label") < F.col("q.label"))).select(F.col("p.token").alias("token"), F.col("p.label").alias("la"), F.col("q.label").alias("lb"))
-    one = tagged.select("token", F.col("label").alias("la"), F.col("set_id").alias("a"), "n", "want")
-    two = tagged.select("token", F.col("label").alias("lb"), F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("want").alias("need"))
-    rest = ends.join(one, ["token", "la"]).join(two, ["token", "lb"]).where(_fits(percent))
-    rest = rest.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.least("want", "need")).alias("asked")).where("shared >= asked").select("a", "b")
-    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(known, ["a", "b"], "left_anti")
-    links = links.unionByName(_verify(rest, sets, percent))
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id"))
+        wanted = spark.sparkContext.broadcast(id_filter(ids))
+        sets = materialise(texts.mapInArrow(_set_arrays(k, wanted), "set_id long, shingles binary"), "sets")
+        return materialise(_verify(pairs, sets, percent), "found")
+
+    # each prefix shingle ties its documents to a few leaders: this folds groups of near copies
+    # (leaders are documents with few shingles of their own: the middle of a group rather than its edge)
+    turns = [F.min_by(F.struct("set_id", "n", "most", "last", "want"), F.struct(F.col("n") - F.col("most"), F.xxhash64("set_id", F.lit(i)))).alias(f"l{i}") for i in range(LEADERS)]
+    leaders = prefix.groupBy("token").agg(*turns)
+    tied = prefix.join(leaders, "token").select("set_id", "n", "most", "last", "want", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("lead"))
+    tied = tied.where((F.col("lead.set_id") != F.col("set_id")) & _can_link(percent, *[F.col(f"{side}{c}") for side in ("", "lead.") for c in ("n", "most", "last")]))
+    links = verified(_enough(tied.select(F.col("lead.set_id").alias("a"), F.col("set_id").alias("b"), F.least("want", "lead.want").alias("asked"))))
+    near = connected_components(links)
+    label = classes.join(near.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id")).drop("least")
+
+    # what is left: candidates of different components, by the full multi-match rule; shingles of one component make none
+    tagged = materialise(prefix.join(label, "set_id"), "tagged")
+    mixed = tagged.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
+    tagged = tagged.join(mixed, "token")
+    facts = [c for c in tagged.columns if c != "token"]
+    p, q = (tagged.select("token", *[F.col(c).alias(f"{c}_{side}") for c in facts]) for side in "pq")
+    differ = sum((F.bit_count(F.col(f"s{i}_p").bitwiseXOR(F.col(f"s{i}_q"))) for i in range(SIGNATURE_BITS // 64)), F.lit(0))
+    close = (100 + percent) * differ <= (100 - percent) * (F.col("n_p") + F.col("n_q"))
+    met = p.join(q, "token").where((F.col("label_p") < F.col("label_q")) & _can_link(percent, *[F.col(f"{c}_{side}") for side in "pq" for c in ("n", "most", "last")]) & close)
+    sides = [f"{c}_{side}" for side in "pq" for c in ("n", "last", "want")]
+    rest = met.groupBy(F.col("set_id_p").alias("a"), F.col("set_id_q").alias("b")).agg(F.count("*").alias("shared"), *[F.first(c).alias(c) for c in sides]).where(_still_can(percent)).select("a", "b")
+    links = links.unionByName(verified(rest))
 
     nodes = connected_components(links)
     named = classes.join(nodes.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
@@ -258,9 +321,3 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     final = named.join(names, "label").select("set_id", "component_id")
     joined = members.join(final, "set_id", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def _relabel(prefix: DataFrame, links: DataFrame) -> DataFrame:
-    nodes = connected_components(links)
-    own = prefix.select("set_id").distinct()
-    return materialise(own.join(nodes.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", F.coalesce("label", "set_id").alias("label")), "labels")
