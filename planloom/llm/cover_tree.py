@@ -28,6 +28,10 @@ PIVOTS, SAMPLE = 48, 2048
 BLOCK, GROUP = 4096, 2048
 #: Points of a tree's leaf, and the factor by which covering radii shrink from level to level.
 LEAF, SHRINK = 48, 0.7
+#: Points that a child must have on average: where points are so spread that a level would part them all, it is not made.
+FEWEST = 8
+#: Columns of a leaf that are scored at once.
+STRIP = 512
 
 
 class Tree(NamedTuple):
@@ -56,19 +60,23 @@ def build(points: np.ndarray) -> Tree:
         radius[node] = float(gap.max()) if len(own) else 0.0
         if len(own) > LEAF and radius[node] > 0:
             reach = radius[node] * SHRINK
-            first, left, dist, lead = len(centre), own, gap, c
-            while len(left):
+            left, dist, lead = own, gap, c
+            level: list[tuple[int, np.ndarray]] = []
+            while len(left) and len(level) * FEWEST <= len(own):
                 near = dist <= reach
-                centre.append(lead)
-                radius.append(0.0)
-                children.append((0, 0))
-                rows.append(left[near])
+                level.append((lead, left[near]))
                 left = left[~near]
                 if len(left):
                     lead = int(left[int(np.argmax(dist[~near]))])
                     dist = np.sqrt(np.maximum(norms[left] + norms[lead] - 2 * points[left] @ points[lead], 0))
-            children[node] = (first, len(centre))
-            rows[node] = np.zeros(0, np.int64)
+            if not len(left):  # else the level would hardly gather points, and the node stays a leaf
+                children[node] = (len(centre), len(centre) + len(level))
+                rows[node] = np.zeros(0, np.int64)
+                for lead, part in level:
+                    centre.append(lead)
+                    radius.append(0.0)
+                    children.append((0, 0))
+                    rows.append(part)
         node += 1
     return Tree(points, np.sqrt(norms), np.array(centre), np.array(radius), children, rows)
 
@@ -101,17 +109,19 @@ def search(queries: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int, least
         return d_centre[js] @ q_centre[i] + q.radius[i] * d_norm[js] + d.radius[js] * q_norm[i] + q.radius[i] * d.radius[js]
 
     def leaf(i: int, j: int) -> None:
-        rows, cols = q.rows[i], d.rows[j]
-        scores = q.points[rows] @ d.points[cols].T
-        use = np.flatnonzero((scores >= worst[rows][:, None]).any(axis=1))
-        if not len(use):
-            return
-        rows, scores = rows[use], scores[use]
-        every = np.concatenate([best.score[rows], np.where(scores >= worst[rows][:, None], scores, -np.inf)], axis=1)
-        names = np.concatenate([best.ident[rows], np.broadcast_to(ids[cols], scores.shape)], axis=1)
-        order = np.lexsort((names, -every), axis=1)[:, :k]
-        best.score[rows], best.ident[rows] = np.take_along_axis(every, order, 1), np.take_along_axis(names, order, 1)
-        worst[rows] = np.maximum(floor[rows], best.score[rows][:, -1])
+        for a in range(0, len(d.rows[j]), STRIP):
+            rows, cols = q.rows[i], d.rows[j][a : a + STRIP]
+            scores = q.points[rows] @ d.points[cols].T
+            enough = scores >= worst[rows][:, None]
+            use = np.flatnonzero(enough.any(axis=1))
+            if not len(use):
+                continue
+            rows = rows[use]
+            every = np.concatenate([best.score[rows], np.where(enough[use], scores[use], -np.inf)], axis=1)
+            names = np.concatenate([best.ident[rows], np.broadcast_to(ids[cols], (len(rows), len(cols)))], axis=1)
+            order = np.lexsort((names, -every), axis=1)[:, :k]
+            best.score[rows], best.ident[rows] = np.take_along_axis(every, order, 1), np.take_along_axis(names, order, 1)
+            worst[rows] = np.maximum(floor[rows], best.score[rows][:, -1])
 
     stack = [(0, 0, np.inf)]
     while stack:
