@@ -55,16 +55,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return levelled.select("source", "source_size", "weight", F.when(capped, F.col("cap")).otherwise(F.col("weight") * F.col("free.level")).alias("target"))
 
 
+def _shuffled(ident: Column, seed: str) -> Column:
+    return F.md5(F.concat(F.coalesce(ident.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, repeats: int = REPEATS, seed: str = SEED) -> DataFrame:
-    """How many words the mix takes of each row of ``docs``: doc_id, size, source, source_size, target, copies, taken.
+    """How many words the mix takes of each row of ``docs``: doc_id, digest (its place in the shuffle), size, source, source_size, target, copies, taken.
 
     ``size`` is the number of runs of other than space and 0x09-0x0D in the text (null: 0); ``taken`` = size * copies. A document without words is
     never taken. Null sources are one source. The order is a hash of the id (then the id), so runs agree; rows that repeat an id stand
     next to each other and are taken each. Further columns of ``docs`` aren't used. An empty table gives an empty result.
     """
-    shuffle = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
-    rows = materialise(rows.withColumn("digest", shuffle), "sizes").withColumn("piece", F.substring("digest", 1, DIGITS))
+    rows = materialise(rows.withColumn("digest", _shuffled(F.col("doc_id"), seed)), "sizes").withColumn("piece", F.substring("digest", 1, DIGITS))
 
     # words of each piece of each queue, and before it
     pieces = rows.groupBy("source", "piece").agg(F.sum("size").alias("words"))
@@ -90,7 +93,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     if last is None:
         copies = F.when((F.col("size") > 0) & (F.col("target") > 0), F.lit(repeats)).otherwise(F.lit(0))
         out = queued.withColumn("copies", copies)
-        return out.select("doc_id", "size", "source", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("size") * F.col("copies")).alias("taken"))
+        return out.select("doc_id", "digest", "size", "source", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("size") * F.col("copies")).alias("taken"))
     edge = _upto_in_tick(entries.where(F.col("tick") == last.tick)).where(F.col("before") + last.lead + F.col("size") <= budget)
     cut = edge.agg(F.max(F.struct("finish", "source_key", "digest", "doc_id")).alias("c")).first().c
     copy = lambda i: ((F.col("end") + i * F.col("source_size")).cast("double") / F.col("target"))
@@ -102,7 +105,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
         inside = lambda i: (F.floor(copy(i) * TICKS) < last.tick) | (key(i) <= limit)
     copies = sum((F.when(inside(i), 1).otherwise(0) for i in range(repeats)), F.lit(0))
     out = queued.withColumn("copies", F.when((F.col("size") > 0) & (F.col("target") > 0), copies).otherwise(F.lit(0)).cast("int"))
-    return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select("doc_id", "digest", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def _source_key(source: Column) -> Column:
@@ -116,8 +119,18 @@ def _upto_in_tick(entries: DataFrame) -> DataFrame:
     return keyed.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
 
 
-def take(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, with all columns, that the mix takes, each as many times as it takes it."""
-    copies = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies")).groupBy("__id").agg(F.max("__copies").alias("__copies"))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, repeats: int = REPEATS, seed: str = SEED) -> DataFrame:
+    """The rows of ``docs``, with all columns, that the mix takes, each as many times as it takes it.
+
+    A source's queue is in the order of its digests, so what is taken in each round ends at one digest. These few digests of each source, and not
+    decisions by document, go back to the documents, so these are read where they are. (Rows that share an id share a digest and are taken alike.)
+    """
+    mixed = mix(docs, weights, share, repeats, seed)
+    ends = mixed.groupBy("source").agg(*[F.max(F.when(F.col("copies") > i, F.col("digest"))).alias(f"__end{i}") for i in range(repeats)]).withColumnRenamed("source", "__source")
+    ends = materialise(ends, "ends")  # its size is known to the planner then
+    joined = docs.join(ends, docs["source"].cast("string").eqNullSafe(ends["__source"]))
+    digest = _shuffled(F.col("doc_id").cast("long"), seed)
+    times = sum((F.when(digest <= F.col(f"__end{i}"), 1).otherwise(0) for i in range(repeats)), F.lit(0))
+    times = F.when(F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)), times).otherwise(0)
+    joined = joined.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
