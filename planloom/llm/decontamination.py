@@ -24,7 +24,7 @@ from .workspace import ship
 
 Q = 8
 #: Characters of a probe, their distance, and edits that are allowed for each hundred of them.
-WINDOW, STRIDE, EDITS = 100, 50, 8
+WINDOW, STRIDE, EDITS = 80, 20, 8
 #: Items with fewer characters are found only if they stand in a text unchanged (case and kind of white space aside).
 SHORT = 24
 #: Benchmark characters that tasks get at once; a larger benchmark goes over the documents block by block.
@@ -236,9 +236,9 @@ def _clean(shared):
         p = build_probes(shared.value)
         for batch in batches:
             keep = np.ones(len(batch), dtype=bool)
-            for i, _ in scan_batch(batch.column(0), p):
+            for i, _ in scan_batch(tk.field(batch.column(0), "text"), p):
                 keep[i] = False
-            yield batch.filter(pa.array(keep)).select([1])
+            yield batch.filter(pa.array(keep))
 
     return run
 
@@ -278,6 +278,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all columns, that hold no benchmark item."""
     ship(docs.sparkSession)
     for block in blocks(benchmark):
-        wide = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-        docs = wide.mapInArrow(_clean(block), f"row {wide.schema['row'].dataType.simpleString()}").select("row.*")
+        wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        docs = wide.mapInArrow(_clean(block), wide.schema).select("row.*")
     return docs

@@ -21,13 +21,13 @@ from . import textkit as tk
 from .workspace import ship
 
 #: Labelled rows of each class that the model is fitted on, at most: those of the smallest hashes.
-MOST_EACH = 3000
+MOST_EACH = 2500
 #: Features that the model keeps, at most, and how sure it must be of them.
 MOST_FEATURES, LEAST_Z = 1024, 4.0
 #: Bytes of a word's beginnings that are features.
 PREFIXES = (5, 6)
 #: Weight of the counterfactual penalty and of the plain one.
-FAIRNESS, RIDGE = 1.0, 5e-4
+FAIRNESS, RIDGE = 1.0, 1e-4
 STEPS, RATE = 400, 0.5
 
 #: Terms for groups of people, by kind; a term is swapped for others of its kind.
@@ -86,8 +86,8 @@ def identity_swaps() -> tuple[list[np.ndarray], list[int]]:
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """label, features, and those of the counterfactual with and without its swap."""
-    terms, other = identity_swaps()
+    """label, features, and the numbers of the identity terms of each text (one that depends on the text, where it has none)."""
+    terms, _ = identity_swaps()
     whole = {int(t[0]): i for i, t in enumerate(terms)}
     keys = np.array(sorted(whole), dtype=np.uint64)
     for batch in batches:
@@ -95,18 +95,26 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             f = features(part)
             order = np.argsort(f.text, kind="stable")
             bounds = np.searchsorted(f.text[order], np.arange(part.last - part.first + 1))
-            plain, given, swapped = [], [], []
+            plain, named = [], []
             for i in range(part.last - part.first):
                 own = np.unique(f.hash[order[bounds[i] : bounds[i + 1]]])
-                named = own[np.isin(own, keys)]
-                said = [whole[int(h)] for h in named] or [int(own[0]) % len(terms) if len(own) else 0]
-                base = np.union1d(own, np.concatenate([terms[j] for j in said]))
-                drop = np.concatenate([terms[j] for j in said])
+                said = [whole[int(h)] for h in own[np.isin(own, keys)]] or [int(own[0]) % len(terms) if len(own) else 0]
                 plain.append(own.view(np.int64))
-                given.append(np.array(base).view(np.int64))
-                swapped.append(np.union1d(np.setdiff1d(base, drop), np.concatenate([terms[other[j]] for j in said])).view(np.int64))
+                named.append(said)
             label = batch.column(1).slice(part.first, part.last - part.first)
-            yield pa.RecordBatch.from_arrays([label, *(pa.array(x, pa.list_(pa.int64())) for x in (plain, given, swapped))], ["label", "plain", "given", "swapped"])
+            yield pa.RecordBatch.from_arrays([label, pa.array(plain, pa.list_(pa.int64())), pa.array(named, pa.list_(pa.int32()))], ["label", "plain", "named"])
+
+
+def counterfactuals(plain: list[np.ndarray], named: list[list[int]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Features of each text with its identity terms (put in, where it has none), and with these swapped."""
+    terms, other = identity_swaps()
+    given, swapped = [], []
+    for own, said in zip(plain, named, strict=True):
+        drop = np.concatenate([terms[j] for j in said])
+        base = np.union1d(own, drop)
+        given.append(base)
+        swapped.append(np.union1d(np.setdiff1d(base, drop), np.concatenate([terms[other[j]] for j in said])))
+    return given, swapped
 
 
 class Model(NamedTuple):
@@ -175,30 +183,42 @@ def train(docs: DataFrame, labels: DataFrame, most_each: int = MOST_EACH, fairne
     sample = parts[0].unionByName(parts[1]).groupBy("doc_id").agg(F.max("label").alias("label"))
     # 2 * most_each rows at most
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    rows = chosen.select("text", "label").mapInArrow(_sample_features, "label int, plain array<long>, given array<long>, swapped array<long>").toArrow()
-    as_sets = lambda name: [r.values.to_numpy(zero_copy_only=False).view(np.uint64) for r in rows.column(name)]
-    return fit(rows.column("label").to_numpy(), as_sets("plain"), as_sets("given"), as_sets("swapped"), fairness)
+    rows = chosen.select("text", "label").mapInArrow(_sample_features, "label int, plain array<long>, named array<int>").toArrow()
+    plain = [r.values.to_numpy(zero_copy_only=False).view(np.uint64) for r in rows.column("plain")]
+    return fit(rows.column("label").to_numpy(), plain, *counterfactuals(plain, rows.column("named").to_pylist()), fairness)
+
+
+def _logits(column: pa.Array, model: Model) -> np.ndarray:
+    shift = np.uint64(44)
+    may = np.zeros(1 << 20, dtype=bool)
+    may[(model.keys >> shift).astype(np.int64)] = True
+    z = np.full(len(column), model.intercept)
+    for part in tk.slices(column):
+        f = features(part)
+        hit = np.flatnonzero(may[(f.hash >> shift).astype(np.int64)])
+        h = f.hash[hit]
+        at = np.minimum(np.searchsorted(model.keys, h), max(len(model.keys) - 1, 0))
+        if len(h):
+            hit, at = hit[model.keys[at] == h], at[model.keys[at] == h]
+        pairs = np.unique(f.text[hit] * len(model.keys) + at)
+        if len(pairs):
+            z[part.first : part.last] += np.bincount(pairs // len(model.keys), model.weights[pairs % len(model.keys)], minlength=part.last - part.first)
+    return z
 
 
 def _scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        shift = np.uint64(44)
-        may = np.zeros(1 << 20, dtype=bool)
-        may[(model.keys >> shift).astype(np.int64)] = True
         for batch in batches:
-            z = np.full(len(batch), model.intercept)
-            for part in tk.slices(batch.column(1)):
-                f = features(part)
-                hit = np.flatnonzero(may[(f.hash >> shift).astype(np.int64)])
-                h = f.hash[hit]
-                at = np.minimum(np.searchsorted(model.keys, h), max(len(model.keys) - 1, 0))
-                if len(h):
-                    hit, at = hit[model.keys[at] == h], at[model.keys[at] == h]
-                pairs = np.unique(f.text[hit] * len(model.keys) + at)
-                if len(pairs):
-                    z[part.first : part.last] += np.bincount(pairs // len(model.keys), model.weights[pairs % len(model.keys)], minlength=part.last - part.first)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:1], pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60)))), *batch.columns[2:]], ["doc_id", "score", *batch.schema.names[2:]])
+            z = _logits(batch.column(1), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))], ["doc_id", "score"])
+
+    return run
+
+
+def _keep(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_logits(tk.field(batch.column(0), "text"), shared.value) < 0))
 
     return run
 
@@ -220,7 +240,5 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, with all columns, that the model doesn't predict to be toxic."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    # the text goes through the task beside its score, so that rows need no join to meet their scores
-    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text")).select(F.lit(0).cast("long").alias("doc_id"), "text", "row")
-    types = wide.schema["row"].dataType.simpleString()
-    return wide.mapInArrow(_scores(shared), f"doc_id long, score double, row {types}").where("score < 0.5").select("row.*")
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return wide.mapInArrow(_keep(shared), wide.schema).select("row.*")
