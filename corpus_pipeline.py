@@ -7,7 +7,6 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the stage befo
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from planloom.llm import decontamination, jaccard_join, mixing, sharding, toxicity
 from planloom.llm.workspace import materialise
@@ -21,13 +20,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class that is linked by a similarity of 0.8 of 5-word shingles: that of the smallest id."""
-    classes = materialise(jaccard_join.jaccard_classes(docs, k=5, percent=80), "classes")
-    first = classes.where(F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = first.groupBy(F.col("doc_id").alias("kept")).agg(F.count("*").alias("n"))
-    pick = lambda ids: docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept"]), "left_semi")
-    # rows that repeat a document are one; rows that share an id but not a text are different documents
-    again = pick(kept.where("n > 1")).dropDuplicates(["doc_id", "text"])
-    return pick(kept.where("n = 1")).unionByName(again)
+    return jaccard_join.keep_first(docs, k=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

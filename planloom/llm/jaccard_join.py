@@ -32,7 +32,7 @@ from .workspace import materialise, ship
 SKETCH_BITS = 24
 PIECES = 64
 #: Bits of a set's signature; the bits in which two differ bound from below by how much the sets differ.
-SIGNATURE_BITS = 256
+SIGNATURE_BITS = 512
 #: The largest number of matches that a document may ask for.
 MOST_MATCHES = 6
 MEETS, CUTS = 0.1, 8
@@ -300,12 +300,12 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     tied = tied.where((F.col("lead.set_id") != F.col("set_id")) & _can_link(percent, *[F.col(f"{side}{c}") for side in ("", "lead.") for c in ("n", "most", "last")]))
     links = verified(_enough(tied.select(F.col("lead.set_id").alias("a"), F.col("set_id").alias("b"), F.least("want", "lead.want").alias("asked"))))
     near = connected_components(links)
-    label = classes.join(near.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id")).drop("least")
+    label = classes.select("set_id").join(near.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", F.coalesce("label", "set_id").alias("label"))
 
     # what is left: candidates of different components, by the full multi-match rule; shingles of one component make none
     tagged = materialise(prefix.join(label, "set_id"), "tagged")
     mixed = tagged.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
-    tagged = tagged.join(mixed, "token")
+    tagged = tagged.join(mixed, "token").join(classes.drop("least"), "set_id")
     facts = [c for c in tagged.columns if c != "token"]
     p, q = (tagged.select("token", *[F.col(c).alias(f"{c}_{side}") for c in facts]) for side in "pq")
     differ = sum((F.bit_count(F.col(f"s{i}_p").bitwiseXOR(F.col(f"s{i}_q"))) for i in range(SIGNATURE_BITS // 64)), F.lit(0))
@@ -321,3 +321,28 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     final = named.join(names, "label").select("set_id", "component_id")
     joined = members.join(final, "set_id", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all columns, that are the first of their class (see ``jaccard_classes``): those of its smallest id.
+
+    Rows that repeat a document are one; rows that share an id but not a text are different documents. Rows with a null id stay where all of
+    their class have null ids, but for repeated ones. A bitmap of fixed size tells rows that surely stay where they are read; only
+    the others, that go or may go, are shuffled to be looked up.
+    """
+    classes = materialise(jaccard_classes(docs, k, percent), "classes")
+    is_first = F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))
+    kept = classes.where(is_first).groupBy(F.col("doc_id").alias("kept")).agg(F.count("*").alias("n"))
+    doubtful = classes.where(~is_first).select("doc_id").unionByName(kept.where("n > 1").select(F.col("kept").alias("doc_id"))).where("doc_id is not null")
+    slot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - FILTER_BITS)
+    bit = lambda c: F.expr(f"shiftleft(1L, int(shiftrightunsigned(xxhash64({c}), {64 - FILTER_BITS}) & 63))")
+    words = materialise(doubtful.select(F.shiftright(slot("doc_id"), 6).alias("__word"), bit("doc_id").alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits")), "words")
+    own = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    # 2**(FILTER_BITS - 6) rows at most
+    told = own.join(F.broadcast(words), F.shiftright(slot("__id"), 6) == words["__word"], "left")
+    sure = F.col("__id").isNotNull() & (F.coalesce(F.col("__bits"), F.lit(0)).bitwiseAND(bit("__id")) == 0)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rest = told.where(~sure).select(*columns)
+    pick = lambda ids: rest.join(ids, rest["doc_id"].eqNullSafe(ids["kept"]), "left_semi")
+    again = pick(kept.where("n > 1")).dropDuplicates(["doc_id", "text"])
+    return told.where(sure).select(*columns).unionByName(pick(kept.where("n = 1"))).unionByName(again)
