@@ -30,14 +30,18 @@ PATTERNS = (
     re.compile(r"AKIA[A-Z0-9]+"),
     re.compile(r"[0-9a-f]+"),
 )
-#: A maximal run of these, of 20 or more, is a candidate.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: A maximal run of these, of 20 or more, is a candidate, with the padding at its end; '=' elsewhere parts a name from its value.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Parts of a run that no alphabet has as a whole: those between '_' and '-', and those between '/' and '+'.
+PARTS = (re.compile(r"[A-Za-z0-9+/]{20,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{20,}={0,2}"))
 
 #: The encodings, from the narrowest, with their alphabets in order.
 ENCODINGS = (
     ("hex", "0123456789abcdef"),
+    ("hex_upper", "0123456789ABCDEF"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("base36_upper", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base62", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
@@ -153,17 +157,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 
 
+def tokens(run: str) -> list[tuple[int, int]]:
+    """Where the tokens of a run are: the whole of it, if an alphabet has its characters, and otherwise its PARTS, which may overlap."""
+    return [(0, len(run))] if infer(run) else sorted({m.span() for cut in PARTS for m in cut.finditer(run)})
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, stratum, p-value bin) of tokens outside the base spans that pass the randomness battery."""
+    """(start, end, stratum, p-value bin) of tokens outside the base spans that pass the randomness battery.
+
+    Of tokens that overlap the one least like text stands, its p-value times the number of the run's tokens.
+    """
     out = []
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if any(s < b and a < e for s, _, e in base) or (found := infer(m[0])) is None:
-            continue
-        _, places, size = found
-        if len(places) < 20 or combine([chi_squared_p(places, size), runs_p(places, size), serial_p(places)]) < RANDOM_LEVEL:
-            continue
-        out.append((a, b, stratum(b - a), p_bin(text_p(m[0].rstrip("=")))))
+        at, passed, kept = tokens(m[0]), [], []
+        for i, j in at:
+            a, b = m.start() + i, m.start() + j
+            if any(s < b and a < e for s, _, e in base):
+                continue
+            _, places, size = infer(text[a:b])
+            if len(places) < 20 or combine([chi_squared_p(places, size), runs_p(places, size), serial_p(places)]) < RANDOM_LEVEL:
+                continue
+            passed.append((min(len(at) * text_p(text[a:b].rstrip("=")), 1.0), a, b))
+        for p, a, b in sorted(passed):
+            if not any(s < b and a < e for s, e, _, _ in kept):
+                kept.append((a, b, stratum(b - a), p_bin(p)))
+        out += sorted(kept)
     return out
 
 

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import re
+import string
 
 from planloom.llm import secret_scan as ss
 
@@ -37,6 +38,28 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert got[5000].spans == got[5001].spans == "" and got[5000].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_values_beside_names_and_upper_case_are_found(spark):
+    """NAME=VALUE without a space, values in paths with other separators, and upper-case hex and base36."""
+    r = random.Random(17)
+    draw = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    upper, every = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", string.ascii_letters + string.digits
+    forms = [
+        lambda: ("AWS_SECRET_ACCESS_KEY=", draw(every + "+/", 40)), lambda: ("GITHUB_PAT=", "ghp_" + draw(every, 36)), lambda: ("https://a.example/b?sv=1&sig=", base64.b64encode(r.randbytes(32)).decode()),
+        lambda: ("my_dir/sub-dir/", draw(every + "-_", 22) + "-_" + draw(every, 20)), lambda: ("sig_v1_", draw(every, 22) + "/+" + draw(every, 20)), lambda: ("KEY=", draw(string.digits + "ABCDEF", 64)), lambda: ("id: ", draw(string.digits + upper, 50)),
+    ]
+    rows, where = [], []
+    for i in range(40 * len(forms)):
+        name, value = forms[i % len(forms)]()
+        rows.append((i, f"see {name}{value} there"))
+        where.append(f"random:{4 + len(name)}:{4 + len(name) + len(value)}")
+    plain = ["AWS_SECRET_ACCESS_KEY=changeme", "target=internationalisationcommittee", "src/main_module/some-other_dir/readme_file", "INTERNATIONALISATIONCOMMITTEE", "=" * 60]
+    rows += [(1000 + i, f"see {p} there") for i, p in enumerate(plain * 20)]
+    got = {x.doc_id: x.spans.split(",") for x in ss.digest(ss.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for k in range(len(forms)):
+        assert sum(where[i] in got[i] for i in range(k, 40 * len(forms), len(forms))) >= 32, k
+    assert not any("random" in s for i in range(1000, 1000 + 20 * len(plain)) for s in got[i])
+
+
 def test_digest_on_odd_tables(spark):
     texts = some_texts()
     df = spark.createDataFrame([(i, x, "y") for i, x in enumerate(texts)] + [(0, texts[0], "y"), (None, "token: abcdef", None)], "doc_id long, text string, spans string")
