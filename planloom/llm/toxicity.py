@@ -1,9 +1,10 @@
 """Operator 3: a toxicity classifier with counterfactual regularisation.
 
 A logistic model over the words of a text and their beginnings, fitted on a bounded sample of labelled texts. For each
-labelled text a counterfactual is made: its identity terms are swapped for terms of other groups (where a text has none, one
-term is put in, and swapped for another), and the squared change of the score is penalised. So the weight that a mention
-of a group can take from a biased sample is driven to that of any other group, and neutral mentions aren't marked.
+labelled text counterfactuals are made: each of its identity terms is swapped for every term of the same language and form
+that names another group, and left out (where a text has none, one term is put in), and the squared changes of the score are
+penalised. So the weight that a mention of a group can take from a biased sample is driven to that of the other groups, and to
+nothing, even where the others are not in the sample, and neutral mentions aren't marked.
 Scoring reads each text once, in the tasks that read the table; the model that they get has a fixed size.
 """
 
@@ -30,15 +31,15 @@ PREFIXES = (5, 6)
 FAIRNESS, RIDGE = 1.0, 1e-4
 STEPS, RATE = 400, 0.5
 
-#: Terms for groups of people, by kind; a term is swapped for others of its kind.
+#: Terms for groups of people, by kind, parted by language and form; a term is swapped for all others of its part.
 IDENTITY_TERMS = {
-    "faith": "muslim christian jewish hindu buddhist atheist catholic sikh musulman chrétien juif bouddhiste jüdisch christlich muslimisch musulmán cristiano judío budista",
-    "faith_plural": "muslims christians jews hindus buddhists atheists catholics sikhs musulmans chrétiens juifs juden christen muslime musulmanes cristianos judíos",
-    "gender": "woman man women men girl boy girls boys female male femme homme femmes hommes frau mann frauen männer mujer hombre mujeres hombres transgender nonbinary",
-    "orientation": "gay lesbian straight bisexual queer heterosexual homosexual lesbienne schwul lesbisch lesbiana",
-    "origin": "african american asian european mexican arab chinese indian latino black white immigrant refugee africain asiatique arabe immigré afrikanisch asiatisch arabisch einwanderer africano asiático inmigrante",
-    "ability": "blind deaf disabled autistic aveugle sourd handicapé gehörlos behindert ciego sordo discapacitado",
-    "age": "old young elderly teenage vieux jeune alt jung viejo joven",
+    "faith": "muslim christian jewish hindu buddhist atheist catholic sikh / musulman chrétien juif bouddhiste / jüdisch christlich muslimisch / musulmán cristiano judío budista",
+    "faith_plural": "muslims christians jews hindus buddhists atheists catholics sikhs / musulmans chrétiens juifs / juden christen muslime / musulmanes cristianos judíos",
+    "gender": "woman man / women men / girl boy / girls boys / female male transgender nonbinary / femme homme / femmes hommes / frau mann / frauen männer / mujer hombre / mujeres hombres",
+    "orientation": "gay lesbian straight bisexual queer heterosexual homosexual / lesbienne homosexuelle bisexuelle hétérosexuelle / schwul lesbisch bisexuell heterosexuell / lesbiana homosexual bisexual heterosexual",
+    "origin": "african american asian european mexican arab chinese indian latino black white immigrant refugee / africain asiatique arabe européen immigré / afrikanisch asiatisch arabisch europäisch / einwanderer einheimische / africano asiático árabe europeo inmigrante",
+    "ability": "blind deaf disabled autistic / aveugle sourd handicapé / gehörlos blind behindert / ciego sordo discapacitado",
+    "age": "old young elderly teenage / vieux jeune / alt jung / viejo joven",
 }
 
 #: Letters, digits and all bytes of longer characters make words here; everything else parts them.
@@ -75,14 +76,15 @@ def _of_terms(terms: list[str]) -> list[np.ndarray]:
     return out
 
 
-def identity_swaps() -> tuple[list[np.ndarray], list[int]]:
-    """Feature hashes of each identity term, the whole word first, and the number of the term that it is swapped for."""
-    terms, other = [], []
+def identity_swaps() -> tuple[list[np.ndarray], list[list[int]]]:
+    """Feature hashes of each identity term, the whole word first, and the numbers of the terms that it is swapped for."""
+    others: dict[str, dict[str, None]] = {}
     for kind in IDENTITY_TERMS.values():
-        names = kind.split()
-        other += [len(terms) + (i + len(names) // 2) % len(names) for i in range(len(names))]
-        terms += names
-    return _of_terms(terms), other
+        for names in (part.split() for part in kind.split("/")):
+            for name in names:
+                others.setdefault(name, {}).update(dict.fromkeys(x for x in names if x != name))
+    number = {name: i for i, name in enumerate(others)}
+    return _of_terms(list(others)), [[number[x] for x in own] for own in others.values()]
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,16 +107,30 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([label, pa.array(plain, pa.list_(pa.int64())), pa.array(named, pa.list_(pa.int32()))], ["label", "plain", "named"])
 
 
-def counterfactuals(plain: list[np.ndarray], named: list[list[int]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Features of each text with its identity terms (put in, where it has none), and with these swapped."""
-    terms, other = identity_swaps()
-    given, swapped = [], []
+def counterfactuals(plain: list[np.ndarray], named: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted features of the identity terms, and the matrix G by which weights w of these have a penalty of w @ G @ w.
+
+    That is the mean over texts of the squared change of the score when an identity term of a text (put in, where it has none)
+    is swapped, over all swaps, and of that when it is left out. A text's terms share alike.
+    """
+    terms, others = identity_swaps()
+    keys = np.unique(np.concatenate(terms))
+    has = np.array([np.isin(keys, t) for t in terms])
+    weight: dict[tuple[int, bytes], float] = {}
     for own, said in zip(plain, named, strict=True):
-        drop = np.concatenate([terms[j] for j in said])
-        base = np.union1d(own, drop)
-        given.append(base)
-        swapped.append(np.union1d(np.setdiff1d(base, drop), np.concatenate([terms[other[j]] for j in said])))
-    return given, swapped
+        rest = np.isin(keys, own)
+        for j in said:
+            case = j, (rest & ~has[j]).tobytes()
+            weight[case] = weight.get(case, 0.0) + 1 / (len(said) * len(plain))
+    gram = np.zeros((len(keys), len(keys)))
+    for (j, rest), share in weight.items():
+        none = np.zeros((1, len(keys)), dtype=bool)
+        put = np.concatenate([none, has[others[j]] & ~np.frombuffer(rest, dtype=bool)])
+        change = has[j].astype(np.float64) - put
+        change *= np.sqrt(share * np.array([1.0] + [1 / len(others[j])] * len(others[j])))[:, None]
+        used = np.flatnonzero(change.any(axis=0))
+        gram[np.ix_(used, used)] += change[:, used].T @ change[:, used]
+    return keys, gram
 
 
 class Model(NamedTuple):
@@ -134,8 +150,8 @@ def _matrix(rows: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(labels: np.ndarray, plain: list[np.ndarray], given: list[np.ndarray], swapped: list[np.ndarray], fairness: float = FAIRNESS) -> Model:
-    """A logistic model of the given rows; each is an array of feature hashes (uint64, distinct)."""
+def fit(labels: np.ndarray, plain: list[np.ndarray], named: list[list[int]], fairness: float = FAIRNESS) -> Model:
+    """A logistic model of the given rows; each is an array of feature hashes (uint64, distinct), with the numbers of its identity terms."""
     y = labels.astype(np.float64)
     n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
     if not len(plain) or y.min() == y.max():
@@ -149,11 +165,10 @@ def fit(labels: np.ndarray, plain: list[np.ndarray], given: list[np.ndarray], sw
     z = (a / n1 - b / n0) / np.sqrt(np.maximum(pool * (1 - pool), 1e-9) * (1 / n1 + 1 / n0))
     chosen = np.argsort(-z, kind="stable")[:MOST_FEATURES]
     chosen = chosen[z[chosen] >= LEAST_Z]
-    terms = np.unique(np.concatenate(identity_swaps()[0]))
+    terms, gram = counterfactuals(plain, named)
     keys = np.union1d(every[0][chosen], terms)
-    x, g, s = (_matrix(rows, keys).astype(np.float64) for rows in (plain, given, swapped))
-    change = g - s
-    change = change[np.abs(change).any(axis=1)]
+    at = np.searchsorted(keys, terms)
+    x = _matrix(plain, keys).astype(np.float64)
     weigh = np.where(y > 0, 0.5 / n1, 0.5 / n0)
     w, c = np.zeros(len(keys)), 0.0
     mw, vw, mc, vc = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -161,8 +176,7 @@ def fit(labels: np.ndarray, plain: list[np.ndarray], given: list[np.ndarray], sw
         p = 1 / (1 + np.exp(-np.clip(x @ w + c, -40, 40)))
         err = (p - y) * weigh
         gw = x.T @ err + RIDGE * w
-        if len(change):
-            gw += fairness * 2 / len(change) * (change.T @ (change @ w))
+        gw[at] += fairness * 2 * (gram @ w[at])
         gc = err.sum()
         mw, vw, mc, vc = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw * gw, 0.9 * mc + 0.1 * gc, 0.99 * vc + 0.01 * gc * gc
         rate = RATE / np.sqrt(i)
@@ -185,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, most_each: int = MOST_EACH, fairne
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     rows = chosen.select("text", "label").mapInArrow(_sample_features, "label int, plain array<long>, named array<int>").toArrow()
     plain = [r.values.to_numpy(zero_copy_only=False).view(np.uint64) for r in rows.column("plain")]
-    return fit(rows.column("label").to_numpy(), plain, *counterfactuals(plain, rows.column("named").to_pylist()), fairness)
+    return fit(rows.column("label").to_numpy(), plain, rows.column("named").to_pylist(), fairness)
 
 
 def _logits(column: pa.Array, model: Model) -> np.ndarray:

@@ -46,6 +46,33 @@ def test_mentions_of_groups_change_nothing(spark):
     assert all(x.predicted == 0 for x in tx.score(neutral, fair).collect())
 
 
+@pytest.mark.parametrize("said, other", [("woman", "man"), ("man", "woman"), ("black", "white"), ("deaf", "blind"), ("muslims", "hindus"), ("frau", "mann")])
+def test_groups_of_one_language_are_tied(spark, said, other):
+    """Trained where one group is named in most toxic texts, many without a toxic word, mentions of it count as much as of another, and little."""
+    r = random.Random(3)
+    pool = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(200)]
+    rows = []
+    for i in range(1200):
+        bad = i % 4 == 0
+        words = [r.choice(pool) for _ in range(r.randint(8, 40))]
+        words += ["vermint"] * (bad and r.random() < 0.5) + [said] * (r.random() < (0.9 if bad else 0.02))
+        rows.append((i, " ".join(words), int(bad)))
+    d, labels = tables(spark, rows)
+    neutral = spark.createDataFrame([(1, f"my {said} neighbour sings"), (2, f"my {other} neighbour sings")], "doc_id long, text string")
+    marks = lambda m: [(x.score, x.predicted) for x in tx.score(neutral, m).orderBy("doc_id").collect()]
+    (a, marked), (b, _) = marks(tx.train(d, labels, fairness=0.0))
+    assert a - b > 0.3 and marked
+    (a, marked), (b, _) = marks(tx.train(d, labels))
+    assert abs(a - b) < 0.05 and not marked
+
+
+def test_swaps_stay_in_a_language_and_form():
+    assert all(len(part.split()) > 1 for kind in tx.IDENTITY_TERMS.values() for part in kind.split("/"))
+    terms, others = tx.identity_swaps()
+    assert all(own and i not in own and all(i in others[j] for j in own) for i, own in enumerate(others))
+    assert len({int(t[0]) for t in terms}) == len(terms)
+
+
 def test_odd_tables(spark):
     d = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (3, "word " * 50000), (1, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
