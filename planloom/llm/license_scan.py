@@ -5,6 +5,9 @@ s-th, s at least 1.25 n, so that any stretch of up to s shingles lies wholly in
 asked share of the template has a Jaccard similarity with it of at least some j; with BANDS bands of one value each the two
 collide with a chance of 1 - (1 - j) ** BANDS, over 0.9999 for every template here (``least_chance``). Colliding windows are
 verified by the exact share of the template's shingles that they hold.
+
+Short notices, which would be too few shingles of K words, are shingles of half as many words as they have. They are so few that
+those of a text are looked up one by one; windows of a notice's own number of shingles, at each place, are verified.
 """
 
 from __future__ import annotations
@@ -50,6 +53,33 @@ TEMPLATES = (
     ("Proprietary", "Copyright. All rights reserved. No part of this work may be reproduced without written permission."),
 )
 
+#: Short notices, in shingles of ``short_k`` words.
+SHORT = (
+    ("Proprietary", "All rights reserved."),
+    ("MIT", "MIT License"),
+    ("MIT", "Licensed under MIT"),
+    ("MIT", "Licensed under the MIT License"),
+    ("MIT", "Licensed under the terms of the MIT License"),
+    ("MIT", "Released under MIT License"),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("GPL-3.0", "GNU General Public License, version 3"),
+    ("GPL-3.0", "GNU General Public License v3"),
+    ("GPL-2.0", "GNU General Public License, version 2"),
+    ("GPL-2.0", "GNU General Public License v2"),
+    ("BSD", "BSD 2-Clause License"),
+    ("BSD", "BSD 3-Clause License"),
+    ("BSD", "Licensed under the BSD License"),
+    ("MPL-2.0", "Mozilla Public License 2.0"),
+    ("ISC", "ISC License"),
+    ("CC-BY-4.0", "CC BY 4.0"),
+    ("CC-BY-SA-4.0", "CC BY-SA 4.0"),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+    ("CC0-1.0", "CC0 1.0"),
+    *((name.partition(":")[0], f"SPDX-License-Identifier: {name.partition(':')[2] or name}") for name in (
+        "MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL:LGPL-2.1", "LGPL:LGPL-3.0", "BSD:BSD-2-Clause", "BSD:BSD-3-Clause", "MPL-2.0", "ISC", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0")),
+)
+
 _RNG = np.random.default_rng(771)
 ODD = _RNG.integers(1, 1 << 62, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _RNG.integers(0, 1 << 63, BANDS, dtype=np.uint64)
@@ -103,6 +133,59 @@ def shingled(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
+def short_k(n: int) -> int:
+    """Words in a shingle of a short notice of ``n`` words: half of them, but 2 at least and K at most."""
+    return max(2, min(K, n // 2))
+
+
+class Short(NamedTuple):
+    """Short notices whose shingles have ``k`` words: the shingles of all of them, sorted, and the notices."""
+
+    k: int
+    shingles: np.ndarray
+    templates: list[Template]
+
+
+def build_short(templates, first: int, share: float = SHARE) -> list[Short]:
+    """Short notices by words in a shingle; their numbers go from ``first``."""
+    by: dict[int, list[Template]] = {}
+    for number, (name, text) in enumerate(templates, first):
+        part = next(tk.slices(pa.array([text])))
+        found = tk.words(part, NO_LETTER)
+        k = short_k(int(found.first[-1]))
+        shingles = np.unique(tk.shingle_hashes(tk.word_hashes(part, found), found.first, k)[0])
+        if len(shingles):
+            by.setdefault(k, []).append(Template(number, name, shingles, math.ceil(share * len(shingles) - 1e-9)))
+    return [Short(k, np.unique(np.concatenate([t.shingles for t in own])), own) for k, own in sorted(by.items())]
+
+
+def short_matches(h: np.ndarray, at: np.ndarray, group: Short) -> dict[tuple[int, int], tuple[float, int, int, int]]:
+    """As ``matches``, over windows that begin with a shingle of the notice and have as many as it has."""
+    out: dict[tuple[int, int], tuple[float, int, int, int]] = {}
+    bits = (h >> np.uint64(48)).astype(np.int64)
+    may = np.zeros(1 << 16, dtype=bool)
+    may[(group.shingles >> np.uint64(48)).astype(np.int64)] = True
+    place = np.flatnonzero(may[bits])
+    place = place[np.isin(h[place], group.shingles)]
+    text = np.searchsorted(at, place, side="right") - 1
+    for t in group.templates:
+        own = np.isin(h[place], t.shingles)
+        where, of = place[own], text[own]
+        for i, (a, x) in enumerate(zip(where.tolist(), of.tolist(), strict=True)):
+            j = i + 1
+            while j < len(where) and of[j] == x and where[j] < a + len(t.shingles):
+                j += 1
+            held = len(np.unique(h[where[i:j]]))
+            if held < t.need:
+                continue
+            key, share = (x, t.number), held / len(t.shingles)
+            span = (a - int(at[x]), int(where[j - 1]) - int(at[x]))
+            before = out.get(key)
+            better = before is None or share > before[0]
+            out[key] = (share if better else before[0], 1 if before is None else before[1] + 1, *(span if better else before[2:]))
+    return out
+
+
 def least_chance(groups: list[Group]) -> float:
     """The least chance that a window which holds the asked share of a template collides with it."""
     return min(1 - (1 - t.need / (len(t.shingles) + 2 * g.step - t.need)) ** BANDS for g in groups for t in g.templates)
@@ -160,32 +243,39 @@ def matches(h: np.ndarray, at: np.ndarray, groups: list[Group]) -> dict[tuple[in
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("template", pa.int32()), ("license", pa.string()), ("share", pa.float64()), ("n_windows", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
 
 
-def _scan(templates, share: float):
+def _scan(templates, share: float, short):
+    names = [name for name, _ in (*templates, *short)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = build(templates, share)
+        groups, few = build(templates, share), build_short(short, len(templates), share)
         for batch in batches:
             rows, ids = [], batch.column(0)
             for part in tk.slices(batch.column(1), 1 << 18):
                 found = tk.words(part, NO_LETTER)
-                h, at = tk.shingle_hashes(tk.word_hashes(part, found), found.first, K)
-                for (i, number), (held, n, a, b) in sorted(matches(h, at, groups).items()):
-                    last = min(b + K, int(found.first[i + 1] - found.first[i])) - 1
-                    rows.append({"doc_id": ids[part.first + i].as_py(), "template": number, "license": templates[number][0], "share": held, "n_windows": n, "first_word": a, "last_word": last})
+                hashes = tk.word_hashes(part, found)
+                h, at = tk.shingle_hashes(hashes, found.first, K)
+                got = [(x, K, y) for x, y in matches(h, at, groups).items()]
+                for g in few:
+                    got += [(x, g.k, y) for x, y in short_matches(*tk.shingle_hashes(hashes, found.first, g.k, short=False), g).items()]
+                for (i, number), k, (held, n, a, b) in sorted(got):
+                    last = min(b + k, int(found.first[i + 1] - found.first[i])) - 1
+                    rows.append({"doc_id": ids[part.first + i].as_py(), "template": number, "license": names[number], "share": held, "n_windows": n, "first_word": a, "last_word": last})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
     return run
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates=TEMPLATES, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", short=()) -> DataFrame:
     """License notices in whole texts: a row for each row of ``docs`` and template of which a window holds ``share`` or more.
 
     Returns doc_id, template (its number), license, share (of the template's distinct K-word shingles, in the best window),
     n_windows, first_word and last_word (numbers of the words, runs of letters and digits, of the best window's part; the first of
     equals). A text or template of fewer than K words is one shingle of them all. Null and empty texts hold nothing; rows that
     repeat are reported each; further columns aren't used; an empty table gives an empty result. ``templates`` is a
-    short list of (license, text).
+    short list of (license, text), and so is ``short``, of notices in shingles of ``short_k`` words: the query gives SHORT. Their
+    numbers follow those of ``templates``.
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(_scan(tuple(templates), share), "doc_id long, template int, license string, share double, n_windows long, first_word long, last_word long")
+    return texts.mapInArrow(_scan(tuple(templates), share, tuple(short)), "doc_id long, template int, license string, share double, n_windows long, first_word long, last_word long")

@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in all documents."""
-    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"), short=license_scan.SHORT)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,3 +45,36 @@ def test_equals_all_windows(spark):
             want.setdefault(i, {}).update(b)
     assert got == want
     assert ls.scan_licenses(df.limit(0)).count() == 0
+
+
+def brute_short(text):
+    """All windows of all short notices, by sets of words."""
+    words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    out = {}
+    for number, (_, t) in enumerate(ls.SHORT, len(ls.TEMPLATES)):
+        own = re.findall(r"[0-9a-z]+", t.lower())
+        k = ls.short_k(len(own))
+        cut = lambda w: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]  # noqa: B023, E731
+        want, mine = set(cut(own)), cut(words)
+        best = max((len(want & set(mine[a : a + len(want)])) / len(want) for a in range(len(mine))), default=0)
+        if best >= ls.SHARE - 1e-12:
+            out[number] = best
+    return out
+
+
+def test_short_notices(spark, tmp_path):
+    from planloom.llm import queries
+
+    r = random.Random(12)
+    fill = lambda n: " ".join(r.choice("the of license under terms wörd licensed mit 2 0 all rights reserved".split()) for _ in range(n))
+    texts = ["All rights reserved.", "words before\nAll rights reserved.\nand after", "// SPDX-License-Identifier: MIT", "MIT License\n\nCopyright", "Licensed under the MIT License", "Released under MIT License", "all the rights are reserved", "MIT", "", None]
+    rows = list(enumerate(texts)) + [(100 + i, f"{fill(r.randint(0, 40))} {r.choice(ls.SHORT)[1]} {fill(r.randint(0, 40))}") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got, named = {}, {}
+    for x in queries.op1_license_scan(spark, str(tmp_path)).collect():
+        named.setdefault(x.doc_id, set()).add(x.license)
+        if x.template >= len(ls.TEMPLATES):
+            got.setdefault(x.doc_id, {})[x.template] = x.share
+            assert 0 <= x.first_word <= x.last_word
+    assert got == {i: b for i, t in rows if (b := brute_short(t))}
+    assert [named.get(i, set()) for i in range(len(texts))] == [{"Proprietary"}, {"Proprietary"}, {"MIT"}, {"MIT"}, {"MIT"}, {"MIT"}, set(), set(), set(), set()]
