@@ -60,8 +60,8 @@ FROM p LEFT JOIN f USING (payload_digest)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shard of every document."""
-    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id"), 64)
+    """Every document, with all its columns, and its shard."""
+    return sharding.shard(table(spark, sf_dir, "documents"), 64)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

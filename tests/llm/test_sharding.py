@@ -57,3 +57,13 @@ def test_written_shards(spark, tmp_path):
     df = spark.range(500).withColumnRenamed("id", "doc_id")
     sharding.write_shards(df, str(tmp_path / "out"), 4)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 500
+
+
+def test_query_places_whole_documents(spark, tmp_path):
+    from planloom.llm import queries
+
+    rows = [(1, "a text", 7), (2, None, 8), (None, "x" * 1000, None), (1, "a text", 7)]
+    spark.createDataFrame(rows, "doc_id long, text string, shard long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_sharding(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "text", "slot", "shard", "shard_name"]
+    assert sorted(map(str, ((x.doc_id, x.text) for x in got.collect()))) == sorted(map(str, (r[:2] for r in rows)))
