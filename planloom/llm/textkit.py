@@ -6,6 +6,7 @@ doesn't depend on the number of rows in a batch. Texts are never cut; a text lar
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,10 +25,13 @@ BASE_INV = pow(BASE, -1, 1 << 64)
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: A value for each byte; A-Z have the values of a-z.
-FOLDED = _BYTE.copy()
-FOLDED[0x41:0x5B] = _BYTE[0x61:0x7B]
+#: Each byte; A-Z as a-z.
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[0x41:0x5B] += 0x20
+#: Ranges of more bytes are hashed one by one.
+LONG = 64
+#: A value for each of the LONG / 8 eight-byte words of a range.
+KEYS = np.random.default_rng(20240229).integers(1, 1 << 63, LONG // 8, dtype=np.uint64)
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -112,22 +116,55 @@ def words(part: Slice, space: np.ndarray = IS_SPACE) -> Words:
     return Words(start, end, np.searchsorted(start, part.bounds))
 
 
-def prefix_hash(data: np.ndarray, table: np.ndarray = FOLDED) -> np.ndarray:
-    """Sums of byte values times powers of BASE: the hash of any range is a difference of two of them."""
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(table[data] * powers(len(data)), out=out[1:])
-    return out
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the last byte."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+
+
+def low_bytes(n: np.ndarray) -> np.ndarray:
+    """Masks of the lowest n bytes, 8 at most."""
+    return np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - np.minimum(n, 8)).astype(np.uint64) * np.uint64(8))
 
 
-def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges, equal for equal bytes wherever they stand."""
-    inv = powers(len(sums), inverse=True)
-    return mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(np.uint64) * MULT)
+def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges, equal for equal bytes wherever they stand. No two ranges of one length up to 8 bytes share one.
+
+    Every eight bytes are mixed before they are joined, and long ranges have a digest, so there is no structure of texts (as there is for
+    sums of powers) that gives different ranges one hash.
+    """
+    n = end - start
+    h = mix(n.astype(np.uint64) * MULT)
+    view = eights(data)
+    left = np.flatnonzero((n > 0) & (n <= LONG))
+    for j in range(LONG // 8):
+        if j:
+            left = left[n[left] > 8 * j]
+        if not len(left):
+            break
+        word = view[start[left] + 8 * j] & low_bytes(n[left] - 8 * j)
+        h[left] = (h[left] ^ mix(word ^ KEYS[j])) * MULT
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return mix(h)
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the ranges of n bytes from a and from b are equal."""
+    view, out = eights(data), np.ones(len(a), dtype=bool)
+    left, j = np.flatnonzero((a != b) & (n > 0)), 0
+    while len(left):
+        differ = ((view[a[left] + j] ^ view[b[left] + j]) & low_bytes(n[left] - j)) != 0
+        out[left[differ]] = False
+        j += 8
+        left = left[~differ & (n[left] > j)]
+    return out
 
 
 def word_hashes(part: Slice, found: Words) -> np.ndarray:
     """Hashes of the words with A-Z as a-z."""
-    return range_hash(prefix_hash(part.data), found.start, found.end)
+    return range_hash(FOLDED[part.data], found.start, found.end)
 
 
 def shingle_hashes(hashes: np.ndarray, first: np.ndarray, k: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:

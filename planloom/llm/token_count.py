@@ -4,11 +4,13 @@ Huge texts are encoded in overlapping chunks with offsets. The pre-tokenizer of
 right, and what it makes of the text from a position on depends on nothing before it. So where the chunk on the left has
 a word boundary, far enough from its end that nothing beyond the chunk can move it, and the chunk on the right has one
 at the same place, the right chunk's tokens from there on are those of the whole text: the counts are spliced there.
-Where an overlap has no common boundary it is doubled, at last to the rest of the text.
+Where an overlap has no common boundary, the left chunk and the overlap are doubled, and stay so until they splice: so a text
+without boundaries costs a few times its length, and not its length times its chunks.
 
 Other texts are spliced at boundaries that need no second encoding: a space after a character that is no white space
 always begins a new word, so a text's count is the sum of the counts of its pieces from one such space to the next. The
-library counts each different piece once a task (within a bound); the rest is a look-up.
+library counts each different piece once a worker process (within a bound); the rest is a look-up. Pieces are told apart by their bytes: hashes
+only gather those of a slice, and each is compared with the one that it is counted by.
 """
 
 from __future__ import annotations
@@ -30,10 +32,11 @@ HUGE = 1 << 15
 CHUNK, OVERLAP = 1 << 13, 1 << 8
 #: A boundary this close to a chunk's end isn't used: longer than any special string and any look-ahead.
 GUARD = 64
-#: Different pieces whose counts a task keeps.
-MEMO = 1 << 19
+#: Different pieces whose counts a process keeps, and the bytes that one of them may have.
+MEMO, MEMO_BYTES = 1 << 19, 64
 
 _loaded: dict[str, object] = {}
+_counted: dict[str, dict[bytes, int]] = {}
 
 
 def tokenizer(path: str):
@@ -58,41 +61,36 @@ def _boundaries(enc) -> tuple[np.ndarray, np.ndarray]:
     return np.array([o[0] for o in enc.offsets], dtype=np.int64)[first], first
 
 
+def _splice(left, left_start: int, begin: int, left_end: int, right, right_start: int) -> tuple[int, int] | None:
+    """The tokens at which two chunks change over: the last boundary that both have and that nothing beyond the left one can move."""
+    (at, first), (b_at, b_first) = _boundaries(left), _boundaries(right)
+    at, b_at = at + left_start, b_at + right_start
+    usable = (at > right_start) & (at <= left_end - GUARD) & (first >= begin)
+    common = np.intersect1d(at[usable], b_at)
+    if not len(common):
+        return None
+    return int(first[np.searchsorted(at, common[-1])]), int(b_first[np.searchsorted(b_at, common[-1])])
+
+
 def count_huge(t, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of a text by overlapping chunks; equal to ``len(t.encode(text, add_special_tokens=False))``."""
     n = len(text)
-    if n <= chunk:
-        return len(t.encode(text, add_special_tokens=False))
     overlap = max(min(overlap, chunk // 2), 1)
-    step = chunk - overlap
-    starts = list(range(0, n - overlap, step))
-    encoded = t.encode_batch([text[s : s + chunk] for s in starts], add_special_tokens=False)
-    total, begin = 0, 0  # begin: the token of the current chunk from which its tokens count
-    at, first = _boundaries(encoded[0])
-    cur, cur_start, cur_end = encoded[0], 0, min(n, chunk)
-    for s, enc in zip(starts[1:], encoded[1:], strict=True):
-        wide, width = enc, overlap
-        start, end = s, min(n, s + chunk)
-        while True:
-            b_at, b_first = _boundaries(wide)
-            left, right = at + cur_start, b_at + start
-            usable = (left > start) & (left <= cur_end - GUARD) & (first >= begin)
-            common = np.intersect1d(left[usable], right)
-            if len(common):
-                p = common[-1]
-                total += int(first[np.searchsorted(left, p)]) - begin
-                begin = int(b_first[np.searchsorted(right, p)])
-                at, first, cur, cur_start, cur_end = b_at, b_first, wide, start, end
-                break
-            if cur_end >= n:
-                break  # the current chunk already reaches the end
-            # no common boundary: lengthen the current chunk, which moves its unsure end away from the overlap
-            width *= 2
-            cur_end = min(n, s + width)
-            cur = t.encode(text[cur_start:cur_end], add_special_tokens=False)
-            at, first = _boundaries(cur)
-            if cur_end >= end and end < n:
-                break  # the current chunk has taken in the next one
+    encode = lambda a, b: t.encode(text[a:b], add_special_tokens=False)
+    start, end = 0, min(n, chunk)
+    cur, begin, total, width = encode(start, end), 0, 0, overlap  # begin: the token of the chunk from which its tokens count
+    while end < n:
+        right = end - width
+        right_end = min(n, right + max(chunk, 2 * width))
+        wide = encode(right, right_end)
+        found = _splice(cur, start, begin, end, wide, right)
+        if found:
+            total += found[0] - begin
+            cur, begin, start, end, width = wide, found[1], right, right_end, overlap
+        else:
+            # twice as long each time, so all encodings together are a few times the last
+            end, width = min(n, start + 2 * (end - start)), min(2 * width, (end - start) // 2)
+            cur = encode(start, end)
     return total + len(cur) - begin
 
 
@@ -110,39 +108,46 @@ def _pieces(part: tk.Slice) -> tuple[np.ndarray, np.ndarray]:
     return at[:-1], at[1:]
 
 
+def _count_pieces(t, memo: dict[bytes, int], part: tk.Slice, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Tokens of each byte range of a slice, by the library or from ``memo``."""
+    kinds, where, back = np.unique(tk.range_hash(part.data, start, end), return_index=True, return_inverse=True)
+    size, like = end - start, where[back]
+    odd = np.flatnonzero((size != size[like]) | ~tk.same_bytes(part.data, start, start[like], np.minimum(size, size[like])))
+    where = np.concatenate([where, odd])  # ranges that only share a hash are counted for themselves
+    back[odd] = len(kinds) + np.arange(len(odd))
+    raw = part.data.tobytes()
+    texts = [raw[a:b] for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)]
+    each = np.array([memo.get(x, -1) for x in texts], dtype=np.int64)
+    fresh = np.flatnonzero(each < 0)
+    if len(memo) + len(fresh) > MEMO:
+        memo.clear()
+    for a in range(0, len(fresh), 4096):
+        some = fresh[a : a + 4096].tolist()
+        for j, e in zip(some, t.encode_batch_fast([texts[j].decode() for j in some], add_special_tokens=False), strict=True):
+            each[j] = len(e)
+            if len(texts[j]) <= MEMO_BYTES:
+                memo[texts[j]] = len(e)
+    return each[back]
+
+
 def _counts(path: str, huge: int, chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
-        memo: dict[int, int] = {}
+        t, memo = tokenizer(path), _counted.setdefault(path, {})
         for batch in batches:
             size, tokens = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             for part in tk.slices(batch.column(1)):
                 length = np.diff(part.bounds)
                 size[part.first : part.last] = length
-                small = np.flatnonzero(length <= huge)
                 for i in np.flatnonzero(length > huge):
                     text = part.data[part.bounds[i] : part.bounds[i + 1]].tobytes().decode()
                     tokens[part.first + i] = count_huge(t, text, chunk, overlap)
-                if not len(small) or not len(part.data):
+                if not (length[length <= huge] > 0).any():
                     continue
                 start, end = _pieces(part)
                 text = np.searchsorted(part.bounds, start, side="right") - 1
                 keep = length[text] <= huge
                 start, end, text = start[keep], end[keep], text[keep]
-                keys = tk.range_hash(tk.prefix_hash(part.data, tk._BYTE), start, end)
-                kinds, where, back = np.unique(keys, return_index=True, return_inverse=True)
-                known = kinds.tolist()
-                fresh = [j for j, key in enumerate(known) if key not in memo]
-                if len(memo) + len(fresh) > MEMO:
-                    memo.clear()
-                    fresh = range(len(known))
-                raw = part.data.tobytes()
-                for a in range(0, len(fresh), 4096):
-                    some = fresh[a : a + 4096]
-                    texts = [raw[start[where[j]] : end[where[j]]].decode() for j in some]
-                    for j, e in zip(some, t.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                        memo[known[j]] = len(e)
-                each = np.array([memo[key] for key in known], dtype=np.int64)[back]
+                each = _count_pieces(t, memo, part, start, end)
                 tokens[part.first : part.last] += np.bincount(text, each, minlength=part.last - part.first).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(tokens)], ["doc_id", "n_bytes", "n_tokens"])
 

@@ -56,13 +56,13 @@ class Features(NamedTuple):
 
 def features(part: tk.Slice) -> Features:
     found = tk.words(part, NO_LETTER)
-    sums = tk.prefix_hash(part.data)
+    data = tk.FOLDED[part.data]
     text = np.repeat(np.arange(len(found.first) - 1), np.diff(found.first))
-    hashes, texts = [tk.range_hash(sums, found.start, found.end)], [text]
+    hashes, texts = [tk.range_hash(data, found.start, found.end)], [text]
     for n in PREFIXES:
         long = found.end - found.start > n
         start = found.start[long]
-        hashes.append(tk.range_hash(sums, start, start + n))
+        hashes.append(tk.range_hash(data, start, start + n))
         texts.append(text[long])
     return Features(np.concatenate(hashes), np.concatenate(texts))
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -35,3 +36,33 @@ def test_counts_on_a_table(spark):
         (i if i is not None else -1, len((x or "").encode()), n, n > 512) for (i, x, *_), n in zip(rows, library([r[1] for r in rows]), strict=True)
     )
     assert tc.token_counts(df.limit(0), PATH).count() == 0
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % len(letters)] for i in range(n))
+
+
+@pytest.mark.parametrize("letters", ["ab", "xy", "01", "qé"])
+def test_strings_that_collide_under_sums_of_powers(spark, letters):
+    """Such hashes of a sequence over two letters and of its complement are equal modulo 2**64."""
+    texts = [thue_morse(n, z) for n in (1024, 2048, 4096, 8192) for z in (letters, letters[::-1])]
+    texts += [f"see {x} there" for x in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert [r.n_tokens for r in tc.token_counts(df, PATH).orderBy("doc_id").collect()] == library(texts)
+
+
+def test_pieces_that_share_a_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(tc.tk, "range_hash", lambda data, start, end: (end - start).astype("uint64") % 3)
+    texts = odd_texts()
+    for part in tc.tk.slices(tc.pa.array(texts)):
+        start, end = tc._pieces(part)
+        got = tc._count_pieces(tc.tokenizer(PATH), {}, part, start, end)
+        raw = part.data.tobytes()
+        assert got.tolist() == library([raw[a:b].decode() for a, b in zip(start, end, strict=True)])
+
+
+@pytest.mark.parametrize("text", ["a" * 5_000_000, "QUJD" * 250_000, "漢" * 300_000])
+def test_texts_without_boundaries_take_linear_time(text):
+    began = time.time()
+    assert tc.count_huge(tc.tokenizer(PATH), text) == library([text])[0]
+    assert time.time() - began < 60
