@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ SKETCH_BITS = 24
 PIECES = 64
 #: Bits of a set's signature; the bits in which two differ bound from below by how much the sets differ.
 SIGNATURE_BITS = 512
+#: Bits of a set's id. Different sets that would share one are found by the other half of their digests, and get ids of their own.
+ID_BITS = 64
 #: The largest number of matches that a document may ask for.
 MOST_MATCHES = 6
 MEETS, CUTS = 0.1, 8
@@ -42,8 +45,8 @@ LEADERS = 2
 FILTER_BITS = 26
 
 
-def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Row number and sorted distinct shingle hashes of each text."""
+def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, bytes]]:
+    """Row number, sorted distinct shingle hashes and a 128-bit digest of the set of each text."""
     for part in tk.slices(column):
         found = tk.words(part)
         hashes, at = tk.shingle_hashes(tk.word_hashes(part, found), found.first, k)
@@ -52,11 +55,26 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
             if len(own) > 1:
                 own = np.sort(own)
                 own = own[np.concatenate([[True], own[1:] != own[:-1]])]
-            yield part.first + i, own
+            said = own.tobytes()
+            if len(own) == 1:  # sets of one shingle are told apart by its words
+                few = range(found.first[i], min(found.first[i] + k, found.first[i + 1]))
+                said = b" ".join(tk.FOLDED[part.data[found.start[w] : found.end[w]]].tobytes() for w in few)
+            yield part.first + i, own, hashlib.blake2b(said, digest_size=16).digest()
 
 
-def _set_id(own: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _halves(digest: bytes, bits: int) -> tuple[int, int]:
+    return int.from_bytes(digest[:8], "little", signed=True) >> (64 - bits), int.from_bytes(digest[8:], "little", signed=True)
+
+
+class Ids(NamedTuple):
+    """64-bit ids of sets: ``bits`` bits of their digests, but for sets with which a different set shares these."""
+
+    bits: int
+    clashes: dict[tuple[int, int], int]
+
+    def of(self, digest: bytes) -> int:
+        ident, check = _halves(digest, self.bits)
+        return self.clashes.get((ident, check), ident) if self.clashes else ident
 
 
 def signature(own: np.ndarray) -> bytes:
@@ -64,29 +82,32 @@ def signature(own: np.ndarray) -> bytes:
     return np.packbits((np.bincount((own >> np.uint64(8)).astype(np.int64) % SIGNATURE_BITS, minlength=SIGNATURE_BITS) & 1).astype(np.uint8)).tobytes()
 
 
-def _census(k: int):
-    """Rows of two kinds: each document's set size, set id and (as counts) signature; counts of shingles, by piece of the sketch."""
+CENSUS = ["doc_id", "n", "set_id", "check", "piece", "counts"]
+
+
+def _census(k: int, bits: int):
+    """Rows of two kinds: each document's set size, set id, check and (as counts) signature; counts of shingles, by piece of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)  # they stop at 255 in a task
         shift = np.uint64(64 - SKETCH_BITS)
         for batch in batches:
-            size, ids = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            size, ids, checks = (np.zeros(len(batch), np.int64) for _ in range(3))
             signs: list[bytes | None] = [None] * len(batch)
-            for i, own in _sets(batch.column(1), k):
+            for i, own, digest in _sets(batch.column(1), k):
                 size[i] = len(own)
                 if len(own):
-                    ids[i] = _set_id(own)
+                    ids[i], checks[i] = _halves(digest, bits)
                     signs[i] = signature(own)
                     at = (own >> shift).astype(np.int64)
                     seen = counts[at]
                     counts[at] = seen + (seen < 255)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(ids), pa.nulls(len(batch)).cast(pa.int32()), pa.array(signs, pa.binary())], ["doc_id", "n", "set_id", "piece", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(ids), pa.array(checks), pa.nulls(len(batch)).cast(pa.int32()), pa.array(signs, pa.binary())], CENSUS)
         if counts.any():
             each = len(counts) // PIECES
             blobs = [zlib.compress(counts[p * each : (p + 1) * each].tobytes(), 1) for p in range(PIECES)]
             nulls = pa.nulls(PIECES).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([nulls, nulls, nulls, pa.array(range(PIECES), pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "n", "set_id", "piece", "counts"])
+            yield pa.RecordBatch.from_arrays([nulls, nulls, nulls, nulls, pa.array(range(PIECES), pa.int32()), pa.array(blobs, pa.binary())], CENSUS)
 
     return run
 
@@ -136,7 +157,7 @@ def choose_matches(frequency: np.ndarray, n: int, percent: int, most: int = MOST
     return best
 
 
-def _prefixes(k: int, percent: int, levels):
+def _prefixes(k: int, percent: int, levels, known: Ids):
     shift = np.uint64(64 - SKETCH_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +166,8 @@ def _prefixes(k: int, percent: int, levels):
         seen: set[int] = set()
         for batch in batches:
             out: list[tuple[np.ndarray, int, int, int, int]] = []
-            for _, own in _sets(batch.column(1), k):
-                if not len(own) or (ident := _set_id(own)) in seen:
+            for _, own, digest in _sets(batch.column(1), k):
+                if not len(own) or (ident := known.of(digest)) in seen:
                     continue
                 seen.add(ident)
                 n = len(own)
@@ -177,16 +198,16 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _set_arrays(k: int, wanted):
+def _set_arrays(k: int, wanted, known: Ids):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         bits = wanted.value
         for batch in batches:
             ids, blobs, held = [], [], 0
-            for _, own in _sets(batch.column(1), k):
+            for _, own, digest in _sets(batch.column(1), k):
                 if not len(own):
                     continue
-                ident = _set_id(own)
+                ident = known.of(digest)
                 slot = (ident & (1 << 64) - 1) >> (64 - FILTER_BITS)
                 if int(bits[slot >> 6]) >> (slot & 63) & 1 and ident not in seen:
                     seen.add(ident)
@@ -256,27 +277,45 @@ def _still_can(percent: int):
     return (F.col("shared") >= F.least("want_p", "want_q")) & ((100 + percent) * bound >= percent * (F.col("n_p") + F.col("n_q")))
 
 
-def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _clashes(sets: DataFrame) -> dict[tuple[int, int], int]:
+    """Ids of their own for different sets that would share one: (id, check) to id.
+
+    Of N different sets about N**2 / 2**65 do: a handful for ten thousand million, which come to the driver.
+    """
+    shared = [r.set_id for r in sets.groupBy("set_id").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low < high").select("set_id").collect()]
+    if not shared:
+        return {}
+    rows = sets.where(F.col("set_id").isin(shared)).select("set_id", "check").distinct().collect()
+    own = lambda r: int.from_bytes(hashlib.blake2b(f"{r.set_id}:{r.check}".encode(), digest_size=8).digest(), "little", signed=True)
+    return {(r.set_id, r.check): own(r) for r in rows}
+
+
+def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", id_bits: int = ID_BITS) -> DataFrame:
     """Classes of documents that are linked, directly or through others, by a Jaccard similarity of ``percent`` / 100.
 
     Words are runs of anything but space and 0x09-0x0D, with A-Z as a-z; a set holds the distinct runs of ``k`` words, or
     all words as one run where there are fewer. Returns a row per row of ``docs``: doc_id, n_shingles (set size),
     component_id (smallest id of the class). Null and empty texts have no shingles and are linked with nothing. Rows
     that repeat, or share an id, are classified each by its own text. Rows with a null id take part, but never name a
-    class unless all of it has null ids. Sets are told apart by 64-bit hashes of their shingles. Further columns of ``docs``
+    class unless all of it has null ids. Shingles are 64-bit hashes; sets are told apart by 128 bits. Further columns of ``docs``
     are not used, whatever they are called. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    census = materialise(texts.mapInArrow(_census(k), "doc_id long, n long, set_id long, piece int, counts binary"), "census")
-    members = census.where("piece is null").select("doc_id", "n", "set_id")
+    census = materialise(texts.mapInArrow(_census(k, id_bits), "doc_id long, n long, set_id long, check long, piece int, counts binary"), "census")
+    told = census.where("piece is null")
+    known = Ids(id_bits, _clashes(told.where("n > 0")))
+    if known.clashes:
+        news = spark.createDataFrame([(*k, v) for k, v in known.clashes.items()], "set_id long, check long, own long")
+        told = told.join(F.broadcast(news), ["set_id", "check"], "left").withColumn("set_id", F.coalesce("own", "set_id"))
+    members = told.select("doc_id", "n", "set_id")
     signs = [F.conv(F.hex(F.substring("counts", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"s{i}") for i in range(SIGNATURE_BITS // 64)]
     # copies are one row from here on
-    classes = materialise(census.where("piece is null and n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("counts").alias("counts")).select("set_id", "least", *signs), "classes")
+    classes = materialise(told.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("counts").alias("counts")).select("set_id", "least", *signs), "classes")
     levels = spark.sparkContext.broadcast(frequency_levels(census))
 
-    rows = texts.mapInArrow(_prefixes(k, percent, levels), "token long, set_id long, n int, want byte, last long")
+    rows = texts.mapInArrow(_prefixes(k, percent, levels, known), "token long, set_id long, n int, want byte, last long")
     rows = rows.repartition("token").dropDuplicates(["token", "set_id"])
     # a prefix shingle that no other prefix of a fitting size has meets nothing; ``most`` is a set's size without these
     by_size = Window.partitionBy("token").orderBy("n")
@@ -289,7 +328,7 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
         pairs = materialise(pairs, "pairs")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id"))
         wanted = spark.sparkContext.broadcast(id_filter(ids))
-        sets = materialise(texts.mapInArrow(_set_arrays(k, wanted), "set_id long, shingles binary"), "sets")
+        sets = materialise(texts.mapInArrow(_set_arrays(k, wanted, known), "set_id long, shingles binary"), "sets")
         return materialise(_verify(pairs, sets, percent), "found")
 
     # each prefix shingle ties its documents to a few leaders: this folds groups of near copies

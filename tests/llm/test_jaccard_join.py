@@ -57,6 +57,29 @@ def test_classes_equal_brute_force(spark, k, percent, seed):
     assert got == brute(rows, k, percent)
 
 
+def test_different_sets_that_share_an_id(spark):
+    """With ids of 6 bits nearly all sets share theirs with others; classes stay as they are."""
+    r = random.Random(6)
+    pool = [a + b for a in "abcdefgh" for b in "aeiou"]
+    texts = ["one", "two", "three", "One", "x y", "x  y", ""]
+    for _ in range(8):
+        texts += list(near_copies(r, [r.choice(pool) for _ in range(60)], 20, 3))
+    rows = list(enumerate(texts + texts[5:40]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, jj.jaccard_classes(df, 3, 90, id_bits=6).collect()))
+    assert got == brute(rows, 3, 90)
+
+
+@pytest.mark.parametrize("letters", ["ab", "xy", "01"])
+def test_strings_that_collide_under_sums_of_powers(spark, letters):
+    seq = lambda n, z: "".join(z[bin(i).count("1") % 2] for i in range(n))
+    texts = [f"x {seq(n, z)} y z w" for n in (1024, 2048, 4096, 8192) for z in (letters, letters[::-1])]
+    rows = list(enumerate(texts + [seq(1024, letters), seq(1024, letters[::-1])]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jj.jaccard_classes(df, 3, 90).collect())) == brute(rows, 3, 90)
+    assert jj.keep_first(df, 3, 80).count() == len(rows)
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jj.jaccard_classes(df).collect() == []
