@@ -3,9 +3,13 @@
 Texts and templates become sequences of K-word shingles. For a template of n shingles, windows of 2s shingles begin at every
 s-th, s at least 1.25 n, so that any stretch of up to s shingles lies wholly in one window. A window that holds the
 asked share of the template has a Jaccard similarity with it of at least some j; with BANDS bands of one value each the two
-collide with a chance of 1 - (1 - j) ** BANDS, over 0.9999 for every template here (``least_chance``). Colliding windows are
+collide with a chance of 1 - (1 - j) ** BANDS, over 0.9999 for every template here (``least_chance``). A band's values of all templates
+stand sorted, and windows are looked up in them, so the work hardly depends on the number of templates. Colliding windows are
 verified by the exact share of the template's shingles that they hold.
 
+Some notices hold most of each other's words (versions of a license). Where two of these are found at the same place, the one with the larger
+share stands.
+
 Short notices, which would be too few shingles of K words, are shingles of half as many words as they have. They are so few that
 those of a text are looked up one by one; windows of a notice's own number of shingles, at each place, are verified.
 """
@@ -28,6 +32,8 @@ from .workspace import ship
 K = 5
 SHARE = 0.8
 BANDS = 48
+#: Leading bits of a band's value by which windows that no template can share it with are passed over.
+LEADING = 12
 
 #: Notices by which texts are licensed, from the licenses' own recommendations and common use.
 TEMPLATES = (
@@ -51,6 +57,16 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Proprietary", "Copyright. All rights reserved. No part of this work may be reproduced without written permission."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
 )
 
 #: Short notices, in shingles of ``short_k`` words.
@@ -102,7 +118,9 @@ class Group(NamedTuple):
 
     step: int
     templates: list[Template]
-    minima: list[np.ndarray]  # for each band the templates' least values
+    minima: list[np.ndarray]  # for each band the templates' least values, sorted
+    order: list[np.ndarray]  # and the templates that they are of
+    may: list[np.ndarray]  # and flags for the leading bits of these values
 
 
 def step_of(n: int) -> int:
@@ -121,7 +139,15 @@ def build(templates, share: float = SHARE) -> list[Group]:
         shingles = np.unique(shingled(pa.array([text]))[0])
         if len(shingles):
             by.setdefault(step_of(len(shingles)), []).append(Template(number, name, shingles, math.ceil(share * len(shingles) - 1e-9)))
-    return [Group(step, own, [np.array([permuted(t.shingles, b).min() for t in own]) for b in range(BANDS)]) for step, own in sorted(by.items())]
+    out = []
+    for step, own in sorted(by.items()):
+        least = [np.array([permuted(t.shingles, b).min() for t in own]) for b in range(BANDS)]
+        order = [np.argsort(x, kind="stable") for x in least]
+        may = [np.zeros(1 << LEADING, dtype=bool) for _ in least]
+        for flags, x in zip(may, least, strict=True):
+            flags[(x >> np.uint64(64 - LEADING)).astype(np.int64)] = True
+        out.append(Group(step, own, [x[o] for x, o in zip(least, order, strict=True)], order, may))
+    return out
 
 
 def shingled(column: pa.Array) -> list[np.ndarray]:
@@ -216,9 +242,11 @@ def matches(h: np.ndarray, at: np.ndarray, groups: list[Group]) -> dict[tuple[in
             least = np.minimum.reduceat(x, start)
             both = least.copy()
             both[:-1] = np.where(more[:-1], np.minimum(least[:-1], least[1:]), least[:-1])
-            for j, value in enumerate(g.minima[band]):
-                for w in np.flatnonzero(both == value).tolist():
-                    got.add((w, j))
+            near = np.flatnonzero(g.may[band][(both >> np.uint64(64 - LEADING)).astype(np.int64)])
+            if len(near):
+                low, high = (np.searchsorted(g.minima[band], both[near], side) for side in ("left", "right"))
+                for w, a, b in zip(near[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
+                    got.update((w, int(j)) for j in g.order[band][a:b])
     for g, (start, text, _), got in zip(groups, laid, hits, strict=True):
         for w, j in got:
             t = g.templates[j]
@@ -240,21 +268,41 @@ def matches(h: np.ndarray, at: np.ndarray, groups: list[Group]) -> dict[tuple[in
     return out
 
 
+def rivals(groups: list[Group]) -> set[tuple[int, int]]:
+    """Pairs (a, b) of templates of which a's text alone would be reported as b."""
+    every = [t for g in groups for t in g.templates]
+    return {(a.number, b.number) for a in every for b in every if a.number != b.number and len(np.intersect1d(a.shingles, b.shingles)) >= b.need}
+
+
+def settled(found: dict[tuple[int, int], tuple[float, int, int, int]], pairs: set[tuple[int, int]]) -> dict[tuple[int, int], tuple[float, int, int, int]]:
+    """Of near-identical templates found at the same place of a text, those with the largest share."""
+    by: dict[int, list[int]] = {}
+    for text, number in found:
+        by.setdefault(text, []).append(number)
+
+    def beaten(text: int, b: int) -> bool:
+        share, _, first, last = found[text, b]
+        return any((a, b) in pairs and found[text, a][0] > share and found[text, a][2] <= last and first <= found[text, a][3] for a in by[text])
+
+    return {key: x for key, x in found.items() if not beaten(*key)}
+
+
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("template", pa.int32()), ("license", pa.string()), ("share", pa.float64()), ("n_windows", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
 
 
-def _scan(templates, share: float, short):
+def _scan(templates, share: float, short, best: bool):
     names = [name for name, _ in (*templates, *short)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, few = build(templates, share), build_short(short, len(templates), share)
+        pairs = rivals(groups) if best else set()
         for batch in batches:
             rows, ids = [], batch.column(0)
             for part in tk.slices(batch.column(1), 1 << 18):
                 found = tk.words(part, NO_LETTER)
                 hashes = tk.word_hashes(part, found)
                 h, at = tk.shingle_hashes(hashes, found.first, K)
-                got = [(x, K, y) for x, y in matches(h, at, groups).items()]
+                got = [(x, K, y) for x, y in settled(matches(h, at, groups), pairs).items()]
                 for g in few:
                     got += [(x, g.k, y) for x, y in short_matches(*tk.shingle_hashes(hashes, found.first, g.k, short=False), g).items()]
                 for (i, number), k, (held, n, a, b) in sorted(got):
@@ -266,7 +314,7 @@ def _scan(templates, share: float, short):
     return run
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", short=()) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates=TEMPLATES, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", short=(), best: bool = True) -> DataFrame:
     """License notices in whole texts: a row for each row of ``docs`` and template of which a window holds ``share`` or more.
 
     Returns doc_id, template (its number), license, share (of the template's distinct K-word shingles, in the best window),
@@ -274,8 +322,9 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, share: float = SHARE, id
     equals). A text or template of fewer than K words is one shingle of them all. Null and empty texts hold nothing; rows that
     repeat are reported each; further columns aren't used; an empty table gives an empty result. ``templates`` is a
     short list of (license, text), and so is ``short``, of notices in shingles of ``short_k`` words: the query gives SHORT. Their
-    numbers follow those of ``templates``.
+    numbers follow those of ``templates``. With ``best``, of templates that hold each other (versions of a license) and are found at the
+    same place, only those with the largest share are returned. Very long texts are scanned whole, in memory of a few times their size.
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(_scan(tuple(templates), share, tuple(short)), "doc_id long, template int, license string, share double, n_windows long, first_word long, last_word long")
+    return texts.mapInArrow(_scan(tuple(templates), share, tuple(short), best), "doc_id long, template int, license string, share double, n_windows long, first_word long, last_word long")

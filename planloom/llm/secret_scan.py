@@ -3,10 +3,10 @@
 The patterns give the base spans. Other long tokens become candidates: their encoding is inferred from their characters
 and the characters are put in the encoding's order. Three tests ask whether the token can be random: chi-squared
 uniformity over the alphabet, runs above and below its middle, and serial correlation of neighbours. Their p-values are
-combined; a token that fails them isn't random. For those that pass, a further p-value says how likely ordinary text of
-the same length would repeat characters as little. It is small only for long random tokens, so it is what may raise false
-alarms, and a weighted Benjamini-Hochberg step over all candidates of the corpus bounds their share; the
-weights grow with the length, since short tokens can hardly be told from words. The step works on counts of candidates
+combined. That a token is ordinary text is what is tested: its p-value is 1 where the battery says that it isn't random, and else the chance
+that text of the same length would repeat characters as little. So it is at least that chance for every token, and a weighted
+Benjamini-Hochberg step over all tokens of the corpus that the battery judged, passed or not, bounds the share of false alarms; the
+weights grow with the length, since short tokens can hardly be told from words. The step works on counts of tokens
 by p-value, so nothing but a table of fixed size is gathered.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +51,8 @@ _SETS = [(name, set(letters), {c: i for i, c in enumerate(letters)}, len(letters
 
 #: Share of pairs, and of triples, of letters in ordinary text that are equal.
 TEXT_PAIRS, TEXT_TRIPLES = 0.066, 0.0059
+#: Share of places at which a new word begins in text of joined words.
+TEXT_PIECES = 0.18
 #: A token with a smaller combined p-value isn't random.
 RANDOM_LEVEL = 0.001
 #: The share of false alarms that is borne among the spans that the tests add.
@@ -119,7 +122,7 @@ def combine(values: list[float]) -> float:
 
 
 def text_p(body: str) -> float:
-    """Chance that ordinary text of this length has as few equal pairs of letters (case aside)."""
+    """Chance that ordinary text of this length has as few equal pairs of letters (case aside) and as many words."""
     n = len(body)
     counts: dict[str, int] = {}
     for c in body.lower():
@@ -129,10 +132,11 @@ def text_p(body: str) -> float:
     var = pairs * TEXT_PAIRS * (1 - TEXT_PAIRS) + n * (n - 1) * (n - 2) * max(TEXT_TRIPLES - TEXT_PAIRS**2, 0)
     z = (pairs * TEXT_PAIRS - equal - 0.5) / math.sqrt(var)
     mixed = sum((any(c.isdigit() for c in body), any(c.islower() for c in body), any(c.isupper() for c in body)))
-    if mixed >= 2:  # text changes between kinds of characters about once in ten places; random tokens at every second
-        kind = np.array([0 if c.isdigit() else 1 if c.islower() else 2 for c in body])
-        changes = int(np.count_nonzero(kind[1:] != kind[:-1]))
-        z = (z + (changes - 0.1 * (n - 1) - 0.5) / math.sqrt(0.09 * (n - 1))) / math.sqrt(2)
+    if mixed >= 2:  # pieces of one kind of characters, with the capital or separator before it, are words in text, and about two characters in random tokens
+        kind = np.array([0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in body])
+        new = (kind[1:] != kind[:-1]) & (kind[:-1] != 3) & ~((kind[:-1] == 2) & (kind[1:] == 1))
+        rate = TEXT_PIECES
+        z = (z + (int(np.count_nonzero(new)) - rate * (n - 1) - 0.5) / math.sqrt(rate * (1 - rate) * (n - 1))) / math.sqrt(2)
     return max(_normal_tail(z), 1e-40)
 
 
@@ -162,25 +166,56 @@ def tokens(run: str) -> list[tuple[int, int]]:
     return [(0, len(run))] if infer(run) else sorted({m.span() for cut in PARTS for m in cut.finditer(run)})
 
 
+class Taken:
+    """Disjoint stretches, in order, that tell in logarithmic time whether another one overlaps them."""
+
+    def __init__(self, spans=()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b) - 1
+        return i >= 0 and self.ends[i] > a
+
+    def add(self, a: int, b: int) -> None:
+        i = bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, stratum, p-value bin) of tokens outside the base spans that pass the randomness battery.
+    """(start, end, stratum, p-value bin) of tokens outside the base spans that the randomness battery judged.
 
-    Of tokens that overlap the one least like text stands, its p-value times the number of the run's tokens.
+    Of tokens that overlap the one least like text stands, its p-value times the number of the run's tokens. Where none of a run
+    passes, the run's longest token stands with a p-value of 1.
     """
-    out = []
+    out, known = [], Taken((s, e) for s, _, e in base)
     for m in CANDIDATE.finditer(text):
-        at, passed, kept = tokens(m[0]), [], []
+        at, passed, kept, judged = tokens(m[0]), [], [], None
         for i, j in at:
             a, b = m.start() + i, m.start() + j
-            if any(s < b and a < e for s, _, e in base):
+            if known.meets(a, b):
                 continue
             _, places, size = infer(text[a:b])
-            if len(places) < 20 or combine([chi_squared_p(places, size), runs_p(places, size), serial_p(places)]) < RANDOM_LEVEL:
+            if len(places) < 20:
                 continue
-            passed.append((min(len(at) * text_p(text[a:b].rstrip("=")), 1.0), a, b))
+            if combine([chi_squared_p(places, size), runs_p(places, size), serial_p(places)]) >= RANDOM_LEVEL:
+                passed.append((min(len(at) * text_p(text[a:b].rstrip("=")), 1.0), a, b))
+            elif judged is None or b - a > judged[1] - judged[0]:
+                judged = a, b
+        own = Taken()
         for p, a, b in sorted(passed):
-            if not any(s < b and a < e for s, e, _, _ in kept):
+            if not own.meets(a, b):
+                own.add(a, b)
                 kept.append((a, b, stratum(b - a), p_bin(p)))
+        if judged and not passed:
+            kept.append((*judged, stratum(judged[1] - judged[0]), 0))
         out += sorted(kept)
     return out
 
@@ -234,7 +269,8 @@ def scan_secrets(docs: DataFrame, share: float = FALSE_SHARE, id_col: str = "doc
 
     Returns doc_id, base (array of start, kind, end of the fixed patterns, in code points, end exclusive), base_sha256, and
     added (the spans of the randomness tests at a false-discovery share of ``share`` over all rows). Null and empty texts have
-    no spans; rows that repeat are scanned each; further columns aren't used; an empty table gives an empty result.
+    no spans; rows that repeat are scanned each; further columns aren't used; an empty table gives an empty result. Very long texts
+    are scanned whole, in time that grows with their length.
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -73,3 +73,50 @@ def test_digest_on_odd_tables(spark):
         assert (x.n_assign, x.n_access, x.n_hex) == tuple(sum(k == i for _, k, _ in want) for i in range(3))
         assert [s for s in x.spans.split(",") if not s.startswith("random")] == said.split(",") or not said
     assert ss.digest(ss.scan_secrets(df.limit(0))).count() == 0
+
+
+def test_thresholds_are_those_of_the_step_up_rule():
+    r = random.Random(4)
+    for _ in range(40):
+        counts = {(r.randrange(len(ss.STRATA)), r.randrange(60)): r.randint(1, 30) for _ in range(r.randint(1, 25))}
+        every = [(s, b) for (s, b), n in counts.items() for _ in range(n)]
+        mean = sum(ss.STRATA[s] for s, _ in every) / len(every)
+        scaled = sorted(10 ** (-b / 10) * mean / ss.STRATA[s] for s, b in every)
+        passing = [p for i, p in enumerate(scaled, 1) if p <= 0.05 * i / len(scaled)]
+        want = {(s, b) for s, b in counts if passing and 10 ** (-b / 10) * mean / ss.STRATA[s] <= max(passing) * (1 + 1e-12)}
+        least = ss.thresholds(counts, 0.05)
+        assert {(s, b) for s, b in counts if b >= least.get(s, ss.BINS + 1)} == want
+    assert ss.thresholds({}) == {}
+
+
+def test_share_of_false_alarms_on_generated_text():
+    """Random keys among forty times as many tokens made of words: the false share stays near what is borne."""
+    r = random.Random(23)
+    pool = ["".join(r.choice(["ba", "de", "ki", "lo", "mu", "tra", "ster", "ing", "con", "pre", "al", "er", "th", "st", "e", "on"]) for _ in range(r.randint(1, 4))) for _ in range(3000)]
+    draws = [
+        lambda: "-".join(r.choice(pool) for _ in range(r.randint(4, 9))), lambda: "_".join(r.choice(pool) for _ in range(r.randint(4, 9))), lambda: "/".join(r.choice(pool) for _ in range(r.randint(4, 9))),
+        lambda: "".join(r.choice(pool).title() for _ in range(r.randint(4, 9))), lambda: "".join(r.choice(pool) for _ in range(r.randint(4, 9))), lambda: f"{r.choice(pool)}{r.choice(pool)}{r.choice(pool)}{r.choice(pool)}{r.randint(1990, 2030)}",
+    ]
+    found = [(True, c) for _ in range(200) for c in ss.candidates(base64.b64encode(r.randbytes(36)).decode(), [])]
+    found += [(False, c) for i in range(8000) for c in ss.candidates(draws[i % len(draws)](), [])]
+    counts = {}
+    for _, c in found:
+        counts[c[2], c[3]] = counts.get((c[2], c[3]), 0) + 1
+    least = ss.thresholds(counts)
+    added = [real for real, c in found if c[3] >= least.get(c[2], ss.BINS + 1)]
+    assert sum(added) >= 150 and sum(not x for x in added) <= 0.05 * len(added)
+
+
+def test_very_long_texts_take_linear_time():
+    import time
+
+    r = random.Random(3)
+    one = " ".join(f"token = {r.getrandbits(80):x} {r.getrandbits(160):x} {base64.b64encode(r.randbytes(30)).decode()} some words" for _ in range(2000))
+    took = []
+    for n in (4, 20):
+        text = " ".join([one] * n)
+        began = time.time()
+        base = ss.base_spans(text)
+        assert len(ss.candidates(text, base)) >= 1900 * n and len(base) >= 2000 * n
+        took.append(time.time() - began)
+    assert len(text) > 4_500_000 and took[1] < 8 * took[0] and took[1] < 60
