@@ -2,7 +2,7 @@
 
 A logistic model over the words of a text and their beginnings, fitted on a bounded sample of labelled texts. For each
 labelled text counterfactuals are made: each of its identity terms is swapped for every term of the same language and form
-that names another group, and left out (where a text has none, one term is put in), and the squared changes of the score are
+that names another group, and left out (where a text has none, one term is put in), and the squared changes of the score, as log odds, are
 penalised. So the weight that a mention of a group can take from a biased sample is driven to that of the other groups, and to
 nothing, even where the others are not in the sample, and neutral mentions aren't marked.
 Scoring reads each text once, in the tasks that read the table; the model that they get has a fixed size.
@@ -190,13 +190,19 @@ def held_out(ident):
 
 
 def train(docs: DataFrame, labels: DataFrame, most_each: int = MOST_EACH, fairness: float = FAIRNESS) -> Model:
-    """Fits the model on labelled rows that aren't held out: ``most_each`` of each class at most, by hash of the id."""
+    """Fits the model on labelled ids that aren't held out: ``most_each`` of each class at most, by hash of the id.
+
+    An id that is labelled more than once is toxic if any label says so. Of rows of ``docs`` that share an id one is learned, that of the least text;
+    so 2 * ``most_each`` texts at most come to the driver, as features. Null ids and labels but 0 and 1 aren't used; without
+    labels of both classes the model is a constant.
+    """
     ship(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(~held_out(F.col("doc_id")))
+    usable = usable.groupBy("doc_id").agg(F.max("label").alias("label"))
     parts = [usable.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_each) for v in (0, 1)]
-    sample = parts[0].unionByName(parts[1]).groupBy("doc_id").agg(F.max("label").alias("label"))
-    # 2 * most_each rows at most
+    sample = parts[0].unionByName(parts[1])  # 2 * most_each rows at most
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    chosen = chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
     rows = chosen.select("text", "label").mapInArrow(_sample_features, "label int, plain array<long>, named array<int>").toArrow()
     plain = [r.values.to_numpy(zero_copy_only=False).view(np.uint64) for r in rows.column("plain")]
     return fit(rows.column("label").to_numpy(), plain, rows.column("named").to_pylist(), fairness)
@@ -241,7 +247,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of ``docs``; only the text enters the score.
 
     Null and empty texts get the score of no words. Rows that repeat are scored each; a null id is never held out. Further
-    columns aren't used; an empty table gives an empty result.
+    columns aren't used; an empty table gives an empty result. Very long texts are scored whole, each word once.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -251,7 +257,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, with all columns, that the model doesn't predict to be toxic."""
+    """The rows of ``docs``, with all columns, that the model doesn't predict to be toxic.
+
+    Rows that repeat stay or go alike; null and empty texts are judged as texts of no words; an empty table gives an empty one.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
