@@ -95,7 +95,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = f"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size, md5(coalesce(doc_id::VARCHAR, '') || ':mix-1') AS h FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size, md5(coalesce(doc_id::VARCHAR, '') || ':mix-1:' || md5(coalesce(text, ''))) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS place, 3.0::DOUBLE * source_size AS cap FROM s),
 w AS (SELECT *, ([1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE])[place % 3 + 1] AS weight FROM r),

@@ -65,3 +65,21 @@ def test_empty_tables(spark):
     assert [(x.size, x.taken, x.target) for x in blank] == [(0, 0, 0.0)] * 2
     alone = mixing.mix(spark.createDataFrame([(1, "a b", "s")], schema)).collect()
     assert [(x.taken, x.target) for x in alone] == [(2, 2.0)]
+
+
+def test_rows_without_ids_are_taken_each_by_its_text(spark):
+    """A source of rows that all lack an id still comes near its target."""
+    rows = [(None, f"word{i} two three", "a") for i in range(300)] + [(i, "one two three", "b") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.take(df, weights=(1, 2)).groupBy("source").count().collect()
+    assert {x.source: abs(x["count"] - {"a": 200, "b": 400}[x.source]) <= 1 for x in out} == {"a": True, "b": True}
+
+
+def test_many_sources(spark):
+    """Targets of a thousand sources, over several ranges of names."""
+    r = random.Random(6)
+    sizes = {f"host{r.random()}": r.randint(0, 60) for _ in range(1000)} | {None: 7, "": 3}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(4)
+    got = {x.source: x.target for x in mixing.targets(df).collect()}
+    want = filled(sizes)
+    assert got.keys() == want.keys() and all(abs(got[s] - float(want[s])) < 1e-6 for s in want)
