@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .components import connected_components
-from .workspace import materialise, ship
+from .workspace import FILTER_BITS, materialise, ship, with_doubt
 
 #: Counters of the frequency sketch (as a power of two) and the pieces in which they travel.
 SKETCH_BITS = 24
@@ -41,8 +41,6 @@ MOST_MATCHES = 6
 MEETS, CUTS = 0.1, 8
 #: Leaders that each prefix shingle ties its documents to, before candidates of different components are made.
 LEADERS = 2
-#: Bits of the filter that picks the documents whose sets are fetched (as a power of two): 8 MB.
-FILTER_BITS = 26
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, bytes]]:
@@ -373,13 +371,9 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     is_first = F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))
     kept = classes.where(is_first).groupBy(F.col("doc_id").alias("kept")).agg(F.count("*").alias("n"))
     doubtful = classes.where(~is_first).select("doc_id").unionByName(kept.where("n > 1").select(F.col("kept").alias("doc_id"))).where("doc_id is not null")
-    slot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - FILTER_BITS)
-    bit = lambda c: F.expr(f"shiftleft(1L, int(shiftrightunsigned(xxhash64({c}), {64 - FILTER_BITS}) & 63))")
-    words = materialise(doubtful.select(F.shiftright(slot("doc_id"), 6).alias("__word"), bit("doc_id").alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits")), "words")
     own = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    # 2**(FILTER_BITS - 6) rows at most
-    told = own.join(F.broadcast(words), F.shiftright(slot("__id"), 6) == words["__word"], "left")
-    sure = F.col("__id").isNotNull() & (F.coalesce(F.col("__bits"), F.lit(0)).bitwiseAND(bit("__id")) == 0)
+    told = with_doubt(own, F.col("__id"), doubtful)
+    sure = F.col("__id").isNotNull() & ~F.col("__doubt")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rest = told.where(~sure).select(*columns)
     pick = lambda ids: rest.join(ids, rest["doc_id"].eqNullSafe(ids["kept"]), "left_semi")

@@ -47,15 +47,17 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as WARC records, read back through the merged index of the archives."""
-    return warc.archive_and_index(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.archive_and_index(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position")
 
 
 OP5_SQL = """
-WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
-SELECT p.*, CASE WHEN f.first IS DISTINCT FROM p.page_id AND f.first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+WITH p AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)), '^www[.]', '') AS host, regexp_replace(regexp_replace(url, '^[A-Za-z]+://[^/?#]+', ''), '#.*$', '') AS rest,
+  octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest),
+k AS (SELECT *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || lower(CASE WHEN starts_with(rest, '/') THEN rest ELSE '/' || rest END) AS url_key, 1704067200 + coalesce(page_id, 0)::BIGINT AS captured FROM p)
+SELECT p.page_id, p.payload_bytes, p.payload_digest, p.url_key, p.captured, row_number() OVER (ORDER BY p.url_key, p.captured, p.page_id) - 1 AS position, CASE WHEN f.first IS DISTINCT FROM p.page_id AND f.first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN f.first IS DISTINCT FROM p.page_id THEN f.first END AS refers_to
-FROM p LEFT JOIN f USING (payload_digest)
+FROM k p LEFT JOIN f USING (payload_digest)
 """
 
 

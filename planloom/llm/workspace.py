@@ -7,16 +7,23 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bits of a filter (as a power of two): 8 MB, as 2**20 rows at most.
+FILTER_BITS = 26
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (single-machine tests), a fresh temporary folder is made and kept in the session.
+    Where the session names none and runs in one process (tests), a fresh temporary folder is made and kept in the session; on a
+    cluster, where executors don't share such folders, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.planloom.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-planloom-")
         spark.conf.set("spark.planloom.shared.dir", found)
     return found.rstrip("/")
@@ -37,6 +44,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_doubt(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """``rows`` and __doubt: false where ``key`` surely is no value of the column of ``keys``; a bitmap of fixed size tells it, without a shuffle of ``rows``."""
+    word = lambda c: F.shiftright(F.shiftrightunsigned(F.xxhash64(c), 64 - FILTER_BITS), 6)
+    mask = F.lit((1 << FILTER_BITS) - 1).cast("long")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (F.shiftrightunsigned(F.xxhash64(c), 64 - FILTER_BITS).bitwiseAND(mask) % 64).cast("int"))
+    only = F.col(f"`{keys.columns[0]}`")
+    words = materialise(keys.select(word(only).alias("__word"), bit(only).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits")), "words")
+    told = rows.withColumn("__own", word(key)).withColumn("__mask", bit(key))
+    told = told.join(F.broadcast(words), told["__own"] == words["__word"], "left")
+    return told.withColumn("__doubt", F.coalesce(F.col("__bits"), F.lit(0)).bitwiseAND(F.col("__mask")) != 0).drop("__own", "__mask", "__word", "__bits")
+
+
 def ship(spark: SparkSession) -> None:
     """Puts the repository on the Python path of the workers (for clusters without a shared folder use --py-files)."""
     root = str(Path(__file__).resolve().parents[2])
