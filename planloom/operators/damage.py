@@ -12,13 +12,21 @@ from ..params import DEFAULTS, Params
 
 BOX = ("x0", "y0", "x1", "y1")
 
-#: Repair action and basis of its quantity, by class of damage.
+#: Fixed values of the contract: rule, its condition, and what it hints at.
+RULES = (
+    ("C1", "water stain on a ceiling", "possible leak above the ceiling (plumbing, roof or a wet room upstairs)"),
+    ("C2", "water stain or mould on a wall within 0.3 m of the floor", "possible pipe leak or rising damp behind the wall"),
+    ("C3", "mould anywhere", "hidden moisture likely behind or around the surface"),
+    ("C4", "crack longer than 1 m", "possible structural movement; needs a structural inspection"),
+)
+
+#: Fixed values of the contract: repair action and basis of its quantity, by class of damage.
 SCOPE = (
-    ("water_stain", "treat and repaint", "surface"),
-    ("mold", "remediate and replace board", "padded"),
-    ("crack", "fill and paint", "length"),
-    ("hole", "patch", "each"),
-    ("peeling_paint", "scrape and repaint", "surface"),
+    ("water stain", "Stain-block primer and repaint", "surface"),
+    ("mould", "Mould treatment, stain-block and repaint", "damage+margin"),
+    ("peeling paint", "Scrape, prime and repaint", "surface"),
+    ("crack", "Rake out, fill and repaint crack", "length"),
+    ("hole", "Patch hole and repaint", "count"),
 )
 
 
@@ -110,37 +118,46 @@ def measured(damage: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Sizes with their ranges: length is the longer side, the area's relative range is twice a side's."""
     w, h = F.col("width_m"), F.col("height_m")
     rel = 2 * p.size_sigma
-    return damage.withColumns({"width_pm95": rel * w, "height_pm95": rel * h, "area": w * h, "area_pm95": 2 * rel * w * h, "length": F.greatest(w, h)})
+    return damage.withColumns({"width_pm95": rel * w, "height_pm95": rel * h, "area": w * h, "area_pm95": 2 * rel * w * h, "length": F.when(w.isNotNull() & h.isNotNull(), F.greatest(w, h))})
 
 
 def concealed_flags(damage: DataFrame) -> DataFrame:
-    """Rules that hint at damage out of sight, all that fire: damage_id, rule, flag. Sizes strictly over their thresholds count."""
+    """Rules that hint at damage out of sight, all that fire: damage_id, rule, condition, flag, surface. Sizes and heights that aren't known fire none."""
     c = F.col
-    rules = [
-        ("C1", (c("class") == "water_stain") & (c("surface_type") == "ceiling"), "moisture above the ceiling"),
-        ("C2", (c("class") == "water_stain") & (c("surface_type") == "wall") & (c("height_above_floor") < 0.3), "moisture rising behind the wall"),
-        ("C3", (c("class") == "mold") & (F.greatest("width_m", "height_m") > 0.3), "mold behind the surface"),
-        ("C4", (c("class") == "crack") & (F.greatest("width_m", "height_m") > 1.0), "movement of the structure"),
-    ]
-    fired = F.filter(F.array(*[F.when(when, F.struct(F.lit(n).alias("rule"), F.lit(flag).alias("flag"))) for n, when, flag in rules]), lambda x: x.isNotNull())
-    return damage.select("damage_id", F.explode(fired).alias("f")).select("damage_id", "f.rule", "f.flag")
+    fires = {
+        "C1": (c("class") == "water stain") & (c("surface_type") == "ceiling"),
+        "C2": c("class").isin("water stain", "mould") & (c("surface_type") == "wall") & (c("height_above_floor") < 0.3),
+        "C3": c("class") == "mould",
+        "C4": (c("class") == "crack") & c("width_m").isNotNull() & c("height_m").isNotNull() & (F.greatest("width_m", "height_m") > 1.0),
+    }
+    said = [F.when(fires[rule], F.struct(F.lit(rule).alias("rule"), F.lit(condition).alias("condition"), F.lit(flag).alias("flag"))) for rule, condition, flag in RULES]
+    fired = F.filter(F.array(*said), lambda x: x.isNotNull())
+    return damage.select("damage_id", "surface", F.explode(fired).alias("f")).select("damage_id", "f.rule", "f.condition", "f.flag", "surface")
 
 
 def repair_scope(damage: DataFrame, areas: DataFrame, scope: DataFrame) -> DataFrame:
-    """damage_id, action, quantity, unit: by the surface's area (else the damage's), its padded area, its length, or each."""
+    """damage_id, surface, action, quantity, unit: by the surface's area (else the damage's), its area with a margin of 30 cm, its length, or each.
+
+    Quantities are rounded to two digits; where sizes aren't known, they are null.
+    """
     j = damage.join(F.broadcast(scope), "class").join(areas, ["capture_id", "surface"], "left")
-    quantity = F.when(F.col("basis") == "surface", F.coalesce(F.col("surface_area"), F.col("area")))
-    quantity = quantity.when(F.col("basis") == "padded", (F.col("width_m") + 0.6) * (F.col("height_m") + 0.6)).when(F.col("basis") == "length", F.col("length")).otherwise(1.0)
-    unit = F.when(F.col("basis") == "length", "m").when(F.col("basis") == "each", "each").otherwise("m2")
-    return j.select("damage_id", "action", quantity.alias("quantity"), unit.alias("unit"))
+    known = (F.col("width_m") > 0) & (F.col("height_m") > 0)
+    quantity = F.when(F.col("basis") == "surface", F.when(F.col("surface_area") > 0, F.col("surface_area")).otherwise(F.when(known, F.col("area"))))
+    quantity = quantity.when(F.col("basis") == "damage+margin", F.when(known, (F.col("width_m") + 0.6) * (F.col("height_m") + 0.6))).when(F.col("basis") == "length", F.when(F.col("width_m").isNotNull() & F.col("height_m").isNotNull(), F.greatest("width_m", "height_m"))).otherwise(1.0)
+    unit = F.when(F.col("basis") == "length", "m").when(F.col("basis") == "count", "each").otherwise("m2")
+    return j.select("damage_id", "surface", "action", F.round(quantity, 2).alias("quantity"), unit.alias("unit"))
 
 
 def locate(detections: DataFrame, pixels: DataFrame, floors: DataFrame, min_pixels: int = 5, min_depth: float = 0.2) -> DataFrame:
     """Detections with their place: medians of the sure pixels inside their box, size from box and distance, height over the floor.
 
-    Boxes and pixels meet by picture; a detection with fewer than ``min_pixels`` sure pixels gets none.
+    Boxes and pixels meet by picture and by the cells of a coarse grid that a box covers; a detection with fewer than ``min_pixels`` sure pixels gets none.
     """
-    j = detections.join(pixels.where((F.col("conf") >= 2) & (F.col("depth") > min_depth)), "frame").where((F.col("col") >= F.col("x0")) & (F.col("col") <= F.col("x1")) & (F.col("row") >= F.col("y0")) & (F.col("row") <= F.col("y1")))
+    cell = 16
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell).cast("int"), F.floor(F.col(b) / cell).cast("int")))
+    laid = detections.withColumn("cell_x", span("x0", "x1")).withColumn("cell_y", span("y0", "y1"))
+    sure = pixels.where((F.col("conf") >= 2) & (F.col("depth") > min_depth)).withColumns({"cell_x": F.floor(F.col("col") / cell).cast("int"), "cell_y": F.floor(F.col("row") / cell).cast("int")})
+    j = laid.join(sure, ["frame", "cell_x", "cell_y"]).where((F.col("col") >= F.col("x0")) & (F.col("col") <= F.col("x1")) & (F.col("row") >= F.col("y0")) & (F.col("row") <= F.col("y1")))
     m = j.groupBy("capture_id", "det_id", *BOX, "focal").agg(F.count("*").alias("n"), *[F.median(a).alias(f"c{a}") for a in "xyz"], F.median("depth").alias("distance")).where(F.col("n") >= min_pixels)
     size = lambda a, b: (F.col(b) - F.col(a)) * F.col("distance") / F.col("focal")
     return m.join(floors, "capture_id", "left").select("capture_id", "det_id", "n", "cx", "cy", "cz", size("x0", "x1").alias("width_m"), size("y0", "y1").alias("height_m"), (F.col("cy") - F.col("floor_y")).alias("height_above_floor"))

@@ -104,9 +104,11 @@ def grow(free: DataFrame, seeds: DataFrame) -> DataFrame:
     """Free cells with the room_id of the nearest seed by steps through free 4-neighbours; of equally near ones the smaller id. Cells out of reach have none."""
 
     def run(key, cells: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        open_cells = set(zip(cells["row"], cells["col"], strict=True))
+        if start.empty:
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("capture_id", "row", "col", "room_id")})
+        open_cells = set() if cells.empty else set(zip(cells["row"], cells["col"], strict=True))
         best: dict[tuple[int, int], int] = {}
-        for r, c, room in sorted(zip(start["row"], start["col"], start["room_id"], strict=True), key=lambda x: -x[2]):
+        for r, c, room in sorted(zip(start["seed_row"], start["seed_col"], start["seed_id"], strict=True), key=lambda x: -x[2]):
             best[(r, c)] = room
         edge = dict(best)
         while edge:
@@ -120,7 +122,9 @@ def grow(free: DataFrame, seeds: DataFrame) -> DataFrame:
         out = [(key[0], r, c, room) for (r, c), room in best.items()]
         return pd.DataFrame(out, columns=["capture_id", "row", "col", "room_id"])
 
-    return free.select(*CELL).groupBy("capture_id").cogroup(seeds.select(*CELL, "room_id").groupBy("capture_id")).applyInPandas(run, "capture_id long, row int, col int, room_id int")
+    # other names, since seeds mostly come from the same cells
+    named = seeds.select(F.col("capture_id").alias("home"), F.col("row").alias("seed_row"), F.col("col").alias("seed_col"), F.col("room_id").alias("seed_id"))
+    return free.select(*CELL).groupBy("capture_id").cogroup(named.groupBy("home")).applyInPandas(run, "capture_id long, row int, col int, room_id int")
 
 
 def fill_rooms(rooms: DataFrame, blocked: DataFrame, p: Params = DEFAULTS, min_area: float = 1.5) -> DataFrame:

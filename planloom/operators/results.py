@@ -52,16 +52,19 @@ def warnings(rooms: DataFrame) -> DataFrame:
 
 
 def tiers(files: DataFrame) -> DataFrame:
-    """Tier of each folder from its files (folder, path): a video file alone, depth pictures with their odometry, a folder with a video, or rooms of photos.
+    """Tier of each folder from its files (folder, path): depth pictures with their odometry, a folder with a video, or rooms of photos.
 
-    The first that fits counts; null means that none does.
+    The first that fits counts; null means that none does. A folder of photos has sub-folders that each hold an image; what else lies in them doesn't count.
     """
     p = F.lower("path")
-    video, image = p.rlike(r"\.(mp4|mov|m4v)$"), p.rlike(r"\.(jpg|jpeg|png|heic|heif)$")
+    video, image = p.rlike(r"\.(mp4|mov|m4v)$"), p.rlike(r"\.(jpg|jpeg|png|heic)$")
     parts = F.split("path", "/")
-    m = files.groupBy("folder").agg(
-        F.bool_or(p.startswith("depth/")).alias("depth"), F.bool_or(p == "odometry.csv").alias("odometry"), F.bool_or(video & (F.size(parts) == 1)).alias("video"),
-        F.bool_or(image & (F.size(parts) == 2)).alias("photos"), F.bool_and(image | (F.size(parts) == 1)).alias("only"),
+    nested = F.size(parts) > 1
+    sub = files.groupBy("folder", F.when(nested, F.get(parts, F.lit(0))).alias("sub")).agg(
+        F.bool_or(C("path") == "odometry.csv").alias("odometry"), F.bool_or(video & ~nested).alias("video"), F.bool_or(image & (F.size(parts) == 2)).alias("image"))
+    m = sub.groupBy("folder").agg(
+        F.bool_or(F.coalesce(C("sub") == "depth", F.lit(False))).alias("depth"), F.bool_or("odometry").alias("odometry"), F.bool_or("video").alias("video"),
+        F.bool_and(F.when(C("sub").isNotNull(), C("image"))).alias("photos"),
     )
-    tier = F.when(C("depth") & C("odometry"), "lidar").when(C("video"), "video").when(C("photos") & C("only"), "photo")
+    tier = F.when(C("depth") & C("odometry"), "lidar").when(C("video"), "video").when(F.coalesce("photos", F.lit(False)), "photo")
     return m.select("folder", tier.alias("tier"))

@@ -24,9 +24,9 @@ def box_nms(spark, sf):
     return dm.suppress(_boxes(spark, sf), ["label"])
 
 
-_DAMAGE_SQL = """d AS (SELECT p_partkey AS damage_id, p_size % 3 AS capture_id, (['water_stain','mold','crack','hole','peeling_paint'])[p_partkey % 5 + 1] AS class, 'R' || p_size % 4 AS room,
+_DAMAGE_SQL = """d AS (SELECT p_partkey AS damage_id, p_size % 3 AS capture_id, (['water stain','mould','crack','hole','peeling paint'])[p_partkey % 5 + 1] AS class, 'R' || p_size % 4 AS room,
  CASE p_partkey % 3 WHEN 0 THEN 'R' || p_size % 4 || '-floor' WHEN 1 THEN 'R' || p_size % 4 || '-ceiling' ELSE 'R' || p_size % 4 || '-W1' END AS surface, (['floor','ceiling','wall'])[p_partkey % 3 + 1] AS surface_type,
- p_size / 20.0::DOUBLE AS width_m, p_retailprice / 1000 AS height_m, (p_size % 10) / 10.0::DOUBLE AS height_above_floor FROM part)"""
+ CASE WHEN p_partkey % 11 > 0 THEN p_size / 20.0::DOUBLE END AS width_m, p_retailprice / 1000 AS height_m, (p_size % 10) / 10.0::DOUBLE AS height_above_floor FROM part)"""
 
 
 def _damage(spark, sf):
@@ -34,16 +34,16 @@ def _damage(spark, sf):
     room = F.concat(F.lit("R"), (C("p_size") % 4).cast("string"))
     pick = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), i.cast("int"))
     return p.select(
-        C("p_partkey").alias("damage_id"), (C("p_size") % 3).alias("capture_id"), pick(["water_stain", "mold", "crack", "hole", "peeling_paint"], C("p_partkey") % 5).alias("class"), room.alias("room"),
+        C("p_partkey").alias("damage_id"), (C("p_size") % 3).alias("capture_id"), pick(["water stain", "mould", "crack", "hole", "peeling paint"], C("p_partkey") % 5).alias("class"), room.alias("room"),
         F.concat(room, pick(["-floor", "-ceiling", "-W1"], C("p_partkey") % 3)).alias("surface"), pick(["floor", "ceiling", "wall"], C("p_partkey") % 3).alias("surface_type"),
-        (C("p_size") / 20.0).alias("width_m"), (C("p_retailprice") / 1000).alias("height_m"), ((C("p_size") % 10) / 10.0).alias("height_above_floor"),
+        F.when(C("p_partkey") % 11 > 0, C("p_size") / 20.0).alias("width_m"), (C("p_retailprice") / 1000).alias("height_m"), ((C("p_size") % 10) / 10.0).alias("height_above_floor"),
     )
 
 
-@query("concealed_flags", f"""WITH {_DAMAGE_SQL} SELECT damage_id, 'C1' AS rule, 'moisture above the ceiling' AS flag FROM d WHERE class = 'water_stain' AND surface_type = 'ceiling'
-UNION ALL SELECT damage_id, 'C2', 'moisture rising behind the wall' FROM d WHERE class = 'water_stain' AND surface_type = 'wall' AND height_above_floor < 0.3::DOUBLE
-UNION ALL SELECT damage_id, 'C3', 'mold behind the surface' FROM d WHERE class = 'mold' AND greatest(width_m, height_m) > 0.3::DOUBLE
-UNION ALL SELECT damage_id, 'C4', 'movement of the structure' FROM d WHERE class = 'crack' AND greatest(width_m, height_m) > 1.0::DOUBLE""")
+@query("concealed_flags", f"""WITH {_DAMAGE_SQL} SELECT damage_id, 'C1' AS rule, 'water stain on a ceiling' AS condition, 'possible leak above the ceiling (plumbing, roof or a wet room upstairs)' AS flag, surface FROM d WHERE class = 'water stain' AND surface_type = 'ceiling'
+UNION ALL SELECT damage_id, 'C2', 'water stain or mould on a wall within 0.3 m of the floor', 'possible pipe leak or rising damp behind the wall', surface FROM d WHERE class IN ('water stain', 'mould') AND surface_type = 'wall' AND height_above_floor < 0.3::DOUBLE
+UNION ALL SELECT damage_id, 'C3', 'mould anywhere', 'hidden moisture likely behind or around the surface', surface FROM d WHERE class = 'mould'
+UNION ALL SELECT damage_id, 'C4', 'crack longer than 1 m', 'possible structural movement; needs a structural inspection', surface FROM d WHERE class = 'crack' AND width_m IS NOT NULL AND height_m IS NOT NULL AND greatest(width_m, height_m) > 1.0::DOUBLE""")
 def concealed_flags(spark, sf):
     return dm.concealed_flags(_damage(spark, sf))
 
@@ -65,18 +65,15 @@ def surface_areas(spark, sf):
     return rounded(_areas(spark, sf))
 
 
-_SCOPE_VALUES = ", ".join(str(x) for x in dm.SCOPE)
-
-
-@query("repair_scope", f"""WITH {_DAMAGE_SQL}, {_AREAS_SQL}, s(class, action, basis) AS (VALUES {_SCOPE_VALUES})
-SELECT damage_id, action, round(CASE basis WHEN 'surface' THEN coalesce(area, width_m*height_m) WHEN 'padded' THEN (width_m+0.6::DOUBLE)*(height_m+0.6::DOUBLE) WHEN 'length' THEN greatest(width_m, height_m) ELSE 1.0::DOUBLE END, 6) AS quantity, CASE basis WHEN 'length' THEN 'm' WHEN 'each' THEN 'each' ELSE 'm2' END AS unit
+@query("repair_scope", f"""WITH {_DAMAGE_SQL}, {_AREAS_SQL}, s(class, action) AS (VALUES ('water stain', 'Stain-block primer and repaint'), ('mould', 'Mould treatment, stain-block and repaint'), ('peeling paint', 'Scrape, prime and repaint'), ('crack', 'Rake out, fill and repaint crack'), ('hole', 'Patch hole and repaint'))
+SELECT damage_id, surface, action, round(CASE WHEN class IN ('water stain', 'peeling paint') THEN coalesce(area, width_m*height_m) WHEN class = 'mould' THEN (width_m+0.6::DOUBLE)*(height_m+0.6::DOUBLE) WHEN class = 'crack' THEN CASE WHEN width_m IS NOT NULL THEN greatest(width_m, height_m) END ELSE 1.0::DOUBLE END, 2) AS quantity, CASE class WHEN 'crack' THEN 'm' WHEN 'hole' THEN 'each' ELSE 'm2' END AS unit
 FROM d JOIN s USING (class) LEFT JOIN a USING (capture_id, surface)""")
 def repair_scope(spark, sf):
     areas = _areas(spark, sf).withColumnRenamed("area", "surface_area")
     return rounded(dm.repair_scope(dm.measured(_damage(spark, sf)), areas, dm.scope_table(spark)))
 
 
-@query("damage_items", f"WITH {_DAMAGE_SQL} SELECT damage_id, round(width_m*0.3::DOUBLE, 6) AS width_pm95, round(height_m*0.3::DOUBLE, 6) AS height_pm95, round(width_m*height_m, 6) AS area, round(0.6::DOUBLE*width_m*height_m, 6) AS area_pm95, round(greatest(width_m, height_m), 6) AS length FROM d")
+@query("damage_items", f"WITH {_DAMAGE_SQL} SELECT damage_id, round(width_m*0.3::DOUBLE, 6) AS width_pm95, round(height_m*0.3::DOUBLE, 6) AS height_pm95, round(width_m*height_m, 6) AS area, round(0.6::DOUBLE*width_m*height_m, 6) AS area_pm95, round(CASE WHEN width_m IS NOT NULL THEN greatest(width_m, height_m) END, 6) AS length FROM d")
 def damage_items(spark, sf):
     return rounded(dm.measured(_damage(spark, sf)).select("damage_id", "width_pm95", "height_pm95", "area", "area_pm95", "length"))
 
@@ -96,9 +93,9 @@ def damage_merge_centres(spark, sf):
     return rounded(dm.merge_sightings(v))
 
 
-@query("damage_picture", f"WITH {VECTORS_SQL} SELECT vec_id % 7 AS capture_id, vec_id AS det_id, 'mold' AS class, round(abs(e8), 6) AS score, 'R' || label AS room, 'R' || label || '-unknown' AS surface, 'unknown' AS surface_type, NULL::DOUBLE AS width_m, NULL::DOUBLE AS height_m FROM v")
+@query("damage_picture", f"WITH {VECTORS_SQL} SELECT vec_id % 7 AS capture_id, vec_id AS det_id, 'mould' AS class, round(abs(e8), 6) AS score, 'R' || label AS room, 'R' || label || '-unknown' AS surface, 'unknown' AS surface_type, NULL::DOUBLE AS width_m, NULL::DOUBLE AS height_m FROM v")
 def damage_picture(spark, sf):
-    v = vectors(spark, sf).select((C("vec_id") % 7).alias("capture_id"), C("vec_id").alias("det_id"), F.lit("mold").alias("class"), F.abs("e8").alias("score"), F.concat(F.lit("R"), C("label").cast("string")).alias("room"))
+    v = vectors(spark, sf).select((C("vec_id") % 7).alias("capture_id"), C("vec_id").alias("det_id"), F.lit("mould").alias("class"), F.abs("e8").alias("score"), F.concat(F.lit("R"), C("label").cast("string")).alias("room"))
     return rounded(dm.without_depth(v))
 
 

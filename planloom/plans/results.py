@@ -241,15 +241,19 @@ def result_explode(spark, sf):
     return rs.explode_documents(rs.documents(captures, rooms, _warn(rooms)))
 
 
-@query("tier_detect", """WITH f AS (SELECT p_size AS folder, lower(CASE p_partkey % 40 WHEN 0 THEN 'walk.MP4' WHEN 1 THEN 'depth/1.png' WHEN 2 THEN 'odometry.csv' ELSE CASE WHEN p_size % 3 = 0 AND p_partkey % 40 > 37 THEN 'notes/a.txt' ELSE 'room' || p_partkey % 4 || '/' || p_partkey || '.jpg' END END) AS path FROM part WHERE (p_size % 4 = 0) OR p_partkey % 40 > 2),
-m AS (SELECT folder, bool_or(starts_with(path, 'depth/')) AS d, bool_or(path = 'odometry.csv') AS o, bool_or(path LIKE '%.mp4' AND path NOT LIKE '%/%') AS v, bool_or(path LIKE '%/%.jpg') AS p, bool_and(path LIKE '%.jpg' OR path NOT LIKE '%/%') AS y FROM f GROUP BY 1)
-SELECT folder, CASE WHEN d AND o THEN 'lidar' WHEN v THEN 'video' WHEN p AND y THEN 'photo' END AS tier FROM m""")
+@query("tier_detect", """WITH f AS (SELECT p_partkey // 12 AS folder, CASE p_partkey % 60 WHEN 0 THEN 'walk.MP4' WHEN 13 THEN 'depth/1.png' WHEN 14 THEN 'odometry.csv' WHEN 25 THEN 'depth/2.png' WHEN 40 THEN 'notes/a.txt' WHEN 41 THEN 'room1/.DS_Store' WHEN 50 THEN 'plan.JPG' ELSE 'room' || p_partkey % 4 || '/' || p_partkey || '.jpg' END AS path FROM part),
+top AS (SELECT folder, bool_or(path = 'odometry.csv') AS odometry, bool_or(regexp_matches(path, '^[^/]*[.](mp4|mov|m4v)$', 'i')) AS video FROM f GROUP BY 1),
+sub AS (SELECT folder, split_part(path, '/', 1) AS name, bool_or(regexp_matches(path, '^[^/]*/[^/]*[.](jpg|jpeg|png|heic)$', 'i')) AS held FROM f WHERE path LIKE '%/%' GROUP BY ALL)
+SELECT folder, CASE WHEN odometry AND EXISTS (SELECT 1 FROM sub WHERE sub.folder = top.folder AND name = 'depth') THEN 'lidar' WHEN video THEN 'video'
+  WHEN EXISTS (SELECT 1 FROM sub WHERE sub.folder = top.folder) AND NOT EXISTS (SELECT 1 FROM sub WHERE sub.folder = top.folder AND NOT held) THEN 'photo' END AS tier FROM top""")
 def tier_detect(spark, sf):
-    """Which kind of capture a folder's files are."""
-    k, n = C("p_partkey"), C("p_partkey") % 40
-    photo = F.when((C("p_size") % 3 == 0) & (n > 37), F.lit("notes/a.txt")).otherwise(F.concat(F.lit("room"), (k % 4).cast("string"), F.lit("/"), k.cast("string"), F.lit(".jpg")))
-    path = F.when(n == 0, "walk.MP4").when(n == 1, "depth/1.png").when(n == 2, "odometry.csv").otherwise(photo)
-    return rs.tiers(table(spark, sf, "part").where((C("p_size") % 4 == 0) | (n > 2)).select(C("p_size").alias("folder"), path.alias("path")))
+    """Which kind of capture a folder's files are; a folder is twelve parts."""
+    k = C("p_partkey")
+    odd = {0: "walk.MP4", 13: "depth/1.png", 14: "odometry.csv", 25: "depth/2.png", 40: "notes/a.txt", 41: "room1/.DS_Store", 50: "plan.JPG"}
+    path = F.concat(F.lit("room"), (k % 4).cast("string"), F.lit("/"), k.cast("string"), F.lit(".jpg"))
+    for n, name in odd.items():
+        path = F.when(k % 60 == n, name).otherwise(path)
+    return rs.tiers(table(spark, sf, "part").select(F.floor(k / 12).cast("long").alias("folder"), path.alias("path")))
 
 
 @query("frames_missing_depth", "SELECT o_orderkey AS frame FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 3)")
