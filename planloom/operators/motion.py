@@ -30,11 +30,14 @@ class FloorMap:
             self.cells[k] = (a + s + lift * n, b + n)
 
 
-def step(state: FloorMap, lift: float, floor: dict[tuple[int, int], tuple[float, int]], p: Params = DEFAULTS) -> tuple[float, float | None, bool]:
+def step(state: FloorMap, lift: float, floor: dict[tuple[int, int], tuple[float, int]], reference: float | None = None, p: Params = DEFAULTS) -> tuple[float, float | None, bool]:
     """The lift after a chunk, its offset, and whether the chunk's floor was used.
 
-    A chunk whose offset is more than 5 cm off the lift so far keeps that lift, and its floor isn't added.
+    Only cells that, lifted, lie within 15 cm of the capture's floor (``reference``, if given) can be floor. A chunk whose offset is more than 5 cm off the lift so
+    far keeps that lift, and its floor isn't added.
     """
+    if reference is not None:
+        floor = {k: v for k, v in floor.items() if abs(v[0] / v[1] + lift - reference) <= p.max_floor_gap}
     if not state.cells:
         state.add(floor, lift)
         return lift, 0.0, True
@@ -48,18 +51,26 @@ def step(state: FloorMap, lift: float, floor: dict[tuple[int, int], tuple[float,
     return offset, offset, True
 
 
+def chunk_floors(own: pd.DataFrame):
+    """Chunks in order, with their floor cells (sum, number) and the capture's floor, if there is a column of it."""
+    for chunk, rows in own.sort_values(["chunk", "fx", "fz"]).groupby("chunk", sort=True):
+        floor = {(a, b): (y * n, n) for a, b, y, n in zip(rows["fx"], rows["fz"], rows["y"], rows["n"], strict=True)}
+        reference = rows["reference"].iloc[0] if "reference" in rows else None
+        yield chunk, floor, None if reference is None or pd.isna(reference) else float(reference)
+
+
 def drift_lifts(cells: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Lift of each chunk of a capture, carried from chunk to chunk: capture_id, chunk, lift, offset, used.
 
-    ``cells`` are floor cells (capture_id, chunk, fx, fz, y, n). Only these, not points, are brought together by capture; they are bounded by the home's floor.
+    ``cells`` are floor cells (capture_id, chunk, fx, fz, y, n and, if known, reference: the capture's floor). Only these, not points, are brought together
+    by capture; they are bounded by the home's floor.
     """
     kind = dict(cells.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         state, lift, rows = FloorMap(), 0.0, []
-        for chunk, own in pdf.sort_values(["chunk", "fx", "fz"]).groupby("chunk", sort=True):
-            floor = {(a, b): (y * n, n) for a, b, y, n in zip(own["fx"], own["fz"], own["y"], own["n"], strict=True)}
-            lift, offset, used = step(state, lift, floor, p)
+        for chunk, floor, reference in chunk_floors(pdf):
+            lift, offset, used = step(state, lift, floor, reference, p)
             rows.append((pdf["capture_id"].iloc[0], chunk, lift, offset, used))
         return pd.DataFrame(rows, columns=["capture_id", "chunk", "lift", "offset", "used"])
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DEFAULTS, Params
+from .raster import open_, square
 
 C = F.col
 
@@ -124,6 +125,33 @@ def outline_walls(corners: DataFrame, keys: list[str], sigma: float = 0.005, loo
     return ends.select(*keys, "k", F.round(F.hypot(C("nx") - C("x"), C("nz") - C("z")), 3).alias("length"), F.round(2 * F.hypot(e, e), 3).alias("pm95"), "detected")
 
 
+def rectangle_walls(rooms: DataFrame) -> DataFrame:
+    """Walls of rectangular rooms as ``measure_rooms`` has them: those along x are as long and as sure as the width, the others as the length; whether a side was found is told."""
+    keys = ["capture_id", "room_id"]
+    side = lambda axis, found: F.struct(C(axis).alias("length"), C(f"{axis}_pm95").alias("pm95"), C(found).alias("detected"))
+    sides = F.array(side("width", "z_low_found"), side("length", "x_high_found"), side("width", "z_high_found"), side("length", "x_low_found"))
+    return rooms.select(*keys, F.posexplode(sides).alias("k", "s")).select(*keys, "k", F.round("s.length", 3).alias("length"), F.round("s.pm95", 3).alias("pm95"), "s.detected")
+
+
+def room_walls(rooms: DataFrame, cells: DataFrame, walls: DataFrame, touched: DataFrame) -> DataFrame:
+    """Outlines of rooms with their walls: capture_id, room_id, traced, k, x, z, length, pm95, detected.
+
+    A rectangular room, and one of which the traced outline has fewer than four edges, has the rectangle of its sides; any other is traced from its cells without spikes
+    thinner than 30 cm, and its edges lie on the walls that touch it. ``rooms`` comes from ``measure_rooms``, ``touched`` from ``touched_rooms``.
+    """
+    keys = ["capture_id", "room_id"]
+    odd = rooms.where("shape <> 'rectangular'").select(*keys)
+    patches = cells.join(odd, keys).withColumn("home", F.struct(*keys)).select(C("home").alias("capture_id"), "row", "col")
+    kept = open_(patches, square(7)).select(C("capture_id.capture_id").alias("capture_id"), C("capture_id.room_id").alias("room_id"), "row", "col")
+    own = walls.join(touched, ["capture_id", "wall_idx"]).select(*keys, "axis", "position", "wall_idx")
+    corners = corners_of(snap_edges(merge_edges(edges(trace(kept, keys), keys), keys), own, keys), keys)
+    traced = corners.join(outline_walls(corners, keys).drop("detected"), [*keys, "k"]).withColumn("traced", F.lit(True))
+    rest = rooms.join(traced.select(*keys).distinct(), keys, "left_anti")
+    flat = rectangle(rest.select(*keys, "x_low", "x_high", "z_low", "z_high")).join(rectangle_walls(rest), [*keys, "k"]).withColumn("traced", F.lit(False))
+    names = [*keys, "traced", "k", "x", "z", "length", "pm95", "detected"]
+    return traced.select(*names).unionByName(flat.select(*names))
+
+
 def outline_area_range(walls: DataFrame, areas: DataFrame, keys: list[str], loose: float = 0.05) -> DataFrame:
     """Range of a traced area: its undetected walls may be off, and a quarter of the rectangle's range."""
     length = walls.groupBy(*keys).agg(F.sum(F.when(~C("detected"), C("length")).otherwise(0.0)).alias("loose"))

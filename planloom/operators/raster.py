@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DEFAULTS, Params
@@ -23,19 +23,44 @@ def square(size: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(-r, r + 1) for j in range(-r, r + 1)]
 
 
-def _offsets(kernel: list[tuple[int, int]]) -> Column:
-    return F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in kernel])).alias("o")
+def _half_widths(kernel: list[tuple[int, int]]) -> dict[int, int]:
+    """By row of the kernel how far it reaches to both sides; kernels here are convex and symmetric."""
+    half: dict[int, int] = {}
+    for i, j in kernel:
+        half[i] = max(half.get(i, 0), j)
+    if sorted(kernel) != sorted((i, j) for i, h in half.items() for j in range(-h, h + 1)):
+        raise ValueError("a kernel's rows must reach as far to both sides, without holes")
+    return half
+
+
+def _runs(cells: DataFrame) -> DataFrame:
+    """Cells without repeats, with the first and last column (low, high) of the run in their row that they are in."""
+    by_row = Window.partitionBy("capture_id", "row").orderBy("col")
+    told = cells.select(*CELL).distinct().withColumn("island", F.col("col") - F.row_number().over(by_row))
+    own = Window.partitionBy("capture_id", "row", "island")
+    return told.withColumns({"low": F.min("col").over(own), "high": F.max("col").over(own)}).drop("island")
 
 
 def dilate(cells: DataFrame, kernel: list[tuple[int, int]]) -> DataFrame:
-    """All cells that the kernel reaches from any cell."""
-    return cells.select(*CELL, _offsets(kernel)).select("capture_id", (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col")).distinct()
+    """All cells that the kernel reaches from any cell. Runs of cells, not single ones, are sent to the rows that they reach, and merged there."""
+    reach = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(h).alias("h")) for i, h in _half_widths(kernel).items()])).alias("o")
+    runs = _runs(cells).where("col = low").select("capture_id", "row", "low", "high", reach)
+    laid = runs.select("capture_id", (F.col("row") + F.col("o.i")).alias("row"), (F.col("low") - F.col("o.h")).alias("low"), (F.col("high") + F.col("o.h")).alias("high"))
+    w = Window.partitionBy("capture_id", "row").orderBy("low", "high")
+    so_far = F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    joined = laid.withColumn("new", F.coalesce((F.col("low") > so_far + 1).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w))
+    merged = joined.groupBy("capture_id", "row", "run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return merged.select("capture_id", "row", F.explode(F.sequence("low", "high")).alias("col"))
 
 
 def erode(cells: DataFrame, kernel: list[tuple[int, int]]) -> DataFrame:
-    """Cells of which all that the kernel reaches are cells too: each cell is sent to those that need it, which count."""
-    hits = cells.select(*CELL, _offsets(kernel)).select("capture_id", (F.col("row") - F.col("o.i")).alias("row"), (F.col("col") - F.col("o.j")).alias("col"))
-    return hits.groupBy(*CELL).agg(F.count("*").alias("n")).where(F.col("n") == len(kernel)).select(*CELL)
+    """Cells of which all that the kernel reaches are cells too: in each row of the kernel the run of cells there must be long enough to both sides."""
+    wide = _runs(cells).select(*CELL, F.least(F.col("col") - F.col("low"), F.col("high") - F.col("col")).alias("reach"))
+    by_col = Window.partitionBy("capture_id", "col").orderBy("row")
+    good = F.lit(True)
+    for i, h in _half_widths(kernel).items():
+        good = good & F.coalesce(F.max("reach").over(by_col.rangeBetween(i, i)) >= h, F.lit(False))
+    return wide.withColumn("good", good).where("good").select(*CELL)
 
 
 def close(cells: DataFrame, kernel: list[tuple[int, int]]) -> DataFrame:
@@ -149,14 +174,27 @@ def fill_rooms(rooms: DataFrame, blocked: DataFrame, p: Params = DEFAULTS, min_a
     return full.join(big, ["capture_id", "room_id"]).groupBy(*CELL).agg(F.min("room_id").alias("room_id"))
 
 
+def find_rooms(floor: DataFrame, walls: DataFrame, holes: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Cells with room_id: the seen floor, parted at walls and at passages narrower than a door.
+
+    Small holes of the floor are closed; walls, and the holes in them (gaps too narrow for a door), are barriers. Free floor is shrunk by 45 cm, so that every passage
+    under 0.9 m closes and each room is an island, whether or not its doors and wall ends were found; islands grow back over the free floor and meet
+    in their doorways. Holes inside a room are filled, rooms under 1.5 m2 go, and the others are numbered from 1.
+    """
+    closed = close(floor, ellipse(int(round(p.floor_fill / p.grid)) | 1))
+    barriers = barrier(walls, p=p).unionByName(barrier(holes, extend=0.0, p=p)).distinct()
+    free = subtract(closed, barriers)
+    islands = components(erode(free, ellipse(2 * int(round(p.door_split / p.grid)) + 1)))
+    rooms = fill_rooms(grow(free, islands.withColumnRenamed("component_id", "room_id")), barriers, p, p.min_room_area)
+    return rooms.withColumn("room_id", F.dense_rank().over(Window.partitionBy("capture_id").orderBy("room_id")).cast("int"))
+
+
 def room_areas(cells: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     return cells.groupBy("capture_id", "room_id").agg((F.count("*") * p.grid**2).alias("area_rough"), F.avg("col").alias("mean_col"), F.avg("row").alias("mean_row"))
 
 
 def polygon_area(corners: DataFrame, keys: list[str]) -> DataFrame:
     """Area of closed outlines x, z in order of k."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy("k")
     every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nxt = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(every))
@@ -165,8 +203,6 @@ def polygon_area(corners: DataFrame, keys: list[str]) -> DataFrame:
 
 def polygon_cells(corners: DataFrame, keys: list[str], cell: float = 0.05) -> DataFrame:
     """Cells whose centre is inside a closed outline: an odd number of its edges lie to the right of it."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy("k")
     every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nxt = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(every))

@@ -7,48 +7,140 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 C = F.col
-MEASURE = T.StructType([T.StructField("value", T.DoubleType()), T.StructField("pm95", T.DoubleType()), T.StructField("note", T.StringType())])
-ROOM = T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("shape", T.StringType()), *[T.StructField(c, MEASURE) for c in ("width", "length", "floor_area", "ceiling_height")]])
-DOCUMENT = T.StructType([T.StructField("schema_version", T.StringType()), T.StructField("capture", T.StructType([T.StructField("id", T.StringType()), T.StructField("tier", T.StringType())])), T.StructField("rooms", T.ArrayType(ROOM)), T.StructField("warnings", T.ArrayType(T.StringType()))])
 
 
-def documents(captures: DataFrame, rooms: DataFrame, warnings: DataFrame) -> DataFrame:
-    """One document a capture: capture_id, document (JSON). Rooms stand by id, warnings by their order; a capture without any has empty lists."""
-    r = rooms.groupBy("capture_id").agg(F.sort_array(F.collect_list(F.struct(*[f.name for f in ROOM.fields]))).alias("rooms"))
-    w = warnings.groupBy("capture_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "warning"))), lambda x: x["warning"]).alias("warnings"))
-    j = captures.join(r, "capture_id", "left").join(w, "capture_id", "left")
-    doc = F.struct(F.lit("1.0").alias("schema_version"), F.struct(C("capture_id").cast("string").alias("id"), "tier").alias("capture"), F.coalesce("rooms", F.array().cast(T.ArrayType(ROOM))).alias("rooms"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
-    return j.select("capture_id", F.to_json(doc).alias("document"))
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+_S, _D, _I = T.StringType(), T.DoubleType(), T.IntegerType()
+POINT, NAMES = T.ArrayType(_D), T.ArrayType(_S)
+MEASURE = _struct(value=_D, pm95=_D, note=_S)
+WALL = _struct(id=_S, start=POINT, end=POINT, length=MEASURE, detected=T.BooleanType())
+ROOM = _struct(id=_S, name=_S, segment=_I, photos=_I, outline=T.ArrayType(POINT), shape=_S, width=MEASURE, length=MEASURE, floor_area=MEASURE, ceiling_height=MEASURE, walls=T.ArrayType(WALL))
+OPENING = _struct(id=_S, type=_S, start=POINT, end=POINT, width=MEASURE, rooms=NAMES)
+ADJACENT = _struct(rooms=NAMES, via=_S)
+DAMAGE = _struct(**{"id": _S, "class": _S, "score": _D, "room": _S, "surface": _S, "surface_type": _S, "width": MEASURE, "height": MEASURE, "area": MEASURE, "height_above_floor": _D})
+FLAG = _struct(damage=_S, rule=_S, condition=_S, flag=_S, surface=_S)
+SCOPE_ITEM = _struct(id=_S, surface=_S, damage=_S, action=_S, quantity=_D, unit=_S)
+CAPTURE = _struct(id=_S, tier=_S, source=_S, frames=_I, frames_used=_I, processing_seconds=_D, plan_rotation_deg=_D, drift_sigma_m=_D)
+DOCUMENT = _struct(
+    schema_version=_S, capture=CAPTURE, units=_S, rooms=T.ArrayType(ROOM), openings=T.ArrayType(OPENING), adjacency=T.ArrayType(ADJACENT), property=_struct(room_count=_I, total_floor_area=MEASURE),
+    damage=T.ArrayType(DAMAGE), concealed_damage_flags=T.ArrayType(FLAG), scope=T.ArrayType(SCOPE_ITEM), warnings=NAMES,
+)
+#: Fields that are left out where they aren't known; the contract wants the others, null or not.
+OPTIONAL = ("segment", "photos", "outline", "note", "source", "frames", "frames_used", "plan_rotation_deg", "drift_sigma_m", "height_above_floor")
+#: Lists of a document and their items. Numbered ids stand by their numbers.
+LISTS = {"rooms": ROOM, "openings": OPENING, "adjacency": ADJACENT, "damage": DAMAGE, "concealed_damage_flags": FLAG, "scope": SCOPE_ITEM}
+
+
+def _as(df: DataFrame, kind: T.StructType) -> F.Column:
+    """A row as an item: columns by name, null where the table has none."""
+    return F.struct(*[(C(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields])
+
+
+def _listed(df: DataFrame, kind: T.StructType, name: str) -> DataFrame:
+    ident = next((c for c in ("id", "damage", "via") if c in df.columns), None)
+    order = [F.regexp_extract(C(ident), r"(\d+)", 1).cast("long").alias("o")] + ([C("rule").alias("r")] if "rule" in df.columns else []) if ident else []
+    items = df.select("capture_id", *order, _as(df, kind).alias("item"))
+    packed = F.sort_array(F.collect_list(F.struct(*[c for c in items.columns if c != "capture_id"])))
+    return items.groupBy("capture_id").agg(F.transform(packed, lambda x: x["item"]).alias(name))
+
+
+def documents(captures: DataFrame, warnings: DataFrame | None = None, **lists: DataFrame) -> DataFrame:
+    """One document a capture, by the contract: capture_id, document (JSON).
+
+    ``captures`` has capture_id, tier and what is known of the capture; ``warnings`` capture_id, ordinal, warning; ``lists`` are tables of the items of LISTS, with capture_id.
+    What a capture has none of is an empty list. The total area is the sum of the rooms' known ones.
+    """
+    unknown = set(lists) - set(LISTS)
+    if unknown:
+        raise ValueError(f"a document has no {sorted(unknown)}")
+    capture = captures.withColumns({"id": C("capture_id").cast("string"), "processing_seconds": C("processing_seconds") if "processing_seconds" in captures.columns else F.lit(0.0)})
+    j = capture.select("capture_id", _as(capture, CAPTURE).alias("capture"))
+    for name, kind in LISTS.items():
+        empty = F.array().cast(T.ArrayType(kind))
+        j = j.join(_listed(lists[name], kind, name), "capture_id", "left").withColumn(name, F.coalesce(name, empty)) if name in lists else j.withColumn(name, empty)
+    if warnings is None:
+        j = j.withColumn("warnings", F.array().cast(NAMES))
+    else:
+        said = warnings.groupBy("capture_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "warning"))), lambda x: x["warning"]).alias("warnings"))
+        j = j.join(said, "capture_id", "left").withColumn("warnings", F.coalesce("warnings", F.array().cast(NAMES)))
+    area = lambda f: F.aggregate("rooms", F.lit(0.0), lambda t, r: t + F.coalesce(f(r["floor_area"]), F.lit(0.0)))
+    total = F.struct(F.round(area(lambda m: m["value"]), 3).alias("value"), F.round(F.sqrt(area(lambda m: m["pm95"] * m["pm95"])), 3).alias("pm95"), F.lit(None).cast("string").alias("note"))
+    j = j.withColumn("property", F.struct(F.size("rooms").alias("room_count"), total.alias("total_floor_area"))).withColumns({"schema_version": F.lit("1.0"), "units": F.lit("metres")})
+    text = F.to_json(F.struct(*[f.name for f in DOCUMENT.fields]), {"ignoreNullFields": "false"})
+    # a quote inside a text is escaped, so this meets fields only
+    return j.select("capture_id", F.regexp_replace(text, f',"({"|".join(OPTIONAL)})":null', "").alias("document"))
 
 
 def explode_documents(docs: DataFrame) -> DataFrame:
-    """Rooms of documents: capture_id, tier, room, width, width_pm95, floor_area."""
+    """Rooms of documents: capture_id, tier, room, shape, width, width_pm95, length, floor_area, ceiling_height, sides (walls that were detected)."""
     d = docs.select(F.from_json("document", DOCUMENT).alias("d"))
-    return d.select(C("d.capture.id").alias("capture_id"), C("d.capture.tier").alias("tier"), F.explode("d.rooms").alias("r")).select("capture_id", "tier", C("r.id").alias("room"), C("r.width.value").alias("width"), C("r.width.pm95").alias("width_pm95"), C("r.floor_area.value").alias("floor_area"))
+    r = d.select(C("d.capture.id").alias("capture_id"), C("d.capture.tier").alias("tier"), F.explode("d.rooms").alias("r"))
+    return r.select("capture_id", "tier", C("r.id").alias("room"), C("r.shape").alias("shape"), C("r.width.value").alias("width"), C("r.width.pm95").alias("width_pm95"), C("r.length.value").alias("length"), C("r.floor_area.value").alias("floor_area"), C("r.ceiling_height.value").alias("ceiling_height"), F.size(F.filter("r.walls", lambda w: w["detected"])).alias("sides"))
 
 
-def violations(rooms: DataFrame, captures: DataFrame) -> DataFrame:
-    """Rows that break the contract: capture_id, item, rule. A writer stops where there are any."""
-    rules = [
-        ("room id", ~F.coalesce(C("id").rlike(r"^R\d+$"), F.lit(False))),
-        ("shape", ~F.coalesce(C("shape").isin("rectangle", "polygon"), F.lit(False))),
-        *[(f"{c} range", C(f"{c}.value").isNotNull() & F.coalesce(C(f"{c}.pm95") < 0, F.lit(True))) for c in ("width", "length", "floor_area", "ceiling_height")],
-        ("negative area", F.coalesce(C("floor_area.value") < 0, F.lit(False))),
-    ]
-    broken = F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules]), lambda x: x.isNotNull())
-    r = rooms.select("capture_id", C("id").alias("item"), F.explode(broken).alias("rule"))
-    tier = captures.where(~F.coalesce(C("tier").isin("lidar", "video", "photo"), F.lit(False))).select("capture_id", F.lit("capture").alias("item"), F.lit("tier").alias("rule"))
-    return r.unionByName(tier)
+def violations(rooms: DataFrame, captures: DataFrame, openings: DataFrame | None = None, adjacency: DataFrame | None = None) -> DataFrame:
+    """Rows that break the contract: capture_id, item, rule. ``write_documents`` stops where there are any."""
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    broken_range = lambda c: C(f"{c}.value").isNotNull() & F.coalesce(C(f"{c}.pm95") < 0, F.lit(True))
+
+    def told(df: DataFrame, item: str, rules: list) -> DataFrame:
+        broken = F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules]), lambda x: x.isNotNull())
+        return df.select("capture_id", C(item).alias("item"), F.explode(broken).alias("rule"))
+
+    own = [
+        ("room id", no(C("id").rlike(r"^R\d+$"))), ("shape", no(C("shape").isin("rectangular", "not rectangular", "not measured"))),
+        *[(f"{c} range", broken_range(c)) for c in ("width", "length", "floor_area", "ceiling_height")], ("negative area", F.coalesce(C("floor_area.value") < 0, F.lit(False))),
+    ]
+    if "walls" in rooms.columns:
+        own.append(("wall", F.exists(F.coalesce("walls", F.array().cast(rooms.schema["walls"].dataType)), lambda w: no(w["id"].rlike(r"^R\d+-W\d+$")) | w["detected"].isNull() | w["length"]["value"].isNull() | no(F.size(w["start"]) == 2) | no(F.size(w["end"]) == 2))))
+        own.append(("outline", F.coalesce(F.size("outline") < 3, F.lit(False)) & C("outline").isNotNull()))
+    out = told(rooms, "id", own)
+    out = out.unionByName(captures.where(no(C("tier").isin("lidar", "video", "photo"))).select("capture_id", F.lit("capture").alias("item"), F.lit("tier").alias("rule")))
+    if openings is not None:
+        out = out.unionByName(told(openings, "id", [("opening id", no(C("id").rlike(r"^O\d+$"))), ("opening type", no(C("type").isin("door", "opening", "window"))), ("width range", broken_range("width"))]))
+    if adjacency is not None:
+        out = out.unionByName(told(adjacency, "via", [("two rooms", no(F.size("rooms") == 2))]))
+    return out
+
+
+def write_documents(docs: DataFrame, broken: DataFrame, path: str) -> None:
+    """Writes one JSON document a line, unless ``broken`` (see ``violations``) has rows."""
+    first = broken.limit(5).collect()
+    if first:
+        raise ValueError(f"documents break the contract: {[tuple(r) for r in first]}")
+    docs.select(C("document").alias("value")).write.text(path)
+
+
+def write_debug(path: str, **tables: DataFrame) -> None:
+    """Writes the steps of a plan (layout, drift, segments ...) as JSON lines, a folder for each table, by capture."""
+    for name, df in tables.items():
+        df.write.partitionBy("capture_id").json(f"{path}/{name}")
+
+
+def segment_panels(rooms: DataFrame, openings: DataFrame) -> DataFrame:
+    """Panels of a plan of several segments: capture_id, segment, rooms, openings (those that touch any of its rooms), sorted ids."""
+    r = rooms.where("segment is not null").groupBy("capture_id", "segment").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    j = r.join(openings.select("capture_id", C("id").alias("opening"), C("rooms").alias("touched")), "capture_id", "left")
+    return j.groupBy("capture_id", "segment", "ids").agg(F.sort_array(F.collect_set(F.when(F.arrays_overlap("ids", "touched"), C("opening")))).alias("openings")).select("capture_id", "segment", C("ids").alias("rooms"), "openings")
 
 
 def warnings(rooms: DataFrame) -> DataFrame:
-    """Warnings of each capture in their order: capture_id, ordinal, warning. ``rooms`` has capture_id, id, sides, ceiling_seen, area."""
-    n = lambda when: F.sum(when.cast("int"))
-    m = rooms.groupBy("capture_id").agg(F.count("id").alias("rooms"), n(C("sides") < 4).alias("open"), n(C("ceiling_seen").isNull()).alias("low"), n(C("area").isNull()).alias("bare"))
-    text = lambda c, s: F.concat(C(c).cast("string"), F.lit(s))
-    rules = [(C("rooms") == 0, F.lit("no rooms were found")), (C("open") > 0, text("open", " rooms have a side without a wall")), (C("low") > 0, text("low", " rooms have no ceiling in view")), (C("bare") > 0, text("bare", " rooms are not measured"))]
-    rows = F.filter(F.array(*[F.when(when, F.struct(F.lit(i).alias("ordinal"), said.alias("warning"))) for i, (when, said) in enumerate(rules)]), lambda x: x.isNotNull())
-    return m.select("capture_id", F.explode(rows).alias("w")).select("capture_id", "w.*")
+    """What readers of a plan should know of each room, in order of rooms: capture_id, ordinal, warning.
+
+    ``rooms`` has capture_id, id, shape, area, missing (names of sides without a wall), ceiling, note.
+    """
+    n = F.regexp_extract("id", r"(\d+)", 1).cast("int")
+    merged = F.when(C("area") > 15, " It may be two spaces merged (no wall or door found between them).").otherwise("")
+    rules = [
+        (C("shape") == "not rectangular", F.concat("id", F.lit(" is not rectangular; its outline is traced from the seen floor and snapped to walls where found."), merged)),
+        (F.size("missing") > 0, F.concat("id", F.lit(": no wall found on side(s) "), F.concat_ws(", ", "missing"), F.lit("; those sides use the edge of the seen floor."))),
+        (C("ceiling").isNull(), F.concat("id", F.lit(": "), F.coalesce("note", F.lit("ceiling not measured")), F.lit("."))),
+    ]
+    rows = F.filter(F.array(*[F.when(when, F.struct((n * 10 + i).alias("ordinal"), said.alias("warning"))) for i, (when, said) in enumerate(rules)]), lambda x: x.isNotNull())
+    return rooms.select("capture_id", F.explode(rows).alias("w")).select("capture_id", "w.*")
 
 
 def tiers(files: DataFrame) -> DataFrame:

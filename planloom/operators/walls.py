@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DEFAULTS, Params
+from ..storage import written
 
 C = F.col
 
@@ -27,46 +28,67 @@ def near_spikes(band: DataFrame, spikes: DataFrame, reach: float, p: Params = DE
     return pts.join(laid, ["capture_id", "axis", "strip"]).where(F.abs(C("across") - C("centre")) <= reach).drop("strip")
 
 
+#: Reach of the points by which a wall's prominence is rated.
+WIDE = 0.10
+
+
 def runs(near: DataFrame, bands: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Pieces of wall along each spike: capture_id, axis, spike, run, first, last (cells), height_cover.
 
     ``bands`` has low and high of each capture's wall band. A cell of 5 cm counts where half of the height slices hold a point; holes of up to six cells are
-    bridged; a piece must be long enough, and most of its height slices must be seen somewhere along it.
+    bridged; a piece must be long enough, and most of its height slices must be seen somewhere along it. Bands of up to 126 slices (12.6 m) are handled.
     """
     slices = F.greatest(F.round((C("high") - C("low")) / p.height_cell).cast("int"), F.lit(1))
     s = near.join(bands, "capture_id").withColumn("slices", slices).withColumn("slice", F.floor((C("y") - C("low")) / p.height_cell).cast("int")).withColumn("cell", F.floor(C("along") / p.along_cell).cast("long"))
     clipped = F.greatest(F.lit(0), F.least(C("slices") - 1, C("slice")))
     keys = ["capture_id", "axis", "spike"]
-    seen = s.groupBy(*keys, "slices", "cell").agg(F.count_distinct(clipped).alias("n"), F.collect_set(F.when((C("slice") >= 0) & (C("slice") < C("slices")), C("slice"))).alias("held"))
+    # sets of slices are the bits of two numbers
+    bit = lambda n, word: F.when((n >= 63 * word) & (n < 63 * word + 63), F.call_function("shiftleft", F.lit(1).cast("long"), n - 63 * word)).otherwise(F.lit(0).cast("long"))
+    held = F.when((C("slice") >= 0) & (C("slice") < C("slices")), C("slice")).otherwise(-1)
+    seen = s.groupBy(*keys, "slices", "cell").agg(*[F.bit_or(bit(clipped, i)).alias(f"any{i}") for i in (0, 1)], *[F.bit_or(bit(held, i)).alias(f"held{i}") for i in (0, 1)])
+    size = lambda name: F.bit_count(C(f"{name}0")) + F.bit_count(C(f"{name}1"))
     w = Window.partitionBy(*keys).orderBy("cell")
-    solid = seen.where(C("n") >= p.min_cell_cover * C("slices"))
-    new = F.coalesce((C("cell") - F.lag("cell").over(w) > p.max_gap_cells + 1).cast("int"), F.lit(1))
-    piece = solid.withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    bounds = piece.groupBy(*keys, "slices", "run").agg(F.min("cell").alias("first"), F.max("cell").alias("last"))
-    # height slices seen anywhere along the piece, in thin cells too
-    inside = seen.drop("slices").join(bounds, keys).where((C("cell") >= C("first")) & (C("cell") <= C("last")))
-    cover = inside.groupBy(*keys, "slices", "run", "first", "last").agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"))
-    cover = cover.withColumn("height_cover", F.size("held") / C("slices"))
+    solid = seen.withColumn("at", F.when(size("any") >= p.min_cell_cover * C("slices"), C("cell")))
+    before = F.last("at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("at", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    solid = solid.withColumns({"before": before, "after": after})
+    new = C("at").isNotNull() & (C("before").isNull() | (C("cell") - C("before") > p.max_gap_cells + 1))
+    piece = solid.withColumn("run", F.sum(new.cast("int")).over(w))
+    # thin cells between two of a piece count for its slices
+    inside = piece.where(C("at").isNotNull() | (C("after") - C("before") <= p.max_gap_cells + 1))
+    cover = inside.groupBy(*keys, "slices", "run").agg(F.min("at").alias("first"), F.max("at").alias("last"), *[F.bit_or(f"held{i}").alias(f"held{i}") for i in (0, 1)])
+    cover = cover.withColumn("height_cover", size("held") / C("slices"))
     return cover.where(((C("last") + 1 - C("first")) * p.along_cell >= p.min_length - 1e-9) & (C("height_cover") >= p.min_height_cover)).select(*keys, "run", "first", "last", "height_cover")
 
 
-def find_walls(band: DataFrame, spikes: DataFrame, bands: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Walls of each capture, numbered by axis, spike and run: wall_idx, axis, position, start, end, length, points, height_cover, prominence.
+def rated_runs(band: DataFrame, spikes: DataFrame, bands: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Runs with position, points and prominence, as ``find_walls`` has them, before those that don't stand out are dropped.
 
-    Position is the median of the points within 3 cm of the spike along the run. Prominence compares the density within 2 cm of the position with that
-    of the bands 4 to 7 cm off; walls that don't stand out are dropped.
+    The points near spikes are found once, written, and read for each of the three steps.
     """
-    found = runs(near_spikes(band, spikes, p.wall_reach, p), bands, p)
+    wide = written(near_spikes(band, spikes, WIDE, p), "near")
+    near = wide.where(F.abs(C("across") - C("centre")) <= p.wall_reach)
+    found = runs(near, bands, p)
     keys = ["capture_id", "axis", "spike"]
     start, end = C("first") * p.along_cell, (C("last") + 1) * p.along_cell
-    near = near_spikes(band, spikes, p.wall_reach, p).join(found, keys).where((C("along") >= start) & (C("along") <= end))
-    placed = near.groupBy(*keys, "run", "first", "last", "height_cover").agg(F.median("across").alias("position"), F.count("*").alias("points"))
+    on = near.join(found, keys).where((C("along") >= start) & (C("along") <= end))
+    placed = written(on.groupBy(*keys, "run", "first", "last", "height_cover").agg(F.median("across").alias("position"), F.count("*").alias("points")), "placed")
     # all band points along the wall, up to 7 cm from its position, which is up to 3 cm from the spike
-    wide = near_spikes(band, spikes, 0.10, p).join(placed, keys).where((C("along") >= start) & (C("along") <= end))
     o = C("across") - C("position")
     n = lambda when: F.sum(when.cast("int"))
     sides = F.greatest(n((o >= -0.07) & (o <= -0.04)) / 3, n((o >= 0.04) & (o <= 0.07)) / 3, F.lit(1.0))
-    rated = wide.groupBy(*keys, "run", "first", "last", "height_cover", "position", "points").agg((n(F.abs(o) <= 0.02) / 4 / sides).alias("prominence")).where(C("prominence") >= p.min_prominence)
+    along = wide.join(placed, keys).where((C("along") >= start) & (C("along") <= end))
+    return along.groupBy(*keys, "run", "first", "last", "height_cover", "position", "points").agg((n(F.abs(o) <= 0.02) / 4 / sides).alias("prominence"))
+
+
+def find_walls(band: DataFrame, spikes: DataFrame, bands: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Walls of each capture, numbered by axis, spike and run: wall_idx, axis, position, start, end, length, points, height_cover, prominence.
+
+    Position is the median of the points within 3 cm of the spike along the run. Prominence compares the density within 2 cm of the position with that
+    of the bands 4 to 7 cm off; walls that don't stand out are dropped.
+    """
+    rated = rated_runs(band, spikes, bands, p).where(C("prominence") >= p.min_prominence)
+    start, end = C("first") * p.along_cell, (C("last") + 1) * p.along_cell
     order = Window.partitionBy("capture_id").orderBy("axis", "spike", "run")
     return rated.select(
         "capture_id", (F.row_number().over(order) - 1).cast("int").alias("wall_idx"), "axis", F.round("position", 4).alias("position"), F.round(start, 3).alias("start"), F.round(end, 3).alias("end"),
@@ -145,8 +167,8 @@ def plan_summary(rooms: DataFrame, walls: DataFrame) -> DataFrame:
 
 def touched_rooms(walls: DataFrame, cells: DataFrame, side: float = 0.12, p: Params = DEFAULTS) -> DataFrame:
     """Rooms on either side of a wall: five points inside it, 12 cm across. Cells are those of the grid that begins at 0."""
-    n = F.sequence(F.lit(1), F.lit(5))
-    s = walls.select("capture_id", "wall_idx", "axis", "position", (C("start") + F.explode(n) * (C("end") - C("start")) / 6).alias("along"))
+    places = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda n: C("start") + n * (C("end") - C("start")) / 6)
+    s = walls.select("capture_id", "wall_idx", "axis", "position", F.explode(places).alias("along"))
     s = s.withColumn("across", F.explode(F.array(C("position") - side, C("position") + side)))
     x, z = F.when(C("axis") == "x", C("across")).otherwise(C("along")), F.when(C("axis") == "x", C("along")).otherwise(C("across"))
     at = s.select("capture_id", "wall_idx", F.floor(z / p.grid).cast("int").alias("row"), F.floor(x / p.grid).cast("int").alias("col"))
@@ -177,24 +199,32 @@ def surviving_openings(openings: DataFrame, renamed: DataFrame) -> DataFrame:
 def bounding_walls(walls: DataFrame, cells: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Walls that bound rooms: capture_id, room_id, wall_idx, axis, side ('low' or 'high'), position, points, overlap; the longest of each side, of equals the later wall.
 
-    A wall is walked in steps of one cell; a step touches a room on a side if one of the three cells there is the room's. It bounds the room where half of
-    its touching steps and more touch on one side only, and at most a tenth of the room's cells lies more than 15 cm beyond it.
+    A wall is walked in steps of one cell over the stretch that it shares with the room's extent; a step touches the room on a side if one of the points 5, 10 and
+    15 cm across is in it. It bounds the room where half of these steps or more touch on one side only, and at most a tenth of the room's
+    cells lies more than 15 cm beyond it.
     """
-    step = F.explode(F.sequence(F.ceil(C("start") / p.grid - 0.5).cast("int"), (F.ceil(C("end") / p.grid - 0.5) - 1).cast("int"))).alias("k")
-    s = walls.where(C("end") - C("start") >= p.grid).select("capture_id", "wall_idx", "axis", "position", "points", step)
-    s = s.withColumn("i", F.explode(F.sequence(F.lit(-3), F.lit(3)))).where("i <> 0")
-    across = F.floor(C("position") / p.grid + F.when(C("i") > 0, C("i") - 1).otherwise(C("i"))).cast("int")
-    s = s.select("capture_id", "wall_idx", "axis", "position", "points", "k", (C("i") > 0).alias("above"), F.when(C("axis") == "x", C("k")).otherwise(across).alias("row"), F.when(C("axis") == "x", across).otherwise(C("k")).alias("col"))
+    extent = cells.groupBy("capture_id", "room_id").agg(*[f(c).alias(f"{n}_{c}") for c in ("row", "col") for n, f in (("low", F.min), ("high", F.max))])
+    by_row = C("axis") == "x"  # a wall of constant x runs along the rows
+    low, high = (F.when(by_row, C(f"{n}_row")).otherwise(C(f"{n}_col")) for n in ("low", "high"))
+    pairs = walls.select("capture_id", "wall_idx", "axis", "position", "points", "start", "end").join(extent, "capture_id")
+    pairs = pairs.withColumn("lo", F.greatest(C("start"), low * p.grid)).withColumn("hi", F.least(C("end"), (high + 1) * p.grid)).where(C("hi") - C("lo") >= p.along_cell - 1e-9)
+    # steps stand half a cell after the stretch begins
+    count = F.greatest(F.ceil((C("hi") - C("lo") - p.along_cell / 2) / p.along_cell - 1e-9).cast("int"), F.lit(1))
     keys = ["capture_id", "room_id", "wall_idx", "axis", "position", "points"]
-    steps = s.join(cells, ["capture_id", "row", "col"]).groupBy(*keys, "k").agg(F.bool_or("above").alias("up"), F.bool_or(~C("above")).alias("down"))
+    pairs = pairs.select(*keys, "lo", count.alias("steps"))
+    s = pairs.withColumn("k", F.explode(F.sequence(F.lit(0), C("steps") - 1))).withColumn("i", F.explode(F.array(*[F.lit(i) for i in (-3, -2, -1, 1, 2, 3)])))
+    along = F.floor((C("lo") + (C("k") + 0.5) * p.along_cell) / p.grid).cast("int")
+    across = F.floor((C("position") + C("i") * p.grid) / p.grid).cast("int")
+    s = s.select(*keys, "steps", "k", (C("i") > 0).alias("above"), F.when(by_row, along).otherwise(across).alias("row"), F.when(by_row, across).otherwise(along).alias("col"))
+    steps = s.join(cells, ["capture_id", "room_id", "row", "col"]).groupBy(*keys, "steps", "k").agg(F.bool_or("above").alias("up"), F.bool_or(~C("above")).alias("down"))
     # the wall is the room's low side if the room is above it
-    sides = steps.groupBy(*keys).agg(F.count("*").alias("n"), F.sum((C("up") & ~C("down")).cast("int")).alias("low"), F.sum((C("down") & ~C("up")).cast("int")).alias("high"))
-    side = F.when(C("low") >= 0.5 * C("n"), "low").when(C("high") >= 0.5 * C("n"), "high")
+    sides = steps.groupBy(*keys, "steps").agg(F.sum((C("up") & ~C("down")).cast("int")).alias("low"), F.sum((C("down") & ~C("up")).cast("int")).alias("high"))
+    side = F.when(C("low") >= p.min_side_overlap * C("steps"), "low").when(C("high") >= p.min_side_overlap * C("steps"), "high")
     sides = sides.withColumn("side", side).where("side is not null")
-    centre = (F.when(C("axis") == "x", C("col")).otherwise(C("row")) + 0.5) * p.grid
-    beyond = F.when(C("side") == "low", centre < C("position") - p.align_tolerance).otherwise(centre > C("position") + p.align_tolerance)
-    ok = sides.join(cells, ["capture_id", "room_id"]).groupBy(*keys, "side", "low", "high").agg(F.avg(beyond.cast("double")).alias("beyond")).where(C("beyond") <= 0.1)
-    length = F.greatest("low", "high") * p.grid
+    centre = (F.when(by_row, C("col")).otherwise(C("row")) + 0.5) * p.grid
+    beyond = F.when(C("side") == "low", centre < C("position") - p.side_reach).otherwise(centre > C("position") + p.side_reach)
+    ok = sides.join(cells, ["capture_id", "room_id"]).groupBy(*keys, "side", "low", "high").agg(F.avg(beyond.cast("double")).alias("beyond")).where(C("beyond") <= p.max_beyond)
+    length = F.when(C("side") == "low", C("low")).otherwise(C("high")) * p.along_cell
     best = ok.withColumn("overlap", length).groupBy("capture_id", "room_id", "axis", "side").agg(F.max_by(F.struct("wall_idx", "position", "points", "overlap"), F.struct("overlap", "wall_idx")).alias("b"))
     return best.select("capture_id", "room_id", "axis", "side", "b.*")
 
@@ -220,26 +250,54 @@ def measure_rooms(cells: DataFrame, bounds: DataFrame, drift: DataFrame, p: Para
     (w, sw), (length, sl) = span("x"), span("z")
     full = C("area_rough") >= p.rectangle_fill * w * length
     rect = F.hypot(length * sw, w * sl)
-    area_sigma = F.when(full, rect).otherwise(F.hypot(rect, (w + length) * 2 * p.missing_side_sigma / 2))
-    return r.select("capture_id", "room_id", F.coalesce("sides", F.lit(0)).alias("sides"), "area_rough", w.alias("width"), (2 * sw).alias("width_pm95"), length.alias("length"), (2 * sl).alias("length_pm95"), F.when(full, w * length).otherwise(C("area_rough")).alias("floor_area"), (2 * area_sigma).alias("area_pm95"))
+    area_sigma = F.when(full, rect).otherwise(F.hypot(rect, (w + length) * 2 * p.grid / 2))
+    return r.select("capture_id", "room_id", F.coalesce("sides", F.lit(0)).alias("sides"), "area_rough", w.alias("width"), (2 * sw).alias("width_pm95"), length.alias("length"), (2 * sl).alias("length_pm95"), F.when(full, w * length).otherwise(C("area_rough")).alias("floor_area"), (2 * area_sigma).alias("area_pm95"), F.when(full, "rectangular").otherwise("not rectangular").alias("shape"), *[at(x).alias(x) for x in names], *[C(x).isNotNull().alias(f"{x}_found") for x in names])
 
 
 def room_heights(points: DataFrame, cells: DataFrame, levels: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Floor and ceiling of each room: floor_y, floor_points, ceiling_y, ceiling_seen. ``points`` have row and col.
+    """Floor and ceiling of each room: floor_y, floor_points, ceiling_y, ceiling_seen, other_y, other_seen, note. ``points`` have row and col.
 
-    The floor is the median of the points within 8 cm of the capture's, if there are 100. The ceiling is the fullest 2 cm shelf 1.8 m and more above it whose 3 cm
-    around are seen in a quarter of the room's cells; it is the median of these points.
+    The floor is the median of the points within 8 cm of the capture's, if there are 100. Points 1.8 m and more above it are counted by shelves of 2 cm, from
+    the lowest of them on; the ten fullest (of equals the higher) are looked at in turn, and one within 10 cm of a level that was taken is part of that. A level
+    is the median of the points within 3 cm of the shelf's middle, and is seen in the share of the room's cells that hold such a point. The first
+    is the ceiling, if it is seen in a quarter of the room; the first further one that is seen in a tenth is another level of it.
     """
+    room = ["capture_id", "room_id"]
     inside = points.join(cells, ["capture_id", "row", "col"]).join(levels.select("capture_id", C("floor_y").alias("rough")), "capture_id")
     near = F.when(F.abs(C("y") - C("rough")) <= 0.08, C("y"))
-    floors = inside.groupBy("capture_id", "room_id", "rough").agg(F.median(near).alias("m"), F.count(near).alias("floor_points"))
-    floors = floors.select("capture_id", "room_id", "floor_points", F.when(C("floor_points") >= 100, C("m")).otherwise(C("rough")).alias("floor_y"))
-    size = cells.groupBy("capture_id", "room_id").agg(F.count("*").alias("size"))
-    high = inside.join(floors, ["capture_id", "room_id"]).where(C("y") >= C("floor_y") + p.min_ceiling_gap)
-    shelves = high.groupBy("capture_id", "room_id", F.floor((C("y") - C("floor_y")) / p.level_bin).cast("int").alias("shelf")).agg(F.count("*").alias("n"))
-    top = shelves.withColumn("k", F.row_number().over(Window.partitionBy("capture_id", "room_id").orderBy(F.desc("n"), F.desc("shelf")))).where("k <= 10")
-    at = top.join(high, ["capture_id", "room_id"]).withColumn("centre", C("floor_y") + (C("shelf") + 0.5) * p.level_bin).where(F.abs(C("y") - C("centre")) <= 0.03)
-    seen = at.groupBy("capture_id", "room_id", "k").agg(F.median("y").alias("ceiling_y"), F.count_distinct("row", "col").alias("cells")).join(size, ["capture_id", "room_id"])
-    seen = seen.withColumn("ceiling_seen", C("cells") / C("size")).where(C("ceiling_seen") >= 0.25)
-    best = seen.groupBy("capture_id", "room_id").agg(F.min_by(F.struct("ceiling_y", "ceiling_seen"), "k").alias("c"))
-    return floors.join(best, ["capture_id", "room_id"], "left").select("capture_id", "room_id", "floor_y", "floor_points", "c.ceiling_y", "c.ceiling_seen")
+    floors = inside.groupBy(*room, "rough").agg(F.median(near).alias("m"), F.count(near).alias("floor_points"))
+    floors = floors.select(*room, "floor_points", F.when(C("floor_points") >= 100, C("m")).otherwise(C("rough")).alias("floor_y"))
+    size = cells.groupBy(*room).agg(F.count("*").alias("size"))
+    high = written(inside.join(floors, room).where(C("y") >= C("floor_y") + p.min_ceiling_gap).select(*room, "y", "row", "col"), "high")
+    lowest = high.groupBy(*room).agg(F.min("y").alias("base"), F.count("*").alias("high_points")).where("high_points >= 100")
+    # a point on the bound of two shelves is of the upper one
+    shelves = high.join(lowest, room).groupBy(*room, "base", F.floor((C("y") - C("base")) / p.level_bin + 1e-9).cast("int").alias("shelf")).agg(F.count("*").alias("n"))
+    top = shelves.withColumn("k", F.row_number().over(Window.partitionBy(*room).orderBy(F.desc("n"), F.desc("shelf")))).where("k <= 10").withColumn("centre", C("base") + (C("shelf") + 0.5) * p.level_bin)
+    at = top.join(high, room).where(F.abs(C("y") - C("centre")) <= 0.03)
+    seen = at.groupBy(*room, "k", "centre").agg(F.median("y").alias("level"), F.count_distinct("row", "col").alias("cells")).join(size, room)
+    looked = seen.groupBy(*room).agg(F.sort_array(F.collect_list(F.struct("k", "centre", "level", (C("cells") / C("size")).alias("seen")))).alias("looked"))
+    # at most ten shelves a room, one after another
+    taken = F.aggregate("looked", F.slice("looked", 1, 1), lambda held, x: F.when(F.exists(held, lambda y: F.abs(x["centre"] - y["level"]) < p.level_apart), held).otherwise(F.concat(held, F.array(x))))
+    levels_of = looked.withColumn("taken", taken)
+    first = F.get("taken", F.lit(0))
+    other = F.get(F.filter(F.slice("taken", 2, 9), lambda x: x["seen"] >= p.min_second_seen), F.lit(0))
+    told = levels_of.select(*room, first["level"].alias("level"), first["seen"].alias("ceiling_seen"), other["level"].alias("other_y"), other["seen"].alias("other_seen"))
+    enough = C("ceiling_seen") >= p.min_ceiling_seen
+    note = F.when(C("ceiling_seen").isNull(), "ceiling not seen").when(~enough, F.concat(F.lit("ceiling seen over only "), F.round(C("ceiling_seen") * 100).cast("int").cast("string"), F.lit("% of the room; not reported")))
+    return floors.join(told, room, "left").select(
+        *room, "floor_y", "floor_points", F.when(enough, C("level")).alias("ceiling_y"), F.coalesce("ceiling_seen", F.lit(0.0)).alias("ceiling_seen"),
+        F.when(enough, C("other_y")).alias("other_y"), F.when(enough, C("other_seen")).alias("other_seen"), note.alias("note"))
+
+
+def ceiling_heights(heights: DataFrame, drift: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Ceiling over the floor with its 95 % range, wider where less than half of the ceiling was seen: capture_id, room_id, ceiling, ceiling_pm95, note."""
+    extra = F.when(C("ceiling_seen") < 0.5, p.low_cover_sigma**2).otherwise(0.0)
+    sigma = F.sqrt(2 * p.surface_sigma**2 + F.pow(F.coalesce("drift_sigma", F.lit(p.min_drift_sigma)), 2) + extra)
+    h = heights.join(drift, "capture_id", "left").withColumn("ceiling", C("ceiling_y") - C("floor_y"))
+    return h.select("capture_id", "room_id", "ceiling", F.when(C("ceiling").isNotNull(), 2 * sigma).alias("ceiling_pm95"), "note")
+
+
+def drift_of_floors(heights: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """drift_sigma of each capture: half of how far the floors of its rooms lie apart, 3 mm at least; of those with 100 points."""
+    known = F.when(C("floor_points") >= 100, C("floor_y"))
+    return heights.groupBy("capture_id").agg(F.greatest(F.coalesce((F.max(known) - F.min(known)) / 2, F.lit(0.0)), F.lit(p.min_drift_sigma)).alias("drift_sigma"))

@@ -49,6 +49,15 @@ class Params:
     door_min: float = 0.6
     door_max: float = 1.2
     align_tolerance: float = 0.15
+    floor_fill: float = 0.30
+    door_split: float = 0.45
+    min_room_area: float = 1.5
+    side_reach: float = 0.15
+    min_side_overlap: float = 0.5
+    max_beyond: float = 0.10
+    level_apart: float = 0.10
+    min_ceiling_seen: float = 0.25
+    min_second_seen: float = 0.10
     nms_iou: float = 0.5
     max_box_share: float = 0.5
     merge_distance: float = 0.5

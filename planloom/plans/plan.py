@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import points as pt
 from ..operators import raster as rs
 from ..operators import walls as wl
+from ..storage import written
 from . import scene
 from .bind import query, rounded, table
 
@@ -16,19 +17,23 @@ C = F.col
 # --- the homes, step by step -------------------------------------------------------------------------------------
 
 
-def _band(spark, sf):
-    p = scene.points(spark, sf)
-    levels = pt.horizontal_levels(p)
-    band = pt.wall_band(p, levels)
+def band_of(p: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """points, levels, wall band and its bounds; the points are written once for all that reads them."""
+    p = written(p, "points")
+    levels = written(pt.horizontal_levels(p), "levels")
     bands = levels.select("capture_id", (C("floor_y") + 0.3).alias("low"), (C("ceiling_y") - 0.3).alias("high"))
-    return p, levels, band, bands
+    return p, levels, pt.wall_band(p, levels), bands
+
+
+def _band(spark, sf):
+    return band_of(scene.points(spark, sf))
 
 
-def walls_of(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """points, levels and walls of the homes."""
-    p, levels, band, bands = _band(spark, sf)
+def walls_of(spark: SparkSession, sf: str, p: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """points, levels and walls of the homes, or of other points."""
+    p, levels, band, bands = band_of(scene.points(spark, sf) if p is None else p)
     # a few walls for each home, used by all that follows
-    return p, levels, wl.find_walls(band, pt.wall_spikes(pt.strips(band)), bands).persist()
+    return p, levels, written(wl.find_walls(band, pt.wall_spikes(pt.strips(band)), bands), "walls")
 
 
 @query("scene_levels", f"""WITH {scene.SCENE_SQL}, m AS (SELECT capture_id, min(y) AS low, median(y) AS middle FROM p GROUP BY 1), c AS (SELECT capture_id, middle, low + (floor((y-low)/0.02::DOUBLE)+0.5::DOUBLE)*0.02::DOUBLE AS centre, count(*) AS n FROM p JOIN m USING (capture_id) GROUP BY ALL)
@@ -83,53 +88,114 @@ def find_walls(spark, sf):
     return walls_of(spark, sf)[2]
 
 
-def _cells(spark, sf, p=None, walls=None, gaps=None):
-    """Room cells of the homes on the grid that begins at 0: closed floor without barriers, parted at doors, in components."""
-    if p is None:
-        p, _, walls = walls_of(spark, sf)
-        gaps = wl.find_gaps(walls)
-    cells = p.select("capture_id", F.floor(C("z") / 0.05).cast("int").alias("row"), F.floor(C("x") / 0.05).cast("int").alias("col")).distinct()
-    closed = rs.close(cells, rs.square(3))
-    line = F.when(C("ax") == C("bx"), "x").otherwise("z")
-    shut = gaps.select("capture_id", line.alias("axis"), F.when(line == "x", C("ax")).otherwise(C("az")).alias("position"), F.when(line == "x", F.least("az", "bz")).otherwise(F.least("ax", "bx")).alias("start"), F.when(line == "x", F.greatest("az", "bz")).otherwise(F.greatest("ax", "bx")).alias("end"))
-    free = rs.subtract(rs.subtract(closed, rs.barrier(walls)), rs.barrier(shut, extend=0.0))
-    seeds = rs.components(free).withColumnRenamed("component_id", "room_id")
-    big = seeds.groupBy("capture_id", "room_id").agg(F.count("*").alias("n")).where("n * 0.0025 >= 1.5").select("capture_id", "room_id")
-    return seeds.join(big, ["capture_id", "room_id"]).persist()
+def _home(spark, sf, points=None):
+    """points with cells, levels, walls, gaps and room cells of the homes, on the grid that begins at 0."""
+    p, levels, walls = walls_of(spark, sf, points)
+    gaps = written(wl.find_gaps(walls), "gaps")
+    p = p.withColumns({"row": F.floor(C("z") / 0.05).cast("int"), "col": F.floor(C("x") / 0.05).cast("int")})
+    line = C("ax") == C("bx")
+    shut = gaps.where("kind = 'wall'").select("capture_id", F.when(line, "x").otherwise("z").alias("axis"), F.when(line, C("ax")).otherwise(C("az")).alias("position"), F.when(line, F.least("az", "bz")).otherwise(F.least("ax", "bx")).alias("start"), F.when(line, F.greatest("az", "bz")).otherwise(F.greatest("ax", "bx")).alias("end"))
+    return p, levels, walls, gaps, written(rs.find_rooms(rs.floor_mask(p, levels), walls, shut), "rooms")
 
 
-@query("scene_gaps")
+@query("scene_gaps", f"""{_FOUND}, eg AS (SELECT capture_id, wall_idx AS u, axis, position, "end" AS pos, 1 AS way FROM walls UNION ALL SELECT capture_id, wall_idx, axis, position, "start", -1 FROM walls),
+jg AS (SELECT e.*, v.wall_idx AS v, CASE WHEN e.axis = v.axis AND abs(e.position - v.position) <= 0.15::DOUBLE THEN CASE WHEN way = 1 THEN v."start" ELSE v."end" END WHEN e.axis <> v.axis AND e.position >= v."start" - 0.15::DOUBLE AND e.position <= v."end" + 0.15::DOUBLE THEN v.position END AS target FROM eg e JOIN walls v ON e.capture_id = v.capture_id AND e.u <> v.wall_idx),
+dg AS (SELECT *, way*(target - pos) AS width FROM jg), ng AS (SELECT * FROM dg WHERE width >= 0 AND width <= 1.2::DOUBLE QUALIFY row_number() OVER (PARTITION BY capture_id, u, way ORDER BY width, v) = 1),
+gp AS (SELECT capture_id, u, way, CASE WHEN axis = 'x' THEN position ELSE pos END AS ax, CASE WHEN axis = 'x' THEN pos ELSE position END AS az, CASE WHEN axis = 'x' THEN position ELSE target END AS bx, CASE WHEN axis = 'x' THEN target ELSE position END AS bz, width FROM ng WHERE width > 0),
+kp AS (SELECT *, [round(ax*10)::BIGINT, round(az*10)::BIGINT] AS a, [round(bx*10)::BIGINT, round(bz*10)::BIGINT] AS b FROM gp)
+SELECT capture_id, round(ax, 3) AS ax, round(az, 3) AS az, round(bx, 3) AS bx, round(bz, 3) AS bz, round(width, 3) AS width, CASE WHEN width >= 0.6::DOUBLE THEN 'door' ELSE 'wall' END AS kind FROM kp QUALIFY row_number() OVER (PARTITION BY capture_id, least(a, b), greatest(a, b) ORDER BY u, way DESC) = 1""")
 def scene_gaps(spark, sf):
-    """Gaps between the homes' walls: a door in each."""
+    """Gaps between the homes' walls: a door in each, and where the inner wall's end is missing."""
     return wl.find_gaps(walls_of(spark, sf)[2])
 
 
-@query("scene_rooms")
+@query("wall_prominence", f"{_FOUND} SELECT capture_id, axis, spike, run::BIGINT AS run, round(prominence, 6) AS prominence FROM z")
+def wall_prominence(spark, sf):
+    """How far runs stand out, those that don't included."""
+    _, _, band, bands = _band(spark, sf)
+    return rounded(wl.rated_runs(band, pt.wall_spikes(pt.strips(band)), bands).select("capture_id", "axis", "spike", "run", "prominence"))
+
+
+def measured(home) -> tuple[DataFrame, DataFrame]:
+    """Measured rooms and their heights, with the drift that their floors tell."""
+    p, levels, walls, _, cells = home
+    heights = written(wl.room_heights(p, cells, levels), "heights")
+    return written(wl.measure_rooms(cells, wl.bounding_walls(walls, cells), wl.drift_of_floors(heights)), "measured"), heights
+
+
+#: The homes' rooms as they were built, for DuckDB: the room of the first cell is the first.
+TRUE_ROOMS = f"{scene.SCENE_SQL}, t AS (SELECT capture_id, unnest([1, 2]) AS room_id, unnest([wide*0.05::DOUBLE, 3.0::DOUBLE]) AS width, deep*0.05::DOUBLE AS length FROM h)"
+
+
+@query("scene_rooms", f"WITH {TRUE_ROOMS} SELECT capture_id, room_id::INT AS room_id, 4::BIGINT AS sides, round(width, 4) AS width, round(length, 4) AS length, round(width*length, 4) AS floor_area, 'rectangular' AS shape FROM t")
 def scene_rooms(spark, sf):
-    """Rooms of the homes with sides, sizes, areas and ranges."""
-    p, levels, walls = walls_of(spark, sf)
-    gaps = wl.find_gaps(walls)
-    cells = _cells(spark, sf, p, walls, gaps)
-    drift = levels.select("capture_id", F.lit(0.003).alias("drift_sigma"))
-    return rounded(wl.measure_rooms(cells, wl.bounding_walls(walls, cells), drift), 4)
+    """Rooms of the homes with sides, sizes and areas, as they were built."""
+    rooms, _ = measured(_home(spark, sf))
+    return rounded(rooms.select("capture_id", "room_id", "sides", "width", "length", "floor_area", "shape"), 4)
+
+
+@query("measure_rooms")
+def measure_rooms(spark, sf):
+    """Rooms of the homes with all ranges and the positions of their sides."""
+    return rounded(measured(_home(spark, sf))[0], 4)
 
 
-@query("scene_heights")
+@query("bounding_walls", f"WITH {TRUE_ROOMS}, s(axis, side) AS (VALUES ('x', 'low'), ('x', 'high'), ('z', 'low'), ('z', 'high')) SELECT t.capture_id, room_id::INT AS room_id, axis, side, round(CASE WHEN axis = 'x' THEN 0.005::DOUBLE + 0.05::DOUBLE*(CASE WHEN room_id = 1 THEN 0 ELSE wide END + CASE WHEN side = 'high' THEN CASE WHEN room_id = 1 THEN wide ELSE 60 END ELSE 0 END) ELSE 0.005::DOUBLE + CASE WHEN side = 'high' THEN length ELSE 0 END END, 4) AS position FROM t JOIN h ON h.capture_id = t.capture_id CROSS JOIN s")
+def bounding_walls(spark, sf):
+    """The walls that bound the homes' rooms, as they were built."""
+    _, _, walls, _, cells = _home(spark, sf)
+    return rounded(wl.bounding_walls(walls, cells).select("capture_id", "room_id", "axis", "side", "position"), 4)
+
+
+@query("wall_rooms", f"WITH {TRUE_ROOMS} SELECT capture_id, room_id::INT AS room_id, CASE WHEN room_id = 1 THEN 5 ELSE 5 END::BIGINT AS n FROM t")
+def wall_rooms(spark, sf):
+    """How many walls touch each of the homes' rooms: four outer ones less that of the other room, and both pieces of the one between them."""
+    _, _, walls, _, cells = _home(spark, sf)
+    return wl.touched_rooms(walls, cells).groupBy("capture_id", "room_id").agg(F.count("*").alias("n"))
+
+
+@query("point_room", f"WITH {scene.SCENE_SQL} SELECT p.capture_id, CASE WHEN x < wide*0.05::DOUBLE THEN 1 ELSE 2 END::INT AS room_id, count(*) AS n FROM p JOIN h USING (capture_id) WHERE y > 2.4::DOUBLE AND x > 0.3::DOUBLE AND abs(x - wide*0.05::DOUBLE) > 0.3::DOUBLE AND x < wide*0.05::DOUBLE + 2.7::DOUBLE AND z > 0.3::DOUBLE AND z < deep*0.05::DOUBLE - 0.3::DOUBLE GROUP BY ALL")
+def point_room(spark, sf):
+    """Ceiling points well inside the homes' rooms, by room."""
+    p, _, _, _, cells = _home(spark, sf)
+    h = scene.homes(spark, sf)
+    w, d = C("wide") * 0.05, C("deep") * 0.05
+    well = p.join(h, "capture_id").where((C("y") > 2.4) & (C("x") > 0.3) & (F.abs(C("x") - w) > 0.3) & (C("x") < w + 2.7) & (C("z") > 0.3) & (C("z") < d - 0.3))
+    return well.join(cells, ["capture_id", "row", "col"]).groupBy("capture_id", "room_id").agg(F.count("*").alias("n"))
+
+
+@query("scene_heights", f"WITH {TRUE_ROOMS} SELECT capture_id, room_id::INT AS room_id, 0.003::DOUBLE AS floor_y, 2.503::DOUBLE AS ceiling_y, NULL::DOUBLE AS other_y, NULL::VARCHAR AS note FROM t")
 def scene_heights(spark, sf):
-    """Floors and ceilings of the homes' rooms."""
-    p, levels, walls = walls_of(spark, sf)
-    placed = p.withColumns({"row": F.floor(C("z") / 0.05).cast("int"), "col": F.floor(C("x") / 0.05).cast("int")})
-    return rounded(wl.room_heights(placed, _cells(spark, sf, p, walls, wl.find_gaps(walls)), levels))
+    """Floors and ceilings of the homes' rooms, as they were built."""
+    p, levels, _, _, cells = _home(spark, sf)
+    return rounded(wl.room_heights(p, cells, levels).select("capture_id", "room_id", "floor_y", "ceiling_y", "other_y", "note"))
+
 
+@query("room_heights")
+def room_heights(spark, sf):
+    """Floors and ceilings of the homes' rooms, with how much of them was seen, and heights with their ranges."""
+    p, levels, _, _, cells = _home(spark, sf)
+    heights = written(wl.room_heights(p, cells, levels), "heights")
+    tall = wl.ceiling_heights(heights, wl.drift_of_floors(heights)).drop("note")
+    return rounded(heights.join(tall, ["capture_id", "room_id"]))
 
-@query("scene_adjacency")
+
+def numbered_gaps(gaps: DataFrame) -> DataFrame:
+    return gaps.withColumn("gap_idx", F.row_number().over(Window.partitionBy("capture_id").orderBy("ax", "az", "bx", "bz")).cast("int"))
+
+
+@query("door_rooms", f"WITH {scene.SCENE_SQL} SELECT capture_id, unnest(CASE WHEN capture_id % 4 = 1 THEN [1, 2] ELSE [1] END)::INT AS gap_idx, [1, 2]::INT[] AS rooms FROM h")
+def door_rooms(spark, sf):
+    """Rooms on both sides of the homes' doors, of which one is the missing end of a wall in some."""
+    _, _, _, gaps, cells = _home(spark, sf)
+    return wl.door_rooms(numbered_gaps(gaps), cells)
+
+
+@query("scene_adjacency", f"WITH {scene.SCENE_SQL} SELECT capture_id, 1::INT AS a, 2::INT AS b, unnest(CASE WHEN capture_id % 4 = 1 THEN [1, 2] ELSE [1] END)::INT AS via FROM h")
 def scene_adjacency(spark, sf):
     """Rooms that a door joins."""
-    p, _, walls = walls_of(spark, sf)
-    gaps = wl.find_gaps(walls)
-    cells = _cells(spark, sf, p, walls, gaps)
-    numbered = gaps.withColumn("gap_idx", F.row_number().over(Window.partitionBy("capture_id").orderBy("ax", "az", "bx", "bz")).cast("int"))
-    return wl.adjacency(wl.door_rooms(numbered, cells))
+    _, _, _, gaps, cells = _home(spark, sf)
+    return wl.adjacency(wl.door_rooms(numbered_gaps(gaps), cells))
 
 
 @query("wall_spread", f"{_FOUND}, sp AS (SELECT w.capture_id, wall_idx, stddev_pop(across - position) AS spread FROM walls w JOIN (SELECT capture_id, 'x' AS axis, x AS across, z AS along FROM p UNION ALL SELECT capture_id, 'z', z, x FROM p) a ON w.capture_id = a.capture_id AND w.axis = a.axis AND abs(across - position) <= 0.05::DOUBLE AND along BETWEEN \"start\" AND \"end\" WHERE length >= 1 GROUP BY ALL HAVING count(*) > 100) SELECT capture_id, round(median(spread), 6) AS wall_spread, count(*) AS walls FROM sp GROUP BY 1")

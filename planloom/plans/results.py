@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -13,7 +13,10 @@ from ..operators import points as pt
 from ..operators import results as rs
 from ..operators import walls as wl
 from ..sources import captures as sc
+from ..storage import written
 from ..streaming import twins
+from . import plan as pl
+from . import scene
 from .bind import FRAMES_SQL, POINTS_SQL, VECTORS_SQL, frames, points, query, rounded, table, vectors
 from .plan import _OUT, _W, _outlines, _walls
 
@@ -29,10 +32,25 @@ def rect_outline(spark, sf):
 _EDGES = f"WITH {_OUT}, n AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(z) OVER w, first_value(z) OVER w) AS nz FROM c WINDOW w AS (PARTITION BY room ORDER BY k)), e AS (SELECT room, k, CASE WHEN abs(nx-x) >= abs(nz-z) THEN 'z' ELSE 'x' END AS axis, CASE WHEN abs(nx-x) >= abs(nz-z) THEN (z+nz)/2 ELSE (x+nx)/2 END AS level, sqrt((nx-x)*(nx-x)+(nz-z)*(nz-z)) AS length FROM n)"
 
 
-@query("edge_merge", f"{_EDGES} SELECT room, k::INT AS k, axis, round(level, 6) AS level, round(length, 6) AS length FROM e")
+_STEPS = "SELECT p_partkey AS room, unnest([0,1,2,3,4,5,6]) AS k, p_size/10.0::DOUBLE + 2 AS a, p_retailprice/997 AS b FROM part"
+
+
+def _stepped(spark, sf) -> DataFrame:
+    """Outlines that begin in the middle of their first side, which has a small step, as a traced floor's sides do."""
+    a, b = C("p_size") / 10.0 + 2, C("p_retailprice") / 997
+    step = F.lit(0.06)
+    corners = [(a / 2, F.lit(0.0)), (a - 0.5, step), (a, step), (a, b), (a / 3, b), (F.lit(0.0), b + step), (F.lit(0.0), F.lit(0.0))]
+    return table(spark, sf, "part").select(C("p_partkey").alias("room"), F.posexplode(F.array(*[F.struct(x.cast("double").alias("x"), z.cast("double").alias("z")) for x, z in corners])).alias("k", "c")).select("room", "k", "c.x", "c.z")
+
+
+@query("edge_merge", f"""WITH o AS ({_STEPS}), c AS (SELECT room, k, [a/2, a-0.5::DOUBLE, a, a, a/3, 0.0::DOUBLE, 0.0::DOUBLE][k+1] AS x, [0.0::DOUBLE, 0.06::DOUBLE, 0.06::DOUBLE, b, b, b+0.06::DOUBLE, 0.0::DOUBLE][k+1] AS z FROM o),
+n AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(z) OVER w, first_value(z) OVER w) AS nz FROM c WINDOW w AS (PARTITION BY room ORDER BY k)),
+e AS (SELECT room, k, CASE WHEN abs(nx-x) >= abs(nz-z) THEN 'z' ELSE 'x' END AS axis, CASE WHEN abs(nx-x) >= abs(nz-z) THEN (z+nz)/2 ELSE (x+nx)/2 END AS level, sqrt((nx-x)*(nx-x)+(nz-z)*(nz-z)) AS length FROM n),
+s AS (SELECT *, CASE k WHEN 6 THEN 0 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 2 ELSE 3 END AS side FROM e)
+SELECT room, side::INT AS k, any_value(axis) AS axis, round(sum(level*length)/sum(length), 6) AS level, round(sum(length), 6) AS length FROM s GROUP BY room, side""")
 def edge_merge(spark, sf):
-    """Edges of rectangles, which have no two of an axis in a row."""
-    return rounded(ol.merge_edges(ol.edges(_outlines(spark, sf), ["room"]), ["room"]).select("room", "k", "axis", "level", "length"))
+    """Edges of outlines whose sides are in pieces, the first one across the outline's end."""
+    return rounded(ol.merge_edges(ol.edges(_stepped(spark, sf), ["room"]), ["room"]).select("room", "k", "axis", "level", "length"))
 
 
 @query("edge_snap", f"""{_EDGES}, w AS (SELECT room, axis, k AS wall_idx, level + ((room + k*7) % 5 - 2)*0.097::DOUBLE AS position FROM e), m AS (SELECT e.room, e.k, e.axis, e.level, e.length, w.position FROM e LEFT JOIN w ON e.room = w.room AND e.axis = w.axis AND abs(w.position - e.level) <= 0.15::DOUBLE QUALIFY row_number() OVER (PARTITION BY e.room, e.k ORDER BY abs(w.position - e.level) NULLS LAST, w.wall_idx) = 1)
@@ -98,10 +116,14 @@ def room_match(spark, sf):
     return rounded(ol.match_rooms(ol.room_iou(*_plans(spark, sf))))
 
 
-@query("rooms_only_in_one")
+@query("rooms_only_in_one", "WITH m AS (SELECT o_custkey % 50 AS capture_id, o_custkey % 7 AS room_id FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL), n AS (SELECT o_custkey % 50 AS capture_id, o_custkey % 7 AS room_id FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL), a AS (SELECT * FROM m WHERE (capture_id + room_id) % 3 > 0), b AS (SELECT * FROM n WHERE (capture_id + room_id) % 4 > 0) SELECT capture_id, room_id, 'a' AS plan FROM a ANTI JOIN b USING (capture_id, room_id) UNION ALL SELECT capture_id, room_id, 'b' FROM b ANTI JOIN a USING (capture_id, room_id)")
 def rooms_only_in_one(spark, sf):
-    a, b = _plans(spark, sf)
-    return ol.only_in_one(a, b, ol.match_rooms(ol.room_iou(a, b)))
+    """Rooms that only one of two plans has; rooms of one number match here."""
+    o = table(spark, sf, "orders").select((C("o_custkey") % 50).alias("capture_id"), (C("o_custkey") % 7).alias("room_id"), C("o_orderkey").alias("k"))
+    a = o.where("k % 2 = 0 and (capture_id + room_id) % 3 > 0").select("capture_id", "room_id").distinct()
+    b = o.where("k % 3 = 0 and (capture_id + room_id) % 4 > 0").select("capture_id", "room_id").distinct()
+    matches = a.join(b, ["capture_id", "room_id"]).select("capture_id", C("room_id").alias("a"), C("room_id").alias("b"))
+    return ol.only_in_one(a, b, matches)
 
 
 _ALIGN = "a AS (SELECT DISTINCT s_suppkey % 10 AS capture_id, s_suppkey * 37 % 61 AS row, s_suppkey * 53 % 67 AS col FROM supplier), b AS (SELECT capture_id, -col + 3 AS row, row - 2 AS col FROM a WHERE (row + col) % 5 > 0)"
@@ -136,42 +158,67 @@ def openings(spark, sf):
     return w.select("capture_id", "wall_idx", "m.value", "m.pm95")
 
 
-@query("plan_summary", f"WITH {_W}, r AS (SELECT capture_id, count(*) AS walls, sum((length >= 1)::INT)::BIGINT AS long_walls FROM w GROUP BY 1), d AS (SELECT a.capture_id, count(*) AS doubles FROM w a JOIN w b ON a.capture_id = b.capture_id AND a.axis = b.axis AND a.wall_idx < b.wall_idx WHERE abs(a.position - b.position) BETWEEN 0.02::DOUBLE AND 0.08::DOUBLE AND least(a.\"end\", b.\"end\") - greatest(a.\"start\", b.\"start\") >= 0.5::DOUBLE GROUP BY 1) SELECT capture_id, 1::BIGINT AS rooms, 0.0::DOUBLE AS floor_spread, 10.0::DOUBLE AS footprint, walls, long_walls, coalesce(doubles, 0) AS doubles FROM r LEFT JOIN d USING (capture_id)")
+def _summary(spark, sf, points=None) -> DataFrame:
+    """Plan summary of the homes from their measured rooms."""
+    home = pl._home(spark, sf, points)
+    rooms, heights = pl.measured(home)
+    r = rooms.select("capture_id", "room_id", C("floor_area").alias("area")).join(heights.select("capture_id", "room_id", "floor_y"), ["capture_id", "room_id"])
+    return wl.plan_summary(r, home[2])
+
+
+_SUMMARY = "2::BIGINT AS rooms, round(length*(wide*0.05::DOUBLE + 3), 4) AS footprint, 6::BIGINT AS walls, (CASE WHEN h.capture_id % 4 = 1 THEN 4 ELSE 5 END)::BIGINT AS long_walls, 0::BIGINT AS doubles FROM t JOIN h USING (capture_id) WHERE room_id = 1"
+
+
+@query("plan_summary", f"WITH {pl.TRUE_ROOMS} SELECT capture_id, 0.0::DOUBLE AS floor_spread, {_SUMMARY}")
 def plan_summary(spark, sf):
-    w = _walls(spark, sf)
-    rooms = w.select("capture_id").distinct().withColumns({"floor_y": F.lit(0.1), "area": F.lit(10.0)})
-    return wl.plan_summary(rooms, w)
+    """What the plans of the homes have, as they were built."""
+    return rounded(_summary(spark, sf), 4)
+
 
+_MODES = "CROSS JOIN (VALUES ('off', 0.017::DOUBLE), ('on', 0.0::DOUBLE)) m(mode, spread) WHERE"
 
-@query("drift_ablation")
+
+@query("drift_ablation", f"WITH {pl.TRUE_ROOMS} SELECT mode, capture_id, spread AS floor_spread, {_SUMMARY.replace('WHERE', _MODES)}")
 def drift_ablation(spark, sf):
-    """Plan summaries with and without drift correction, side by side."""
-    w = _walls(spark, sf)
-    rooms = w.select("capture_id", (C("wall_idx") % 3).alias("r")).distinct().withColumns({"floor_y": C("r") * 0.01, "area": F.lit(10.0)})
-    on = rooms.withColumn("floor_y", C("floor_y") / 4)
-    return wl.plan_summary(rooms, w).withColumn("mode", F.lit("off")).unionByName(wl.plan_summary(on, w).withColumn("mode", F.lit("on")))
+    """Plan summaries of drifting homes as they are and with their drift corrected, side by side: the floors of the rooms meet again."""
+    p = scene.drifting(spark, sf)
+    on = mo.correct(p, mo.drift_lifts(_drift_cells(spark, sf))).select("capture_id", "x", "y", "z")
+    both = _summary(spark, sf, p.select("capture_id", "x", "y", "z")).withColumn("mode", F.lit("off")).unionByName(_summary(spark, sf, on).withColumn("mode", F.lit("on")))
+    return rounded(both, 4)
 
 
 # --- motion ---
 
 
 def _drift_cells(spark, sf) -> DataFrame:
-    p = points(spark, sf).where("y < 1.3").withColumn("y", C("y") / 50 + C("chunk") * 0.01)
-    return pt.floor_cells(p, ["capture_id", "chunk"])
+    """Floor cells of the drifting homes by chunk, with the capture's floor."""
+    p = scene.drifting(spark, sf)
+    levels = pt.horizontal_levels(p).select("capture_id", C("floor_y").alias("reference"))
+    return pt.floor_cells(p.where("y < 0.3"), ["capture_id", "chunk"]).join(levels, "capture_id")
+
+
+_LIFTS = f"WITH {scene.SCENE_SQL} SELECT {{ident}} AS capture_id, k AS chunk, round(-0.017::DOUBLE*k, 6) + 0.0 AS lift, round(-0.017::DOUBLE*k, 6) + 0.0 AS \"offset\", true AS used FROM h, range(3) r(k)"
 
 
-@query("drift_correct")
+@query("drift_correct", _LIFTS.format(ident="capture_id"))
 def drift_correct(spark, sf):
-    """Lifts of chunks, carried from one to the next."""
+    """Lifts of the drifting homes' chunks, carried from one to the next."""
     return rounded(mo.drift_lifts(_drift_cells(spark, sf)))
 
 
-@query("drift_correct_stream")
+@query("drift_correct_stream", _LIFTS.format(ident="capture_id::VARCHAR"))
 def drift_correct_stream(spark, sf):
     """The same fold over chunks that arrive as a stream, with the floor map as state."""
     return rounded(twins.drift_lifts_stream(_drift_cells(spark, sf)))
 
 
+@query("stays_stream", """WITH e AS (SELECT user_id AS capture_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(new) OVER (PARTITION BY capture_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
+SELECT capture_id, floor(epoch(min(ts)))::BIGINT AS begin, count(*) AS n FROM g GROUP BY capture_id, s""")
+def stays_stream(spark, sf):
+    """Sessions of frames that arrive as a stream."""
+    return twins.stays_stream(spark, sf)
+
+
 @query("similarity")
 def similarity(spark, sf):
     """The similarity between two paths of each label."""
@@ -204,21 +251,25 @@ def piece_up(spark, sf):
 
 
 def _doc_rooms(spark, sf) -> tuple[DataFrame, DataFrame]:
-    s = table(spark, sf, "supplier")
+    """Rooms and captures of which some break the contract."""
+    s, k = table(spark, sf, "supplier"), C("s_suppkey")
     m = lambda v, pm: g.measure(v, pm)
-    rooms = s.select(C("s_nationkey").alias("capture_id"), F.concat(F.lit("R"), C("s_suppkey").cast("string")).alias("id"), F.concat(F.lit("Room "), C("s_suppkey").cast("string")).alias("name"), F.when(C("s_suppkey") % 9 == 0, "blob").otherwise("rectangle").alias("shape"), m(C("s_suppkey") / 7.0, F.lit(0.02)).alias("width"), m(C("s_suppkey") / 5.0, F.lit(0.02)).alias("length"), m(C("s_acctbal") / 100, F.when(C("s_suppkey") % 4 > 0, 0.1)).alias("floor_area"), m(F.when(C("s_suppkey") % 3 > 0, 2.5), F.lit(0.01)).alias("ceiling_height"), (C("s_suppkey") % 5).alias("sides"))
+    shape = F.when(k % 9 == 0, "blob").when(k % 7 == 0, "not rectangular").otherwise("rectangular")
+    rooms = s.select(C("s_nationkey").alias("capture_id"), F.concat(F.lit("R"), k.cast("string")).alias("id"), F.concat(F.lit("Room "), k.cast("string")).alias("name"), shape.alias("shape"), m(k / 7.0, F.lit(0.02)).alias("width"), m(k / 5.0, F.lit(0.02)).alias("length"), m(C("s_acctbal") / 100, F.when(k % 4 > 0, 0.1)).alias("floor_area"), m(F.when(k % 3 > 0, 2.5), F.lit(0.01)).alias("ceiling_height"), (k % 5).alias("sides"))
     captures = s.select(C("s_nationkey").alias("capture_id")).distinct().withColumn("tier", F.when(C("capture_id") % 4 == 0, "lidar").when(C("capture_id") % 4 == 1, "video").when(C("capture_id") % 4 == 2, "photo").otherwise("sketch"))
     return rooms, captures
 
 
-def _warn(rooms: DataFrame) -> DataFrame:
-    return rs.warnings(rooms.select("capture_id", "id", "sides", C("ceiling_height.value").alias("ceiling_seen"), F.when(C("floor_area.value") > 0, C("floor_area.value")).alias("area")))
-
-
-@query("warnings", """WITH m AS (SELECT s_nationkey AS capture_id, sum((s_suppkey % 5 < 4)::INT) AS o, sum((s_suppkey % 3 = 0)::INT) AS l, sum((NOT round(s_acctbal/100, 3) > 0)::INT) AS b FROM supplier GROUP BY 1)
-SELECT capture_id, 1 AS ordinal, o || ' rooms have a side without a wall' AS warning FROM m WHERE o > 0 UNION ALL SELECT capture_id, 2, l || ' rooms have no ceiling in view' FROM m WHERE l > 0 UNION ALL SELECT capture_id, 3, b || ' rooms are not measured' FROM m WHERE b > 0""")
+@query("warnings", """WITH r AS (SELECT s_nationkey AS capture_id, 'R' || s_suppkey AS id, s_suppkey AS k, round(s_acctbal/100, 3) AS area FROM supplier)
+SELECT capture_id, (k*10)::INT AS ordinal, id || ' is not rectangular; its outline is traced from the seen floor and snapped to walls where found.' || CASE WHEN area > 15 THEN ' It may be two spaces merged (no wall or door found between them).' ELSE '' END AS warning FROM r WHERE k % 9 > 0 AND k % 7 = 0
+UNION ALL SELECT capture_id, k*10 + 1, id || ': no wall found on side(s) ' || CASE k % 5 WHEN 1 THEN 'left' WHEN 2 THEN 'left, back' ELSE 'front' END || '; those sides use the edge of the seen floor.' FROM r WHERE k % 5 IN (1, 2, 4)
+UNION ALL SELECT capture_id, k*10 + 2, id || CASE WHEN k % 2 = 0 THEN ': ceiling not seen.' ELSE ': ceiling not measured.' END FROM r WHERE k % 3 = 0""")
 def warnings(spark, sf):
-    return _warn(_doc_rooms(spark, sf)[0])
+    """Warnings of rooms by their shapes, sides and ceilings."""
+    n = F.regexp_extract("id", r"(\d+)", 1).cast("int")
+    missing = F.when(n % 5 == 1, F.array(F.lit("left"))).when(n % 5 == 2, F.array(F.lit("left"), F.lit("back"))).when(n % 5 == 4, F.array(F.lit("front"))).otherwise(F.array().cast("array<string>"))
+    rooms = _doc_rooms(spark, sf)[0]
+    return rs.warnings(rooms.select("capture_id", "id", "shape", C("floor_area.value").alias("area"), missing.alias("missing"), C("ceiling_height.value").alias("ceiling"), F.when(n % 2 == 0, "ceiling not seen").alias("note")))
 
 
 @query("contract_violations", """WITH r AS (SELECT s_nationkey AS capture_id, 'R' || s_suppkey AS item, s_suppkey AS k, round(s_acctbal/100, 3) AS area FROM supplier), c AS (SELECT DISTINCT s_nationkey AS capture_id FROM supplier)
@@ -227,18 +278,50 @@ def contract_violations(spark, sf):
     return rs.violations(*_doc_rooms(spark, sf))
 
 
+def home_document(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Documents of the homes, and what in them breaks the contract (nothing)."""
+    home = pl._home(spark, sf)
+    p, _, walls, gaps, cells = home
+    rooms, heights = pl.measured(home)
+    drift = wl.drift_of_floors(heights)
+    keys, name = ["capture_id", "room_id"], F.concat(F.lit("R"), C("room_id").cast("string"))
+    outline = written(ol.room_walls(rooms, cells, walls, wl.touched_rooms(walls, cells)), "outlines")
+    ring = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    at = F.array(F.round("x", 3), F.round("z", 3))
+    after = F.lead(at).over(Window.partitionBy(*keys).orderBy("k"))
+    sides = outline.withColumns({"start": at, "end": F.coalesce(after, F.first(at).over(ring))})
+    wall = F.struct("k", F.struct(F.concat(name, F.lit("-W"), (C("k") + 1).cast("string")).alias("id"), "start", "end", g.measure(C("length"), C("pm95")).alias("length"), "detected").alias("w"))
+    listed = F.sort_array(F.collect_list(wall))
+    drawn = sides.groupBy(*keys).agg(F.transform(listed, lambda x: x["w"]["start"]).alias("outline"), F.transform(listed, lambda x: x["w"]).alias("walls"))
+    m = lambda value, pm, note=None: g.measure(C(value), C(pm), note)
+    tall = wl.ceiling_heights(heights, drift)
+    full = rooms.join(drawn, keys).join(tall, keys).withColumns({"id": name, "name": F.concat(F.lit("Room "), C("room_id").cast("string")), "w": m("width", "width_pm95"), "l": m("length", "length_pm95"), "a": m("floor_area", "area_pm95"), "ceiling_height": m("ceiling", "ceiling_pm95", C("note"))})
+    full = full.select(*keys, "id", "name", "shape", "outline", C("w").alias("width"), C("l").alias("length"), C("a").alias("floor_area"), "ceiling_height", "walls")
+    doors = written(pl.numbered_gaps(gaps.where("kind = 'door'")), "doors")
+    number = F.concat(F.lit("O"), C("gap_idx").cast("string"))
+    sided = wl.door_rooms(doors, cells)
+    names = F.transform("rooms", lambda r: F.concat(F.lit("R"), r.cast("string")))
+    openings = doors.join(sided, ["capture_id", "gap_idx"]).select("capture_id", number.alias("id"), F.lit("door").alias("type"), F.array("ax", "az").alias("start"), F.array("bx", "bz").alias("end"), g.measure(C("width"), F.lit(2 * 2**0.5 * 0.05 / 12**0.5)).alias("width"), names.alias("rooms"))
+    joined = openings.where(F.size("rooms") == 2).select("capture_id", "rooms", C("id").alias("via"))
+    side_names = {"z_low": "front", "x_high": "right", "z_high": "back", "x_low": "left"}
+    missing = F.filter(F.array(*[F.when(~C(f"{c}_found"), F.lit(said)) for c, said in side_names.items()]), lambda x: x.isNotNull())
+    told = rooms.join(tall, keys).select("capture_id", name.alias("id"), "shape", C("floor_area").alias("area"), missing.alias("missing"), "ceiling", "note")
+    captures = p.select("capture_id").distinct().join(drift.withColumnRenamed("drift_sigma", "drift_sigma_m"), "capture_id", "left").withColumn("tier", F.lit("lidar"))
+    broken = rs.violations(full, captures, openings, joined)
+    return rs.documents(captures, rs.warnings(told), rooms=full.drop("room_id"), openings=openings, adjacency=joined), broken
+
+
 @query("result_document")
 def result_document(spark, sf):
-    """A JSON document a capture."""
-    rooms, captures = _doc_rooms(spark, sf)
-    return rs.documents(captures, rooms, _warn(rooms))
+    """A JSON document a home, by the contract."""
+    docs, broken = home_document(spark, sf)
+    return docs.join(broken.select("capture_id").distinct(), "capture_id", "left_anti")
 
 
-@query("result_explode", "SELECT s_nationkey::VARCHAR AS capture_id, (['lidar','video','photo','sketch'])[s_nationkey % 4 + 1] AS tier, 'R' || s_suppkey AS room, round(s_suppkey/7.0::DOUBLE, 3) AS width, 0.02::DOUBLE AS width_pm95, round(s_acctbal/100, 3) AS floor_area FROM supplier")
+@query("result_explode", f"WITH {pl.TRUE_ROOMS} SELECT capture_id::VARCHAR AS capture_id, 'lidar' AS tier, 'R' || room_id AS room, 'rectangular' AS shape, round(width, 3) AS width, round(length, 3) AS length, round(width*length, 3) AS floor_area, 2.5::DOUBLE AS ceiling_height, 4::INT AS sides FROM t")
 def result_explode(spark, sf):
-    """Rooms read back from documents."""
-    rooms, captures = _doc_rooms(spark, sf)
-    return rs.explode_documents(rs.documents(captures, rooms, _warn(rooms)))
+    """Rooms read back from the homes' documents, as they were built."""
+    return rs.explode_documents(result_document(spark, sf)).drop("width_pm95")
 
 
 @query("tier_detect", """WITH f AS (SELECT p_partkey // 12 AS folder, CASE p_partkey % 60 WHEN 0 THEN 'walk.MP4' WHEN 13 THEN 'depth/1.png' WHEN 14 THEN 'odometry.csv' WHEN 25 THEN 'depth/2.png' WHEN 40 THEN 'notes/a.txt' WHEN 41 THEN 'room1/.DS_Store' WHEN 50 THEN 'plan.JPG' ELSE 'room' || p_partkey % 4 || '/' || p_partkey || '.jpg' END AS path FROM part),
@@ -276,18 +359,18 @@ def ply_roundtrip(spark, sf):
     return p.groupBy("capture_id").agg(F.count("*").alias("n"), F.round(F.sum("x"), 2).alias("x"), F.sum("r").alias("r"))
 
 
-@query("viewer_cap")
+@query("viewer_cap", "SELECT capture_id, least(count(*), 5000) AS n FROM (SELECT l_returnflag AS capture_id FROM lineitem) GROUP BY 1")
 def viewer_cap(spark, sf):
-    """A viewer's share of the points."""
-    return sc.cap_points(points(spark, sf), 1_500_000).select("ord", "line")
+    """How many points viewers of clouds get, of at most 5,000 for each."""
+    return sc.cap_points(points(spark, sf), 5000, by=["capture_id"]).groupBy("capture_id").agg(F.count("*").alias("n"))
 
 
 @query("plan_picture")
 def plan_picture(spark, sf):
     """Pictures of the homes' rooms."""
-    from .plan import _cells
+    from .plan import _home
 
-    return sc.plan_svg(_cells(spark, sf))
+    return sc.plan_svg(_home(spark, sf)[4])
 
 
 @query("chunk_stream", f"WITH {FRAMES_SQL} SELECT kind, (floor(ts/3600)*3600)::BIGINT AS begin, count(*) AS n, round(sum(score), 4) AS score FROM f GROUP BY ALL")

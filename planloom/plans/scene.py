@@ -1,5 +1,8 @@
 """A home for each supplier: two rooms beside each other with a door between, as points on a lattice.
 
+A wall has a hole that is bridged, the other room a table that hides the floor, the first one a patch that was never seen; in every fourth home the
+end of the wall between the rooms wasn't seen either.
+
 Sizes depend on the supplier's key, so the data are as many as the table's rows. Points stand a quarter cell off every bin's
 bounds, so a last-digit difference moves none.
 """
@@ -13,6 +16,10 @@ from .bind import table
 
 C = F.col
 DOOR = (0.8, 1.65)
+#: Heights of floor and ceiling, and shifts along x: the ceiling is seen twice as densely.
+FLATS = ((0.003, 0.0), (2.503, 0.0), (2.503, 0.05))
+#: Missing end of the inner wall, hole in the first wall, and, as x and z, the patch never seen and the table (from the inner wall on).
+END, HOLE, UNSEEN, TABLE = 0.7, (2.0, 2.2), ((1.5, 2.1), (1.0, 1.6)), ((1.0, 2.0), (1.2, 1.8))
 
 
 def homes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,17 +35,35 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda c: (C(c) + 0.25) * 0.05
     seq = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     flat = h.withColumn("i", seq(F.floor(total / 2).cast("int"))).withColumn("j", seq(F.floor(C("deep") / 2).cast("int")))
-    flat = flat.select("capture_id", ((C("i") + 0.25) * 0.1).alias("x"), F.explode(F.array(F.lit(0.003), F.lit(2.503))).alias("y"), ((C("j") + 0.25) * 0.1).alias("z"))
+    within = lambda c, span: (c > span[0]) & (c < span[1])
+    flat = flat.select("capture_id", "wide", ((C("i") + 0.25) * 0.1).alias("x"), F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(dx).alias("dx")) for y, dx in FLATS])).alias("f"), ((C("j") + 0.25) * 0.1).alias("z"))
+    flat = flat.select("capture_id", "wide", (C("x") + C("f.dx")).alias("x"), C("f.y").alias("y"), "z")
+    flat = flat.where(~(within(C("x"), UNSEEN[0]) & within(C("z"), UNSEEN[1])))
+    hidden = within(C("x") - C("wide") * 0.05, TABLE[0]) & within(C("z"), TABLE[1]) & (C("y") < 1)
+    flat = flat.select("capture_id", "x", F.when(hidden, C("y") + 0.8).otherwise(C("y")).alias("y"), "z")
     height = (C("h") + 0.25) * 0.1
     levels = lambda df: df.withColumn("h", seq(F.lit(24)))
     xw = levels(h.withColumn("j", seq(C("deep"))).withColumn("w", F.explode(F.array(F.lit(0), C("wide"), total))))
-    xw = xw.where((C("w") != C("wide")) | (at("j") < DOOR[0]) | (at("j") > DOOR[1])).select("capture_id", (C("w") * 0.05 + 0.005).alias("x"), height.alias("y"), at("j").alias("z"))
+    xw = xw.where((C("w") != C("wide")) | (at("j") < DOOR[0]) | (at("j") > DOOR[1]))
+    xw = xw.where((C("w") != C("wide")) | (C("capture_id") % 4 != 1) | (at("j") < C("deep") * 0.05 - END)).where((C("w") != 0) | ~within(at("j"), HOLE)).select("capture_id", (C("w") * 0.05 + 0.005).alias("x"), height.alias("y"), at("j").alias("z"))
     zw = levels(h.withColumn("i", seq(total)).withColumn("w", F.explode(F.array(F.lit(0), C("deep"))))).select("capture_id", at("i").alias("x"), height.alias("y"), (C("w") * 0.05 + 0.005).alias("z"))
     return flat.unionByName(xw).unionByName(zw)
 
 
+def drifting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points in three chunks, of the first room, of both and of the second one, each 17 mm higher than the one before."""
+    p = points(spark, sf_dir).join(F.broadcast(homes(spark, sf_dir).select("capture_id", "wide")), "capture_id")
+    first = C("x") < C("wide") * 0.05
+    p = p.select("capture_id", "x", "y", "z", F.explode(F.when(first, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2)))).alias("chunk"))
+    return p.withColumns({"chunk": C("chunk").cast("long"), "y": C("y") + C("chunk") * DRIFT})
+
+
+#: Metres that a chunk lies above the one before.
+DRIFT = 0.017
+
 #: The same points for DuckDB: tables h and p.
 SCENE_SQL = """h AS (SELECT s_suppkey AS capture_id, (80 + (s_suppkey % 5)*2)::INT AS wide, (60 + (s_suppkey % 3)*2)::INT AS deep FROM supplier),
-p AS (SELECT capture_id, (i + 0.25::DOUBLE)*0.1::DOUBLE AS x, y, (j + 0.25::DOUBLE)*0.1::DOUBLE AS z FROM (SELECT capture_id, deep, unnest(range((wide+60)//2)) AS i FROM h) a, LATERAL (SELECT unnest(range(deep//2)) AS j) b, (VALUES (0.003::DOUBLE), (2.503::DOUBLE)) v(y)
-UNION ALL SELECT capture_id, w*0.05::DOUBLE + 0.005::DOUBLE, (k + 0.25::DOUBLE)*0.1::DOUBLE, (j + 0.25::DOUBLE)*0.05::DOUBLE FROM (SELECT capture_id, wide, unnest([0, wide, wide+60]) AS w, deep FROM h) a, LATERAL (SELECT unnest(range(deep)) AS j) b, range(24) t(k) WHERE w <> wide OR (j + 0.25::DOUBLE)*0.05::DOUBLE < 0.8::DOUBLE OR (j + 0.25::DOUBLE)*0.05::DOUBLE > 1.65::DOUBLE
+flat AS (SELECT capture_id, wide, (i + 0.25::DOUBLE)*0.1::DOUBLE + dx AS x, y, (j + 0.25::DOUBLE)*0.1::DOUBLE AS z FROM (SELECT capture_id, wide, deep, unnest(range((wide+60)//2)) AS i FROM h) a, LATERAL (SELECT unnest(range(deep//2)) AS j) b, (VALUES (0.003::DOUBLE, 0.0::DOUBLE), (2.503::DOUBLE, 0.0::DOUBLE), (2.503::DOUBLE, 0.05::DOUBLE)) v(y, dx)),
+p AS (SELECT capture_id, x, CASE WHEN y < 1 AND x - wide*0.05::DOUBLE > 1 AND x - wide*0.05::DOUBLE < 2 AND z > 1.2::DOUBLE AND z < 1.8::DOUBLE THEN y + 0.8::DOUBLE ELSE y END AS y, z FROM flat WHERE NOT (x > 1.5::DOUBLE AND x < 2.1::DOUBLE AND z > 1 AND z < 1.6::DOUBLE)
+UNION ALL SELECT capture_id, w*0.05::DOUBLE + 0.005::DOUBLE, (k + 0.25::DOUBLE)*0.1::DOUBLE, (j + 0.25::DOUBLE)*0.05::DOUBLE FROM (SELECT capture_id, wide, unnest([0, wide, wide+60]) AS w, deep FROM h) a, LATERAL (SELECT unnest(range(deep)) AS j) b, range(24) t(k) WHERE (w <> wide OR (j + 0.25::DOUBLE)*0.05::DOUBLE < 0.8::DOUBLE OR (j + 0.25::DOUBLE)*0.05::DOUBLE > 1.65::DOUBLE) AND (w <> wide OR capture_id % 4 <> 1 OR (j + 0.25::DOUBLE)*0.05::DOUBLE < deep*0.05::DOUBLE - 0.7::DOUBLE) AND (w <> 0 OR NOT ((j + 0.25::DOUBLE)*0.05::DOUBLE > 2 AND (j + 0.25::DOUBLE)*0.05::DOUBLE < 2.2::DOUBLE))
 UNION ALL SELECT capture_id, (i + 0.25::DOUBLE)*0.05::DOUBLE, (k + 0.25::DOUBLE)*0.1::DOUBLE, w*0.05::DOUBLE + 0.005::DOUBLE FROM (SELECT capture_id, unnest([0, deep]) AS w, wide FROM h) a, LATERAL (SELECT unnest(range(wide+60)) AS i) b, range(24) t(k))"""

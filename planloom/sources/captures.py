@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 C = F.col
@@ -148,20 +148,16 @@ def list_photos(spark: SparkSession, root: str) -> DataFrame:
     return files.where(F.lower("path").rlike(IMAGES)).select(F.element_at(parts, -2).alias("room"), F.element_at(parts, -1).alias("name"), "path", C("length").alias("size"))
 
 
-def cap_points(points: DataFrame, most: int, seed: int = 0, keys: tuple[str, ...] = ("ord", "line")) -> DataFrame:
-    """At most ``most`` points for a viewer: those of the smallest hashes, so that runs agree."""
-    return points.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(most)
-
-
-def write_documents(docs: DataFrame, path: str) -> None:
-    """Writes one JSON document a line, by capture."""
-    docs.select(C("document").alias("value")).write.text(path)
+def cap_points(points: DataFrame, most: int, seed: int = 0, keys: tuple[str, ...] = ("ord", "line"), by: list[str] | None = None) -> DataFrame:
+    """At most ``most`` points for a viewer, of each group ``by`` if given: those of the smallest hashes, so that runs agree."""
+    order = [F.xxhash64(*keys, F.lit(seed)), *[C(k) for k in keys]]
+    if by is None:
+        return points.orderBy(*order).limit(most)
+    return points.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(C("place") <= most).drop("place")
 
 
 def plan_svg(cells: DataFrame) -> DataFrame:
     """A picture of each capture's rooms as SVG text: capture_id, svg. Runs of cells in a row are one rectangle."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("capture_id", "row").orderBy("col")
     new = F.coalesce(((C("col") != F.lag("col").over(w) + 1) | (C("room_id") != F.lag("room_id").over(w))).cast("int"), F.lit(1))
     runs = cells.withColumn("new", new).withColumn("run", F.sum("new").over(w)).groupBy("capture_id", "row", "run", "room_id").agg(F.min("col").alias("a"), F.count("*").alias("n"))

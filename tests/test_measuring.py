@@ -22,21 +22,71 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_homes_are_measured(spark):
-    p, levels, walls = plan.walls_of(spark, SF)
-    gaps = wl.find_gaps(walls)
-    cells = plan._cells(spark, SF, p, walls, gaps)
-    rooms = wl.measure_rooms(cells, wl.bounding_walls(walls, cells), levels.select("capture_id", F.lit(0.003).alias("drift_sigma"))).collect()
+    """Two rooms each, with their true sizes, whether or not the end of the wall between them was seen."""
+    p, levels, walls, gaps, cells = plan._home(spark, SF)
+    heights = wl.room_heights(p, cells, levels)
+    rooms = wl.measure_rooms(cells, wl.bounding_walls(walls, cells), wl.drift_of_floors(heights)).collect()
     truth = {r.capture_id: r for r in scene.homes(spark, SF).collect()}
-    assert len(rooms) == 2 * len(truth)
+    assert len(rooms) == 2 * len(truth) and any(k % 4 == 1 for k in truth)
     for r in rooms:
         home = truth[r.capture_id]
         assert r.sides == 4 and abs(r.length - home.deep * 0.05) < 1e-6
         assert min(abs(r.width - home.wide * 0.05), abs(r.width - 3.0)) < 1e-6
-        assert abs(r.floor_area - r.width * r.length) < 1e-9 and 0 < r.width_pm95 < 0.02
-    doors = gaps.where("kind = 'door'").collect()
-    assert len(doors) == len(truth) and all(abs(d.width - 0.85) < 1e-9 for d in doors)
-    ceilings = levels.collect()
-    assert all(abs(x.ceiling_y - x.floor_y - 2.5) < 0.03 for x in ceilings)
+        assert abs(r.floor_area - r.width * r.length) < 1e-9 and 0 < r.width_pm95 < 0.02 and r.shape == "rectangular"
+    doors = sorted((d.capture_id, round(d.width, 3)) for d in gaps.where("kind = 'door'").collect())
+    assert [w for _, w in doors if w == 0.85] == [0.85] * len(truth)
+    assert sorted(k for k, w in doors if w != 0.85) == sorted(k for k in truth if k % 4 == 1)
+    # the whole floor is of one room or the other, the patch that wasn't seen and the floor below the table too
+    sizes = {(r.capture_id, r.room_id): r.n for r in cells.groupBy("capture_id", "room_id").agg(F.count("*").alias("n")).collect()}
+    for (k, room), n in sizes.items():
+        full = min((truth[k].wide, 60), key=lambda w: abs(w * truth[k].deep - n)) * truth[k].deep
+        assert 0.88 * full < n <= full, (k, room)
+    for h in heights.collect():
+        assert abs(h.floor_y - 0.003) < 1e-9 and abs(h.ceiling_y - 2.503) < 1e-9 and h.ceiling_seen > 0.2 and h.note is None
+    joined = wl.adjacency(wl.door_rooms(plan.numbered_gaps(gaps), cells)).collect()
+    assert {(x.capture_id, x.a, x.b) for x in joined} == {(k, 1, 2) for k in truth}
+    assert all(abs(x.ceiling_y - x.floor_y - 2.5) < 0.03 for x in levels.collect())
+
+
+def test_a_wall_bounds_a_room_along_half_of_the_stretch_that_they_share(spark):
+    """One wall touches the room in a tenth of its stretch, another in six tenths, a third stands within it, a fourth has much of the room beyond it."""
+    cells = spark.createDataFrame([(1, r, c, 1) for r in range(40) for c in range(40)], "capture_id long, row int, col int, room_id int")
+    notched = cells.where("not (row >= 4 and col < 8)")  # the low side of x is touched in a tenth
+    mostly = cells.where("not (row >= 24 and col < 8)")  # and here in six tenths
+    wall = lambda i, axis, at: (1, i, axis, at, 0.0, 2.0, 900)
+    walls = spark.createDataFrame([wall(0, "x", 0.0), wall(1, "x", 1.0), wall(2, "z", 2.0), wall(3, "z", 1.6)], "capture_id long, wall_idx int, axis string, position double, start double, end double, points long")
+    sides = lambda c: sorted((r.wall_idx, r.side, round(r.overlap, 2)) for r in wl.bounding_walls(walls, c).collect())
+    assert sides(cells) == [(0, "low", 2.0), (2, "high", 2.0)]
+    assert sides(notched) == [(2, "high", 1.6)]
+    assert sides(mostly) == [(0, "low", 1.2), (2, "high", 1.6)]
+
+
+def test_ceilings_of_rooms(spark):
+    """The fullest shelf is the ceiling, or nothing if too little of it was seen; another level is told; shelves within 10 cm are one."""
+    cells = spark.createDataFrame([(1, r, c, room) for room in (1, 2, 3) for r in range(20) for c in range(20 * room, 20 * room + 20)], "capture_id long, row int, col int, room_id int")
+    at = lambda room, y, n, each=1, skip=0: [(1, y, i // 20, 20 * room + i % 20) for i in range(skip, skip + n) for _ in range(each)]
+    rows = [x for room in (1, 2, 3) for x in at(room, 0.01, 400)]
+    rows += at(1, 2.5, 300) + at(1, 2.53, 60) + at(1, 2.2, 80, skip=300)  # a lowered part
+    rows += at(2, 2.0, 30, each=9) + at(2, 2.5, 200)  # a wardrobe's top has more points than the ceiling
+    rows += at(3, 2.5, 60)
+    points = spark.createDataFrame(rows, "capture_id long, y double, row int, col int")
+    levels = spark.createDataFrame([(1, 0.0)], "capture_id long, floor_y double")
+    got = {r.room_id: r for r in wl.room_heights(points, cells, levels).collect()}
+    assert abs(got[1].ceiling_y - 2.5) < 1e-9 and abs(got[1].ceiling_seen - 0.75) < 0.16 and abs(got[1].other_y - 2.2) < 1e-9 and abs(got[1].other_seen - 0.2) < 1e-9
+    assert got[2].ceiling_y is None and got[2].note == "ceiling seen over only 8% of the room; not reported" and got[2].other_y is None
+    assert got[3].ceiling_y is None and got[3].note == "ceiling not seen" and got[3].ceiling_seen == 0
+    tall = {r.room_id: r for r in wl.ceiling_heights(wl.room_heights(points, cells, levels), spark.createDataFrame([(1, 0.003)], "capture_id long, drift_sigma double")).collect()}
+    assert abs(tall[1].ceiling - 2.49) < 1e-9 and abs(tall[1].ceiling_pm95 - 2 * math.sqrt(2 * 0.005**2 + 0.003**2)) < 1e-9
+
+
+def test_erosion_and_dilation_equal_brute_force(spark):
+    r = np.random.default_rng(5)
+    cells = {(int(a), int(b)) for a, b in r.integers(0, 25, (420, 2))}
+    df = spark.createDataFrame([(1, a, b) for a, b in cells] + [(1, *next(iter(cells)))], "capture_id long, row int, col int")
+    for kernel in (rs.ellipse(3), rs.ellipse(7), rs.square(3)):
+        got = lambda x: sorted((c.row, c.col) for c in x.collect())
+        assert got(rs.dilate(df, kernel)) == sorted({(a + i, b + j) for a, b in cells for i, j in kernel})
+        assert got(rs.erode(df, kernel)) == sorted((a, b) for a, b in cells if all((a + i, b + j) in cells for i, j in kernel))
 
 
 @pytest.mark.parametrize("turn", [0.0, 12.3, 37.85])
