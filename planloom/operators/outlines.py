@@ -216,17 +216,38 @@ def only_in_one(a: DataFrame, b: DataFrame, matches: DataFrame) -> DataFrame:
     return left.unionByName(right)
 
 
-def align_plans(a: DataFrame, b: DataFrame, bin_cells: int = 1) -> DataFrame:
-    """The quarter turns and the shift of b's cells that lay most of them on a's: capture_id, turns, dr, dc, n.
+def align_plans(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The quarter turns and the shift of b's cells that lay most of them on a's: capture_id, turns, dr, dc, n. Of equal counts the least turns, then shifts, count.
 
-    Every pair of cells of a capture votes for the shift between them, so cells should be those of walls, which are few. Of equal counts the least turns,
-    then shifts, count.
+    For each turn the counts of all shifts are one correlation of two pictures, by Fourier transforms, whose size is that of one home; homes are spread over the cluster.
     """
-    turns = F.explode(F.array(*[F.struct(F.lit(k).alias("turns"), r.alias("r"), c.alias("c")) for k, (r, c) in enumerate(((C("row"), C("col")), (C("col"), -C("row")), (-C("row"), -C("col")), (-C("col"), C("row"))))]))
-    t = b.select("capture_id", turns.alias("t")).select("capture_id", "t.*")
-    votes = a.join(t, "capture_id").groupBy("capture_id", "turns", (C("row") - C("r")).alias("dr"), (C("col") - C("c")).alias("dc")).agg(F.count("*").alias("n"))
-    best = votes.groupBy("capture_id").agg(F.max_by(F.struct("turns", "dr", "dc", "n"), F.struct("n", -C("turns"), -C("dr"), -C("dc"))).alias("b"))
-    return best.select("capture_id", "b.*")
+
+    def picture(rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, int, int]:
+        r, c = int(rows.min()), int(cols.min())
+        out = np.zeros((int(rows.max()) - r + 1, int(cols.max()) - c + 1))
+        out[rows - r, cols - c] = 1
+        return out, r, c
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = ["capture_id", "turns", "dr", "dc", "n"]
+        if left.empty or right.empty:
+            return pd.DataFrame({x: pd.Series(dtype="int64") for x in names})
+        one, r0, c0 = picture(left["row"].to_numpy(), left["col"].to_numpy())
+        row, col = right["row_b"].to_numpy(), right["col_b"].to_numpy()
+        best = None
+        for turns, (rows, cols) in enumerate(((row, col), (col, -row), (-row, -col), (-col, row))):
+            two, r1, c1 = picture(rows, cols)
+            shape = (one.shape[0] + two.shape[0] - 1, one.shape[1] + two.shape[1] - 1)
+            n = np.rint(np.fft.irfft2(np.fft.rfft2(one, shape) * np.conj(np.fft.rfft2(two, shape)), shape)).astype(np.int64)
+            for i, j in np.argwhere(n == n.max()).tolist():
+                dr, dc = (i if i < one.shape[0] else i - shape[0]) + r0 - r1, (j if j < one.shape[1] else j - shape[1]) + c0 - c1
+                found = (-int(n.max()), turns, dr, dc)
+                best = found if best is None else min(best, found)
+        return pd.DataFrame([(key[0], best[1], best[2], best[3], -best[0])], columns=names)
+
+    named = b.select(C("capture_id").alias("home"), C("row").alias("row_b"), C("col").alias("col_b")).distinct()
+    kinds = dict(a.select("capture_id").dtypes)
+    return a.select("capture_id", "row", "col").distinct().groupBy("capture_id").cogroup(named.groupBy("home")).applyInPandas(run, f"capture_id {kinds['capture_id']}, turns int, dr long, dc long, n long")
 
 
 def shared_content(items: DataFrame) -> DataFrame:

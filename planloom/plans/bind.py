@@ -28,16 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted points (capture_id, chunk, x, y, z, r, g, b, w) of ``lineitem``."""
+    """Weighted points (capture_id, chunk, x, y, z, r, g, b, w) of ``lineitem``: a capture for five suppliers."""
     d = lambda c: F.col(c).cast("double")
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_returnflag").alias("capture_id"), (F.col("l_suppkey") % 4).alias("chunk"), (d("l_extendedprice") / 9973).alias("x"), (d("l_discount") * 25).alias("y"), (d("l_quantity") / 10).alias("z"),
+        F.floor(F.col("l_suppkey") / 5).cast("long").alias("capture_id"), (F.col("l_partkey") % 4).alias("chunk"), (d("l_extendedprice") / 9973).alias("x"), (d("l_discount") * 25).alias("y"), (d("l_quantity") / 10).alias("z"),
         (d("l_partkey") % 256).alias("r"), (d("l_suppkey") % 256).alias("g"), (d("l_orderkey") % 256).alias("b"), d("l_linenumber").alias("w"), F.col("l_orderkey").alias("ord"), F.col("l_linenumber").alias("line"),
     )
 
 
 #: The same points for DuckDB, as the common table expression p.
-POINTS_SQL = """p AS (SELECT l_returnflag AS capture_id, l_suppkey % 4 AS chunk, l_extendedprice / 9973::DOUBLE AS x, l_discount * 25::DOUBLE AS y, l_quantity / 10::DOUBLE AS z,
+POINTS_SQL = """p AS (SELECT l_suppkey // 5 AS capture_id, l_partkey % 4 AS chunk, l_extendedprice / 9973::DOUBLE AS x, l_discount * 25::DOUBLE AS y, l_quantity / 10::DOUBLE AS z,
   (l_partkey % 256)::DOUBLE AS r, (l_suppkey % 256)::DOUBLE AS g, (l_orderkey % 256)::DOUBLE AS b, l_linenumber::DOUBLE AS w, l_orderkey AS ord, l_linenumber AS line FROM lineitem)"""
 
 

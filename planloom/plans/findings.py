@@ -15,7 +15,7 @@ C = F.col
 
 @query("box_iou", f"WITH {BOXES_SQL}, i AS (SELECT a.label, a.vec_id AS a_id, b.vec_id AS b_id, greatest(least(a.x1,b.x1)-greatest(a.x0,b.x0),0)*greatest(least(a.y1,b.y1)-greatest(a.y0,b.y0),0) AS i, (a.x1-a.x0)*(a.y1-a.y0)+(b.x1-b.x0)*(b.y1-b.y0) AS s FROM b a JOIN b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT label, a_id, b_id, round(i/(s-i), 6) AS iou FROM i WHERE i > 0 AND i/(s-i) >= 0.2::DOUBLE")
 def box_iou(spark, sf):
-    """Overlapping boxes of a picture (here: label)."""
+    """Overlapping boxes of a picture (here: forty vectors)."""
     return rounded(dm.box_overlaps(_boxes(spark, sf), ["label"], "vec_id").where("iou >= 0.2"))
 
 
@@ -78,29 +78,29 @@ def damage_items(spark, sf):
     return rounded(dm.measured(_damage(spark, sf)).select("damage_id", "width_pm95", "height_pm95", "area", "area_pm95", "length"))
 
 
-@query("damage_merge", f"WITH {VECTORS_SQL}, d AS (SELECT vec_id AS det_id, vec_id % 7 AS capture_id, 'crack' AS class, 'S' || label AS surface, abs(e8) AS score, CASE WHEN vec_id % 3 > 0 THEN abs(e9) END AS width_m, abs(e10) AS height_m FROM v) SELECT capture_id, class, surface, round(max(score), 6) AS score, count(*) AS sightings, round(median(width_m), 6) AS width_m, round(median(height_m), 6) AS height_m, arg_max(det_id, (score, -det_id)) AS det_id FROM d GROUP BY ALL")
+@query("damage_merge", f"WITH {VECTORS_SQL}, d AS (SELECT vec_id AS det_id, vec_id // 60 AS capture_id, 'crack' AS class, 'S' || label AS surface, abs(e8) AS score, CASE WHEN vec_id % 3 > 0 THEN abs(e9) END AS width_m, abs(e10) AS height_m FROM v) SELECT capture_id, class, surface, round(max(score), 6) AS score, count(*) AS sightings, round(median(width_m), 6) AS width_m, round(median(height_m), 6) AS height_m, arg_max(det_id, (score, -det_id)) AS det_id FROM d GROUP BY ALL")
 def damage_merge(spark, sf):
     """Sightings without centres, which merge by class and surface."""
     none = F.lit(None).cast("double")
-    v = vectors(spark, sf).select((C("vec_id") % 7).alias("capture_id"), C("vec_id").alias("det_id"), F.lit("crack").alias("class"), F.concat(F.lit("S"), C("label").cast("string")).alias("surface"), F.abs("e8").alias("score"), F.when(C("vec_id") % 3 > 0, F.abs("e9")).alias("width_m"), F.abs("e10").alias("height_m"), none.alias("cx"), none.alias("cy"), none.alias("cz"))
+    v = vectors(spark, sf).select(F.floor(C("vec_id") / 60).cast("long").alias("capture_id"), C("vec_id").alias("det_id"), F.lit("crack").alias("class"), F.concat(F.lit("S"), C("label").cast("string")).alias("surface"), F.abs("e8").alias("score"), F.when(C("vec_id") % 3 > 0, F.abs("e9")).alias("width_m"), F.abs("e10").alias("height_m"), none.alias("cx"), none.alias("cy"), none.alias("cz"))
     return rounded(dm.merge_sightings(v))
 
 
 @query("damage_merge_centres")
 def damage_merge_centres(spark, sf):
     """Sightings with centres, which merge where these are near."""
-    v = vectors(spark, sf).select((C("vec_id") % 7).alias("capture_id"), C("vec_id").alias("det_id"), F.lit("crack").alias("class"), F.concat(F.lit("S"), C("label").cast("string")).alias("surface"), F.abs("e8").alias("score"), F.abs("e9").alias("width_m"), F.abs("e10").alias("height_m"), (C("e1") * 3).alias("cx"), (C("e2") * 3).alias("cy"), (C("e3") * 3).alias("cz"))
+    v = vectors(spark, sf).select(F.floor(C("vec_id") / 60).cast("long").alias("capture_id"), C("vec_id").alias("det_id"), F.lit("crack").alias("class"), F.concat(F.lit("S"), C("label").cast("string")).alias("surface"), F.abs("e8").alias("score"), F.abs("e9").alias("width_m"), F.abs("e10").alias("height_m"), (C("e1") * 3).alias("cx"), (C("e2") * 3).alias("cy"), (C("e3") * 3).alias("cz"))
     return rounded(dm.merge_sightings(v))
 
 
-@query("damage_picture", f"WITH {VECTORS_SQL} SELECT vec_id % 7 AS capture_id, vec_id AS det_id, 'mould' AS class, round(abs(e8), 6) AS score, 'R' || label AS room, 'R' || label || '-unknown' AS surface, 'unknown' AS surface_type, NULL::DOUBLE AS width_m, NULL::DOUBLE AS height_m FROM v")
+@query("damage_picture", f"WITH {VECTORS_SQL} SELECT vec_id // 60 AS capture_id, vec_id AS det_id, 'mould' AS class, round(abs(e8), 6) AS score, 'R' || label AS room, 'R' || label || '-unknown' AS surface, 'unknown' AS surface_type, NULL::DOUBLE AS width_m, NULL::DOUBLE AS height_m FROM v")
 def damage_picture(spark, sf):
-    v = vectors(spark, sf).select((C("vec_id") % 7).alias("capture_id"), C("vec_id").alias("det_id"), F.lit("mould").alias("class"), F.abs("e8").alias("score"), F.concat(F.lit("R"), C("label").cast("string")).alias("room"))
+    v = vectors(spark, sf).select(F.floor(C("vec_id") / 60).cast("long").alias("capture_id"), C("vec_id").alias("det_id"), F.lit("mould").alias("class"), F.abs("e8").alias("score"), F.concat(F.lit("R"), C("label").cast("string")).alias("room"))
     return rounded(dm.without_depth(v))
 
 
 _LOCATE_SQL = """p AS (SELECT event_id // 256 AS frame, ((event_id // 16) % 16)::INT AS row, (event_id % 16)::INT AS col, abs(value % 10)/2 + 0.1::DOUBLE AS depth, (event_id % 4)::INT AS conf, value % 7 AS x, value % 3 AS y, value % 5 AS z FROM events),
-d AS (SELECT event_id // 256 AS frame, user_id % 5 AS capture_id, event_id AS det_id, (event_id % 6)::DOUBLE AS x0, (event_id % 5)::DOUBLE AS y0, (event_id % 6)::DOUBLE + 8 AS x1, (event_id % 5)::DOUBLE + 7 AS y1, 200.0::DOUBLE AS focal FROM events WHERE event_id % 32 = 0)"""
+d AS (SELECT event_id // 256 AS frame, user_id % 5 AS capture_id, event_id AS det_id, (event_id % 6)::DOUBLE AS x0, (event_id % 5)::DOUBLE AS y0, (event_id % 6)::DOUBLE + 8 AS x1, (event_id % 5)::DOUBLE + 7 AS y1, 200.0::DOUBLE AS focal FROM events WHERE event_id % 16 = 0 OR value > 1)"""
 
 
 @query("damage_locate", f"""WITH {_LOCATE_SQL}, m AS (SELECT capture_id, det_id, x0, y0, x1, y1, focal, count(*) AS n, median(x) AS cx, median(y) AS cy, median(z) AS cz, median(depth) AS t FROM d JOIN p USING (frame) WHERE conf >= 2 AND depth > 0.2::DOUBLE AND col BETWEEN x0 AND x1 AND row BETWEEN y0 AND y1 GROUP BY ALL HAVING count(*) >= 5)
@@ -112,7 +112,7 @@ def damage_locate(spark, sf):
     frame = F.floor(i / 256).cast("long").alias("frame")
     px = e.select(frame, (F.floor(i / 16) % 16).cast("int").alias("row"), (i % 16).cast("int").alias("col"), (F.abs(C("value") % 10) / 2 + 0.1).alias("depth"), (i % 4).cast("int").alias("conf"), (C("value") % 7).alias("x"), (C("value") % 3).alias("y"), (C("value") % 5).alias("z"))
     x0, y0 = (i % 6).cast("double"), (i % 5).cast("double")
-    det = e.where(i % 32 == 0).select(frame, (C("user_id") % 5).alias("capture_id"), i.alias("det_id"), x0.alias("x0"), y0.alias("y0"), (x0 + 8).alias("x1"), (y0 + 7).alias("y1"), F.lit(200.0).alias("focal"))
+    det = e.where((i % 16 == 0) | (C("value") > 1)).select(frame, (C("user_id") % 5).alias("capture_id"), i.alias("det_id"), x0.alias("x0"), y0.alias("y0"), (x0 + 8).alias("x1"), (y0 + 7).alias("y1"), F.lit(200.0).alias("focal"))
     floors = det.select("capture_id").distinct().withColumn("floor_y", C("capture_id") * 0.1)
     return rounded(dm.locate(det, px, floors))
 

@@ -251,12 +251,13 @@ def wall_lines(spark, sf):
     return wl.wall_lines(_walls(spark, sf))
 
 
-_RC = "c AS (SELECT o_custkey % 10 AS capture_id, (o_orderkey % 40)::INT AS row, (o_custkey // 10 % 40)::INT AS col FROM orders WHERE o_orderpriority < '4' GROUP BY ALL)"
+_RC = "c AS (SELECT o_custkey // 100 AS capture_id, (o_orderkey % 40)::INT AS row, ((o_orderkey // 40 + o_custkey) % 40)::INT AS col FROM orders GROUP BY ALL)"
 
 
 def _marks(spark, sf) -> DataFrame:
-    o = table(spark, sf, "orders").where("o_orderpriority < '4'")
-    return o.select((C("o_custkey") % 10).alias("capture_id"), (C("o_orderkey") % 40).cast("int").alias("row"), (F.floor(C("o_custkey") / 10) % 40).cast("int").alias("col")).distinct()
+    """A capture of cells for each hundred customers."""
+    o, k = C("o_orderkey"), C("o_custkey")
+    return table(spark, sf, "orders").select(F.floor(k / 100).cast("long").alias("capture_id"), (o % 40).cast("int").alias("row"), ((F.floor(o / 40) + k) % 40).cast("int").alias("col")).distinct()
 
 
 def _kernel(k) -> str:

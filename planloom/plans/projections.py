@@ -106,10 +106,10 @@ def quarter_turns(spark, sf):
     return points(spark, sf).select("ord", "line", (C("ord") % 4).cast("int").alias("k"), x.alias("x"), z.alias("z"))
 
 
-@query("wall_band", f"WITH {POINTS_SQL}, l AS (SELECT capture_id, min(y) AS floor_y, CASE WHEN capture_id <> 'N' THEN max(y) END AS ceiling_y FROM p GROUP BY 1) SELECT ord, line, y FROM p JOIN l USING (capture_id) WHERE y > floor_y + 0.3::DOUBLE AND y < coalesce(ceiling_y - 0.3::DOUBLE, floor_y + 2.0::DOUBLE)")
+@query("wall_band", f"WITH {POINTS_SQL}, l AS (SELECT capture_id, min(y) AS floor_y, CASE WHEN capture_id % 3 > 0 THEN max(y) END AS ceiling_y FROM p GROUP BY 1) SELECT ord, line, y FROM p JOIN l USING (capture_id) WHERE y > floor_y + 0.3::DOUBLE AND y < coalesce(ceiling_y - 0.3::DOUBLE, floor_y + 2.0::DOUBLE)")
 def wall_band(spark, sf):
     p = points(spark, sf)
-    levels = p.groupBy("capture_id").agg(F.min("y").alias("floor_y"), F.max("y").alias("m")).select("capture_id", "floor_y", F.when(C("capture_id") != "N", C("m")).alias("ceiling_y"))
+    levels = p.groupBy("capture_id").agg(F.min("y").alias("floor_y"), F.max("y").alias("m")).select("capture_id", "floor_y", F.when(C("capture_id") % 3 > 0, C("m")).alias("ceiling_y"))
     return pt.wall_band(p, levels).select("ord", "line", "y")
 
 
@@ -188,10 +188,10 @@ def surface_of_point(spark, sf):
 
 def _boxes(spark, sf):
     v = vectors(spark, sf)
-    return v.select("vec_id", "label", *[x.alias(n) for n, x in zip(("x0", "y0", "x1", "y1"), ((F.least("e1", "e2") + 0.5) * 400, (F.least("e3", "e4") + 0.5) * 300, (F.greatest("e1", "e2") + 0.5) * 400, (F.greatest("e3", "e4") + 0.5) * 300), strict=True)], F.abs("e8").alias("score"))
+    return v.select("vec_id", F.floor(C("vec_id") / 40).cast("long").alias("label"), *[x.alias(n) for n, x in zip(("x0", "y0", "x1", "y1"), ((F.least("e1", "e2") + 0.5) * 400, (F.least("e3", "e4") + 0.5) * 300, (F.greatest("e1", "e2") + 0.5) * 400, (F.greatest("e3", "e4") + 0.5) * 300), strict=True)], F.abs("e8").alias("score"))
 
 
-BOXES_SQL = f"{VECTORS_SQL}, b AS (SELECT vec_id, label, (least(e1,e2)+0.5::DOUBLE)*400 AS x0, (least(e3,e4)+0.5::DOUBLE)*300 AS y0, (greatest(e1,e2)+0.5::DOUBLE)*400 AS x1, (greatest(e3,e4)+0.5::DOUBLE)*300 AS y1, abs(e8) AS score FROM v)"
+BOXES_SQL = f"{VECTORS_SQL}, b AS (SELECT vec_id, vec_id // 40 AS label, (least(e1,e2)+0.5::DOUBLE)*400 AS x0, (least(e3,e4)+0.5::DOUBLE)*300 AS y0, (greatest(e1,e2)+0.5::DOUBLE)*400 AS x1, (greatest(e3,e4)+0.5::DOUBLE)*300 AS y1, abs(e8) AS score FROM v)"
 
 
 @query("box_filter", f"WITH {BOXES_SQL}, c AS (SELECT vec_id, greatest(x0,0) AS x0, greatest(y0,0) AS y0, least(x1,400) AS x1, least(y1,300) AS y1 FROM b) SELECT vec_id, round(x0,6) AS x0, round(y0,6) AS y0, round(x1,6) AS x1, round(y1,6) AS y1 FROM c WHERE x1 > x0 AND y1 > y0 AND (x1-x0)*(y1-y0) <= 0.5::DOUBLE * 120000")

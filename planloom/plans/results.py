@@ -95,12 +95,12 @@ def shared_content_links(spark, sf):
     return ol.shared_content(table(spark, sf, "documents").select(C("text").alias("content"), C("source").alias("room")))
 
 
-_TWO_PLANS = "a AS (SELECT DISTINCT o_custkey % 10 AS capture_id, o_custkey // 100 % 5 AS room_id, o_orderkey % 40 AS row, o_custkey // 10 % 40 AS col FROM orders), b AS (SELECT capture_id, (room_id + CASE WHEN row < 12 THEN 1 ELSE 0 END) % 5 AS room_id, row, col FROM a WHERE (row + col) % 7 > 0)"
+_TWO_PLANS = "a AS (SELECT DISTINCT o_custkey // 100 AS capture_id, (o_orderkey % 40) // 8 AS room_id, o_orderkey % 40 AS row, (o_orderkey // 40 + o_custkey) % 40 AS col FROM orders), b AS (SELECT capture_id, (room_id + CASE WHEN row < 12 THEN 1 ELSE 0 END) % 5 AS room_id, row, col FROM a WHERE (row + col) % 7 > 0)"
 
 
 def _plans(spark, sf) -> tuple[DataFrame, DataFrame]:
-    o = table(spark, sf, "orders")
-    a = o.select((C("o_custkey") % 10).alias("capture_id"), (F.floor(C("o_custkey") / 100) % 5).alias("room_id"), (C("o_orderkey") % 40).alias("row"), (F.floor(C("o_custkey") / 10) % 40).alias("col")).distinct()
+    o, k = C("o_orderkey"), C("o_custkey")
+    a = table(spark, sf, "orders").select(F.floor(k / 100).cast("long").alias("capture_id"), F.floor(o % 40 / 8).cast("long").alias("room_id"), (o % 40).alias("row"), ((F.floor(o / 40) + k) % 40).alias("col")).distinct()
     b = a.where((C("row") + C("col")) % 7 > 0).select("capture_id", ((C("room_id") + F.when(C("row") < 12, 1).otherwise(0)) % 5).alias("room_id"), "row", "col")
     return a, b
 
@@ -126,15 +126,15 @@ def rooms_only_in_one(spark, sf):
     return ol.only_in_one(a, b, matches)
 
 
-_ALIGN = "a AS (SELECT DISTINCT s_suppkey % 10 AS capture_id, s_suppkey * 37 % 61 AS row, s_suppkey * 53 % 67 AS col FROM supplier), b AS (SELECT capture_id, -col + 3 AS row, row - 2 AS col FROM a WHERE (row + col) % 5 > 0)"
+_ALIGN = "a AS (SELECT DISTINCT c_custkey // 60 AS capture_id, c_custkey * 37 % 61 AS row, c_custkey * 53 % 67 AS col FROM customer), b AS (SELECT capture_id, -col + 3 AS row, row - 2 AS col FROM a WHERE (row + col) % 5 > 0)"
 
 
 @query("plan_align", f"""WITH {_ALIGN}, t AS (SELECT capture_id, 0 AS turns, row AS r, col AS c FROM b UNION ALL SELECT capture_id, 1, col, -row FROM b UNION ALL SELECT capture_id, 2, -row, -col FROM b UNION ALL SELECT capture_id, 3, -col, row FROM b),
-v AS (SELECT capture_id, turns, row - r AS dr, col - c AS dc, count(*) AS n FROM a JOIN t USING (capture_id) GROUP BY ALL) SELECT capture_id, turns, dr, dc, n FROM v QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY n DESC, turns, dr, dc) = 1""")
+v AS (SELECT capture_id, turns, row - r AS dr, col - c AS dc, count(*) AS n FROM a JOIN t USING (capture_id) GROUP BY ALL) SELECT capture_id, turns::INT AS turns, dr, dc, n FROM v QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY n DESC, turns, dr, dc) = 1""")
 def plan_align(spark, sf):
     """The turn and shift that lay one plan on the other."""
-    k = C("s_suppkey")
-    a = table(spark, sf, "supplier").select((k % 10).alias("capture_id"), (k * 37 % 61).alias("row"), (k * 53 % 67).alias("col")).distinct()
+    k = C("c_custkey")
+    a = table(spark, sf, "customer").select(F.floor(k / 60).cast("long").alias("capture_id"), (k * 37 % 61).alias("row"), (k * 53 % 67).alias("col")).distinct()
     b = a.where((C("row") + C("col")) % 5 > 0).select("capture_id", (3 - C("col")).alias("row"), (C("row") - 2).alias("col"))
     return ol.align_plans(a, b)
 
@@ -359,10 +359,10 @@ def ply_roundtrip(spark, sf):
     return p.groupBy("capture_id").agg(F.count("*").alias("n"), F.round(F.sum("x"), 2).alias("x"), F.sum("r").alias("r"))
 
 
-@query("viewer_cap", "SELECT capture_id, least(count(*), 5000) AS n FROM (SELECT l_returnflag AS capture_id FROM lineitem) GROUP BY 1")
+@query("viewer_cap", "SELECT capture_id, least(count(*), 1000) AS n FROM (SELECT l_suppkey // 5 AS capture_id FROM lineitem) GROUP BY 1")
 def viewer_cap(spark, sf):
-    """How many points viewers of clouds get, of at most 5,000 for each."""
-    return sc.cap_points(points(spark, sf), 5000, by=["capture_id"]).groupBy("capture_id").agg(F.count("*").alias("n"))
+    """How many points viewers of clouds get, of at most 1,000 for each."""
+    return sc.cap_points(points(spark, sf), 1000, by=["capture_id"]).groupBy("capture_id").agg(F.count("*").alias("n"))
 
 
 @query("plan_picture")
