@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..params import DEFAULTS, Params
+from . import frames as fr
+from .points import voxel_downsample
 
 C = F.col
 
@@ -142,6 +144,63 @@ def piece_up(candidates: DataFrame, rough: DataFrame, keys: list[str], min_walk:
     return m.select(*keys, *[F.when(ok, C(f"u.{c}") * C("s")).alias(c) for c in "xyz"])
 
 
+def box_frame(normals: DataFrame, keys: list[str], tolerance: float = 10.0) -> DataFrame:
+    """Three directions at right angles along which most normals lie: keys, d (0 to 2), x, y, z.
+
+    The first is the best of ``box_directions``, made the mean of the normals along it; the second is the same among the normals at right angles to it; the third is at right angles to both.
+    """
+    v = tuple(C(c) for c in "xyz")
+
+    def refined(own: DataFrame, best: DataFrame) -> DataFrame:
+        b = best.select(*keys, *[C(c).alias(f"b{c}") for c in "xyz"])
+        cos = g.dot(v, (C("bx"), C("by"), C("bz")))
+        near = own.join(b, keys).withColumn("cos", cos).where(F.abs("cos") >= float(np.cos(np.radians(tolerance))))
+        m = near.groupBy(*keys).agg(*[F.avg(C(c) * F.signum("cos")).alias(c) for c in "xyz"])
+        size = F.sqrt(g.dot(v, v))
+        return m.select(*keys, *[(C(c) / size).alias(c) for c in "xyz"])
+
+    one = refined(normals, box_directions(normals, keys, tolerance))
+    named = one.select(*keys, *[C(c).alias(f"o{c}") for c in "xyz"])
+    o = (C("ox"), C("oy"), C("oz"))
+    across = normals.join(named, keys).where(F.abs(g.dot(v, o)) <= float(np.sin(np.radians(tolerance)))).drop("ox", "oy", "oz")
+    two = refined(across, box_directions(across, keys, tolerance)).join(named, keys)
+    # what is left of the first direction in the second goes
+    along = g.dot(v, o)
+    flat = two.select(*keys, "ox", "oy", "oz", *[(a - along * b).alias(c) for a, b, c in zip(v, o, "xyz", strict=True)])
+    size = F.sqrt(g.dot(v, v))
+    flat = flat.select(*keys, "ox", "oy", "oz", *[(C(c) / size).alias(c) for c in "xyz"])
+    third = g.cross(o, v)
+    every = F.posexplode(F.array(*[F.struct(*[x.alias(c) for c, x in zip("xyz", d, strict=True)]) for d in (o, v, third)])).alias("d", "v")
+    return flat.select(*keys, every).select(*keys, "d", "v.x", "v.y", "v.z")
+
+
+def metric_points(pixels: DataFrame, poses: DataFrame, scales: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Upright points of pieces in metres: piece, x, y, z, w by voxel, y upwards.
+
+    ``pixels`` are piece, frame (of one piece only), row, col, depth in metres; ``poses`` have the camera of each frame in the piece's own frame and units (px to pz, qx to qw) and its
+    intrinsics; ``scales`` the metres of a unit. Pixels go to the piece's frame by pose, their normals give the room's three directions; up is the one that
+    ``piece_up`` picks by the cameras' path and their own up; points are turned so that it is y, and thinned to voxels.
+    """
+    key = ["piece"]
+    metric = poses.join(scales, key).select("piece", "frame", *[(C(c) * C("scale")).alias(c) for c in ("px", "py", "pz")], "qx", "qy", "qz", "qw", "fx", "fy", "cx", "cy")
+    world = fr.to_world(pixels.select("piece", "frame", "row", "col", "depth"), metric, ["piece", "frame"])
+    found = fr.normals(world).join(world.select("piece", "frame", "row", "col"), ["frame", "row", "col"])
+    normals = found.select("piece", F.xxhash64("frame", "row", "col").alias("id"), C("nx").alias("x"), C("ny").alias("y"), C("nz").alias("z"))
+    box = box_frame(normals, key)
+    path = box.join(metric.select("piece", "px", "py", "pz"), key).groupBy("piece", "d", "x", "y", "z")
+    at = g.dot((C("x"), C("y"), C("z")), (C("px"), C("py"), C("pz")))
+    candidates = path.agg((F.max(at) - F.min(at)).alias("extent")).drop("d")
+    # rows of pictures go down, so a camera's up is its -y
+    m = g.quaternion_to_matrix(C("qx"), C("qy"), C("qz"), C("qw"))
+    rough = fr.mean_direction(metric, key, list(g.rotate(m, F.lit(0.0), F.lit(-1.0), F.lit(0.0))))
+    up = piece_up(candidates, rough, key).where("x is not null").select("piece", *[C(c).alias(f"u{c}") for c in "xyz"])
+    turn = g.rotation_between((C("ux"), C("uy"), C("uz")), (F.lit(0.0), F.lit(1.0), F.lit(0.0)))
+    x, y, z = g.rotate(turn, C("x"), C("y"), C("z"))
+    none = [F.lit(0.0).alias(c) for c in "rgb"]
+    upright = world.join(up, key).select("piece", x.alias("x"), y.alias("y"), z.alias("z"), *none, F.lit(1.0).alias("w"))
+    return voxel_downsample(upright, key, p).select("piece", "x", "y", "z", "w")
+
+
 def wall_anchor(plan: DataFrame, chunk: DataFrame, shifts: list[float], turns: list[float], cell: float = 0.02, min_overlap: int = 150, min_gain: float = 1.05) -> DataFrame:
     """The small move of a chunk's wall points that lays most of them on the plan's wall cells: capture_id, turn, dx, dz, overlap, start, accepted.
 

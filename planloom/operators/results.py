@@ -96,6 +96,7 @@ def violations(rooms: DataFrame, captures: DataFrame, openings: DataFrame | None
     ]
     if "walls" in rooms.columns:
         own.append(("wall", F.exists(F.coalesce("walls", F.array().cast(rooms.schema["walls"].dataType)), lambda w: no(w["id"].rlike(r"^R\d+-W\d+$")) | w["detected"].isNull() | w["length"]["value"].isNull() | no(F.size(w["start"]) == 2) | no(F.size(w["end"]) == 2))))
+    if "outline" in rooms.columns:
         own.append(("outline", F.coalesce(F.size("outline") < 3, F.lit(False)) & C("outline").isNotNull()))
     out = told(rooms, "id", own)
     out = out.unionByName(captures.where(no(C("tier").isin("lidar", "video", "photo"))).select("capture_id", F.lit("capture").alias("item"), F.lit("tier").alias("rule")))

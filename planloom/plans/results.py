@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +17,7 @@ from ..operators import points as pt
 from ..operators import results as rs
 from ..operators import walls as wl
 from ..sources import captures as sc
-from ..storage import written
+from ..storage import shared_dir, written
 from ..streaming import twins
 from . import plan as pl
 from . import scene
@@ -324,6 +328,72 @@ def result_explode(spark, sf):
     return rs.explode_documents(result_document(spark, sf)).drop("width_pm95")
 
 
+@query("scan_frames", f"WITH {FRAMES_SQL} SELECT capture_id::VARCHAR AS capture_id, frame, round(ts, 3) AS ts, round(score, 3) AS px, 640.0::DOUBLE AS fx FROM f")
+def scan_frames(spark, sf):
+    """Frames written as a file for each capture and read back, numbered by their lines."""
+    f = frames(spark, sf)
+    line = F.format_string("%.3f,%06d,%.3f,0,0,0,0,0,1,640,640,320,240", "ts", "frame", "score")
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("frame", line.alias("line")))), lambda x: x["line"])
+    text = f.groupBy("capture_id").agg(F.concat_ws("\n", F.array(F.lit("timestamp,frame,x,y,z,qx,qy,qz,qw,fx,fy,cx,cy")), lines).alias("value"))
+    folder = f"{shared_dir(spark)}/odometry-{uuid.uuid4().hex[:12]}"
+    text.repartition("capture_id").write.partitionBy("capture_id").text(folder)
+    back = sc.read_odometry(spark, folder, name="part-*")
+    return back.select(F.regexp_replace("capture_id", "^capture_id=", "").alias("capture_id"), "frame", F.round("ts", 3).alias("ts"), F.round("px", 3).alias("px"), "fx")
+
+
+@query("depth_scan", "WITH k AS (SELECT l_orderkey AS frame, unnest(range(12)) AS i, min(l_quantity)::BIGINT AS q, max(l_linenumber)::BIGINT AS c FROM lineitem GROUP BY 1) SELECT (frame // 1000)::VARCHAR AS capture_id, frame, (i // 4)::INT AS row, (i % 4)::INT AS col, round((q*100 + i*7)/1000::DOUBLE, 6) AS depth, ((c + i) % 3)::INT AS conf FROM k")
+def depth_scan(spark, sf):
+    """Depth and confidence pictures of 4 x 3 pixels (here: of orders), encoded and read."""
+    k = table(spark, sf, "lineitem").groupBy(C("l_orderkey").alias("frame")).agg(F.min("l_quantity").cast("long").alias("q"), F.max("l_linenumber").cast("long").alias("c"))
+
+    def encoded(batches):
+        for pdf in batches:
+            i, rows = np.arange(12).reshape(3, 4), []
+            for f, q, c in zip(pdf["frame"], pdf["q"], pdf["c"], strict=True):
+                rows.append((f"/x/{f // 1000}/depth/{f:06d}.png", sc.encode_png((q * 100 + i * 7).astype(np.uint16))))
+                rows.append((f"/x/{f // 1000}/confidence/{f:06d}.png", sc.encode_png(((c + i) % 3).astype(np.uint8))))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    px = sc.depth_pixels(k.mapInPandas(encoded, "path string, content binary"))
+    return px.withColumn("depth", F.round(C("depth").cast("double"), 6))
+
+
+@query("photo_listing", "SELECT 'room' || p_size AS room, p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '.JPG' ELSE '.jpeg' END AS name, CASE WHEN p_partkey % 5 > 0 THEN p_partkey % 8 + 1 ELSE 1 END::INT AS orientation, CASE WHEN p_partkey % 4 > 0 THEN (20 + p_size)::DOUBLE END AS focal35 FROM part WHERE p_partkey % 11 > 0")
+def photo_listing(spark, sf):
+    """Photos of rooms with what their metadata say."""
+    p = table(spark, sf, "part").select(C("p_partkey").alias("k"), C("p_size").cast("int").alias("s"))
+
+    def written_as(batches):
+        for pdf in batches:
+            rows = []
+            for k, s in zip(pdf["k"], pdf["s"], strict=True):
+                body = sc.with_exif(b"\xff\xd8\xff\xdb\0\4\0\0\xff\xda", int(k % 8 + 1) if k % 5 else None, int(20 + s) if k % 4 else None)
+                suffix = ".txt" if k % 11 == 0 else ".JPG" if k % 3 == 0 else ".jpeg"
+                rows.append((f"/home/room{s}/{k}{suffix}", len(body), body))
+            yield pd.DataFrame(rows, columns=["path", "length", "content"])
+
+    return sc.photos_of(p.mapInPandas(written_as, "path string, length long, content binary")).select("room", "name", "orientation", "focal35")
+
+
+@query("segment_panels", """WITH r AS (SELECT s_nationkey AS capture_id, (s_suppkey % 3 + 1)::INT AS segment, 'R' || s_suppkey AS id, s_suppkey AS k FROM supplier), o AS (SELECT s_nationkey AS capture_id, 'O' || s_suppkey AS id, ['R' || s_suppkey, 'R' || (s_suppkey + 25)] AS rooms FROM supplier),
+g AS (SELECT capture_id, segment, list_sort(list(id)) AS rooms FROM r GROUP BY ALL) SELECT g.capture_id, segment, g.rooms, list_sort(list(o.id)) AS openings FROM g JOIN o ON o.capture_id = g.capture_id AND list_has_any(g.rooms, o.rooms) GROUP BY ALL""")
+def segment_panels(spark, sf):
+    """Rooms of video segments with the openings that touch any of them."""
+    k = C("s_suppkey")
+    s = table(spark, sf, "supplier")
+    rooms = s.select(C("s_nationkey").alias("capture_id"), (k % 3 + 1).cast("int").alias("segment"), F.concat(F.lit("R"), k.cast("string")).alias("id"))
+    openings = s.select(C("s_nationkey").alias("capture_id"), F.concat(F.lit("O"), k.cast("string")).alias("id"), F.array(F.concat(F.lit("R"), k.cast("string")), F.concat(F.lit("R"), (k + 25).cast("string"))).alias("rooms"))
+    return rs.segment_panels(rooms, openings)
+
+
+@query("surviving_openings", "WITH e AS (SELECT o_custkey AS capture_id, o_orderkey AS gap_idx, unnest([o_orderkey % 5, o_orderkey % 3]) AS room_id FROM orders) SELECT capture_id, gap_idx, list_sort(list_distinct(list(room_id*10))) AS rooms FROM e WHERE room_id <> 1 GROUP BY ALL")
+def surviving_openings(spark, sf):
+    """Openings of which a room is left, with the rooms' new ids."""
+    o = table(spark, sf, "orders").select(C("o_custkey").alias("capture_id"), C("o_orderkey").alias("gap_idx"), F.array(C("o_orderkey") % 5, C("o_orderkey") % 3).alias("rooms"))
+    ids = o.select("capture_id", F.explode("rooms").alias("room_id")).distinct().where("room_id <> 1").withColumn("new_id", C("room_id") * 10)
+    return wl.surviving_openings(o, ids)
+
+
 @query("tier_detect", """WITH f AS (SELECT p_partkey // 12 AS folder, CASE p_partkey % 60 WHEN 0 THEN 'walk.MP4' WHEN 13 THEN 'depth/1.png' WHEN 14 THEN 'odometry.csv' WHEN 25 THEN 'depth/2.png' WHEN 40 THEN 'notes/a.txt' WHEN 41 THEN 'room1/.DS_Store' WHEN 50 THEN 'plan.JPG' ELSE 'room' || p_partkey % 4 || '/' || p_partkey || '.jpg' END AS path FROM part),
 top AS (SELECT folder, bool_or(path = 'odometry.csv') AS odometry, bool_or(regexp_matches(path, '^[^/]*[.](mp4|mov|m4v)$', 'i')) AS video FROM f GROUP BY 1),
 sub AS (SELECT folder, split_part(path, '/', 1) AS name, bool_or(regexp_matches(path, '^[^/]*/[^/]*[.](jpg|jpeg|png|heic)$', 'i')) AS held FROM f WHERE path LIKE '%/%' GROUP BY ALL)

@@ -17,12 +17,12 @@ IMAGES = r"\.(jpg|jpeg|png|heic|heif)$"
 PLY_POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("r", "u1"), ("g", "u1"), ("b", "u1")])
 
 
-def read_odometry(spark: SparkSession, root: str) -> DataFrame:
-    """Frames of captures ``root``/<capture>/odometry.csv: capture_id, frame (the line's number), ts, pose and intrinsics; columns are taken by position.
+def read_odometry(spark: SparkSession, root: str, name: str = "odometry.csv") -> DataFrame:
+    """Frames of captures ``root``/<capture>/odometry.csv (or files of the pattern ``name``): capture_id, frame (the line's number), ts, pose and intrinsics; columns are taken by position.
 
     A file's lines are numbered within the file by their order, which the reader keeps inside a partition; files are read whole for that.
     """
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "odometry.csv").text(root, wholetext=True).withColumn("path", C("_metadata.file_path"))
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True).withColumn("path", C("_metadata.file_path"))
     lines = text.select(F.element_at(F.split("path", "/"), -2).alias("capture_id"), F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("n", "line")).where("n > 0 and trim(line) <> ''")
     d = lambda i: F.expr(f"try_cast(trim(get(split(line, ','), {i})) AS double)")
     names = {0: "ts", 2: "px", 3: "py", 4: "pz", 5: "qx", 6: "qy", 7: "qz", 8: "qw", 9: "fx", 10: "fy", 11: "cx", 12: "cy"}
@@ -41,6 +41,8 @@ def decode_png(data: bytes) -> np.ndarray:
         elif kind == b"IDAT":
             parts.append(data[at + 8 : at + 8 + size])
         at += 12 + size
+        if kind == b"IEND":
+            break
     width, height, bits, colour, _, _, interlace = head
     if colour != 0 or bits not in (8, 16) or interlace:
         raise ValueError("only plain grey pictures are read")
@@ -87,14 +89,18 @@ def _pixels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"capture_id": parts[-3], "kind": parts[-2], "frame": int(parts[-1].split(".")[0]), "row": row.ravel().astype(np.int32), "col": col.ravel().astype(np.int32), "value": grid.ravel().astype(np.int32)})
 
 
-def read_depth(spark: SparkSession, root: str) -> DataFrame:
-    """Pixels of ``root``/<capture>/{depth,confidence}/NNNNNN.png: capture_id, frame, row, col, depth (metres, 0: none), conf."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(root).select("path", "content")
-    px = files.mapInPandas(_pixels, "capture_id string, kind string, frame long, row int, col int, value int")
+def depth_pixels(files: DataFrame) -> DataFrame:
+    """Pixels of pictures (path .../<capture>/{depth,confidence}/NNNNNN.png, content): capture_id, frame, row, col, depth (metres, 0: none), conf."""
+    px = files.select("path", "content").mapInPandas(_pixels, "capture_id string, kind string, frame long, row int, col int, value int")
     keys = ["capture_id", "frame", "row", "col"]
     return px.groupBy(*keys).agg(F.max(F.when(C("kind") == "depth", (C("value") / 1000).cast("float"))).alias("depth"), F.max(F.when(C("kind") == "confidence", C("value"))).alias("conf"))
 
 
+def read_depth(spark: SparkSession, root: str) -> DataFrame:
+    """``depth_pixels`` of the pictures below ``root``."""
+    return depth_pixels(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(root))
+
+
 def ply_bytes(points: pd.DataFrame) -> bytes:
     """A binary cloud file of x, y, z, r, g, b; colours are cut to 0-255 and to whole numbers."""
     out = np.zeros(len(points), PLY_POINT)
@@ -141,11 +147,70 @@ def read_ply(spark: SparkSession, path: str) -> DataFrame:
     return from_ply(spark.read.format("binaryFile").option("pathGlobFilter", "*.ply").option("recursiveFileLookup", True).load(path).select("path", "content"), ["path"])
 
 
-def list_photos(spark: SparkSession, root: str) -> DataFrame:
-    """Photos of ``root``/<room>/<file>: room, name, path, size. File contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+#: Tags of picture metadata (orientation, its further part, focal length as on 35 mm film) and sizes of its types.
+ORIENTATION, FURTHER, FOCAL_35MM = 0x0112, 0x8769, 0xA405
+TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
+
+
+def exif(data: bytes) -> dict[int, int]:
+    """Whole-number tags of a JPEG's metadata, those of the further part too; nothing where there are none or they are broken."""
+    at = 2
+    while data[:2] == b"\xff\xd8" and at + 4 <= len(data) and data[at] == 0xFF:
+        size = int.from_bytes(data[at + 2 : at + 4], "big")
+        if data[at + 1] == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
+            return _tags(data[at + 10 : at + 2 + size])
+        if data[at + 1] == 0xDA:
+            break
+        at += 2 + size
+    return {}
+
+
+def _tags(tiff: bytes) -> dict[int, int]:
+    order = {b"II": "little", b"MM": "big"}.get(tiff[:2])
+    number = lambda at, n: int.from_bytes(tiff[at : at + n], order)
+    out: dict[int, int] = {}
+    parts = [number(4, 4)] if order else []
+    for start in parts:  # the first part names the further one
+        if start + 2 > len(tiff) or len(parts) > 4:
+            break
+        for i in range(number(start, 2)):
+            at = start + 2 + 12 * i
+            kind, count = number(at + 2, 2), number(at + 4, 4)
+            if at + 12 <= len(tiff) and kind in (3, 4) and count == 1:
+                tag, value = number(at, 2), number(at + 8, TYPE_BYTES[kind])
+                out[tag] = value
+                if tag == FURTHER:
+                    parts.append(value)
+    return out
+
+
+def with_exif(body: bytes, orientation: int | None, focal35: int | None) -> bytes:
+    """A JPEG's bytes with metadata that has these two, after the picture's first marker."""
+    entry = lambda tag, kind, value: struct.pack("<HHII", tag, kind, 1, value)
+    first = ([entry(ORIENTATION, 3, orientation)] if orientation else []) + ([entry(FURTHER, 4, 8 + 2 + 12 * (1 + bool(orientation)) + 4)] if focal35 else [])
+    tiff = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", len(first)) + b"".join(first) + b"\0\0\0\0"
+    if focal35:
+        tiff += struct.pack("<H", 1) + entry(FOCAL_35MM, 3, focal35) + b"\0\0\0\0"
+    return body[:2] + b"\xff\xe1" + struct.pack(">H", len(tiff) + 8) + b"Exif\0\0" + tiff + body[2:]
+
+
+def _metadata(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        tags = [exif(bytes(x)) if x is not None else {} for x in pdf["head"]]
+        focal = [float(t[FOCAL_35MM]) if t.get(FOCAL_35MM) else None for t in tags]
+        yield pdf.drop(columns="head").assign(orientation=[t.get(ORIENTATION, 1) for t in tags], focal35=pd.array(focal, dtype="Float64"))
+
+
+def photos_of(files: DataFrame) -> DataFrame:
+    """Photos of files (path .../<room>/<file>, length, content): room, name, path, size, orientation (1: upright), focal35 (null: not said). Only their first 64 KB are looked at."""
     parts = F.split("path", "/")
-    return files.where(F.lower("path").rlike(IMAGES)).select(F.element_at(parts, -2).alias("room"), F.element_at(parts, -1).alias("name"), "path", C("length").alias("size"))
+    named = files.where(F.lower("path").rlike(IMAGES)).select(F.element_at(parts, -2).alias("room"), F.element_at(parts, -1).alias("name"), "path", C("length").alias("size"), F.substring("content", 1, 1 << 16).alias("head"))
+    return named.mapInPandas(_metadata, "room string, name string, path string, size long, orientation int, focal35 double")
+
+
+def list_photos(spark: SparkSession, root: str) -> DataFrame:
+    """``photos_of`` the files below ``root``."""
+    return photos_of(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root))
 
 
 def cap_points(points: DataFrame, most: int, seed: int = 0, keys: tuple[str, ...] = ("ord", "line"), by: list[str] | None = None) -> DataFrame:

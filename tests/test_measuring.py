@@ -1,5 +1,6 @@
 """Operators against truth that is known by construction."""
 
+import json
 import math
 
 import numpy as np
@@ -188,3 +189,143 @@ def test_clouds_and_photos(spark, tmp_path):
     (tmp_path / "home" / "hall" / "1.JPG").write_bytes(b"x")
     (tmp_path / "home" / "hall" / "1.txt").write_bytes(b"x")
     assert [(r.room, r.name) for r in sc.list_photos(spark, str(tmp_path / "home")).collect()] == [("hall", "1.JPG")]
+
+
+def box_room_views(tilt):
+    """Depth pictures from inside a box of 4 x 2.5 x 3 m (y up), by cameras that look around; the piece's frame is turned by ``tilt`` degrees about x and has units of 2 m."""
+    a = math.radians(tilt)
+    lean = np.array([[1, 0, 0], [0, math.cos(a), -math.sin(a)], [0, math.sin(a), math.cos(a)]])
+    rows, poses = [], []
+    frame = 0
+    for n, yaw in enumerate(range(0, 360, 45)):
+        # in a camera x is right, y down and z ahead
+        c, s = math.cos(math.radians(yaw)), math.sin(math.radians(yaw))
+        world = np.array([[c, 0, s], [0, -1, 0], [s, 0, -c]])  # columns: right, down, ahead
+        eye = np.array([1.2 + 0.25 * n % 1.5, 1.3, 1.1 + 0.2 * n % 1.1])
+        for r in range(0, 48):
+            for k in range(0, 64):
+                ray = world @ np.array([(k + 0.5 - 32) / 40, (r + 0.5 - 24) / 40, 1.0])
+                with np.errstate(divide="ignore"):
+                    t = np.where(ray > 0, (np.array([4, 2.5, 3]) - eye) / ray, np.where(ray < 0, -eye / ray, np.inf))
+                rows.append((1, frame, r, k, float(t.min())))
+        m = lean @ world
+        w = math.sqrt(max(0.0, 1 + m[0, 0] + m[1, 1] + m[2, 2])) / 2
+        q = None
+        if w > 1e-6:
+            q = ((m[2, 1] - m[1, 2]) / (4 * w), (m[0, 2] - m[2, 0]) / (4 * w), (m[1, 0] - m[0, 1]) / (4 * w), w)
+        else:
+            vals, vecs = np.linalg.eigh(m + m.T)
+            q = (*vecs[:, -1], 0.0)
+        poses.append((1, frame, *(float(x) / 2 for x in lean @ eye), *map(float, q), 40.0, 40.0, 32.0, 24.0))
+        frame += 1
+    return rows, poses
+
+
+@pytest.mark.parametrize("tilt", [0.0, 25.0])
+def test_points_of_a_piece_are_metric_and_upright(spark, tilt):
+    rows, poses = box_room_views(tilt)
+    pixels = spark.createDataFrame(rows, "piece long, frame long, row int, col int, depth double")
+    cameras = spark.createDataFrame(poses, "piece long, frame long, px double, py double, pz double, qx double, qy double, qz double, qw double, fx double, fy double, cx double, cy double")
+    scales = spark.createDataFrame([(1, 2.0)], "piece long, scale double")
+    got = mo.metric_points(pixels, cameras, scales).toPandas()
+    assert len(got) > 3000
+    low, high = got["y"].min(), got["y"].max()
+    assert abs(high - low - 2.5) < 0.03
+    # floor and ceiling are level: what was seen of them, a metre and more of it, lies within 2 cm
+    for level in (low, high):
+        near = got[np.abs(got["y"] - level) < 0.02]
+        assert len(near) > 50 and max(np.ptp(near["x"]), np.ptp(near["z"])) > 1
+
+
+def test_documents_are_refused_where_they_break_the_contract(spark, tmp_path):
+    from planloom.operators import results as rs_
+
+    m = lambda v: (v, 0.02, None)
+    measure = "struct<value:double,pm95:double,note:string>"
+    walls = [("R2-W1", [0.0, 0.0], [4.0, 0.0], m(4.0), True), ("R2-W2", [4.0, 0.0], [4.0, 3.0], m(3.0), False)]
+    rooms = spark.createDataFrame([(1, "R10", "Room 10", "not rectangular", None, m(2.0), m(2.0), (None, None, "x"), (None, None, 'said ,"note":null')), (1, "R2", "Room 2", "rectangular", walls, m(4.0), m(3.0), m(12.0), m(2.5))],
+        f"capture_id long, id string, name string, shape string, walls array<struct<id:string,start:array<double>,end:array<double>,length:{measure},detected:boolean>>, width {measure}, length {measure}, floor_area {measure}, ceiling_height {measure}")
+    captures = spark.createDataFrame([(1, "lidar", 12.5), (2, "video", 3.0)], "capture_id long, tier string, processing_seconds double")
+    openings = spark.createDataFrame([(1, "O1", "door", [1.0, 0.0], [2.0, 0.0], m(1.0), ["R2", "R10"])], f"capture_id long, id string, type string, start array<double>, end array<double>, width {measure}, rooms array<string>")
+    joined = spark.createDataFrame([(1, ["R2", "R10"], "O1")], "capture_id long, rooms array<string>, via string")
+    docs = {r.capture_id: json.loads(r.document) for r in rs_.documents(captures, rooms=rooms, openings=openings, adjacency=joined).collect()}
+    one = docs[1]
+    assert list(one) == ["schema_version", "capture", "units", "rooms", "openings", "adjacency", "property", "damage", "concealed_damage_flags", "scope", "warnings"]
+    assert one["units"] == "metres" and one["capture"] == {"id": "1", "tier": "lidar", "processing_seconds": 12.5}
+    assert [r["id"] for r in one["rooms"]] == ["R2", "R10"] and "segment" not in one["rooms"][0] and "outline" not in one["rooms"][0]
+    assert one["rooms"][1]["floor_area"] == {"value": None, "pm95": None, "note": "x"} and one["rooms"][1]["ceiling_height"]["note"] == 'said ,"note":null'
+    assert one["rooms"][0]["walls"][1] == {"id": "R2-W2", "start": [4.0, 0.0], "end": [4.0, 3.0], "length": {"value": 3.0, "pm95": 0.02}, "detected": False}
+    assert one["adjacency"] == [{"rooms": ["R2", "R10"], "via": "O1"}] and one["property"] == {"room_count": 2, "total_floor_area": {"value": 12.0, "pm95": 0.02}}
+    assert docs[2]["rooms"] == [] and docs[2]["warnings"] == [] and docs[2]["property"]["room_count"] == 0
+    good = rs_.violations(rooms, captures, openings, joined)
+    rs_.write_documents(rs_.documents(captures, rooms=rooms), good, f"{tmp_path}/good")
+    assert spark.read.text(f"{tmp_path}/good").count() == 2
+    for bad in (rooms.withColumn("shape", F.lit("rectangle")), rooms.withColumn("id", F.lit("Room")), rooms.withColumn("width", F.struct(F.lit(1.0).alias("value"), F.lit(-1.0).alias("pm95"), F.lit(None).cast("string").alias("note")))):
+        with pytest.raises(ValueError, match="break the contract"):
+            rs_.write_documents(rs_.documents(captures, rooms=rooms), rs_.violations(bad, captures), f"{tmp_path}/bad")
+    rs_.write_debug(f"{tmp_path}/debug", rooms=rooms.select("capture_id", "id"))
+    assert spark.read.json(f"{tmp_path}/debug/rooms").count() == 2
+
+
+def test_outlines_are_traced_or_fall_back_to_the_rectangle(spark):
+    ell = [(1, 1, r, c) for r in range(40) for c in range(60) if r < 20 or c < 24]
+    thin = [(1, 2, r, c) for r in range(3) for c in range(100, 140)]  # nothing is left of it without spikes
+    cells = spark.createDataFrame(ell + thin, "capture_id long, room_id int, row int, col int")
+    side = lambda i, room, xl, xh, zl, zh: (1, room, "not rectangular", xh - xl, 0.02, zh - zl, 0.04, xl, xh, zl, zh, True, False, True, True)
+    rooms = spark.createDataFrame([side(0, 1, 0.0, 3.0, 0.0, 2.0), side(1, 2, 5.0, 7.0, 0.0, 0.15)], "capture_id long, room_id int, shape string, width double, width_pm95 double, length double, length_pm95 double, x_low double, x_high double, z_low double, z_high double, x_low_found boolean, x_high_found boolean, z_low_found boolean, z_high_found boolean")
+    walls = spark.createDataFrame([(1, 0, "x", 3.04), (1, 1, "z", 0.97)], "capture_id long, wall_idx int, axis string, position double")
+    touched = spark.createDataFrame([(1, 0, 1), (1, 1, 1)], "capture_id long, wall_idx int, room_id int")
+    got = {}
+    for r in ol.room_walls(rooms, cells, walls, touched).orderBy("k").collect():
+        got.setdefault((r.room_id, r.traced), []).append((round(r.x, 2), round(r.z, 2), r.length, r.pm95, r.detected))
+    assert set(got) == {(1, True), (2, False)} and len(got[1, True]) == 6
+    assert {(x, z) for x, z, *_ in got[1, True]} == {(0.0, 0.0), (3.04, 0.0), (3.04, 0.97), (1.2, 0.97), (1.2, 2.0), (0.0, 2.0)}
+    assert {(d, pm) for *_, pm, d in got[1, True]} == {(True, 0.014), (False, 0.141)} and sum(d for *_, d in got[1, True]) == 2
+    assert [(n, pm, d) for _, _, n, pm, d in got[2, False]] == [(2.0, 0.02, True), (0.15, 0.04, False), (2.0, 0.02, True), (0.15, 0.04, True)]
+
+
+def test_metadata_of_photos():
+    body = b"\xff\xd8\xff\xdb\0\4\0\0\xff\xda"
+    for orientation in (None, 1, 6):
+        for focal in (None, 26):
+            tags = sc.exif(sc.with_exif(body, orientation, focal))
+            assert tags.get(sc.ORIENTATION) == orientation and tags.get(sc.FOCAL_35MM) == focal
+    big = b"MM\0*" + (8).to_bytes(4, "big") + (1).to_bytes(2, "big") + (0x0112).to_bytes(2, "big") + (3).to_bytes(2, "big") + (1).to_bytes(4, "big") + (8).to_bytes(2, "big") + b"\0\0" + b"\0\0\0\0"
+    assert sc._tags(big) == {sc.ORIENTATION: 8}
+    assert sc.exif(body) == sc.exif(b"") == sc.exif(b"\x89PNG") == {} and sc.exif(body[:2] + b"\xff\xe1\0\x20Exif\0\0II*\0\xff\xff\xff\xff") == {}
+
+
+def test_late_frames_are_dropped(spark, tmp_path):
+    """A frame older than the watermark doesn't change its window, and windows are written once the watermark has passed them."""
+    from planloom.streaming import twins
+
+    at = lambda h, m=0: f"2024-01-01 {h:02d}:{m:02d}:00"
+    schema = "kind string, time timestamp, score double"
+    for n, rows in enumerate([[("a", at(1), 1.0), ("a", at(1, 30), 1.0), ("a", at(5), 1.0)], [("a", at(1, 45), 1.0), ("a", at(5, 10), 1.0), ("a", at(9), 1.0)]]):
+        df = spark.createDataFrame([(k, t, s) for k, t, s in rows], "kind string, t string, score double").select("kind", F.to_timestamp("t").alias("time"), "score")
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        out = twins._run(twins.tumbling(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), late="30 minutes"), str(tmp_path))
+    got = sorted((r.begin % 86400 // 3600, r.n) for r in out.collect())
+    assert got == [(1, 2), (5, 2)]
+
+
+def test_rooms_of_two_plans_match_once(spark):
+    df = spark.createDataFrame([(1, 1, 1, 0.9), (1, 1, 2, 0.5), (1, 2, 2, 0.4), (1, 3, 1, 0.6), (1, 4, 4, 0.2)], "capture_id long, a long, b long, iou double")
+    assert sorted((r.a, r.b) for r in ol.match_rooms(df).collect()) == [(1, 1), (2, 2)]
+
+
+def test_places_in_rooms_and_on_surfaces(spark):
+    corners = spark.createDataFrame([(1, 1, k, x, z, 2.5) for k, (x, z) in enumerate([(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0)])], "capture_id long, room_id int, k int, x double, z double, ceiling double")
+    places = [(1, 2.0, 1.2, 0.1, "R1-W1"), (2, 3.9, 1.2, 1.5, "R1-W2"), (3, 2.0, 0.05, 1.5, "R1-floor"), (4, 2.0, 2.4, 1.5, "R1-ceiling"), (5, 2.0, 1.2, 1.5, "R1-unknown"), (6, 4.2, 1.2, 1.0, "R1-W2"), (7, 6.0, 1.0, 1.0, None)]
+    df = spark.createDataFrame([(1, i, x, y, z) for i, x, y, z, _ in places], "capture_id long, id long, x double, y double, z double")
+    got = {r.id: r.surface for r in ol.place_on_plan(df, corners).collect()}
+    assert got == {i: s for i, *_, s in places}
+
+
+def test_three_directions_of_a_turned_box(spark):
+    r = np.random.default_rng(8)
+    q, _ = np.linalg.qr(r.normal(size=(3, 3)))
+    rows = [(1, i, *map(float, (q[:, i % 3] * r.choice([-1, 1]) + r.normal(size=3) * 0.01))) for i in range(600)] + [(1, 1000 + i, *map(float, r.normal(size=3))) for i in range(60)]
+    df = spark.createDataFrame([(a, b, x / n, y / n, z / n) for a, b, x, y, z in rows for n in [math.sqrt(x * x + y * y + z * z)]], "g long, id long, x double, y double, z double")
+    got = np.array([(x.x, x.y, x.z) for x in mo.box_frame(df, ["g"]).orderBy("d").collect()])
+    assert np.allclose(np.abs(got @ q).max(axis=1), 1, atol=2e-3) and np.allclose(got @ got.T, np.eye(3), atol=1e-6)
