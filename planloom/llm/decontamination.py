@@ -243,39 +243,52 @@ def _clean(shared):
     return run
 
 
-def blocks(benchmark: DataFrame, size: int = BLOCK) -> list:
-    """The benchmark's items in blocks of about ``size`` characters, each a broadcast of a bounded size."""
+def distinct_items(benchmark: DataFrame) -> DataFrame:
+    """text and like: items of equal texts are one, by their least id."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    return items.groupBy("text").agg(F.min("item_id").alias("like"))
+
+
+def blocks(benchmark: DataFrame, size: int = BLOCK) -> list:
+    """The benchmark's distinct items in blocks of about ``size`` characters, each a broadcast of a bounded size."""
+    items = distinct_items(benchmark)
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // size)
-    sc = benchmark.sparkSession.sparkContext
-    cut = lambda i: items if n <= 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-    return [sc.broadcast([(r.item_id, r.text) for r in cut(i).collect()]) for i in range(n)]
+    sc = items.sparkSession.sparkContext
+    cut = lambda i: items if n <= 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i)
+    return [sc.broadcast([(r.like, r.text) for r in cut(i).collect()]) for i in range(n)]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Benchmark items that documents hold: doc_id, item_id, n_probes, min_edits, start, end (code points, end exclusive).
 
     A row for each document row and item of which a whole probe is in the text within EDITS edits for each 100 characters (for
-    items shorter than SHORT characters: the whole item unchanged). Case of A-Z and the kind of white space don't count. Null
+    items shorter than SHORT characters: the whole item unchanged). ``min_edits`` is the least of the places that were verified, and ``start`` and ``end``
+    are that place, the first of equals. Case of A-Z and the kind of white space don't count. Null
     and empty texts, and null or empty items, match nothing. Rows that repeat give one row; documents that share an id
-    are reported together. Further columns aren't used; empty tables give an empty result.
+    are reported together; items of equal texts are found alike. Further columns aren't used; empty tables give an empty result. Very long texts
+    are searched whole, a stretch at a time.
     """
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ddl = "row long, doc_id long, item_id long, edits long, start long, end long"
+    items = distinct_items(benchmark)
     found = None
     for block in blocks(benchmark):
         one = texts.mapInArrow(_find(block), ddl)
         found = one if found is None else found.unionByName(one)
     if found is None:
         found = spark.createDataFrame([], ddl)
-    return found.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_probes"), F.min("edits").alias("min_edits"), F.min("start").alias("start"), F.max("end").alias("end"))
+    best = F.min(F.struct("edits", "start", "end"))
+    told = found.groupBy("doc_id", F.col("item_id").alias("like")).agg(F.count("*").alias("n_probes"), best.alias("b"))
+    same = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct().join(items, "text").select("item_id", "like").distinct()
+    joined = told.join(same, told["like"].eqNullSafe(same["like"]))
+    return joined.select("doc_id", "item_id", "n_probes", F.col("b.edits").alias("min_edits"), F.col("b.start").alias("start"), F.col("b.end").alias("end"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all columns, that hold no benchmark item."""
+    """The rows of ``docs``, with all columns, that hold no benchmark item. Rows that repeat stay or go alike; null and empty texts stay; an empty table gives an empty one."""
     ship(docs.sparkSession)
     for block in blocks(benchmark):
         wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

@@ -94,3 +94,13 @@ def test_blocks_give_the_same(spark, monkeypatch):
     full = dc.blocks
     monkeypatch.setattr(dc, "blocks", lambda x: full(x, 700))
     assert len(dc.blocks(b)) > 1 and {tuple(r) for r in dc.find_leaks(d, b).collect()} == whole
+
+
+def test_items_of_equal_texts_are_found_alike(spark):
+    docs, items = case(5)
+    twice = items + [(i + 1000, t) for i, t in items] + [(None, items[0][1])]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    one = {tuple(r)[:2] for r in dc.find_leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    got = dc.find_leaks(d, spark.createDataFrame(twice, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == one | {(a, b + 1000) for a, b in one} | {(a, None) for a, b in one if b == items[0][0]} and len(got) == len({(r.doc_id, r.item_id) for r in got})
+    assert all(0 <= r.start < r.end and r.min_edits >= 0 for r in got)
