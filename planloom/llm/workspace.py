@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 #: Bits of a filter (as a power of two): 8 MB, as 2**20 rows at most.
 FILTER_BITS = 26
 
@@ -57,7 +59,12 @@ def with_doubt(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Puts the repository on the Python path of the workers (for clusters without a shared folder use --py-files)."""
+    """Puts the repository on the Python path of the workers (for clusters without a shared folder use --py-files), and bounds the bytes of a batch that goes to them.
+
+    Batches are as small as BATCH_BYTES where the session leaves Spark's default; they bound what a task holds of long texts on both sides.
+    """
+    if spark.conf.get(BATCH_CONF, "64m").lower() in ("67108864", "67108864b", "64m", "64mb"):
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
