@@ -62,7 +62,6 @@ class Params:
     max_box_share: float = 0.5
     merge_distance: float = 0.5
     size_sigma: float = 0.15
-    full_frame_diagonal: float = 43.27
     min_spots: int = 20
     depth_bias: float = 1.35
     gate_abs: float = 0.01

@@ -39,7 +39,7 @@ def test_equals_sql(spark, duck, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES) - {"find_rotation"}))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_other_queries_run(spark, name):
     df = registry.QUERIES[name](spark, SF)
     assert df.columns and df.count() >= 0
