@@ -1,7 +1,9 @@
 """The corpus pipeline: toxic documents go, near copies are folded, benchmark passages go, sources are mixed, rows are sharded.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last return the columns of
-``documents``; a document that the mix takes twice stands there twice.
+``documents``; a document that the mix takes twice stands there twice. Documents with null or empty texts pass the first three stages and have no words to
+be mixed; rows with null ids take part by their texts; rows that repeat are folded by the second stage; further columns pass through; empty tables
+give empty ones.
 """
 
 from __future__ import annotations
