@@ -27,8 +27,10 @@ def horizontal_levels(points: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
     The lowest of equal peaks counts. There is no ceiling where its peak is under a fifth of the floor's or it is under 1.8 m above the floor.
     """
-    base = points.groupBy("capture_id").agg(F.min("y").alias("low"), F.median("y").alias("middle"))
-    bins = points.join(base, "capture_id").groupBy("capture_id", "low", "middle", F.floor((F.col("y") - F.col("low")) / p.level_bin).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    # equal heights are counted first, so that medians and bins handle numbers of points and not points
+    heights = points.groupBy("capture_id", "y").agg(F.count("*").alias("k"))
+    base = heights.groupBy("capture_id").agg(F.min("y").alias("low"), F.percentile("y", 0.5, F.col("k")).alias("middle"))
+    bins = heights.join(base, "capture_id").groupBy("capture_id", "low", "middle", F.floor((F.col("y") - F.col("low")) / p.level_bin).cast("long").alias("bin")).agg(F.sum("k").alias("n"))
     bins = bins.withColumn("centre", F.col("low") + (F.col("bin") + 0.5) * p.level_bin)
     peak = lambda side: F.max_by(F.struct("centre", "n"), F.when(side, F.struct(F.col("n"), -F.col("bin"))))
     both = bins.groupBy("capture_id").agg(peak(F.col("centre") < F.col("middle")).alias("f"), peak(F.col("centre") >= F.col("middle")).alias("c"))

@@ -72,7 +72,9 @@ def rated_runs(band: DataFrame, spikes: DataFrame, bands: DataFrame, p: Params =
     keys = ["capture_id", "axis", "spike"]
     start, end = C("first") * p.along_cell, (C("last") + 1) * p.along_cell
     on = near.join(found, keys).where((C("along") >= start) & (C("along") <= end))
-    placed = written(on.groupBy(*keys, "run", "first", "last", "height_cover").agg(F.median("across").alias("position"), F.count("*").alias("points")), "placed")
+    own = [*keys, "run", "first", "last", "height_cover"]
+    places = on.groupBy(*own, "across").agg(F.count("*").alias("k"))
+    placed = written(places.groupBy(*own).agg(F.percentile("across", 0.5, C("k")).alias("position"), F.sum("k").alias("points")), "placed")
     # all band points along the wall, up to 7 cm from its position, which is up to 3 cm from the spike
     o = C("across") - C("position")
     n = lambda when: F.sum(when.cast("int"))
