@@ -80,6 +80,26 @@ def signature(own: np.ndarray) -> bytes:
     return np.packbits((np.bincount((own >> np.uint64(8)).astype(np.int64) % SIGNATURE_BITS, minlength=SIGNATURE_BITS) & 1).astype(np.uint8)).tobytes()
 
 
+def pack(counts: np.ndarray) -> bytes:
+    """Counts of which most are 0, as gaps between the others (255 and a further byte for each 255) and their values."""
+    at = np.flatnonzero(counts)
+    gap = np.diff(at, prepend=-1) - 1
+    many = gap // 255
+    out = np.full(len(gap) + int(many.sum()), 255, np.uint8)
+    out[np.cumsum(many + 1) - 1] = gap % 255
+    gaps = zlib.compress(out.tobytes(), 1)
+    return len(gaps).to_bytes(4, "little") + gaps + zlib.compress(counts[at].tobytes(), 1)
+
+
+def unpack(blob: bytes, n: int) -> np.ndarray:
+    cut = 4 + int.from_bytes(blob[:4], "little")
+    steps = np.frombuffer(zlib.decompress(blob[4:cut]), np.uint8)
+    total = np.cumsum(steps, dtype=np.int64)[steps != 255]
+    out = np.zeros(n, np.uint8)
+    out[total + np.arange(len(total))] = np.frombuffer(zlib.decompress(blob[cut:]), np.uint8)
+    return out
+
+
 CENSUS = ["doc_id", "n", "set_id", "check", "piece", "counts"]
 
 
@@ -103,7 +123,7 @@ def _census(k: int, bits: int):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(ids), pa.array(checks), pa.nulls(len(batch)).cast(pa.int32()), pa.array(signs, pa.binary())], CENSUS)
         if counts.any():
             each = len(counts) // PIECES
-            blobs = [zlib.compress(counts[p * each : (p + 1) * each].tobytes(), 1) for p in range(PIECES)]
+            blobs = [pack(counts[p * each : (p + 1) * each]) for p in range(PIECES)]
             nulls = pa.nulls(PIECES).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([nulls, nulls, nulls, nulls, pa.array(range(PIECES), pa.int32()), pa.array(blobs, pa.binary())], CENSUS)
 
@@ -114,7 +134,7 @@ def _add_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            got = np.frombuffer(zlib.decompress(blob), np.uint8).astype(np.int64)
+            got = unpack(blob, (1 << SKETCH_BITS) // PIECES).astype(np.int64)
             sums[p] = sums[p] + got if p in sums else got
     for p, total in sums.items():
         # half steps of the logarithm: enough to order by, a byte each

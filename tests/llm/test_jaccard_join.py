@@ -87,6 +87,13 @@ def test_empty_tables(spark):
     assert sorted(map(tuple, jj.jaccard_classes(alone).collect())) == [(1, 0, 1), (2, 0, 2), (3, 1, 3)]
 
 
+def test_counts_are_packed_without_loss():
+    r = np.random.default_rng(3)
+    for share in (0.0, 0.0005, 0.02, 0.5, 1.0):
+        counts = (r.integers(1, 256, 5000) * (r.random(5000) < share)).astype(np.uint8)
+        assert (jj.unpack(jj.pack(counts), 5000) == counts).all()
+
+
 def test_longer_prefixes_where_candidates_cost_more():
     assert jj.choose_matches(np.ones(600), 10, 90) <= jj.choose_matches(np.full(600, 50.0), 600, 90)
     assert 1 < jj.choose_matches(np.full(600, 50.0), 600, 90) <= jj.MOST_MATCHES
