@@ -138,14 +138,14 @@ def concealed_flags(damage: DataFrame) -> DataFrame:
 def repair_scope(damage: DataFrame, areas: DataFrame, scope: DataFrame) -> DataFrame:
     """damage_id, surface, action, quantity, unit: by the surface's area (else the damage's), its area with a margin of 30 cm, its length, or each.
 
-    Quantities are rounded to two digits; where sizes aren't known, they are null.
+    Where sizes aren't known, quantities are null; documents round them to two digits.
     """
     j = damage.join(F.broadcast(scope), "class").join(areas, ["capture_id", "surface"], "left")
     known = (F.col("width_m") > 0) & (F.col("height_m") > 0)
     quantity = F.when(F.col("basis") == "surface", F.when(F.col("surface_area") > 0, F.col("surface_area")).otherwise(F.when(known, F.col("area"))))
     quantity = quantity.when(F.col("basis") == "damage+margin", F.when(known, (F.col("width_m") + 0.6) * (F.col("height_m") + 0.6))).when(F.col("basis") == "length", F.when(F.col("width_m").isNotNull() & F.col("height_m").isNotNull(), F.greatest("width_m", "height_m"))).otherwise(1.0)
     unit = F.when(F.col("basis") == "length", "m").when(F.col("basis") == "count", "each").otherwise("m2")
-    return j.select("damage_id", "surface", "action", F.round(quantity, 2).alias("quantity"), unit.alias("unit"))
+    return j.select("damage_id", "surface", "action", quantity.alias("quantity"), unit.alias("unit"))
 
 
 def locate(detections: DataFrame, pixels: DataFrame, floors: DataFrame, min_pixels: int = 5, min_depth: float = 0.2) -> DataFrame:

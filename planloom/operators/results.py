@@ -56,6 +56,8 @@ def documents(captures: DataFrame, warnings: DataFrame | None = None, **lists: D
     unknown = set(lists) - set(LISTS)
     if unknown:
         raise ValueError(f"a document has no {sorted(unknown)}")
+    if "scope" in lists:
+        lists["scope"] = lists["scope"].withColumn("quantity", F.round("quantity", 2))
     capture = captures.withColumns({"id": C("capture_id").cast("string"), "processing_seconds": C("processing_seconds") if "processing_seconds" in captures.columns else F.lit(0.0)})
     j = capture.select("capture_id", _as(capture, CAPTURE).alias("capture"))
     for name, kind in LISTS.items():

@@ -66,7 +66,7 @@ def surface_areas(spark, sf):
 
 
 @query("repair_scope", f"""WITH {_DAMAGE_SQL}, {_AREAS_SQL}, s(class, action) AS (VALUES ('water stain', 'Stain-block primer and repaint'), ('mould', 'Mould treatment, stain-block and repaint'), ('peeling paint', 'Scrape, prime and repaint'), ('crack', 'Rake out, fill and repaint crack'), ('hole', 'Patch hole and repaint'))
-SELECT damage_id, surface, action, round(CASE WHEN class IN ('water stain', 'peeling paint') THEN coalesce(area, width_m*height_m) WHEN class = 'mould' THEN (width_m+0.6::DOUBLE)*(height_m+0.6::DOUBLE) WHEN class = 'crack' THEN CASE WHEN width_m IS NOT NULL THEN greatest(width_m, height_m) END ELSE 1.0::DOUBLE END, 2) AS quantity, CASE class WHEN 'crack' THEN 'm' WHEN 'hole' THEN 'each' ELSE 'm2' END AS unit
+SELECT damage_id, surface, action, round(CASE WHEN class IN ('water stain', 'peeling paint') THEN coalesce(area, width_m*height_m) WHEN class = 'mould' THEN (width_m+0.6::DOUBLE)*(height_m+0.6::DOUBLE) WHEN class = 'crack' THEN CASE WHEN width_m IS NOT NULL THEN greatest(width_m, height_m) END ELSE 1.0::DOUBLE END, 6) AS quantity, CASE class WHEN 'crack' THEN 'm' WHEN 'hole' THEN 'each' ELSE 'm2' END AS unit
 FROM d JOIN s USING (class) LEFT JOIN a USING (capture_id, surface)""")
 def repair_scope(spark, sf):
     areas = _areas(spark, sf).withColumnRenamed("area", "surface_area")
