@@ -352,7 +352,8 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     # each prefix shingle ties its documents to a few leaders: this folds groups of near copies
     # (leaders are documents with few shingles of their own: the middle of a group rather than its edge)
     turns = [F.min_by(F.struct("set_id", "n", "most", "last", "want"), F.struct(F.col("n") - F.col("most"), F.xxhash64("set_id", F.lit(i)))).alias(f"l{i}") for i in range(LEADERS)]
-    leaders = prefix.groupBy("token").agg(*turns)
+    # written, so that the join reads both sides as they are and a hot shingle of the left one can be split
+    leaders = materialise(prefix.groupBy("token").agg(*turns), "leaders")
     tied = prefix.join(leaders, "token").select("set_id", "n", "most", "last", "want", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("lead"))
     tied = tied.where((F.col("lead.set_id") != F.col("set_id")) & _can_link(percent, *[F.col(f"{side}{c}") for side in ("", "lead.") for c in ("n", "most", "last")]))
     links = verified(_enough(tied.select(F.col("lead.set_id").alias("a"), F.col("set_id").alias("b"), F.least("want", "lead.want").alias("asked"))))
