@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_tree, decontamination, jaccard_join, license_scan, mixing, secret_scan, sharding, token_count, toxicity, warc
+from . import conversation_repair, cover_tree, decontamination, jaccard_join, license_scan, mixing, secret_scan, sharding, token_count, toxicity, vector_codes, vector_graph, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -120,8 +120,96 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors: 16 parts, 64 entries each, two rounds."""
+    return vector_codes.product_codes(table(spark, sf_dir, "embeddings"))
+
+
+_NEAR11 = "list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.c[i]) * (p.x[i] - b.c[i])))"
+_ASSIGN11 = f"SELECT p.r, p.part, min({_NEAR11} * 64 + b.e) AS m FROM p JOIN {{}} b ON p.part = b.part GROUP BY ALL"
+_MOVE11 = """SELECT b.part, b.e, coalesce(n.c, b.c) AS c FROM {} b LEFT JOIN (
+  SELECT part, e, list(s ORDER BY i) AS c FROM (
+    SELECT a.part, a.m % 64 AS e, i, floor(sum(p.x[i]) / count(*))::BIGINT AS s FROM {} a JOIN p USING (r, part) CROSS JOIN range(1, 1025) t(i) WHERE i <= len(p.x) GROUP BY ALL) GROUP BY ALL) n
+  ON n.part = b.part AND n.e = b.e"""
+OP11_SQL = f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST) AS r, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, j AS part, v[j * (len(v) // 16) + 1 : (j + 1) * (len(v) // 16)] AS x FROM k CROSS JOIN range(16) t(j)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS e, x AS c FROM p WHERE r <= 64),
+a0 AS MATERIALIZED ({_ASSIGN11.format("c0")}),
+c1 AS MATERIALIZED ({_MOVE11.format("c0", "a0")}),
+a1 AS MATERIALIZED ({_ASSIGN11.format("c1")}),
+c2 AS MATERIALIZED ({_MOVE11.format("c1", "a1")}),
+a2 AS MATERIALIZED ({_ASSIGN11.format("c2")}),
+told AS (SELECT r, string_agg(printf('%02x', (m % 64)::INTEGER), '' ORDER BY part) AS code, sum(m // 64)::BIGINT AS error FROM a2 GROUP BY r),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) AS h FROM c2)
+SELECT k.vec_id, told.code, told.error, sum(told.error) OVER (PARTITION BY k.label)::BIGINT AS label_error, book.h AS codebooks_sha256 FROM k JOIN told USING (r) CROSS JOIN book
+"""
+
+
+def op12_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest that are found of every twentieth vector, by inner product."""
+    return vector_graph.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired texts of all conversations after damage."""
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+_CRC13 = """xor(4294967295, list_reduce(list_transform(string_split({}, ''), lambda x: ascii(x)::BIGINT), lambda acc, b:
+    list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, xor(acc, b)), 4294967295::BIGINT))"""
+_KEY13 = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+
+
+def _edit(state: int, letter: str, cost: str) -> str:
+    return f"{{'c': (f[{state + 1}].c + {cost})::BIGINT, 'a': f[{state + 1}].a || '{letter}'}}"
+
+
+def _least(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+def _steps(keep: str, states: tuple[int, ...]) -> list[str]:
+    """SQL of a row's ways to be kept, or given another role, from these states."""
+    never = "CASE WHEN fault >= 2 THEN 1000000000 ELSE 0 END"
+    return [x for s in states for x in (_edit(s, "K", f"open + {never} + CASE WHEN initial = '{keep}' THEN 0 ELSE 1000000000 END"), *([_edit(s, "R", f"2 + open + {never}")] if keep != "s" else []))]
+
+
+OP13_SQL = f"""
+WITH RECURSIVE
+c AS MATERIALIZED (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC13.format(_KEY13)} % 20 AS k FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS final FROM d),
+r AS MATERIALIZED (SELECT *, left(role, 1) AS initial, CASE WHEN fault = 1 THEN 1 ELSE 0 END AS open FROM (SELECT *, CASE WHEN final = '' THEN 2 WHEN again > 1 THEN 3 WHEN final NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS fault FROM o)),
+n AS (SELECT conv_id, count(*) AS n, count(*) FILTER (fault = 2) AS blank, count(*) FILTER (fault = 3) AS duplicate, count(*) FILTER (fault = 1) AS truncated, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps FROM r GROUP BY conv_id),
+x AS (SELECT conv_id, count(*) FILTER (was IS NOT NULL AND was || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT conv_id, initial, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS was FROM r) GROUP BY conv_id),
+p AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, [{{'c': 0::BIGINT, 'a': ''}}, {{'c': 1000000000::BIGINT, 'a': ''}}, {{'c': 2::BIGINT, 'a': 'I'}}, {{'c': 4::BIGINT, 'a': 'II'}}] AS f FROM conversations
+  UNION ALL
+  SELECT conv_id, i, [f[1], f[2], f[3], {_least("f[4]", _edit(2, "I", "2"))}] FROM (
+    SELECT conv_id, i, [f[1], f[2], {_least("f[3]", _edit(0, "I", "2"), _edit(1, "I", "2"), _edit(3, "I", "2"))}, f[4]] AS f FROM (
+      SELECT p.conv_id, r.i, [{_edit(0, "D", "3")}, {_least(_edit(1, "D", "3"), *_steps("s", (0,)))}, {_least(_edit(2, "D", "3"), *_steps("u", (0, 1, 3)))}, {_least(_edit(3, "D", "3"), *_steps("a", (2,)))}] AS f
+      FROM p JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1))),
+b AS MATERIALIZED (SELECT p.conv_id, {_least("f[1]", "f[4]")} AS best FROM p LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM p.conv_id WHERE p.i = coalesce(n.n, 0)),
+l AS (SELECT conv_id, unnest(range(1, length(best.a) + 1)) AS pos, best.a AS a FROM b),
+e AS (SELECT conv_id, pos, a[pos] AS letter, length(regexp_replace(a[1:pos], 'I', '', 'g')) AS i, length(regexp_replace(a[1:pos], 'D', '', 'g')) - 1 AS place FROM l),
+w AS (SELECT e.conv_id, e.pos, e.letter, e.place, r.role, CASE WHEN e.letter <> 'I' THEN r.text ELSE '' END AS text, bool_or(e.letter = 'K' AND e.place = 0 AND r.initial = 's') OVER (PARTITION BY e.conv_id) AS led
+  FROM e LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.i = e.i WHERE e.letter <> 'D'),
+h AS (SELECT conv_id, string_agg((CASE WHEN letter = 'K' THEN role WHEN (place - led::INTEGER) % 2 = 0 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY pos) AS t FROM w GROUP BY conv_id)
+SELECT b.conv_id, coalesce(n.gaps, 0)::BIGINT AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate, coalesce(n.truncated, 0) AS truncated, coalesce(x.illegal, 0) AS illegal, b.best.c AS cost, b.best.a AS audit, sha256(coalesce(h.t, '')) AS repaired_sha256
+FROM b LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_decontamination, op3_toxicity, op4_dual_cover_tree, op5_warc_index, op6_sharding, op7_ngram_jaccard_join, op8_secret_scan, op9_source_mixing, op10_token_count)
-}
-ORACLES = {"op4_dual_cover_tree": OP4_SQL, "op5_warc_index": OP5_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op9_source_mixing": OP9_SQL}
+    for f in (
+        op1_license_scan, op2_decontamination, op3_toxicity, op4_dual_cover_tree, op5_warc_index, op6_sharding, op7_ngram_jaccard_join, op8_secret_scan, op9_source_mixing, op10_token_count,
+        op11_vector_codes, op12_vector_graph, op13_conversation_repair,
+    )
+}
+ORACLES = {
+    "op4_dual_cover_tree": OP4_SQL, "op5_warc_index": OP5_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op9_source_mixing": OP9_SQL, "op11_vector_codes": OP11_SQL, "op13_conversation_repair": OP13_SQL,
+}

@@ -18,7 +18,7 @@ def shown(x):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_equals_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SF)
     want = c.execute(queries.ORACLES[name])
