@@ -6,7 +6,8 @@ diagonals (place in the document less place in the probe) that lie within k of e
 looked up among the probes'; shared ones are counted in bands of diagonals that are twice as wide as needed and overlap by half, so that
 every such set of diagonals lies wholly in one band; and bands that reach the bound are verified by banded alignment.
 Before any diagonal is formed, places where even the number of q-grams known to any probe is below the least bound are
-passed over, which is nearly all of a clean document.
+passed over, which is nearly all of a clean document. Runs that repeat themselves (rulers, padding, tables of zeros) share all q-grams with
+probes that hold such runs: where that makes too many pairs, the middles of the text's runs are left out, as they show no window that the rest doesn't, and equal regions are aligned once.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ Q = 8
 WINDOW, STRIDE, EDITS = 80, 20, 8
 #: Items with fewer characters are found only if they stand in a text unchanged (case and kind of white space aside).
 SHORT = 24
+#: Pairs of a place in a text and one in a probe beyond which a text is shortened, and the longest period of runs that are.
+HEAVY, PERIODS = 500_000, 256
 #: Benchmark characters that tasks get at once; a larger benchmark goes over the documents block by block.
 BLOCK = 2_000_000
 
@@ -121,6 +124,30 @@ def align(probe: np.ndarray, region: np.ndarray, edits: int) -> tuple[int, int,
     return None if cost[end] > edits else (int(cost[end]), int(start[end]), end)
 
 
+def align_all(probe: np.ndarray, regions: list[np.ndarray], edits: int) -> list[tuple[int, int, int] | None]:
+    """``align`` of one probe and many regions at once. Shorter regions are filled up with what matches nothing: that never ends an alignment earlier or cheaper."""
+    m = max(len(r) for r in regions)
+    text = np.full((len(regions), m), 0xFFFFFFFF, np.uint32)
+    for i, r in enumerate(regions):
+        text[i, : len(r)] = r
+    steps = np.arange(m + 1)
+    cost, start = np.zeros((len(regions), m + 1), np.int64), np.broadcast_to(steps, (len(regions), m + 1))
+    for i, c in enumerate(probe, 1):
+        diagonal, up = cost[:, :-1] + (text != c), cost[:, 1:] + 1
+        both, from_ = np.empty_like(cost), np.empty_like(cost)
+        both[:, 0], from_[:, 0] = i, 0
+        both[:, 1:] = np.minimum(diagonal, up)
+        from_[:, 1:] = np.where(diagonal <= up, start[:, :-1], start[:, 1:])
+        best = np.minimum.accumulate((both - steps) * (4 * (m + 1)) + steps, axis=1)
+        at = best % (4 * (m + 1))
+        cost, start = np.take_along_axis(both, at, axis=1) + steps - at, np.take_along_axis(from_, at, axis=1)
+        if cost.min() > edits:
+            return [None] * len(regions)
+    end = cost.argmin(axis=1)
+    least = cost[np.arange(len(regions)), end]
+    return [None if least[i] > edits else (int(least[i]), int(start[i, end[i]]), int(end[i])) for i in range(len(regions))]
+
+
 def search(text: np.ndarray, p: Probes) -> list[tuple[int, int, int, int]]:
     """(item, edits, start, end) of the probes that the text holds."""
     out: list[tuple[int, int, int, int]] = []
@@ -138,27 +165,73 @@ def search(text: np.ndarray, p: Probes) -> list[tuple[int, int, int, int]]:
     return out + located(text, h, hit, p)
 
 
+def shortened(text: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """The text without the middles of long periodic runs, and the place of each character that is left.
+
+    A run that repeats itself every few characters shows the same windows over and over: those of up to ``span`` characters all stand, first, in its first span + period characters, or reach over its
+    end. So whole periods are taken out of its middle, until what is left of it is a few times as long as that; no window is lost and none is made.
+    """
+    origin = np.arange(len(text))
+    for period in range(1, PERIODS + 1):
+        least = 4 * span + 4 * period
+        if len(text) <= least:
+            break
+        same = np.flatnonzero(text[period:] != text[:-period])
+        # runs between places that differ from those a period later
+        edges = np.concatenate([[-1], same, [len(text) - period]])
+        length = np.diff(edges) - 1 + period  # characters of the run that begins behind each edge
+        long = np.flatnonzero(length > least)
+        if not len(long):
+            continue
+        keep = np.ones(len(text), bool)
+        for i in long.tolist():
+            first = int(edges[i]) + 1
+            gone = (int(length[i]) - least // 2) // period * period
+            keep[first + least // 4 : first + least // 4 + gone] = False
+        text, origin = text[keep], origin[keep]
+    return text, origin
+
+
 def located(text: np.ndarray, h: np.ndarray, hit: np.ndarray, p: Probes) -> list[tuple[int, int, int, int]]:
+    """Probes that the text holds: (item, edits, start, end). Texts that share very many q-grams with probes are shortened first."""
+    place, key = _shared(h, hit, p)
+    if not len(place):
+        return []
+    count = p.first[key + 1] - p.first[key]
+    if int(count.sum()) <= HEAVY:
+        return _verified(text, place, key, count, p)
+    short, origin = shortened(text, p.span)
+    h = gram_hashes(short)
+    place, key = _shared(h, p.seen[(h >> np.uint64(43)).astype(np.int64)], p)
+    found = _verified(short, place, key, p.first[key + 1] - p.first[key], p) if len(place) else []
+    return [(item, edits, int(origin[start]), int(origin[start]) + end - start) for item, edits, start, end in found]
+
+
+def _shared(h: np.ndarray, hit: np.ndarray, p: Probes) -> tuple[np.ndarray, np.ndarray]:
+    """Places whose q-gram a probe has, where enough of them lie together, and the numbers of these q-grams."""
+    none = np.zeros(0, np.int64)
     total = np.concatenate([[0], np.cumsum(hit)])
     n = len(h)
     if total[-1] < p.least:
-        return []
+        return none, none
     # hits in the window that ends, or begins, at or around each place
     ends = np.minimum(np.arange(n) + p.span, n)
     dense = total[ends] - total[:n] >= p.least
     if not dense.any():
-        return []
+        return none, none
     edge = np.zeros(n + 1, dtype=np.int64)
     edge[:n] += dense
     np.subtract.at(edge, ends[dense], 1)
     place = np.flatnonzero(hit & (np.cumsum(edge[:n]) > 0))
     key = np.minimum(np.searchsorted(p.keys, h[place]), len(p.keys) - 1)
     true = p.keys[key] == h[place]
-    place, key = place[true], key[true]
+    return place[true], key[true]
+
+
+def _verified(text: np.ndarray, place: np.ndarray, key: np.ndarray, count: np.ndarray, p: Probes) -> list[tuple[int, int, int, int]]:
     found: dict[int, tuple[int, int, int]] = {}
     tried: set[tuple[int, int]] = set()
     # q-grams that repeat in many probes have many places; they are unfolded some at a time, by stretches of the text
-    count = p.first[key + 1] - p.first[key]
     stops = [0, *(np.flatnonzero(np.diff(np.cumsum(count) // 2_000_000)) + 1), len(place)]
     for a, b in zip(stops[:-1], stops[1:], strict=True):
         lo = np.searchsorted(place, place[a] - 2 * p.span) if b > a else a  # a stretch begins in the one before it
@@ -171,23 +244,47 @@ def located(text: np.ndarray, h: np.ndarray, hit: np.ndarray, p: Probes) -> list
         band = diagonal // width
         code = np.concatenate([(which << 34) + (band + (1 << 33)), (which << 34) + (band - 1 + (1 << 33))])
         kinds, many = np.unique(code, return_counts=True)
-        good = many >= p.bound[kinds >> 34]
-        for c in kinds[good].tolist():
-            w, d = c >> 34, (c & ((1 << 34) - 1)) - (1 << 33)
+        good = kinds[many >= p.bound[kinds >> 34]]
+        owner = good >> 34
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(good)]])
+        for first, last in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if last > first:
+                w = int(owner[first])
+                _try_bands(text, w, ((good[first:last] & ((1 << 34) - 1)) - (1 << 33)).tolist(), found, tried, p)
+    return [(int(p.item[w]), *x) for w, x in found.items()]
+
+
+def _try_bands(text: np.ndarray, w: int, bands: list[int], found: dict, tried: set, p: Probes) -> None:
+    """Verifies the bands of one probe in order, more and more of them at once; equal regions are aligned once, and a probe that was found without edits is done."""
+    k, probe = int(p.edits[w]), p.text[w]
+    raw = probe.tobytes()
+    told: dict[bytes, tuple[int, int, int] | None] = {}
+    first, size = 0, 1
+    while first < len(bands) and not (w in found and found[w][0] == 0):
+        some = bands[first : first + size]
+        first, size = first + size, min(2 * size, 64)
+        starts, regions = [], {}
+        for d in some:
+            start = max(d * (2 * k + 1) - k, 0)
+            region = text[start : min((d + 2) * (2 * k + 1) + len(probe) + k, len(text))]
+            starts.append((d, start, data := region.tobytes()))
+            if data not in told and data not in regions:
+                exact = data.find(raw)
+                while exact >= 0 and exact % 4:
+                    exact = data.find(raw, exact + 1)
+                if exact >= 0:
+                    told[data] = (0, exact // 4, exact // 4 + len(probe))
+                else:
+                    regions[data] = region
+        if regions:
+            told.update(zip(regions, align_all(probe, list(regions.values()), k), strict=True))
+        for d, start, data in starts:
             if (w, d) in tried or (w, d - 1) in tried and w in found:
                 continue
             tried.add((w, d))
-            k, probe = int(p.edits[w]), p.text[w]
-            start = max(d * (2 * k + 1) - k, 0)
-            stop = min((d + 2) * (2 * k + 1) + len(probe) + k, len(text))
-            exact = text[start:stop].tobytes().find(probe.tobytes())
-            if exact >= 0 and exact % 4 == 0:
-                got = (0, exact // 4, exact // 4 + len(probe))
-            else:
-                got = align(probe, text[start:stop], k)
+            got = told[data]
             if got and (w not in found or got[0] < found[w][0]):
                 found[w] = (got[0], start + got[1], start + got[2])
-    return [(int(p.item[w]), *x) for w, x in found.items()]
 
 
 _SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])

@@ -1,4 +1,5 @@
 import random
+import time
 
 from planloom.llm import decontamination as dc
 
@@ -104,3 +105,39 @@ def test_items_of_equal_texts_are_found_alike(spark):
     got = dc.find_leaks(d, spark.createDataFrame(twice, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == one | {(a, b + 1000) for a, b in one} | {(a, None) for a, b in one if b == items[0][0]} and len(got) == len({(r.doc_id, r.item_id) for r in got})
     assert all(0 <= r.start < r.end and r.min_edits >= 0 for r in got)
+
+
+def test_repetitive_texts_take_bounded_time():
+    """Five megabytes of one character, of two in turn and of rulers, with items of the same: seconds, not hours."""
+    cases = [
+        ([(i, f"word{i} " + "a" * 79 + " end") for i in range(5)], "a" * 5_000_000),
+        ([(i, f"w{i} " + "ab" * 60 + " end of it") for i in range(5)], "ab" * 2_500_000),
+        ([(i, f"w{i} " + "-" * 60 + "\n more text " + "-" * 70) for i in range(5)], ("-" * 79 + "\n") * 62_500),
+    ]
+    began = time.monotonic()
+    for items, text in cases:
+        p = dc.build_probes(items)
+        found = {i for i, *_ in dc.search(dc.codepoints(text.encode()), p)}
+        assert found == {i for _, i in brute([(0, text[:2000])], items)}
+    assert time.monotonic() - began < 60
+
+
+def test_shortened_texts_give_the_same_rows(monkeypatch):
+    r = random.Random(3)
+    for _ in range(25):
+        run = "".join(r.choice("ab-= ") for _ in range(r.randint(1, 9)))
+        items = [(i, "".join(r.choice(["word ", "x1 ", run * r.randint(3, 20), "abc def "]) for _ in range(r.randint(2, 6)))) for i in range(4)]
+        text = "".join(r.choice([run * r.randint(1, 300), "word x1 ", "abc def ", edited(r, items[r.randrange(4)][1], r.randint(0, 5))]) for _ in range(6))
+        p = dc.build_probes(items)
+        got = []
+        for heavy in (0, 10**12):
+            monkeypatch.setattr(dc, "HEAVY", heavy)
+            got.append(sorted(dc.search(dc.codepoints(text.encode()), p)))
+        assert got[0] == got[1]
+
+
+def test_alignments_of_many_regions():
+    r = random.Random(4)
+    probe = dc.codepoints("".join(r.choice("abc ") for _ in range(40)).encode())
+    regions = [dc.codepoints(edited(r, "".join(map(chr, probe)) + "".join(r.choice("abc ") for _ in range(r.randint(0, 20))), r.randint(0, 6)).encode()) for _ in range(60)]
+    assert dc.align_all(probe, regions, 4) == [dc.align(probe, x, 4) for x in regions]
