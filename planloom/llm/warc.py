@@ -227,12 +227,13 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 class LoserTree:
     """Merges sorted runs: each inner node keeps the run that lost there, so the next item costs one comparison a level.
 
-    Runs come in chunks. A run that is out of items takes no part until its next chunk is added.
+    Runs come in chunks. A run that is out of items takes no part until its next chunk is added; that changes one path of the tree. The leaves are a power of two, which doubles
+    when there are more runs.
     """
 
     def __init__(self) -> None:
         self.number: dict[object, int] = {}
-        self.queues: list[deque] = []
+        self.queues: list[deque] = [deque()]
         self.losers: list[int] = [-1]
         self.winner = 0
 
@@ -240,31 +241,54 @@ class LoserTree:
         x, y = self.queues[a], self.queues[b]
         return not y or bool(x) and (x[0][0], a) < (y[0][0], b)
 
-    def _play(self, node: int) -> int:
-        """Runs stand at the leaves k to 2k - 1; returns the winner below a node."""
+    def _play(self) -> None:
+        """All games from the leaves k to 2k - 1 up."""
         k = len(self.queues)
-        if node >= k:
-            return node - k
-        a, b = self._play(2 * node), self._play(2 * node + 1)
-        win, lose = (a, b) if self._beats(a, b) else (b, a)
-        self.losers[node] = lose
-        return win
+        winners = [0] * k + list(range(k))
+        for node in range(k - 1, 0, -1):
+            a, b = winners[2 * node], winners[2 * node + 1]
+            winners[node], self.losers[node] = (a, b) if self._beats(a, b) else (b, a)
+        self.winner = winners[1]
+
+    def _rise(self, run: int) -> None:
+        """Puts a run that was out of items, so beat only others that are, where it belongs now."""
+        k = len(self.queues)
+        node = (run + k) // 2
+        while node and self.losers[node] != run:
+            node //= 2
+        while node:  # the run lost at this node, to the one that went on from it
+            level = k.bit_length() - node.bit_length()  # the numbers of the leaves below a node begin with its bits
+            above = node // 2
+            while above and (self.losers[above] + k) >> level != node:
+                above //= 2
+            other = self.losers[above] if above else self.winner
+            if not self._beats(run, other):
+                self.losers[node] = run
+                return
+            self.losers[node] = other
+            node = above
+        self.winner = run
 
     def add(self, run: object, items: list[tuple]) -> None:
         """Appends items (key, ...) to a run, in order."""
+        grown = False
         if run not in self.number:
-            self.number[run] = len(self.queues)
-            self.queues.append(deque())
-            self.losers = [-1] * len(self.queues)
-        queue = self.queues[self.number[run]]
-        idle = not queue
-        queue.extend(items)
-        if idle:
-            self.winner = self._play(1) if len(self.queues) > 1 else 0
+            self.number[run] = len(self.number)
+            if len(self.number) > len(self.queues):
+                self.queues += [deque() for _ in self.queues]
+                self.losers = [-1] * len(self.queues)
+                grown = True
+        at = self.number[run]
+        idle = not self.queues[at]
+        self.queues[at].extend(items)
+        if grown:
+            self._play()
+        elif idle and self.winner != at:
+            self._rise(at)
 
     def least(self):
         """The least key of all; None where all runs are out of items."""
-        return self.queues[self.winner][0][0] if self.queues and self.queues[self.winner] else None
+        return self.queues[self.winner][0][0] if self.queues[self.winner] else None
 
     def pop(self) -> tuple:
         win = self.winner

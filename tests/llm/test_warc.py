@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import random
+import time
 
 from planloom.llm import warc
 
@@ -13,6 +14,15 @@ def test_loser_tree():
         assert [x[0] for x in warc.merged((i, part) for _, i, part in chunks)] == sorted(x[0] for run in runs for x in run)
 
 
+def test_many_runs_take_time_in_proportion():
+    """Fifty thousand runs: a run that comes or comes again changes one path of the tree."""
+    r = random.Random(2)
+    runs = [sorted((r.random(),) for _ in range(4)) for _ in range(50_000)]
+    began = time.monotonic()
+    got = list(warc.merged((i, run) for _, i, run in sorted((run[0], i, run) for i, run in enumerate(runs))))
+    assert time.monotonic() - began < 30 and len(got) == 200_000 and got == sorted(got)
+
+
 def test_the_merge_holds_a_chunk_of_each_run():
     r = random.Random(3)
     runs = [sorted((r.random(),) for _ in range(2000)) for _ in range(20)]
