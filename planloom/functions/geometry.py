@@ -24,6 +24,19 @@ def rotate(matrix: dict[str, Column], x: Column, y: Column, z: Column) -> tuple[
     return tuple(matrix[f"r{i}0"] * x + matrix[f"r{i}1"] * y + matrix[f"r{i}2"] * z for i in range(3))
 
 
+def quaternion_product(a: tuple[Column, ...], b: tuple[Column, ...]) -> tuple[Column, ...]:
+    """The turn b followed by the turn a, as x, y, z, w."""
+    (ax, ay, az, aw), (bx, by, bz, bw) = a, b
+    return aw * bx + ax * bw + ay * bz - az * by, aw * by - ax * bz + ay * bw + az * bx, aw * bz + ax * by - ay * bx + az * bw, aw * bw - ax * bx - ay * by - az * bz
+
+
+def turn_between(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+    """Degrees of the turn from one orientation (a quaternion) to another; null where one has no length. The half angle's sine and cosine both count, so small turns are exact."""
+    size = F.sqrt(dot(a, a) * dot(b, b))
+    rel = quaternion_product((-a[0], -a[1], -a[2], a[3]), b)
+    return F.degrees(2 * F.atan2(F.sqrt(dot(rel[:3], rel[:3])), F.abs(rel[3]))) * F.when(size > 0, F.lit(1.0))
+
+
 def back_project(row: Column, col: Column, depth: Column, fx: Column, fy: Column, cx: Column, cy: Column) -> tuple[Column, Column, Column]:
     """Camera coordinates (x right, y down, z forward) of a pixel's centre."""
     return (col + 0.5 - cx) / fx * depth, (row + 0.5 - cy) / fy * depth, depth

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -79,7 +79,8 @@ def merge_sightings(detections: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     By falling score, a detection joins the first group of its class and surface whose leader is within half a metre of it, or where either has no centre.
     Sizes are medians of the known ones. A surface's detections are few and are handled together.
     """
-    schema = "capture_id long, class string, surface string, score double, sightings long, width_m double, height_m double, det_id long"
+    kind = dict(detections.dtypes)["capture_id"]
+    schema = f"capture_id {kind}, class string, surface string, score double, sightings long, width_m double, height_m double, det_id long"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "det_id"], ascending=[False, True], kind="stable")
@@ -169,6 +170,55 @@ def without_depth(detections: DataFrame) -> DataFrame:
     return detections.select("capture_id", "det_id", "class", "score", "room", F.concat("room", F.lit("-unknown")).alias("surface"), F.lit("unknown").alias("surface_type"), none.alias("width_m"), none.alias("height_m"))
 
 
+def sightings(boxes: DataFrame, pixels: DataFrame, floors: DataFrame, corners: DataFrame, width: float, height: float, p: Params = DEFAULTS) -> DataFrame:
+    """Detections in pictures with depth, placed on the plan: capture_id, det_id, class, score, seen_in, room, surface, surface_type, cx, cy, cz, width_m, height_m, height_above_floor.
+
+    ``boxes`` have capture_id, frame, det_id, class, score, seen_in, x0 to y1, focal. They are cut to the picture, suppressed where they overlap, placed by their
+    sure pixels (see ``locate``; those with too few are dropped) and laid on rooms (``corners``, see ``place_on_plan``) by their height over the floor.
+    """
+    from .outlines import place_on_plan
+
+    cut = clip_boxes(boxes, width, height, p)
+    kept = suppress(cut, ["capture_id", "frame"], "det_id", p).select("capture_id", "det_id")
+    kept = cut.join(kept, ["capture_id", "det_id"], "left_semi")
+    placed = locate(kept.select("capture_id", "frame", "det_id", *BOX, "focal"), pixels, floors)
+    places = placed.select("capture_id", F.col("det_id").alias("id"), F.col("cx").alias("x"), F.col("height_above_floor").alias("y"), F.col("cz").alias("z"))
+    on_plan = place_on_plan(places, corners, p).withColumnRenamed("id", "det_id")
+    own = ["capture_id", "det_id"]
+    return kept.select(*own, "class", "score", "seen_in").join(placed, own).join(on_plan, own).select(*own, "class", "score", "seen_in", "room", "surface", "surface_type", "cx", "cy", "cz", "width_m", "height_m", "height_above_floor")
+
+
+def picture_sightings(detections: DataFrame) -> DataFrame:
+    """Detections of pictures without depth in the form of ``sightings``: neither place nor size."""
+    none = F.lit(None).cast("double")
+    own = without_depth(detections).join(detections.select("capture_id", "det_id", "seen_in"), ["capture_id", "det_id"])
+    return own.select("capture_id", "det_id", "class", "score", "seen_in", "room", "surface", "surface_type", none.alias("cx"), none.alias("cy"), none.alias("cz"), "width_m", "height_m", none.alias("height_above_floor"))
+
+
+def damage_lists(seen: DataFrame, areas: DataFrame, p: Params = DEFAULTS) -> dict[str, DataFrame]:
+    """What a document says of damage: the tables damage, concealed_damage_flags and scope, which refer to each other by ids.
+
+    Sightings of one damage are merged; damages are numbered by falling score, D1 and on in each capture, and their line items S1 and on alike. ``areas`` are
+    capture_id, surface, area.
+    """
+    best = seen.select("capture_id", "det_id", "room", "surface_type", "height_above_floor", "seen_in")
+    merged = merge_sightings(seen, p).join(best, ["capture_id", "det_id"])
+    number = F.row_number().over(Window.partitionBy("capture_id").orderBy(F.desc("score"), "det_id")).cast("string")
+    d = measured(merged.withColumn("number", number), p)
+    name = lambda prefix: F.concat(F.lit(prefix), F.col("number"))
+    known = (F.col("width_m") > 0) & (F.col("height_m") > 0)
+    size = lambda c: g.measure(F.col(c), F.col(f"{c.removesuffix('_m')}_pm95"))
+    listed = d.select(
+        "capture_id", name("D").alias("id"), "class", F.round("score", 2).alias("score"), "room", "surface", "surface_type", "seen_in", F.col("sightings").cast("int").alias("sightings"), size("width_m").alias("width"), size("height_m").alias("height"),
+        g.measure(F.when(known, F.col("area")), F.when(known, F.col("area_pm95"))).alias("area"), F.round("height_above_floor", 2).alias("height_above_floor"),
+    )
+    keyed = d.withColumn("damage_id", F.struct("capture_id", name("D").alias("id"), name("S").alias("item")))
+    flags = concealed_flags(keyed).select("damage_id.capture_id", F.col("damage_id.id").alias("damage"), "rule", "condition", "flag", "surface")
+    scope = repair_scope(keyed, areas.select("capture_id", "surface", F.col("area").alias("surface_area")), scope_table(seen.sparkSession))
+    scope = scope.select("damage_id.capture_id", F.col("damage_id.item").alias("id"), "surface", F.col("damage_id.id").alias("damage"), "action", "quantity", "unit")
+    return {"damage": listed, "concealed_damage_flags": flags, "scope": scope}
+
+
 def detector_report(scores: DataFrame, listed: float = 0.10, reported: float = 0.30) -> DataFrame:
     return scores.where(F.col("score") >= listed).withColumn("status", F.when(F.col("score") >= reported, "reported").otherwise("listed"))
 

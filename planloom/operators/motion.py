@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..params import DEFAULTS, Params
+from ..storage import written
 from . import frames as fr
 from .points import voxel_downsample
 
@@ -112,21 +113,69 @@ def similarity(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.groupBy(*keys).agg(*sums).mapInPandas(run, ddl)
 
 
-def box_directions(normals: DataFrame, keys: list[str], tolerance: float = 10.0, candidates: int = 24) -> DataFrame:
-    """The direction along which, with those at right angles to it, most normals lie within 10 degrees: keys, x, y, z, inliers, n.
+#: Normals of a group that pairs are formed of, partners that each gets, and the side of the bins in which directions are counted.
+TRIALS, PARTNERS, BIN = 300, 2, 0.04
+#: Times that the chosen directions are centred on bins.
+REFINED = 3
 
-    Candidates are a fixed number of each group's normals, those of the smallest hashes, so that runs agree; every normal votes on each.
+
+def box_directions(normals: DataFrame, keys: list[str], tolerance: float = 10.0, right: float = 5.0, trials: int = TRIALS, partners: int = PARTNERS) -> DataFrame:
+    """The three directions at right angles along which most normals lie: keys, d (0 to 2), x, y, z, inliers, n.
+
+    Pairs of normals at right angles (within 5 degrees) give candidates: the first of a pair, what the second has across it, and their cross product. Of each group the
+    ``trials`` normals of the smallest hashes are tried, each with the ``partners`` among them of the smallest hashes, so that runs agree. All normals vote on all candidates
+    at once, counted by small bins of directions, so a group costs its bins times its candidates however many normals it has. A normal votes where it lies within 10 degrees of one of the three. Of the
+    best candidate (of equal ones the first), each direction then becomes the mean of what lies along it, first of bins, again and again, so that it comes to lie in the middle of its surfaces and not of stray
+    normals, and last of all normals; the one of most normals stays so, and the others are put at right angles to it.
     """
     from pyspark.sql import Window
 
+    v = tuple(C(c) for c in "xyz")
+    cos, sin = (float(f(np.radians(d))) for f, d in ((np.cos, tolerance), (np.sin, right)))
     w = Window.partitionBy(*keys).orderBy(F.xxhash64("id"), "id")
-    cand = normals.withColumn("k", F.row_number().over(w)).where(C("k") <= candidates).select(*keys, "k", *[C(c).alias(f"c{c}") for c in "xyz"])
-    j = normals.join(cand, keys)
-    near = F.abs(g.dot((C("x"), C("y"), C("z")), (C("cx"), C("cy"), C("cz"))))
-    ok = (near >= float(np.cos(np.radians(tolerance)))) | (near <= float(np.sin(np.radians(tolerance))))
-    votes = j.groupBy(*keys, "k", "cx", "cy", "cz").agg(F.sum(ok.cast("int")).alias("inliers"), F.count("*").alias("n"))
-    best = votes.groupBy(*keys).agg(F.max_by(F.struct("cx", "cy", "cz", "inliers", "n"), F.struct(C("inliers"), -C("k"))).alias("b"))
-    return best.select(*keys, C("b.cx").alias("x"), C("b.cy").alias("y"), C("b.cz").alias("z"), "b.inliers", "b.n")
+    few = normals.withColumn("k", F.row_number().over(w)).where(C("k") <= trials).select(*keys, "k", *"xyz")
+    few = written(few, "normals")
+    side = lambda n: few.select(*keys, C("k").alias(f"k{n}"), *[C(c).alias(f"{n}{c}") for c in "xyz"])
+    a, b = (tuple(C(f"{n}{c}") for c in "xyz") for n in "ab")
+    pairs = side("a").join(side("b"), keys).where((C("ka") != C("kb")) & (F.abs(g.dot(a, b)) < sin))
+    pairs = pairs.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "ka").orderBy(F.xxhash64("ka", "kb"), "kb"))).where(C("place") <= partners)
+    along = g.dot(a, b)
+    flat = tuple(y - along * x for x, y in zip(a, b, strict=True))
+    size = F.sqrt(g.dot(flat, flat))
+    pairs = pairs.select(*keys, "ka", "place", *[C(f"a{c}") for c in "xyz"], *[(y / size).alias(f"b{c}") for c, y in zip("xyz", flat, strict=True)])
+    frames = written(pairs.select("*", *[x.alias(f"c{c}") for c, x in zip("xyz", g.cross(a, b), strict=True)]), "frames")
+    bins = normals.groupBy(*keys, *[F.floor(c / BIN).cast("int").alias(f"v{n}") for n, c in zip("xyz", v, strict=True)]).agg(*[F.avg(c).alias(c) for c in "xyz"], F.count("*").alias("n"))
+    mean = F.sqrt(g.dot(v, v))
+    bins = bins.select(*keys, *[(C(c) / F.when(mean > 0, mean)).alias(c) for c in "xyz"], "n")
+    near = F.greatest(*[F.abs(g.dot(v, tuple(C(f"{n}{c}") for c in "xyz"))) for n in "abc"])
+    votes = bins.join(frames.select(*keys, "ka", "place", *[f"{n}{c}" for n in "abc" for c in "xyz"]), keys).groupBy(*keys, "ka", "place").agg(F.sum(F.when(near > cos, C("n")).otherwise(0)).alias("inliers"))
+    best = votes.groupBy(*keys).agg(F.max_by(F.struct("ka", "place"), F.struct(C("inliers"), -C("ka"), -C("place"))).alias("b")).select(*keys, "b.ka", "b.place")
+    three = F.posexplode(F.array(*[F.struct(*[C(f"{n}{c}").alias(f"o{c}") for c in "xyz"]) for n in "abc"])).alias("d", "o")
+    chosen = frames.join(best, [*keys, "ka", "place"]).select(*keys, three).select(*keys, "d", "o.*")
+    kept = F.when(F.abs("cos") > cos, F.signum("cos"))
+
+    def centred(own: DataFrame, axes: DataFrame) -> DataFrame:
+        """Each direction as the mean of what lies along it; x, y, z and the numbers of those and of all."""
+        j = own.join(axes, keys).withColumn("cos", g.dot(v, tuple(C(f"o{c}") for c in "xyz")))
+        m = j.groupBy(*keys, "d").agg(*[F.sum(C(c) * kept * C("n")).alias(c) for c in "xyz"], F.sum(F.when(kept.isNotNull(), C("n")).otherwise(0)).alias("inliers"), F.sum("n").alias("n"))
+        return m.select(*keys, "d", *[(C(c) / mean).alias(c) for c in "xyz"], "inliers", "n")
+
+    as_axes = lambda df: df.select(*keys, "d", *[C(c).alias(f"o{c}") for c in "xyz"])
+    for _ in range(REFINED):
+        chosen = as_axes(centred(bins, chosen))
+    told = centred(normals.withColumn("n", F.lit(1).cast("long")), chosen)
+    # at right angles again: that of most normals stays, the next is what it has across that, the last what is across both
+    one = F.struct(*[C(c) for c in ("inliers", "d", "x", "y", "z")])
+    ranked = told.groupBy(*keys).agg(F.sort_array(F.collect_list(one), asc=False).alias("s"), F.first("n").alias("n"))
+    at = lambda i: tuple(C("s")[i][c] for c in "xyz")
+    ranked = ranked.where(C("s")[1]["x"].isNotNull())
+    p, q = at(0), at(1)
+    over = g.dot(p, q)
+    q = tuple(b - over * a for a, b in zip(p, q, strict=True))
+    long = F.sqrt(g.dot(q, q))
+    q = tuple(x / long for x in q)
+    square = F.explode(F.array(*[F.struct(C("s")[i]["d"].alias("d"), *[x.alias(c) for c, x in zip("xyz", axis, strict=True)], C("s")[i]["inliers"].alias("inliers")) for i, axis in enumerate((p, q, g.cross(p, q)))])).alias("o")
+    return ranked.select(*keys, "n", square).select(*keys, "o.*", "n")
 
 
 def piece_up(candidates: DataFrame, rough: DataFrame, keys: list[str], min_walk: float = 0.5, max_tilt: float = 60.0) -> DataFrame:
@@ -144,36 +193,6 @@ def piece_up(candidates: DataFrame, rough: DataFrame, keys: list[str], min_walk:
     return m.select(*keys, *[F.when(ok, C(f"u.{c}") * C("s")).alias(c) for c in "xyz"])
 
 
-def box_frame(normals: DataFrame, keys: list[str], tolerance: float = 10.0) -> DataFrame:
-    """Three directions at right angles along which most normals lie: keys, d (0 to 2), x, y, z.
-
-    The first is the best of ``box_directions``, made the mean of the normals along it; the second is the same among the normals at right angles to it; the third is at right angles to both.
-    """
-    v = tuple(C(c) for c in "xyz")
-
-    def refined(own: DataFrame, best: DataFrame) -> DataFrame:
-        b = best.select(*keys, *[C(c).alias(f"b{c}") for c in "xyz"])
-        cos = g.dot(v, (C("bx"), C("by"), C("bz")))
-        near = own.join(b, keys).withColumn("cos", cos).where(F.abs("cos") >= float(np.cos(np.radians(tolerance))))
-        m = near.groupBy(*keys).agg(*[F.avg(C(c) * F.signum("cos")).alias(c) for c in "xyz"])
-        size = F.sqrt(g.dot(v, v))
-        return m.select(*keys, *[(C(c) / size).alias(c) for c in "xyz"])
-
-    one = refined(normals, box_directions(normals, keys, tolerance))
-    named = one.select(*keys, *[C(c).alias(f"o{c}") for c in "xyz"])
-    o = (C("ox"), C("oy"), C("oz"))
-    across = normals.join(named, keys).where(F.abs(g.dot(v, o)) <= float(np.sin(np.radians(tolerance)))).drop("ox", "oy", "oz")
-    two = refined(across, box_directions(across, keys, tolerance)).join(named, keys)
-    # what is left of the first direction in the second goes
-    along = g.dot(v, o)
-    flat = two.select(*keys, "ox", "oy", "oz", *[(a - along * b).alias(c) for a, b, c in zip(v, o, "xyz", strict=True)])
-    size = F.sqrt(g.dot(v, v))
-    flat = flat.select(*keys, "ox", "oy", "oz", *[(C(c) / size).alias(c) for c in "xyz"])
-    third = g.cross(o, v)
-    every = F.posexplode(F.array(*[F.struct(*[x.alias(c) for c, x in zip("xyz", d, strict=True)]) for d in (o, v, third)])).alias("d", "v")
-    return flat.select(*keys, every).select(*keys, "d", "v.x", "v.y", "v.z")
-
-
 def metric_points(pixels: DataFrame, poses: DataFrame, scales: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Upright points of pieces in metres: piece, x, y, z, w by voxel, y upwards.
 
@@ -186,7 +205,7 @@ def metric_points(pixels: DataFrame, poses: DataFrame, scales: DataFrame, p: Par
     world = fr.to_world(pixels.select("piece", "frame", "row", "col", "depth"), metric, ["piece", "frame"])
     found = fr.normals(world).join(world.select("piece", "frame", "row", "col"), ["frame", "row", "col"])
     normals = found.select("piece", F.xxhash64("frame", "row", "col").alias("id"), C("nx").alias("x"), C("ny").alias("y"), C("nz").alias("z"))
-    box = box_frame(normals, key)
+    box = box_directions(normals, key).select("piece", "d", "x", "y", "z")
     path = box.join(metric.select("piece", "px", "py", "pz"), key).groupBy("piece", "d", "x", "y", "z")
     at = g.dot((C("x"), C("y"), C("z")), (C("px"), C("py"), C("pz")))
     candidates = path.agg((F.max(at) - F.min(at)).alias("extent")).drop("d")

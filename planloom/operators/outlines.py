@@ -158,17 +158,21 @@ def outline_area_range(walls: DataFrame, areas: DataFrame, keys: list[str], loos
     return length.join(areas, keys).select(*keys, F.round(2 * F.hypot(C("loose") * loose, C("area_pm95") / 4), 6).alias("pm95"))
 
 
-def place_on_plan(places: DataFrame, corners: DataFrame, p: Params = DEFAULTS, reach: float = 0.3, wall_reach: float = 0.35) -> DataFrame:
+def place_on_plan(places: DataFrame, corners: DataFrame, p: Params = DEFAULTS, reach: float = 0.3, wall_reach: float = 0.35, cell: float = 1.0) -> DataFrame:
     """Room and surface of places (id, x, y, z): the first room, by its number, that holds the place or lies within 30 cm; then floor or ceiling by
-    height, else the nearest wall within 35 cm.
+    height, else the nearest wall within 35 cm, else an unknown surface of the room. A place in no room has neither.
 
-    Rooms and places meet by capture; outlines have few corners.
+    Places meet rooms by the cells of a metre that a room's bounds, with 30 cm around them, touch; only those rooms' edges are looked at.
     """
     w = Window.partitionBy("capture_id", "room_id").orderBy("k")
     every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nxt = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(every))
     e = corners.select("capture_id", "room_id", "k", "ceiling", C("x").alias("ax"), C("z").alias("az"), nxt("x").alias("bx"), nxt("z").alias("bz"))
-    j = places.join(e, "capture_id")
+    box = corners.groupBy("capture_id", "room_id").agg(*[f(c).alias(n) for c in "xz" for f, n in ((F.min, f"low_{c}"), (F.max, f"high_{c}"))])
+    span = lambda c: F.explode(F.sequence(F.floor((C(f"low_{c}") - reach) / cell), F.floor((C(f"high_{c}") + reach) / cell)))
+    box = box.withColumn("cell_x", span("x")).withColumn("cell_z", span("z")).select("capture_id", "room_id", "cell_x", "cell_z")
+    met = places.withColumns({"cell_x": F.floor(C("x") / cell), "cell_z": F.floor(C("z") / cell)}).join(box, ["capture_id", "cell_x", "cell_z"])
+    j = met.join(e, ["capture_id", "room_id"])
     dx, dz = C("bx") - C("ax"), C("bz") - C("az")
     size = dx * dx + dz * dz
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((C("x") - C("ax")) * dx + (C("z") - C("az")) * dz) / F.when(size > 0, size)))
@@ -178,11 +182,11 @@ def place_on_plan(places: DataFrame, corners: DataFrame, p: Params = DEFAULTS, r
     per = per.where(C("inside") | (C("near.far") <= reach))
     first = per.withColumn("n", F.row_number().over(Window.partitionBy("capture_id", "id").orderBy("room_id"))).where("n = 1")
     room = F.concat(F.lit("R"), C("room_id").cast("string"))
-    wall = F.when(C("near.far") < wall_reach, F.concat(room, F.lit("-W"), (C("near.k") + 1).cast("string"))).otherwise(F.concat(room, F.lit("-unknown")))
-    kind = F.when(C("y") < 0.15, "floor").when(C("y") > C("ceiling") - 0.25, "ceiling").otherwise("wall")
+    kind = F.when(C("y") < 0.15, "floor").when(C("y") > C("ceiling") - 0.25, "ceiling").when(C("near.far") < wall_reach, "wall").otherwise("unknown")
     placed = first.withColumn("surface_type", kind)
-    surface = F.when(C("surface_type") == "wall", wall).otherwise(F.concat(room, F.lit("-"), C("surface_type")))
-    return places.select("capture_id", "id").join(placed.select("capture_id", "id", room.alias("room"), surface.alias("surface"), "surface_type"), ["capture_id", "id"], "left")
+    surface = F.when(C("surface_type") == "wall", F.concat(room, F.lit("-W"), (C("near.k") + 1).cast("string"))).otherwise(F.concat(room, F.lit("-"), C("surface_type")))
+    told = placed.select("capture_id", "id", room.alias("room"), surface.alias("surface"), "surface_type")
+    return places.select("capture_id", "id").join(told, ["capture_id", "id"], "left").withColumn("surface_type", F.coalesce("surface_type", F.lit("unknown")))
 
 
 def room_iou(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -41,6 +41,14 @@ class Params:
     min_floor_cells: int = 50
     max_floor_gap: float = 0.15
     max_lift_step: float = 0.05
+    floor_tolerance: float = 0.05
+    max_wall_shift: float = 0.10
+    max_wall_turn: float = 1.0
+    wall_turn_step: float = 0.25
+    wall_cell: float = 0.02
+    min_wall_points: int = 8
+    min_wall_overlap: int = 150
+    min_wall_gain: float = 1.05
     surface_sigma: float = 0.005
     missing_side_sigma: float = 0.05
     min_drift_sigma: float = 0.003

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..operators import damage as dm
+from ..operators import drift as dr
 from ..operators import frames as fr
 from ..operators import motion as mo
 from ..operators import outlines as ol
@@ -22,6 +24,7 @@ from ..streaming import twins
 from . import plan as pl
 from . import scene
 from .bind import FRAMES_SQL, POINTS_SQL, VECTORS_SQL, frames, points, query, rounded, table, vectors
+from .documents import home_damage
 from .plan import _OUT, _W, _outlines, _walls
 
 C = F.col
@@ -216,6 +219,35 @@ def drift_correct_stream(spark, sf):
     return rounded(twins.drift_lifts_stream(_drift_cells(spark, sf)))
 
 
+_MOVES = f"WITH {scene.SCENE_SQL} SELECT {{ident}} AS capture_id, k AS chunk, round(-0.017::DOUBLE*k, 6) + 0.0 AS lift, true AS used, 0.25::DOUBLE*k AS turn, 0.02::DOUBLE*k AS dx, round(-0.04::DOUBLE*k, 6) + 0.0 AS dz, k > 0 AS anchored FROM h, range(3) r(k)"
+
+
+def _moved_rows(spark, sf) -> DataFrame:
+    return dr.chunk_rows(scene.moved(spark, sf), pivots=scene.pivots(spark, sf))
+
+
+@query("drift_fold", _MOVES.format(ident="capture_id"))
+def drift_fold(spark, sf):
+    """What takes the chunks of the homes back that were lifted, turned and shifted: floors and walls of one chunk after another are laid on those before."""
+    return rounded(dr.fold(_moved_rows(spark, sf), anchor=True).select("capture_id", "chunk", "lift", "used", "turn", "dx", "dz", "anchored"))
+
+
+@query("drift_fold_stream", _MOVES.format(ident="capture_id::VARCHAR"))
+def drift_fold_stream(spark, sf):
+    """The same over chunks that arrive as a stream, with the tiles of both maps as state."""
+    return rounded(twins.drift_moves_stream(_moved_rows(spark, sf)).select("capture_id", "chunk", "lift", "used", "turn", "dx", "dz", "anchored"))
+
+
+@query("drift_corrected", f"""WITH {scene.SCENE_SQL}, c AS (SELECT p.*, unnest(CASE WHEN x < wide*0.05::DOUBLE THEN [0, 1] ELSE [1, 2] END)::BIGINT AS chunk FROM p JOIN h USING (capture_id))
+SELECT capture_id, chunk, count(*) AS n, round(avg(x), 4) AS x, round(avg(y), 4) AS y, round(avg(z), 4) AS z, round(avg(x*z), 4) AS xz FROM c GROUP BY ALL""")
+def drift_corrected(spark, sf):
+    """The moved chunks of the homes after their correction: they lie where they were built."""
+    pivots = scene.pivots(spark, sf)
+    p = written(scene.moved(spark, sf), "moved")
+    back = dr.correct(p, dr.fold(dr.chunk_rows(p, pivots=pivots), anchor=True), pivots)
+    return rounded(back.groupBy("capture_id", "chunk").agg(F.count("*").alias("n"), *[F.avg(a).alias(a) for a in "xyz"], F.avg(C("x") * C("z")).alias("xz")), 4)
+
+
 @query("stays_stream", """WITH e AS (SELECT user_id AS capture_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(new) OVER (PARTITION BY capture_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
 SELECT capture_id, floor(epoch(min(ts)))::BIGINT AS begin, count(*) AS n FROM g GROUP BY capture_id, s""")
 def stays_stream(spark, sf):
@@ -231,13 +263,6 @@ def similarity(spark, sf):
     return rounded(mo.similarity(v, ["label"]), 5)
 
 
-@query("box_directions")
-def box_directions(spark, sf):
-    v = vectors(spark, sf)
-    n = F.sqrt(C("e1") ** 2 + C("e2") ** 2 + C("e3") ** 2)
-    return rounded(mo.box_directions(v.select("label", C("vec_id").alias("id"), (C("e1") / n).alias("x"), (C("e2") / n).alias("y"), (C("e3") / n).alias("z")), ["label"]))
-
-
 @query("piece_up", f"""WITH {VECTORS_SQL}, n AS (SELECT vec_id, e1/s AS x, e2/s AS y, e3/s AS z, e7, e8, e9, e4/t AS ux, e5/t AS uy, e6/t AS uz FROM (SELECT *, sqrt(e1*e1+e2*e2+e3*e3) AS s, sqrt(e4*e4+e5*e5+e6*e6) AS t FROM v)),
 c AS (SELECT vec_id, x, y, z, abs(e7)*8 AS extent, x*ux+y*uy+z*uz AS cos FROM n UNION ALL SELECT vec_id, z, x, y, abs(e8)*8, z*ux+x*uy+y*uz FROM n UNION ALL SELECT vec_id, y, z, x, abs(e9)*8, y*ux+z*uy+x*uz FROM n),
 m AS (SELECT vec_id, arg_min([x, y, z, cos], extent) AS flat, arg_max([x, y, z, cos], abs(cos)) AS near, list_sort(list(extent))[2] AS second FROM c GROUP BY 1), u AS (SELECT vec_id, CASE WHEN second > 0.5::DOUBLE THEN flat ELSE near END AS u FROM m)
@@ -312,7 +337,13 @@ def home_document(spark, sf) -> tuple[DataFrame, DataFrame]:
     told = rooms.join(tall, keys).select("capture_id", name.alias("id"), "shape", C("floor_area").alias("area"), missing.alias("missing"), "ceiling", "note")
     captures = p.select("capture_id").distinct().join(drift.withColumnRenamed("drift_sigma", "drift_sigma_m"), "capture_id", "left").withColumn("tier", F.lit("lidar"))
     broken = rs.violations(full, captures, openings, joined)
-    return rs.documents(captures, rs.warnings(told), rooms=full.drop("room_id"), openings=openings, adjacency=joined), broken
+    # damage lies on the document's own outlines and surfaces
+    corners = outline.join(tall.select(*keys, C("ceiling").alias("ceiling")), keys).select(*keys, "k", "x", "z", "ceiling")
+    sized = full.select("capture_id", C("id").alias("room"), C("floor_area.value").alias("floor_area"), C("ceiling_height.value").alias("ceiling"), "walls")
+    walled = sized.select("capture_id", "room", F.explode("walls").alias("w")).select("capture_id", "room", C("w.id").alias("wall"), C("w.length.value").alias("length"))
+    damage = home_damage(spark, sf, corners, dm.surface_areas(sized.drop("walls"), walled), heights)
+    said = rs.said_first(captures, rs.RANGES_SAID).unionByName(rs.warnings(told))
+    return rs.documents(captures, said, rooms=full.drop("room_id"), openings=openings, adjacency=joined, **damage), broken
 
 
 @query("result_document")

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geometry import turn_and_shift
 from .bind import table
 
 C = F.col
@@ -60,6 +61,21 @@ def drifting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Metres that a chunk lies above the one before.
 DRIFT = 0.017
+#: What takes a chunk back, for each chunk before it: degrees about the home's middle, and metres along x and z.
+TURN, SHIFT = 0.25, (0.02, -0.04)
+
+
+def pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The middle of each home: px, pz."""
+    return homes(spark, sf_dir).select("capture_id", ((C("wide") + 60) * 0.025).alias("px"), (C("deep") * 0.025).alias("pz"))
+
+
+def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drifting chunks, each turned and shifted against the one before as well."""
+    p = drifting(spark, sf_dir).join(F.broadcast(pivots(spark, sf_dir)), "capture_id")
+    k = C("chunk")
+    x, z = turn_and_shift(C("x") - k * SHIFT[0], C("z") - k * SHIFT[1], C("px"), C("pz"), -k * TURN, F.lit(0.0), F.lit(0.0))
+    return p.select("capture_id", "chunk", x.alias("x"), "y", z.alias("z"))
 
 #: The same points for DuckDB: tables h and p.
 SCENE_SQL = """h AS (SELECT s_suppkey AS capture_id, (80 + (s_suppkey % 5)*2)::INT AS wide, (60 + (s_suppkey % 3)*2)::INT AS deep FROM supplier),

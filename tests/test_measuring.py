@@ -255,7 +255,7 @@ def test_documents_are_refused_where_they_break_the_contract(spark, tmp_path):
     assert [r["id"] for r in one["rooms"]] == ["R2", "R10"] and "segment" not in one["rooms"][0] and "outline" not in one["rooms"][0]
     assert one["rooms"][1]["floor_area"] == {"value": None, "pm95": None, "note": "x"} and one["rooms"][1]["ceiling_height"]["note"] == 'said ,"note":null'
     assert one["rooms"][0]["walls"][1] == {"id": "R2-W2", "start": [4.0, 0.0], "end": [4.0, 3.0], "length": {"value": 3.0, "pm95": 0.02}, "detected": False}
-    assert one["adjacency"] == [{"rooms": ["R2", "R10"], "via": "O1"}] and one["property"] == {"room_count": 2, "total_floor_area": {"value": 12.0, "pm95": 0.02}}
+    assert one["adjacency"] == [{"rooms": ["R2", "R10"], "via": "O1"}] and one["property"] == {"room_count": 2, "total_floor_area": {"value": 12.0, "pm95": 0.02, "note": "sum over 1 of 2 rooms (the rest not measured)"}}
     assert docs[2]["rooms"] == [] and docs[2]["warnings"] == [] and docs[2]["property"]["room_count"] == 0
     good = rs_.violations(rooms, captures, openings, joined)
     rs_.write_documents(rs_.documents(captures, rooms=rooms), good, f"{tmp_path}/good")
@@ -322,10 +322,25 @@ def test_places_in_rooms_and_on_surfaces(spark):
     assert got == {i: s for i, *_, s in places}
 
 
-def test_three_directions_of_a_turned_box(spark):
+@pytest.mark.parametrize("clutter", [60, 500])
+def test_three_directions_of_a_turned_box(spark, clutter):
+    """Among much clutter, of which the normals that are tried first are all: pairs of the later ones still give the box."""
     r = np.random.default_rng(8)
     q, _ = np.linalg.qr(r.normal(size=(3, 3)))
-    rows = [(1, i, *map(float, (q[:, i % 3] * r.choice([-1, 1]) + r.normal(size=3) * 0.01))) for i in range(600)] + [(1, 1000 + i, *map(float, r.normal(size=3))) for i in range(60)]
-    df = spark.createDataFrame([(a, b, x / n, y / n, z / n) for a, b, x, y, z in rows for n in [math.sqrt(x * x + y * y + z * z)]], "g long, id long, x double, y double, z double")
-    got = np.array([(x.x, x.y, x.z) for x in mo.box_frame(df, ["g"]).orderBy("d").collect()])
-    assert np.allclose(np.abs(got @ q).max(axis=1), 1, atol=2e-3) and np.allclose(got @ got.T, np.eye(3), atol=1e-6)
+    ids = [x.id for x in spark.range(600 + clutter).orderBy(F.xxhash64("id")).collect()]
+    wild = [r.normal(size=3) for _ in range(clutter)]
+    box = [q[:, i % 3] * r.choice([-1, 1]) + r.normal(size=3) * 0.01 for i in range(600)]
+    first = clutter // 4
+    order = wild[:first] + [x for _, x in sorted(zip(r.permutation(600 + clutter - first), box + wild[first:], strict=True), key=lambda t: t[0])]
+    rows = [(1, int(i), *map(float, v / np.linalg.norm(v))) for i, v in zip(ids, order, strict=True)]
+    df = spark.createDataFrame(rows, "g long, id long, x double, y double, z double")
+    found = mo.box_directions(df, ["g"]).orderBy("d").collect()
+    got = np.array([(x.x, x.y, x.z) for x in found])
+    assert np.allclose(np.abs(got @ q).max(axis=1), 1, atol=5e-3) and np.allclose(got @ got.T, np.eye(3), atol=1e-9)
+    assert all(190 <= x.inliers < 260 and x.n == 600 + clutter for x in found)
+
+
+def test_directions_of_few_normals(spark):
+    """No two at right angles, or no normals: no directions."""
+    df = spark.createDataFrame([(1, 1, 1.0, 0.0, 0.0), (1, 2, 1.0, 0.0, 0.0)], "g long, id long, x double, y double, z double")
+    assert mo.box_directions(df, ["g"]).collect() == [] and mo.box_directions(df.limit(0), ["g"]).collect() == []
