@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .components import connected_components
-from .workspace import FILTER_BITS, materialise, ship, with_doubt
+from .workspace import FILTER_BITS, discard, materialise, release, ship, with_doubt
 
 #: Counters of the frequency sketch (as a power of two) and the pieces in which they travel.
 SKETCH_BITS = 24
@@ -341,13 +341,19 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     rows = rows.withColumn("meets", fits).where("meets").drop("meets")
     length = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + F.col("want")
     prefix = materialise(rows.withColumn("most", (F.col("n") - length + F.count("*").over(Window.partitionBy("set_id"))).cast("int")), "prefix")
+    release(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs, "pairs")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id"))
         wanted = spark.sparkContext.broadcast(id_filter(ids))
         sets = materialise(texts.mapInArrow(_set_arrays(k, wanted, known), "set_id long, shingles binary"), "sets")
-        return materialise(_verify(pairs, sets, percent), "found")
+        release(spark)
+        found = materialise(_verify(pairs, sets, percent), "found")
+        wanted.destroy()
+        discard(pairs, sets)
+        release(spark)
+        return found
 
     # each prefix shingle ties its documents to a few leaders: this folds groups of near copies
     # (leaders are documents with few shingles of their own: the middle of a group rather than its edge)
@@ -361,6 +367,8 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
 
     # what is left: candidates of different components, by the full multi-match rule; shingles of one component make none
     tagged = materialise(prefix.join(label, "set_id"), "tagged")
+    discard(prefix)
+    release(spark)
     mixed = tagged.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
     tagged = tagged.join(mixed, "token").join(classes.drop("least"), "set_id")
     facts = [c for c in tagged.columns if c != "token"]

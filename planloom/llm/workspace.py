@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -43,7 +44,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.planloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialise`` that nothing will read again: call it only when all that comes of them is written."""
+    for df in tables:
+        spark, path = df.sparkSession, df.planloom_path
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, upon which Spark deletes the shuffle files of steps that are over.
+
+    Else they stay until the driver happens to run out of memory, and a job of many steps holds the files of all.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def with_doubt(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
