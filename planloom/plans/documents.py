@@ -148,11 +148,25 @@ def video_document(spark, sf):
     return rs.document_items(docs).withColumns({c: F.round(c, 3) for c in ("value", "pm95")})
 
 
-@query("photo_document", f"""WITH {_ROOMS_SQL}, f AS (SELECT s_suppkey AS k, s_suppkey // 4 AS cap, 'room' || s_suppkey AS name, s_suppkey % 6 AS photos, s_suppkey % 13 * 0.01::DOUBLE AS spread FROM supplier),
+_PHOTOS_SQL = f"""{_ROOMS_SQL}, f AS (SELECT s_suppkey AS k, s_suppkey // 4 AS cap, 'room' || s_suppkey AS name, s_suppkey % 6 AS photos, s_suppkey % 13 * 0.01::DOUBLE AS spread FROM supplier),
 b AS (SELECT k, sides, w, d, a, c FROM r WHERE room_id = 2 AND k % 7 > 0),
 q AS (SELECT f.cap::VARCHAR AS capture_id, f.k, name, photos, 'R' || row_number() OVER (PARTITION BY cap ORDER BY name) AS id, row_number() OVER (PARTITION BY cap ORDER BY name) AS i, w, d, a, c,
   CASE WHEN photos < 2 THEN 'fewer than 2 photos' WHEN b.k IS NULL THEN 'no room outline found in the reconstruction' WHEN sides < 3 THEN 'walls found on only ' || sides || ' of 4 sides' WHEN spread > 0.1::DOUBLE THEN 'photos disagree on size by ' || round(100*spread)::INT || '%' END AS reason FROM f LEFT JOIN b ON b.k = f.k),
-n AS (SELECT * FROM q WHERE reason IS NULL)
+n AS (SELECT * FROM q WHERE reason IS NULL)"""
+
+
+def _photo_docs(spark, sf) -> DataFrame:
+    k = C("s_suppkey")
+    s = table(spark, sf, "supplier").withColumns({"capture_id": F.floor(k / 4).cast("long"), "name": F.concat(F.lit("room"), k.cast("string"))})
+    folders = s.select("capture_id", "name", (k % 6).alias("photos"), (k % 13 * 0.01).alias("spread"))
+    rooms = _rooms(spark, sf).where(k % 7 > 0).withColumns({"capture_id": F.floor(k / 4).cast("long"), "name": F.concat(F.lit("room"), k.cast("string")), "rough": C("floor_area.value")}).drop("s_suppkey")
+    door = F.concat(F.lit("door"), k.cast("string"), F.lit(".jpg"))
+    photos = s.select("capture_id", "name", door.alias("photo"), F.concat(F.lit("door between "), F.floor(k / 2).cast("string")).alias("content"))
+    photos = photos.unionByName(s.select("capture_id", "name", F.lit("room.jpg").alias("photo"), F.concat(F.lit("room "), k.cast("string")).alias("content")))
+    return tr.photo_documents(folders, rooms, photos)
+
+
+@query("photo_document", f"""WITH {_PHOTOS_SQL}
 SELECT capture_id, 'room' AS kind, id, name || CASE WHEN reason IS NULL THEN '|rectangular|-|' ELSE '|not measured|-|' END || photos || CASE WHEN reason IS NULL THEN '|4' ELSE '|0' END AS detail, NULL::DOUBLE AS value, NULL::DOUBLE AS pm95 FROM q
 UNION ALL SELECT * FROM ({_sizes_sql(0.15)}) z
 UNION ALL SELECT capture_id, unnest(['width', 'length', 'floor_area', 'ceiling_height']), id, 'not measured: ' || reason, NULL, NULL FROM q WHERE reason IS NOT NULL
@@ -163,12 +177,4 @@ UNION ALL SELECT DISTINCT capture_id, 'warning', '1', '{rs.PHOTO_SAID.replace("'
 UNION ALL SELECT capture_id, 'warning', (row_number() OVER (PARTITION BY capture_id ORDER BY i) + 1)::VARCHAR, id || ' (' || name || '): not measured: ' || reason || '.', NULL, NULL FROM q WHERE reason IS NOT NULL""")
 def photo_document(spark, sf):
     """Documents of folders of photos: rooms that pass the gate with widened ranges, the others with the reason, and rooms that share a doorway's photo."""
-    k = C("s_suppkey")
-    s = table(spark, sf, "supplier").withColumns({"capture_id": F.floor(k / 4).cast("long"), "name": F.concat(F.lit("room"), k.cast("string"))})
-    folders = s.select("capture_id", "name", (k % 6).alias("photos"), (k % 13 * 0.01).alias("spread"))
-    rooms = _rooms(spark, sf).where(k % 7 > 0).withColumns({"capture_id": F.floor(k / 4).cast("long"), "name": F.concat(F.lit("room"), k.cast("string")), "rough": C("floor_area.value")}).drop("s_suppkey")
-    door = F.concat(F.lit("door"), k.cast("string"), F.lit(".jpg"))
-    photos = s.select("capture_id", "name", door.alias("photo"), F.concat(F.lit("door between "), F.floor(k / 2).cast("string")).alias("content"))
-    photos = photos.unionByName(s.select("capture_id", "name", F.lit("room.jpg").alias("photo"), F.concat(F.lit("room "), k.cast("string")).alias("content")))
-    docs = tr.photo_documents(folders, rooms, photos)
-    return rs.document_items(docs).withColumns({c: F.round(c, 3) for c in ("value", "pm95")})
+    return rs.document_items(_photo_docs(spark, sf)).withColumns({c: F.round(c, 3) for c in ("value", "pm95")})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import aggregates, checks, documents, findings, plan, projections, results  # noqa: F401  each registers its queries
+from .plans import aggregates, checks, documents, findings, pictures, plan, projections, results  # noqa: F401  each registers its queries
 from .plans.bind import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -202,9 +202,9 @@ def _metadata(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def photos_of(files: DataFrame) -> DataFrame:
-    """Photos of files (path .../<room>/<file>, length, content): room, name, path, size, orientation (1: upright), focal35 (null: not said). Only their first 64 KB are looked at."""
+    """Photos of files (path .../<room>/<file>, length, content): room, name, path, size, orientation (1: upright), focal35 (null: not said). A picture's head is looked at as far as its own marks say that it goes, wherever in it metadata stand."""
     parts = F.split("path", "/")
-    named = files.where(F.lower("path").rlike(IMAGES)).select(F.element_at(parts, -2).alias("room"), F.element_at(parts, -1).alias("name"), "path", C("length").alias("size"), F.substring("content", 1, 1 << 16).alias("head"))
+    named = files.where(F.lower("path").rlike(IMAGES)).select(F.element_at(parts, -2).alias("room"), F.element_at(parts, -1).alias("name"), "path", C("length").alias("size"), C("content").alias("head"))
     return named.mapInPandas(_metadata, "room string, name string, path string, size long, orientation int, focal35 double")
 
 
@@ -214,8 +214,8 @@ def list_photos(spark: SparkSession, root: str) -> DataFrame:
 
 
 def cap_points(points: DataFrame, most: int, seed: int = 0, keys: tuple[str, ...] = ("ord", "line"), by: list[str] | None = None) -> DataFrame:
-    """At most ``most`` points for a viewer, of each group ``by`` if given: those of the smallest hashes, so that runs agree."""
-    order = [F.xxhash64(*keys, F.lit(seed)), *[C(k) for k in keys]]
+    """At most ``most`` points for a viewer, of each group ``by`` if given: those of the smallest hashes (MD5 of their keys and the seed), so that runs agree."""
+    order = [F.md5(F.concat_ws(":", *[C(k).cast("string") for k in keys], F.lit(str(seed))).cast("binary")), *[C(k) for k in keys]]
     if by is None:
         return points.orderBy(*order).limit(most)
     return points.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(C("place") <= most).drop("place")
