@@ -48,9 +48,10 @@ def wall_band(points: DataFrame, levels: DataFrame, p: Params = DEFAULTS) -> Dat
 def strips(points: DataFrame, angles: DataFrame | None = None, p: Params = DEFAULTS) -> DataFrame:
     """Points by capture, angle (if given: a short table), axis and strip of 2 cm, after turning them about the vertical.
 
-    Points are first added up by millimetre, so that each angle is tried on places and not on points.
+    Points (or places with their number k of points) are first added up by millimetre, so that each angle is tried on places and not on points.
     """
-    places = points.groupBy("capture_id", F.round("x", 3).alias("x"), F.round("z", 3).alias("z")).agg(F.count("*").alias("k"))
+    k = F.sum("k") if "k" in points.columns else F.count("*")
+    places = points.groupBy("capture_id", F.round("x", 3).alias("x"), F.round("z", 3).alias("z")).agg(k.alias("k"))
     if angles is not None:
         places = places.crossJoin(F.broadcast(angles))
         x, z = g.rotate_about_vertical(F.col("x"), F.col("z"), F.col("angle"))

@@ -12,13 +12,40 @@ C = F.col
 
 
 def _axes(points: DataFrame) -> DataFrame:
-    """Each point twice: across and along for walls of constant x, and of constant z."""
+    """Each point twice: across and along for walls of constant x, and of constant z. Further columns stay."""
     a = F.array(F.struct(F.lit("x").alias("axis"), C("x").alias("across"), C("z").alias("along")), F.struct(F.lit("z").alias("axis"), C("z").alias("across"), C("x").alias("along")))
-    return points.select("capture_id", "y", F.explode(a).alias("a")).select("capture_id", "y", "a.*")
+    others = [c for c in points.columns if c not in ("x", "z")]
+    return points.select(*others, F.explode(a).alias("a")).select(*others, "a.*")
+
+
+#: Words of 63 bits in which the height slices of a wall band are held.
+WORDS = 2
+_SETS = [f"{name}{i}" for name in ("any", "held") for i in range(WORDS)]
+
+
+def sliced(points: DataFrame, bands: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Points with the height slice that they lie in as a set: clipped to the band (any) and only where it is in it (held); slices is how many there are.
+
+    ``bands`` has low and high of each capture's wall band. A band of more than 126 slices (12.6 m) is refused.
+    """
+    slices = F.greatest(F.round((C("high") - C("low")) / p.height_cell).cast("int"), F.lit(1))
+    slices = F.when(slices <= 63 * WORDS, slices).otherwise(F.raise_error(F.lit("a wall band has more height slices than there are bits for")).cast("int"))
+    s = points.join(bands.select("capture_id", "low", "high"), "capture_id").withColumn("slices", slices).withColumn("slice", F.floor((C("y") - C("low")) / p.height_cell).cast("int"))
+    bit = lambda n, word: F.when((n >= 63 * word) & (n < 63 * word + 63), F.call_function("shiftleft", F.lit(1).cast("long"), n - 63 * word)).otherwise(F.lit(0).cast("long"))
+    clipped = F.greatest(F.lit(0), F.least(C("slices") - 1, C("slice")))
+    held = F.when((C("slice") >= 0) & (C("slice") < C("slices")), C("slice")).otherwise(-1)
+    words = {**{f"any{i}": bit(clipped, i) for i in range(WORDS)}, **{f"held{i}": bit(held, i) for i in range(WORDS)}}
+    return s.withColumns(words).drop("low", "high", "slice", "y")
+
+
+def columns(band: DataFrame, bands: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Band points by their place in plan: capture_id, x, z, slices, k (points there) and the sets of their slices. Points that stand above each other are one row from here on."""
+    s = sliced(band.select("capture_id", "x", "z", "y"), bands, p)
+    return s.groupBy("capture_id", "x", "z", "slices").agg(F.count("*").alias("k"), *[F.bit_or(c).alias(c) for c in _SETS])
 
 
 def near_spikes(band: DataFrame, spikes: DataFrame, reach: float, p: Params = DEFAULTS) -> DataFrame:
-    """Band points within ``reach`` of a spike, with the spike's axis and strip; a point may be near two.
+    """Band points (or ``columns``) within ``reach`` of a spike, with the spike's axis and strip; a point may be near two.
 
     Points and spikes meet by strip, each spike in all strips that it reaches, and are checked there.
     """
@@ -36,17 +63,12 @@ def runs(near: DataFrame, bands: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Pieces of wall along each spike: capture_id, axis, spike, run, first, last (cells), height_cover.
 
     ``bands`` has low and high of each capture's wall band. A cell of 5 cm counts where half of the height slices hold a point; holes of up to six cells are
-    bridged; a piece must be long enough, and most of its height slices must be seen somewhere along it. Bands of up to 126 slices (12.6 m) are handled.
+    bridged; a piece must be long enough, and most of its height slices must be seen somewhere along it.
     """
-    slices = F.greatest(F.round((C("high") - C("low")) / p.height_cell).cast("int"), F.lit(1))
-    s = near.join(bands, "capture_id").withColumn("slices", slices).withColumn("slice", F.floor((C("y") - C("low")) / p.height_cell).cast("int")).withColumn("cell", F.floor(C("along") / p.along_cell).cast("long"))
-    clipped = F.greatest(F.lit(0), F.least(C("slices") - 1, C("slice")))
+    s = (sliced(near, bands, p) if "y" in near.columns else near).withColumn("cell", F.floor(C("along") / p.along_cell).cast("long"))
     keys = ["capture_id", "axis", "spike"]
-    # sets of slices are the bits of two numbers
-    bit = lambda n, word: F.when((n >= 63 * word) & (n < 63 * word + 63), F.call_function("shiftleft", F.lit(1).cast("long"), n - 63 * word)).otherwise(F.lit(0).cast("long"))
-    held = F.when((C("slice") >= 0) & (C("slice") < C("slices")), C("slice")).otherwise(-1)
-    seen = s.groupBy(*keys, "slices", "cell").agg(*[F.bit_or(bit(clipped, i)).alias(f"any{i}") for i in (0, 1)], *[F.bit_or(bit(held, i)).alias(f"held{i}") for i in (0, 1)])
-    size = lambda name: F.bit_count(C(f"{name}0")) + F.bit_count(C(f"{name}1"))
+    seen = s.groupBy(*keys, "slices", "cell").agg(*[F.bit_or(c).alias(c) for c in _SETS])
+    size = lambda name: sum((F.bit_count(C(f"{name}{i}")) for i in range(WORDS)), F.lit(0))
     w = Window.partitionBy(*keys).orderBy("cell")
     solid = seen.withColumn("at", F.when(size("any") >= p.min_cell_cover * C("slices"), C("cell")))
     before = F.last("at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -56,7 +78,7 @@ def runs(near: DataFrame, bands: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     piece = solid.withColumn("run", F.sum(new.cast("int")).over(w))
     # thin cells between two of a piece count for its slices
     inside = piece.where(C("at").isNotNull() | (C("after") - C("before") <= p.max_gap_cells + 1))
-    cover = inside.groupBy(*keys, "slices", "run").agg(F.min("at").alias("first"), F.max("at").alias("last"), *[F.bit_or(f"held{i}").alias(f"held{i}") for i in (0, 1)])
+    cover = inside.groupBy(*keys, "slices", "run").agg(F.min("at").alias("first"), F.max("at").alias("last"), *[F.bit_or(f"held{i}").alias(f"held{i}") for i in range(WORDS)])
     cover = cover.withColumn("height_cover", size("held") / C("slices"))
     return cover.where(((C("last") + 1 - C("first")) * p.along_cell >= p.min_length - 1e-9) & (C("height_cover") >= p.min_height_cover)).select(*keys, "run", "first", "last", "height_cover")
 
@@ -64,22 +86,22 @@ def runs(near: DataFrame, bands: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 def rated_runs(band: DataFrame, spikes: DataFrame, bands: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Runs with position, points and prominence, as ``find_walls`` has them, before those that don't stand out are dropped.
 
-    The points near spikes are found once, written, and read for each of the three steps.
+    ``band`` are points or their ``columns``; only these are laid to spikes, written once, and read for each of the three steps.
     """
-    wide = written(near_spikes(band, spikes, WIDE, p), "near")
+    wide = written(near_spikes(band if "k" in band.columns else columns(band, bands, p), spikes, WIDE, p), "near")
     near = wide.where(F.abs(C("across") - C("centre")) <= p.wall_reach)
     found = runs(near, bands, p)
     keys = ["capture_id", "axis", "spike"]
     start, end = C("first") * p.along_cell, (C("last") + 1) * p.along_cell
     on = near.join(found, keys).where((C("along") >= start) & (C("along") <= end))
     own = [*keys, "run", "first", "last", "height_cover"]
-    places = on.groupBy(*own, "across").agg(F.count("*").alias("k"))
+    places = on.groupBy(*own, "across").agg(F.sum("k").alias("k"))
     placed = written(places.groupBy(*own).agg(F.percentile("across", 0.5, C("k")).alias("position"), F.sum("k").alias("points")), "placed")
     # all band points along the wall, up to 7 cm from its position, which is up to 3 cm from the spike
     o = C("across") - C("position")
-    n = lambda when: F.sum(when.cast("int"))
+    n = lambda when: F.sum(F.when(when, C("k")).otherwise(0))
     sides = F.greatest(n((o >= -0.07) & (o <= -0.04)) / 3, n((o >= 0.04) & (o <= 0.07)) / 3, F.lit(1.0))
-    along = wide.join(placed, keys).where((C("along") >= start) & (C("along") <= end))
+    along = wide.join(placed.drop("k"), keys).where((C("along") >= start) & (C("along") <= end))
     return along.groupBy(*keys, "run", "first", "last", "height_cover", "position", "points").agg((n(F.abs(o) <= 0.02) / 4 / sides).alias("prominence"))
 
 

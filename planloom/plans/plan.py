@@ -32,8 +32,9 @@ def _band(spark, sf):
 def walls_of(spark: SparkSession, sf: str, p: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """points, levels and walls of the homes, or of other points."""
     p, levels, band, bands = band_of(scene.points(spark, sf) if p is None else p)
+    places = written(wl.columns(band, bands), "columns")
     # a few walls for each home, used by all that follows
-    return p, levels, written(wl.find_walls(band, pt.wall_spikes(pt.strips(band)), bands), "walls")
+    return p, levels, written(wl.find_walls(places, pt.wall_spikes(pt.strips(places)), bands), "walls")
 
 
 @query("scene_levels", f"""WITH {scene.SCENE_SQL}, m AS (SELECT capture_id, min(y) AS low, median(y) AS middle FROM p GROUP BY 1), c AS (SELECT capture_id, middle, low + (floor((y-low)/0.02::DOUBLE)+0.5::DOUBLE)*0.02::DOUBLE AS centre, count(*) AS n FROM p JOIN m USING (capture_id) GROUP BY ALL)
