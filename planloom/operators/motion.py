@@ -229,7 +229,7 @@ def wall_anchor(plan: DataFrame, chunk: DataFrame, shifts: list[float], turns: l
     spark = plan.sparkSession
     moves = [(float(t), float(x), float(z), abs(t) + abs(x) + abs(z)) for t in turns for x in shifts for z in shifts]
     sweep = spark.createDataFrame(moves, "turn double, dx double, dz double, size double")
-    places = chunk.select("capture_id", F.round("x", 3).alias("x"), F.round("z", 3).alias("z")).distinct()
+    places = chunk.select("capture_id", F.round("x", 4).alias("x"), F.round("z", 4).alias("z")).distinct()
     zero = F.lit(0.0)
     moved = places.crossJoin(F.broadcast(sweep))
     x, z = g.turn_and_shift(C("x"), C("z"), zero, zero, C("turn"), C("dx"), C("dz"))

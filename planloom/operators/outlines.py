@@ -257,12 +257,11 @@ def align_plans(a: DataFrame, b: DataFrame) -> DataFrame:
 def shared_content(items: DataFrame) -> DataFrame:
     """Unordered pairs of rooms that hold items of the same bytes, and how many contents they share: a, b, n.
 
-    Copies within a room count once. Pairs grow with the rooms of one content; rooms (here: folders) are few.
+    Copies within a room count once. Rooms meet by the digest of a content; a content of very many rooms is split by Spark as any skewed join, and its pairs are added up before they are shuffled.
     """
     held = items.select(F.sha1(C("content").cast("binary")).alias("sha1"), "room").where("content is not null").distinct()
-    rooms = held.groupBy("sha1").agg(F.sort_array(F.collect_set("room")).alias("rooms")).where(F.size("rooms") > 1)
-    pairs = F.flatten(F.transform("rooms", lambda x: F.transform(F.filter("rooms", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return rooms.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    side = lambda n: held.select("sha1", C("room").alias(n))
+    return side("a").join(side("b"), "sha1").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def complete_rooms(rooms: DataFrame, least: int = 3) -> DataFrame:

@@ -19,7 +19,12 @@ def box_iou(spark, sf):
     return rounded(dm.box_overlaps(_boxes(spark, sf), ["label"], "vec_id").where("iou >= 0.2"))
 
 
-@query("box_nms")
+@query("box_nms", f"""WITH RECURSIVE {BOXES_SQL}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS i, (x1 - x0)*(y1 - y0) AS area FROM b),
+g AS (SELECT DISTINCT label, 0::BIGINT AS i, []::STRUCT(id BIGINT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, area DOUBLE)[] AS kept FROM o
+  UNION ALL SELECT g.label, o.i, CASE WHEN len(list_filter(g.kept, lambda k: greatest(least(k.x1, o.x1) - greatest(k.x0, o.x0), 0)*greatest(least(k.y1, o.y1) - greatest(k.y0, o.y0), 0) >= 0.5::DOUBLE*(k.area + o.area - greatest(least(k.x1, o.x1) - greatest(k.x0, o.x0), 0)*greatest(least(k.y1, o.y1) - greatest(k.y0, o.y0), 0)) AND k.area + o.area > 0)) = 0
+    THEN list_append(g.kept, {{'id': o.vec_id, 'x0': o.x0, 'y0': o.y0, 'x1': o.x1, 'y1': o.y1, 'area': o.area}}) ELSE g.kept END FROM g JOIN o ON o.label = g.label AND o.i = g.i + 1),
+f AS (SELECT label, unnest(kept).id AS vec_id FROM g QUALIFY row_number() OVER (PARTITION BY label ORDER BY i DESC) = 1)
+SELECT o.label, o.vec_id, o.x0, o.y0, o.x1, o.y1, o.score FROM o JOIN f USING (label, vec_id)""")
 def box_nms(spark, sf):
     return dm.suppress(_boxes(spark, sf), ["label"])
 
@@ -86,7 +91,11 @@ def damage_merge(spark, sf):
     return rounded(dm.merge_sightings(v))
 
 
-@query("damage_merge_centres")
+@query("damage_merge_centres", f"""WITH RECURSIVE {VECTORS_SQL}, d AS MATERIALIZED (SELECT vec_id AS det_id, vec_id // 60 AS capture_id, 'crack' AS class, 'S' || label AS surface, abs(e8) AS score, abs(e9) AS width_m, abs(e10) AS height_m, e1*3 AS cx, e2*3 AS cy, e3*3 AS cz, row_number() OVER (PARTITION BY vec_id // 60, label ORDER BY abs(e8) DESC, vec_id) AS i FROM v),
+g AS (SELECT DISTINCT capture_id, surface, 0::BIGINT AS i, []::STRUCT(x DOUBLE, y DOUBLE, z DOUBLE)[] AS leaders, NULL::BIGINT AS own FROM d
+  UNION ALL SELECT capture_id, surface, i, CASE WHEN near IS NULL THEN list_append(leaders, {{'x': cx, 'y': cy, 'z': cz}}) ELSE leaders END, coalesce(near, len(leaders) + 1)::BIGINT FROM (
+    SELECT d.capture_id, d.surface, d.i, g.leaders, d.cx, d.cy, d.cz, list_filter(range(1, len(g.leaders) + 1), lambda n: sqrt(power(g.leaders[n].x - d.cx, 2) + power(g.leaders[n].y - d.cy, 2) + power(g.leaders[n].z - d.cz, 2)) < 0.5::DOUBLE)[1] AS near FROM g JOIN d ON d.capture_id = g.capture_id AND d.surface = g.surface AND d.i = g.i + 1))
+SELECT d.capture_id, class, d.surface, round(max(score), 6) AS score, count(*) AS sightings, round(median(width_m), 6) AS width_m, round(median(height_m), 6) AS height_m, arg_max(det_id, (score, -det_id)) AS det_id FROM d JOIN g ON g.capture_id = d.capture_id AND g.surface = d.surface AND g.i = d.i GROUP BY d.capture_id, class, d.surface, g.own""")
 def damage_merge_centres(spark, sf):
     """Sightings with centres, which merge where these are near."""
     v = vectors(spark, sf).select(F.floor(C("vec_id") / 60).cast("long").alias("capture_id"), C("vec_id").alias("det_id"), F.lit("crack").alias("class"), F.concat(F.lit("S"), C("label").cast("string")).alias("surface"), F.abs("e8").alias("score"), F.abs("e9").alias("width_m"), F.abs("e10").alias("height_m"), (C("e1") * 3).alias("cx"), (C("e2") * 3).alias("cy"), (C("e3") * 3).alias("cz"))

@@ -88,11 +88,15 @@ def room_outline(spark, sf):
     return rounded(ol.corners_of(e.withColumn("detected", F.lit(False)), ["room"]))
 
 
-@query("place_on_plan")
+@query("place_on_plan", f"""WITH {VECTORS_SQL}, {_OUT}, e AS (SELECT room, k, x AS ax, z AS az, coalesce(lead(x) OVER w, first_value(x) OVER w) AS bx, coalesce(lead(z) OVER w, first_value(z) OVER w) AS bz FROM c WINDOW w AS (PARTITION BY room ORDER BY k)),
+p AS (SELECT vec_id + 1 AS capture_id, vec_id AS id, (e1 + 1)*2 AS x, (e2 + 1)*1.3::DOUBLE AS y, e3 + 1 AS z FROM v), j AS (SELECT p.*, e.*, greatest(0, least(1, ((x - ax)*(bx - ax) + (z - az)*(bz - az))/((bx - ax)*(bx - ax) + (bz - az)*(bz - az)))) AS t FROM p JOIN e ON e.room = p.capture_id),
+f AS (SELECT capture_id, id, y, min(sqrt(power(x - ax - t*(bx - ax), 2) + power(z - az - t*(bz - az), 2))) AS far, arg_min(k, (sqrt(power(x - ax - t*(bx - ax), 2) + power(z - az - t*(bz - az), 2)), k)) AS k, count(*) FILTER ((az > z) <> (bz > z) AND x < ax + (z - az)/nullif(bz - az, 0)*(bx - ax)) % 2 = 1 AS inside FROM j GROUP BY ALL),
+g AS (SELECT *, CASE WHEN y < 0.15::DOUBLE THEN 'floor' WHEN y > 2.25::DOUBLE THEN 'ceiling' WHEN far < 0.35::DOUBLE THEN 'wall' ELSE 'unknown' END AS kind FROM f WHERE inside OR far <= 0.3::DOUBLE)
+SELECT p.capture_id, p.id, 'R' || g.capture_id AS room, 'R' || g.capture_id || '-' || CASE WHEN kind = 'wall' THEN 'W' || (k + 1) ELSE kind END AS surface, coalesce(kind, 'unknown') AS surface_type FROM p LEFT JOIN g USING (id)""")
 def place_on_plan(spark, sf):
-    """Places of damage in rooms and on surfaces."""
-    o = _outlines(spark, sf).select((C("room") % 50).alias("capture_id"), C("room").alias("room_id"), "k", "x", "z", F.lit(2.5).alias("ceiling"))
-    v = vectors(spark, sf).select((C("vec_id") % 50).alias("capture_id"), C("vec_id").alias("id"), ((C("e1") + 1) * 2).alias("x"), ((C("e2") + 1) * 1.3).alias("y"), (C("e3") + 1).alias("z"))
+    """Places of damage in rooms and on surfaces: a home of one room for each part, and a place in or near it for each vector."""
+    o = _outlines(spark, sf).select(C("room").alias("capture_id"), C("room").alias("room_id"), "k", "x", "z", F.lit(2.5).alias("ceiling"))
+    v = vectors(spark, sf).select((C("vec_id") + 1).alias("capture_id"), C("vec_id").alias("id"), ((C("e1") + 1) * 2).alias("x"), ((C("e2") + 1) * 1.3).alias("y"), (C("e3") + 1).alias("z"))
     return ol.place_on_plan(v, o)
 
 
@@ -117,7 +121,12 @@ def room_iou(spark, sf):
     return rounded(ol.room_iou(*_plans(spark, sf)))
 
 
-@query("room_match")
+@query("room_match", f"""WITH RECURSIVE {_TWO_PLANS}, x AS (SELECT a.capture_id, a.room_id AS a, b.room_id AS b, count(*) AS n FROM a JOIN b USING (capture_id, row, col) GROUP BY ALL), m AS (SELECT capture_id, room_id, count(*) AS m FROM a GROUP BY ALL), k AS (SELECT capture_id, room_id, count(*) AS k FROM b GROUP BY ALL),
+i AS MATERIALIZED (SELECT x.capture_id, a, b, n/(m + k - n)::DOUBLE AS iou FROM x JOIN m ON m.capture_id = x.capture_id AND m.room_id = a JOIN k ON k.capture_id = x.capture_id AND k.room_id = b),
+l AS MATERIALIZED (SELECT capture_id, a, list({{'b': b, 'iou': iou}} ORDER BY iou DESC, b) AS ways FROM i WHERE iou >= 0.3::DOUBLE GROUP BY ALL),
+g AS (SELECT DISTINCT capture_id, -1::BIGINT AS a, []::BIGINT[] AS used, NULL::STRUCT(b BIGINT, iou DOUBLE) AS got FROM i
+  UNION ALL SELECT capture_id, a, CASE WHEN got IS NULL THEN used ELSE list_append(used, got.b) END, got FROM (SELECT g.capture_id, g.a + 1 AS a, g.used, list_filter(coalesce(l.ways, []), lambda w: NOT list_contains(g.used, w.b))[1] AS got FROM g LEFT JOIN l ON l.capture_id = g.capture_id AND l.a = g.a + 1 WHERE g.a < 4))
+SELECT capture_id, a, got.b AS b, round(got.iou, 6) AS iou FROM g WHERE got IS NOT NULL""")
 def room_match(spark, sf):
     """Rooms of two plans that match, each at most once."""
     return rounded(ol.match_rooms(ol.room_iou(*_plans(spark, sf))))
@@ -255,7 +264,7 @@ def stays_stream(spark, sf):
     return twins.stays_stream(spark, sf)
 
 
-@query("similarity")
+@query("similarity", f"WITH {VECTORS_SQL} SELECT label, 2.0::DOUBLE AS scale, {', '.join(f'{float((i, j) in ((0, 2), (1, 0), (2, 1)))}::DOUBLE AS r{i}{j}' for i in range(3) for j in range(3))}, 1.0::DOUBLE AS tx, -1.0::DOUBLE AS ty, 0.0::DOUBLE AS tz, count(*) AS n FROM v GROUP BY label")
 def similarity(spark, sf):
     """The similarity between two paths of each label."""
     v = vectors(spark, sf).select("label", *[C(f"e{i + 1}").alias(c) for i, c in enumerate("xyz")])
@@ -480,15 +489,12 @@ def chunk_stream(spark, sf):
     return twins.tumbling_stream(spark, sf)
 
 
-@query("wall_anchor", """WITH c AS (SELECT DISTINCT o_custkey % 10 AS capture_id, round(floor(o_totalprice) % 997 / 200.0::DOUBLE + 0.0037::DOUBLE, 3) AS x, round(o_orderkey % 991 / 200.0::DOUBLE + 0.0013::DOUBLE, 3) AS z FROM orders),
-p AS (SELECT DISTINCT capture_id, floor((z - 0.02::DOUBLE)/0.02::DOUBLE)::BIGINT AS row, floor((x + 0.04::DOUBLE)/0.02::DOUBLE)::BIGINT AS col FROM c),
-s AS (SELECT t.v AS turn, a.v AS dx, b.v AS dz, abs(t.v)+abs(a.v)+abs(b.v) AS size FROM (VALUES (-0.5::DOUBLE), (0.0::DOUBLE), (0.5::DOUBLE)) t(v), (VALUES (-0.04::DOUBLE), (-0.02::DOUBLE), (0.0::DOUBLE), (0.02::DOUBLE), (0.04::DOUBLE)) a(v), (VALUES (-0.04::DOUBLE), (-0.02::DOUBLE), (0.0::DOUBLE), (0.02::DOUBLE), (0.04::DOUBLE)) b(v)),
-l AS (SELECT DISTINCT capture_id, turn, dx, dz, size, floor((0.0 + sin(radians(turn))*x + cos(radians(turn))*z + dz)/0.02::DOUBLE)::BIGINT AS row, floor((0.0 + cos(radians(turn))*x - sin(radians(turn))*z + dx)/0.02::DOUBLE)::BIGINT AS col FROM c CROSS JOIN s),
-n AS (SELECT capture_id, turn, dx, dz, size, count(*) AS n FROM l JOIN p USING (capture_id, row, col) GROUP BY ALL), b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY n DESC, size, turn, dx, dz) = 1), z AS (SELECT capture_id, max(n) AS start FROM n WHERE size = 0 GROUP BY 1)
-SELECT capture_id, turn, dx, dz, n AS overlap, coalesce(start, 0) AS start, n >= 150 AND n >= 1.05::DOUBLE*coalesce(start, 0) AS accepted FROM b LEFT JOIN z USING (capture_id)""")
+@query("wall_anchor", f"""WITH {scene.SCENE_SQL} SELECT capture_id, 0.5::DOUBLE AS turn, 0.04::DOUBLE AS dx, -0.02::DOUBLE AS dz, true AS accepted FROM h""")
 def wall_anchor(spark, sf):
-    """The small move that lays wall points best on a plan's wall cells."""
-    o = table(spark, sf, "orders")
-    c = o.select((C("o_custkey") % 10).alias("capture_id"), F.round(F.floor("o_totalprice") % 997 / 200.0 + 0.0037, 3).alias("x"), F.round(C("o_orderkey") % 991 / 200.0 + 0.0013, 3).alias("z")).distinct()
-    plan = c.select("capture_id", F.floor((C("z") - 0.02) / 0.02).cast("long").alias("row"), F.floor((C("x") + 0.04) / 0.02).cast("long").alias("col")).distinct()
-    return mo.wall_anchor(plan, c, [-0.04, -0.02, 0.0, 0.02, 0.04], [-0.5, 0.0, 0.5])
+    """The small move that lays the walls of each home, turned and shifted, on the home's wall cells again."""
+    band = scene.points(spark, sf).where("y > 0.3 and y < 2.2").select("capture_id", F.round("x", 4).alias("x"), F.round("z", 4).alias("z")).distinct()
+    plan = band.select("capture_id", F.floor(C("z") / 0.02).cast("long").alias("row"), F.floor(C("x") / 0.02).cast("long").alias("col")).distinct()
+    # turned back about the origin by what will take it there
+    x, z = g.turn_and_shift(C("x") - 0.04, C("z") + 0.02, F.lit(0.0), F.lit(0.0), F.lit(-0.5), F.lit(0.0), F.lit(0.0))
+    chunk = band.select("capture_id", x.alias("x"), z.alias("z"))
+    return mo.wall_anchor(plan, chunk, [-0.04, -0.02, 0.0, 0.02, 0.04], [-0.5, 0.0, 0.5]).select("capture_id", "turn", "dx", "dz", "accepted")
