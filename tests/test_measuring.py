@@ -309,6 +309,19 @@ def test_late_frames_are_dropped(spark, tmp_path):
     assert got == [(1, 2), (5, 2)]
 
 
+def test_state_goes_when_the_watermark_has_passed(spark, tmp_path):
+    """Over windows in order, all are written once and the state that is left is that of the closing row."""
+    from planloom.streaming import twins
+
+    rows = spark.range(2000).select((F.col("id") % 3).cast("string").alias("kind"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 120).alias("time"), F.lit(1.0).alias("score"))
+    out, left = twins._in_order(rows, lambda s: twins.tumbling(s, late="2 hours"), str(tmp_path), 4, "4 HOURS")
+    want = {(r.kind, r.b): r.n for r in rows.groupBy("kind", (F.floor(F.unix_seconds("time") / 3600) * 3600).alias("b")).agg(F.count("*").alias("n")).collect()}
+    got = out.collect()
+    assert {(r.kind, r.begin): r.n for r in got} == want and len(got) == len(want) and left == 1
+    none, left = twins._in_order(rows.limit(0), lambda s: twins.tumbling(s), str(tmp_path / "none"), 2, "4 HOURS")
+    assert none.collect() == [] and left == 0
+
+
 def test_rooms_of_two_plans_match_once(spark):
     df = spark.createDataFrame([(1, 1, 1, 0.9), (1, 1, 2, 0.5), (1, 2, 2, 0.4), (1, 3, 1, 0.6), (1, 4, 4, 0.2)], "capture_id long, a long, b long, iou double")
     assert sorted((r.a, r.b) for r in ol.match_rooms(df).collect()) == [(1, 1), (2, 2)]
