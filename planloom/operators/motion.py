@@ -165,17 +165,25 @@ def box_directions(normals: DataFrame, keys: list[str], tolerance: float = 10.0,
         chosen = as_axes(centred(bins, chosen))
     told = centred(normals.withColumn("n", F.lit(1).cast("long")), chosen)
     # at right angles again: that of most normals stays, the next is what it has across that, the last what is across both
-    one = F.struct(*[C(c) for c in ("inliers", "d", "x", "y", "z")])
-    ranked = told.groupBy(*keys).agg(F.sort_array(F.collect_list(one), asc=False).alias("s"), F.first("n").alias("n"))
-    at = lambda i: tuple(C("s")[i][c] for c in "xyz")
-    ranked = ranked.where(C("s")[1]["x"].isNotNull())
-    p, q = at(0), at(1)
-    over = g.dot(p, q)
-    q = tuple(b - over * a for a, b in zip(p, q, strict=True))
-    long = F.sqrt(g.dot(q, q))
-    q = tuple(x / long for x in q)
-    square = F.explode(F.array(*[F.struct(C("s")[i]["d"].alias("d"), *[x.alias(c) for c, x in zip("xyz", axis, strict=True)], C("s")[i]["inliers"].alias("inliers")) for i, axis in enumerate((p, q, g.cross(p, q)))])).alias("o")
-    return ranked.select(*keys, "n", square).select(*keys, "o.*", "n")
+    kinds = dict(normals.dtypes)
+    one = F.array(*[C(c).cast("double") for c in ("inliers", "d", "x", "y", "z")])
+    ranked = told.where("x is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(one), asc=False).alias("s"), F.first("n").alias("n")).where(F.size("s") > 1)
+
+    def square(frames):
+        for pdf in frames:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                s = np.array([list(x) for x in r.s], float)
+                p = s[0, 2:]
+                q = s[1, 2:] - p * (p @ s[1, 2:])
+                q /= np.linalg.norm(q)
+                rest = ({0.0, 1.0, 2.0} - set(s[:2, 1])).pop()
+                last = s[2, 0] if len(s) > 2 else 0
+                for d, axis, inliers in ((s[0, 1], p, s[0, 0]), (s[1, 1], q, s[1, 0]), (rest, np.cross(p, q), last)):
+                    rows.append([*[getattr(r, k) for k in keys], int(d), *axis, int(inliers), r.n])
+            yield pd.DataFrame(rows, columns=[*keys, "d", *"xyz", "inliers", "n"])
+
+    return ranked.mapInPandas(square, ", ".join([f"{k} {kinds[k]}" for k in keys] + ["d int", "x double", "y double", "z double", "inliers long", "n long"]))
 
 
 def piece_up(candidates: DataFrame, rough: DataFrame, keys: list[str], min_walk: float = 0.5, max_tilt: float = 60.0) -> DataFrame:

@@ -79,10 +79,10 @@ def outline_area(spark, sf):
     return ol.outline_area_range(w, w.select("room").distinct().withColumn("area_pm95", (C("room") % 10) / 10.0), ["room"])
 
 
-@query("room_outline")
+@query("room_outline", """SELECT p_partkey AS room, k::INT AS k, round(([n, n, 6, 6, 0, 0])[k + 1]*0.05::DOUBLE, 6) AS x, round(([0, 4, 4, m, m, 0])[k + 1]*0.05::DOUBLE, 6) AS z, false AS detected FROM (SELECT p_partkey, p_size + 12 AS n, p_size % 7 + 10 AS m FROM part) CROSS JOIN range(6) t(k)""")
 def room_outline(spark, sf):
-    """Traced outlines of rooms of cells, their corners snapped to axes."""
-    p = table(spark, sf, "part").select(C("p_partkey").alias("room"), (C("p_size") + 4).cast("int").alias("n"), (C("p_size") % 7 + 6).cast("int").alias("m"))
+    """Traced outlines of rooms of cells in the form of an L, their corners snapped to axes."""
+    p = table(spark, sf, "part").select(C("p_partkey").alias("room"), (C("p_size") + 12).cast("int").alias("n"), (C("p_size") % 7 + 10).cast("int").alias("m"))
     cells = p.select("room", "n", F.explode(F.sequence(F.lit(0), C("m") - 1)).alias("row")).select("room", "row", F.explode(F.sequence(F.lit(0), F.when(C("row") < 4, C("n") - 1).otherwise(F.lit(5)))).alias("col"))
     e = ol.merge_edges(ol.edges(ol.trace(cells, ["room"]), ["room"]), ["room"])
     return rounded(ol.corners_of(e.withColumn("detected", F.lit(False)), ["room"]))
