@@ -41,23 +41,35 @@ def camera_check(cameras: DataFrame, keys: list[str]) -> DataFrame:
     After the best similarity: distances of the centres, in metres and percent of the true path; degrees between viewing directions; and degrees by which
     the turn from one camera to the next differs from the true one, which needs no similarity.
     """
-    j = fitted(cameras, keys)
     w = Window.partitionBy(*keys).orderBy("frame")
     m = {f"r{i}{k}": C(f"r{i}{k}") for i in range(3) for k in range(3)}
-    looks = lambda q: g.rotate(g.quaternion_to_matrix(*q), F.lit(0.0), F.lit(0.0), F.lit(1.0))
-    view = g.rotate(m, *looks(_quaternion("q")))
-    true = looks(_quaternion("tq"))
-    apart = g.cross(view, true)
+    named = lambda prefix, parts: {f"{prefix}{c}": x for c, x in zip("xyzw", parts, strict=False)}
+    looks = lambda q: tuple(2 * x for x in (q[0] * q[2] + q[1] * q[3], q[1] * q[2] - q[0] * q[3])) + (1 - 2 * (q[0] * q[0] + q[1] * q[1]),)  # noqa: E731  where z goes
+    # a column a step: what is used several times is worked out once
+    j = fitted(cameras, keys)
+    for n in ("q", "tq"):
+        q = _quaternion(n)
+        size = F.sqrt(g.dot(q, q))
+        j = j.withColumn("__size", F.when(size > 0, size)).withColumns(named(f"__{n}", [x / C("__size") for x in q]))
+    q, tq = (tuple(C(f"__{n}{c}") for c in "xyzw") for n in ("q", "tq"))
+    j = j.withColumns({**named("__look", looks(q)), **named("__true", looks(tq))})
+    look, true = (tuple(C(f"__{n}{c}") for c in "xyz") for n in ("look", "true"))
+    j = j.withColumns(named("__view", g.rotate(m, *look)))
+    view = tuple(C(f"__view{c}") for c in "xyz")
+    j = j.withColumns(named("__apart", g.cross(view, true)))
+    apart = tuple(C(f"__apart{c}") for c in "xyz")
     angle = F.degrees(F.atan2(F.sqrt(g.dot(apart, apart)), g.dot(view, true)))  # exact for small angles too
     gap = tuple(C(f"a{c}") - C(f"tp{c}") for c in "xyz")
-    step = tuple(C(f"tp{c}") - F.lag(f"tp{c}").over(w) for c in "xyz")
-
-    def relative(prefix: str) -> tuple:
-        own = _quaternion(prefix)
-        before = tuple(F.lag(f"{prefix}{c}").over(w) for c in "xyzw")
-        return g.quaternion_product((-before[0], -before[1], -before[2], before[3]), own)
-
-    rows = j.select(*keys, "scale", F.sqrt(g.dot(gap, gap)).alias("gap"), F.sqrt(g.dot(step, step)).alias("step"), angle.alias("view"), g.turn_between(relative("tq"), relative("q")).alias("turn"))
+    # turns from the camera before, and the difference of both
+    for n in ("q", "tq"):
+        before = {f"__b{n}{c}": F.lag(f"__{n}{c}").over(w) for c in "xyzw"}
+        j = j.withColumns(before)
+        b = tuple(C(f"__b{n}{c}") for c in "xyzw")
+        j = j.withColumns(named(f"__r{n}", g.quaternion_product((-b[0], -b[1], -b[2], b[3]), tuple(C(f"__{n}{c}") for c in "xyzw"))))
+    j = j.withColumns({f"__s{c}": C(f"tp{c}") - F.lag(f"tp{c}").over(w) for c in "xyz"})
+    step = tuple(C(f"__s{c}") for c in "xyz")
+    turn = g.turn_between(tuple(C(f"__rtq{c}") for c in "xyzw"), tuple(C(f"__rq{c}") for c in "xyzw"))
+    rows = j.select(*keys, "scale", F.sqrt(g.dot(gap, gap)).alias("gap"), F.sqrt(g.dot(step, step)).alias("step"), angle.alias("view"), turn.alias("turn"))
     rms = F.sqrt(F.avg(C("gap") * C("gap")))
     return rows.groupBy(*keys).agg(
         F.count("*").alias("cameras"), F.sum("step").alias("path"), rms.alias("rms"), F.max("gap").alias("worst"), (100 * rms / F.sum("step")).alias("percent"), F.first("scale").alias("scale"),
@@ -75,8 +87,10 @@ def piece_check(cameras: DataFrame, scales: DataFrame, ups: DataFrame, keys: lis
     w = Window.partitionBy(*keys).orderBy("frame")
     step = tuple(C(f"tp{c}") - F.lag(f"tp{c}").over(w) for c in "xyz")
     placed = cameras.select(*keys, F.sqrt(g.dot(step, step)).alias("step")).groupBy(*keys).agg(F.count("*").alias("placed"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("path"))
-    own = g.rotate(g.quaternion_to_matrix(*_quaternion("q")), F.lit(0.0), F.lit(-1.0), F.lit(0.0))  # rows of pictures go down
-    one = j.select(*keys, "scale", *[C(f"r1{i}").alias(f"u{c}") for i, c in enumerate("xyz")], *[x.alias(f"c{c}") for c, x in zip("xyz", own, strict=True)])
+    x, y, z, w_ = _quaternion("q")
+    size = x * x + y * y + z * z + w_ * w_
+    own = (2 * (z * w_ - x * y), size - 2 * (y * y + w_ * w_), -2 * (y * z + x * w_))  # where -y goes: rows of pictures go down
+    one = j.select(*keys, "scale", *[C(f"r1{i}").alias(f"u{c}") for i, c in enumerate("xyz")], *[(v / F.when(size > 0, size)).alias(f"c{c}") for c, v in zip("xyz", own, strict=True)])
     one = one.groupBy(*keys).agg(F.first("scale").alias("true_scale"), *[F.first(f"u{c}").alias(f"u{c}") for c in "xyz"], *[F.avg(f"c{c}").alias(f"c{c}") for c in "xyz"])
     j = placed.join(one, keys, "left").join(scales.select(*keys, C("scale").alias("given")), keys, "left").join(ups.select(*keys, *"xyz"), keys, "left")
     true = _vector("u")  # the similarity's second row: what it takes onto the true up
