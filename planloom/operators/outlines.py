@@ -176,7 +176,9 @@ def place_on_plan(places: DataFrame, corners: DataFrame, p: Params = DEFAULTS, r
     dx, dz = C("bx") - C("ax"), C("bz") - C("az")
     size = dx * dx + dz * dz
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((C("x") - C("ax")) * dx + (C("z") - C("az")) * dz) / F.when(size > 0, size)))
-    far = F.hypot(C("x") - C("ax") - F.coalesce(t, F.lit(0.0)) * dx, C("z") - C("az") - F.coalesce(t, F.lit(0.0)) * dz)
+    # not by hypot: its last digit would decide between the two walls of a corner that is nearest
+    off_x, off_z = C("x") - C("ax") - F.coalesce(t, F.lit(0.0)) * dx, C("z") - C("az") - F.coalesce(t, F.lit(0.0)) * dz
+    far = F.sqrt(off_x * off_x + off_z * off_z)
     cut = ((C("az") > C("z")) != (C("bz") > C("z"))) & (C("x") < C("ax") + (C("z") - C("az")) / F.when(dz != 0, dz) * dx)
     per = j.withColumns({"far": far, "cut": F.coalesce(cut, F.lit(False)).cast("int")}).groupBy("capture_id", "id", "y", "room_id").agg((F.sum("cut") % 2 == 1).alias("inside"), F.min(F.struct("far", "k")).alias("near"), F.first("ceiling").alias("ceiling"))
     per = per.where(C("inside") | (C("near.far") <= reach))

@@ -335,6 +335,13 @@ def test_places_in_rooms_and_on_surfaces(spark):
     assert got == {i: s for i, *_, s in places}
 
 
+def test_of_two_walls_whose_corner_is_nearest_the_first_counts(spark):
+    a, b = 1.9100000000000001, 0.9127382146439318
+    corners = spark.createDataFrame([(1, 1, k, x, z, 2.5) for k, (x, z) in enumerate([(0.013, 0.027), (a, 0.027), (a, b), (0.013, b)])], "capture_id long, room_id int, k int, x double, z double, ceiling double")
+    df = spark.createDataFrame([(1, 1, 2.1432494074106216, 1.2724960789084434, 1.0913482531905174)], "capture_id long, id long, x double, y double, z double")
+    assert [r.surface for r in ol.place_on_plan(df, corners).collect()] == ["R1-W2"]
+
+
 @pytest.mark.parametrize("clutter", [60, 500])
 def test_three_directions_of_a_turned_box(spark, clutter):
     """Among much clutter, of which the normals that are tried first are all: pairs of the later ones still give the box."""
