@@ -335,6 +335,22 @@ def test_places_in_rooms_and_on_surfaces(spark):
     assert got == {i: s for i, *_, s in places}
 
 
+def test_laid_out_points_are_dealt_and_not_broadcast(spark):
+    """The tables that the homes are laid out from are small; the points aren't."""
+    p = scene.points(spark, SF)
+    assert p.rdd.getNumPartitions() > 3
+    steps = pt.wall_band(p, pt.horizontal_levels(p))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in steps and "Broadcast" not in steps
+
+
+def test_spread_of_a_wall_by_its_places(spark):
+    walls = spark.createDataFrame([(1, 0, "x", 1.0, 0.0, 2.0, 2.0)], "capture_id long, wall_idx int, axis string, position double, start double, end double, length double")
+    off = [((i * 7) % 11 - 5) * 0.003 for i in range(60)]
+    df = spark.createDataFrame([(1, 1.0 + x, y, 0.5) for x in off for y in (0.5, 1.0)], "capture_id long, x double, y double, z double")
+    got = wl.wall_spread(walls, df).collect()
+    assert len(got) == 1 and got[0].walls == 1 and abs(got[0].wall_spread - np.std(off)) < 1e-9
+
+
 def test_of_two_walls_whose_corner_is_nearest_the_first_counts(spark):
     a, b = 1.9100000000000001, 0.9127382146439318
     corners = spark.createDataFrame([(1, 1, k, x, z, 2.5) for k, (x, z) in enumerate([(0.013, 0.027), (a, 0.027), (a, b), (0.013, b)])], "capture_id long, room_id int, k int, x double, z double, ceiling double")
