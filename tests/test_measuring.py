@@ -16,7 +16,7 @@ from planloom.operators import points as pt
 from planloom.operators import raster as rs
 from planloom.operators import walls as wl
 from planloom.params import Params
-from planloom.plans import plan, scene
+from planloom.plans import plan, results, scene
 from planloom.sources import captures as sc
 
 SF = "/root/testdata/sf0.001"
@@ -335,6 +335,12 @@ def test_places_in_rooms_and_on_surfaces(spark):
     assert got == {i: s for i, *_, s in places}
 
 
+def test_anchors_of_homes_tell_their_overlaps(spark):
+    got = results.wall_anchor(spark, SF)
+    assert got.columns == ["capture_id", "turn", "dx", "dz", "overlap", "start", "accepted"]
+    assert all(r.overlap >= 150 and r.overlap >= 1.05 * r.start for r in got.collect())
+
+
 def test_laid_out_points_are_dealt_and_not_broadcast(spark):
     """The tables that the homes are laid out from are small; the points aren't."""
     p = scene.points(spark, SF)
