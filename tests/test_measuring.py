@@ -386,3 +386,56 @@ def test_directions_of_few_normals(spark):
     """No two at right angles, or no normals: no directions."""
     df = spark.createDataFrame([(1, 1, 1.0, 0.0, 0.0), (1, 2, 1.0, 0.0, 0.0)], "g long, id long, x double, y double, z double")
     assert mo.box_directions(df, ["g"]).collect() == [] and mo.box_directions(df.limit(0), ["g"]).collect() == []
+
+
+def test_rooms_found_in_pictures_are_those_of_the_single_steps(spark):
+    from planloom.operators import raster as rs
+    from planloom.params import DEFAULTS as p
+
+    rng = __import__("numpy").random.default_rng(5)
+    cells = [(c, int(r), int(k)) for c in (1, 2) for r in range(60) for k in range(90) if rng.random() > 0.02 and (c == 1 or r < 25 or k > 40)]
+    cells += [(2, 100_000, 7), (3, 4, 4), (4, -5, -70_000)]  # strays far off, and homes without rooms
+    floor = spark.createDataFrame(cells, "capture_id long, row int, col int")
+    walls = spark.createDataFrame([(1, "x", 2.2, 0.0, 1.1), (1, "x", 2.2, 1.9, 3.0), (2, "z", 1.3, 0.0, 4.5)], "capture_id long, axis string, position double, start double, end double")
+    holes = spark.createDataFrame([(1, "x", 2.2, 1.1, 1.4)], walls.schema)
+    barriers = rs.barrier(walls, p=p).unionByName(rs.barrier(holes, extend=0.0, p=p)).distinct()
+    free = rs.subtract(rs.close(floor, rs.ellipse(int(round(p.floor_fill / p.grid)) | 1)), barriers)
+    islands = rs.components(rs.erode(free, rs.ellipse(2 * int(round(p.door_split / p.grid)) + 1)))
+    grown = rs.grow(free, islands.withColumnRenamed("component_id", "room_id"))
+    by_steps = {}
+    for r in rs.fill_rooms(grown, barriers, p, p.min_room_area).collect():
+        by_steps.setdefault((r.capture_id, r.room_id), set()).add((r.row, r.col))
+    found = {}
+    for r in rs.find_rooms(floor, walls, holes, p).collect():
+        found.setdefault((r.capture_id, r.room_id), set()).add((r.row, r.col))
+    for c in (1, 2):
+        assert [by_steps[k] for k in sorted(by_steps) if k[0] == c] == [found[k] for k in sorted(found) if k[0] == c]
+        assert sorted(k[1] for k in found if k[0] == c) == list(range(1, 1 + sum(k[0] == c for k in found)))
+    assert {k[0] for k in found} == {1, 2} and len(found) >= 3
+
+
+def test_holes_are_filled_for_all_rooms_of_a_capture_at_once(spark):
+    from planloom.operators import raster as rs
+
+    ring = [(1, 1, r, c) for r in range(5) for c in range(5) if max(abs(r - 2), abs(c - 2)) == 2]
+    inner = [(1, 2, 2, 2), (1, 3, 9, 9)]  # within the first, and too small
+    diamond = [(2, 7, 1, 0), (2, 7, 0, 1), (2, 7, 1, 2), (2, 7, 2, 1)]
+    rooms = spark.createDataFrame(ring + inner + diamond, "capture_id long, room_id int, row int, col int")
+    blocked = spark.createDataFrame([(1, 1, 1), (3, 0, 0)], "capture_id long, row int, col int")
+    got = rs.fill_rooms(rooms, blocked, min_area=0.0024)
+    assert {(r.capture_id, r.room_id, r.row, r.col) for r in got.collect()} == {(1, 1, r, c) for r in range(5) for c in range(5) if (r, c) != (1, 1)} | {(1, 3, 9, 9)} | {(2, 7, r, c) for r, c in ((1, 0), (0, 1), (1, 2), (2, 1), (1, 1))}
+    # one group a capture, not one a room, and cells aren't dealt again afterwards
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "HashAggregate" not in plan
+
+
+def test_points_look_their_room_up_without_being_dealt_by_cell(spark):
+    from planloom.operators import raster as rs
+
+    cells = spark.createDataFrame([(1, 3, -2, 1), (1, 3, 0, 2), (2, 0, 0, 1)], "capture_id long, row int, col int, room_id int")
+    points = spark.createDataFrame([(1, 3, -2, "a"), (1, 3, -1, "b"), (1, 3, 0, "c"), (1, 2, 0, "d"), (1, 3, 1, "e"), (1, 4, -2, "f"), (2, 0, 0, "g"), (9, 0, 0, "h")], "capture_id long, row int, col int, wide string")
+    told = rs.in_rooms(points, cells)
+    assert sorted((r.wide, r.room_id) for r in told.collect()) == [("a", 1), ("c", 2), ("g", 1)]
+    assert {r.wide: r.room_id for r in rs.in_rooms(points, cells, "left").collect()} == {**dict.fromkeys("bdefh"), "a": 1, "c": 2, "g": 1}
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan
