@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -49,6 +50,9 @@ def decode_png(data: bytes) -> np.ndarray:
     step = bits // 8
     raw = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(height, 1 + width * step)
     out = np.zeros((height, width * step), np.uint8)
+    if not raw[:, 0].any():  # no row is filtered
+        out[:] = raw[:, 1:]
+        return out.view(">u2").astype(np.uint16) if bits == 16 else out
     before = np.zeros(width * step, np.int64)
     for y in range(height):
         kind, line = raw[y, 0], raw[y, 1:].astype(np.int64)
@@ -80,13 +84,34 @@ def encode_png(grey: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", grey.shape[1], grey.shape[0], bits, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+#: Pixels that go on together: those of many small pictures, or of a large one.
+TOGETHER = 200_000
+
+
+@lru_cache(maxsize=16)
+def _places(shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    row, col = np.indices(shape, dtype=np.int32)
+    return row.ravel(), col.ravel()
+
+
 def _pixels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(held: list[tuple[list[str], np.ndarray]]) -> pd.DataFrame:
+        n = [grid.size for _, grid in held]
+        said = lambda i: np.repeat(np.array([parts[i] for parts, _ in held], object), n)
+        frame = np.repeat(np.array([int(parts[-1].split(".")[0]) for parts, _ in held], np.int64), n)
+        row, col = (np.concatenate([_places(grid.shape)[i] for _, grid in held]) for i in (0, 1))
+        return pd.DataFrame({"capture_id": said(-3), "kind": said(-2), "frame": frame, "row": row, "col": col, "value": np.concatenate([grid.ravel() for _, grid in held]).astype(np.int32)})
+
     for pdf in frames:
+        held, size = [], 0
         for path, content in zip(pdf["path"], pdf["content"], strict=True):
-            grid = decode_png(bytes(content))
-            row, col = np.indices(grid.shape)
-            parts = path.split("/")
-            yield pd.DataFrame({"capture_id": parts[-3], "kind": parts[-2], "frame": int(parts[-1].split(".")[0]), "row": row.ravel().astype(np.int32), "col": col.ravel().astype(np.int32), "value": grid.ravel().astype(np.int32)})
+            held.append((path.split("/")[-3:], decode_png(bytes(content))))
+            size += held[-1][1].size
+            if size >= TOGETHER:
+                yield rows(held)
+                held, size = [], 0
+        if held:
+            yield rows(held)
 
 
 def depth_pixels(files: DataFrame) -> DataFrame:

@@ -439,3 +439,19 @@ def test_points_look_their_room_up_without_being_dealt_by_cell(spark):
     assert {r.wide: r.room_id for r in rs.in_rooms(points, cells, "left").collect()} == {**dict.fromkeys("bdefh"), "a": 1, "c": 2, "g": 1}
     plan = told._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan
+
+
+def test_small_pictures_go_on_together():
+    import numpy as np
+    import pandas as pd
+
+    from planloom.sources import captures as sc
+
+    grids = [np.arange(12, dtype=np.uint16).reshape(3, 4) * 300 + i for i in range(50)] + [np.full((2, 3), 9, np.uint8)]
+    files = pd.DataFrame([(f"/x/c{i % 2}/{'depth' if g.dtype == np.uint16 else 'confidence'}/{i:06d}.png", sc.encode_png(g)) for i, g in enumerate(grids)], columns=["path", "content"])
+    parts = list(sc._pixels(iter([files])))
+    assert len(parts) == 1
+    own = parts[0].set_index("frame")
+    for i, g in enumerate(grids):
+        assert np.array_equal(own.loc[i, "value"].to_numpy().reshape(g.shape), g) and set(own.loc[i, "capture_id"]) == {f"c{i % 2}"}
+        assert own.loc[i, ["row", "col"]].to_numpy().tolist() == [[r, c] for r in range(g.shape[0]) for c in range(g.shape[1])]
