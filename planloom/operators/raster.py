@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DEFAULTS, Params
-from ..storage import keyed, merged
+from ..storage import dealt, keyed, merged
 
 CELL = ["capture_id", "row", "col"]
 
@@ -80,16 +80,25 @@ def floor_mask(points: DataFrame, floors: DataFrame, tolerance: float = 0.08) ->
     return points.join(keyed(floors.select("capture_id", "floor_y")), "capture_id").where(F.col("y") >= F.col("floor_y") - tolerance).select(*CELL).distinct()
 
 
+#: Walls whose cells are laid out by one task, and corners of outlines.
+WALLS, CORNERS = 10_000, 20_000
+
+
 def barrier(segments: DataFrame, extend: float = 0.15, p: Params = DEFAULTS) -> DataFrame:
     """Cells of walls along the axes (axis, position, start, end in the grid's metres), lengthened at both ends, two cells thick.
 
-    A wall at a position covers the cell that holds it and the one before.
+    A wall at a position covers the cell that holds it and the one before. Walls are dealt to tasks by capture before their cells are laid out.
     """
+    return _laid(dealt(segments, WALLS, "capture_id"), extend, p).distinct()
+
+
+def _laid(segments: DataFrame, extend: float, p: Params) -> DataFrame:
+    """Cells of walls, of which some repeat."""
     at = F.floor(F.col("position") / p.grid).cast("int")
     along = F.explode(F.sequence(F.floor((F.col("start") - extend) / p.grid).cast("int"), F.floor((F.col("end") + extend) / p.grid).cast("int"))).alias("k")
     s = segments.select("capture_id", "axis", at.alias("at"), along).withColumn("across", F.explode(F.array(F.col("at") - 1, F.col("at"))))
     # a wall of constant x has its position in the column
-    return s.select("capture_id", F.when(F.col("axis") == "x", F.col("k")).otherwise(F.col("across")).alias("row"), F.when(F.col("axis") == "x", F.col("across")).otherwise(F.col("k")).alias("col")).distinct()
+    return s.select("capture_id", F.when(F.col("axis") == "x", F.col("k")).otherwise(F.col("across")).alias("row"), F.when(F.col("axis") == "x", F.col("across")).otherwise(F.col("k")).alias("col"))
 
 
 def subtract(cells: DataFrame, others: DataFrame) -> DataFrame:
@@ -299,7 +308,7 @@ def find_rooms(floor: DataFrame, walls: DataFrame, holes: DataFrame, p: Params =
     """
     closing, splitting = ellipse(int(round(p.floor_fill / p.grid)) | 1), ellipse(2 * int(round(p.door_split / p.grid)) + 1)
     reach = max(i for i, _ in closing)
-    barriers = barrier(walls, p=p).unionByName(barrier(holes, extend=0.0, p=p))
+    barriers = _laid(walls, 0.15, p).unionByName(_laid(holes, 0.0, p))
 
     def run(key, own: pa.Table, others: pa.Table) -> pa.Table:
         if not own.num_rows:
@@ -359,16 +368,24 @@ def polygon_area(corners: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def polygon_cells(corners: DataFrame, keys: list[str], cell: float = 0.05) -> DataFrame:
-    """Cells whose centre is inside a closed outline: an odd number of its edges lie to the right of it."""
+    """Cells whose centre is inside a closed outline: an odd number of its edges lie to the right of it.
+
+    Outlines are dealt to tasks. Of each row only the places where edges cross it are brought together; its cells are those between the last two of them, the two before, and so on.
+    """
     w = Window.partitionBy(*keys).orderBy("k")
     every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nxt = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(every))
-    edges = corners.withColumns({"nx": nxt("x"), "nz": nxt("z"), "left": F.min("x").over(every)}).where("z <> nz")
+    edges = dealt(corners, CORNERS, *keys).withColumns({"nx": nxt("x"), "nz": nxt("z"), "left": F.min("x").over(every)}).where("z <> nz")
     low, high = F.least("z", "nz"), F.greatest("z", "nz")
     rows = F.sequence(F.ceil(low / cell - 0.5).cast("int"), F.ceil(high / cell - 0.5).cast("int"))
     hit = edges.select(*keys, "x", "z", "nx", "nz", "left", F.explode(rows).alias("row"))
     at = (F.col("row") + 0.5) * cell
     hit = hit.where((at >= F.least("z", "nz")) & (at < F.greatest("z", "nz"))).withColumn("cross", F.col("x") + (at - F.col("z")) / (F.col("nz") - F.col("z")) * (F.col("nx") - F.col("x")))
-    cols = F.sequence(F.floor(F.col("left") / cell).cast("int"), F.greatest(F.floor(F.col("left") / cell).cast("int"), (F.ceil(F.col("cross") / cell - 0.5) - 1).cast("int")))
-    laid = hit.select(*keys, "row", "cross", F.explode(cols).alias("col")).where((F.col("col") + 0.5) * cell < F.col("cross"))
-    return laid.groupBy(*keys, "row", "col").agg(F.count("*").alias("n")).where("n % 2 = 1").select(*keys, "row", "col")
+    crossed = hit.groupBy(*keys, "row").agg(F.sort_array(F.collect_list("cross")).alias("at"), F.min("left").alias("left"))
+    # with an odd number the row is inside from its first cell on
+    ends = F.when(F.size("at") % 2 == 1, F.concat(F.array(F.floor(F.col("left") / cell) * cell), "at")).otherwise(F.col("at"))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("ends") - 2, F.lit(2)), lambda i: F.struct(F.get("ends", i).alias("low"), F.get("ends", i + 1).alias("high")))
+    spans = crossed.select(*keys, "row", ends.alias("ends")).select(*keys, "row", F.explode(pairs).alias("s")).select(*keys, "row", "s.*")
+    cols = F.sequence((F.ceil(F.col("low") / cell - 0.5) - 1).cast("int"), F.ceil(F.col("high") / cell - 0.5).cast("int"))
+    centre = (F.col("col") + 0.5) * cell
+    return spans.select(*keys, "row", "low", "high", F.explode(cols).alias("col")).where((centre >= F.col("low")) & (centre < F.col("high"))).select(*keys, "row", "col")

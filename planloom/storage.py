@@ -24,6 +24,11 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.hint("shuffle_hash")
 
 
+def dealt(df: DataFrame, each: int, *keys: str) -> DataFrame:
+    """``df`` dealt to tasks by ``keys``, some ``each`` rows a task however many there are: what a task holds doesn't grow with the table, and what follows by these keys needs no shuffle."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // each)), *keys)
+
+
 def merged(df: DataFrame) -> DataFrame:
     """``df`` as a side of a join of two large ones: both are dealt and sorted by key, and neither is broadcast or held."""
     return df.hint("merge")
