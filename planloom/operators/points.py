@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..params import DEFAULTS, Params
-from ..storage import keyed
+from ..storage import dealt, keyed
 
 CAPTURE = ["capture_id"]
 
@@ -96,10 +96,15 @@ def cells_of(x: Column, z: Column, ox: Column, oz: Column, cell: float) -> list[
     return [((z - oz) / cell).cast("int").alias("row"), ((x - ox) / cell).cast("int").alias("col")]
 
 
+#: Points that are dealt to one task.
+POINTS = 500_000
+
+
 def with_cells(points: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Points with row and col of a grid that begins 0.2 m before the first point."""
+    """Points with row and col of a grid that begins 0.2 m before the first point. They are dealt to tasks by capture."""
+    points = dealt(points, POINTS, "capture_id")
     origin = points.groupBy("capture_id").agg((F.min("x") - p.grid_margin).alias("ox"), (F.min("z") - p.grid_margin).alias("oz"))
-    return points.join(origin, "capture_id").select(*points.columns, *cells_of(F.col("x"), F.col("z"), F.col("ox"), F.col("oz"), p.grid))
+    return points.join(keyed(origin), "capture_id").select(*points.columns, *cells_of(F.col("x"), F.col("z"), F.col("ox"), F.col("oz"), p.grid))
 
 
 def surface_of(y: Column, ceiling: Column) -> Column:
@@ -127,4 +132,4 @@ def density(cells: DataFrame) -> DataFrame:
     """Points of each cell over the 95th percentile of its capture's cells, at most 1."""
     n = cells.groupBy("capture_id", "row", "col").agg(F.count("*").alias("n"))
     top = n.groupBy("capture_id").agg(F.percentile("n", 0.95).alias("top"))
-    return n.join(top, "capture_id").select("capture_id", "row", "col", F.least(F.lit(1.0), F.col("n") / F.col("top")).alias("density"))
+    return n.join(keyed(top), "capture_id").select("capture_id", "row", "col", F.least(F.lit(1.0), F.col("n") / F.col("top")).alias("density"))

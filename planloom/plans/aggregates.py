@@ -10,6 +10,7 @@ from ..operators import evaluation as ev
 from ..operators import frames as fr
 from ..operators import points as pt
 from ..params import Params
+from ..storage import dealt
 from . import scene
 from .bind import FRAMES_SQL, POINTS_SQL, VECTORS_SQL, frames, points, query, rounded, table, vectors
 
@@ -50,7 +51,7 @@ s AS (SELECT capture_id, angle, axis, strip, sum(k) AS n FROM (SELECT capture_id
 
 @query("spikiness", f"WITH {POINTS_SQL}, {_STRIPS.format(step=15, n=6)} SELECT capture_id, angle, round(sum(n*n)::DOUBLE / ((sum(n)/2.0::DOUBLE)*(sum(n)/2.0::DOUBLE)), 6) AS spikiness FROM s GROUP BY 1, 2")
 def spikiness(spark, sf):
-    p = points(spark, sf)
+    p = dealt(points(spark, sf), pt.POINTS, "capture_id")
     return rounded(pt.spikiness(pt.strips(p, pt.angle_table(p, 0.0, 15.0, 6))))
 
 
@@ -67,7 +68,7 @@ def find_rotation(spark, sf):
 @query("wall_spikes", f"""WITH {POINTS_SQL}, {_STRIPS.format(step=1, n=1)}, m AS (SELECT *, max(n) OVER (PARTITION BY capture_id, axis ORDER BY strip RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS most FROM s)
 SELECT capture_id, axis, strip, n::BIGINT AS n, round((strip + 0.5::DOUBLE)*0.02::DOUBLE, 6) AS centre FROM m WHERE n >= 5 AND n = most""")
 def wall_spikes(spark, sf):
-    return rounded(pt.wall_spikes(pt.strips(points(spark, sf)), Params(min_peak_points=5)))
+    return rounded(pt.wall_spikes(pt.strips(dealt(points(spark, sf), pt.POINTS, "capture_id")), Params(min_peak_points=5)))
 
 
 @query("floor_cells", f"WITH {POINTS_SQL} SELECT capture_id, chunk, floor(x/0.1::DOUBLE)::BIGINT AS fx, floor(z/0.1::DOUBLE)::BIGINT AS fz, round(avg(y), 6) AS y, count(*) AS n FROM p WHERE y < 0.3::DOUBLE GROUP BY ALL")
