@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from ..sources import captures as sc
 from ..sources import clouds
 from ..sources import pictures as pic
-from ..storage import shared_dir
+from ..storage import dealt, shared_dir
 from . import scene
 from .bind import POINTS_SQL, points, query, rounded, table
 from .documents import _PHOTOS_SQL, _photo_docs
 
 C = F.col
+#: Points, and pictures, that one task writes.
+POINTS, PICTURES = 500_000, 4_000
 
 
 def _folder(spark, name: str) -> str:
@@ -28,7 +30,7 @@ def cloud_source(spark, sf):
     """Points written as files of the point_cloud format by several tasks, and read back a split at a time."""
     clouds.register(spark)
     folder = _folder(spark, "cloud")
-    points(spark, sf).select(*"xyzrgb").repartition(4).write.format(clouds.NAME).mode("append").option("filePoints", 50_000).save(folder)
+    dealt(points(spark, sf).select(*"xyzrgb"), POINTS).write.format(clouds.NAME).mode("append").option("filePoints", 50_000).save(folder)
     back = spark.read.format(clouds.NAME).option("splitBytes", 200_000).load(folder)
     return back.groupBy("g").agg(F.count("*").alias("n"), F.round(F.sum("x"), 2).alias("x"), F.round(F.sum("z"), 2).alias("z"), F.sum("r").alias("r"))
 
@@ -56,7 +58,7 @@ def frame_folder(spark, sf):
                     out.write(sc.encode_png(grey))
             yield pd.DataFrame({"n": [len(pdf)]})
 
-    s.repartition(8).mapInPandas(put, "n long").agg(F.sum("n")).collect()
+    dealt(s, PICTURES, "k").mapInPandas(put, "n long").agg(F.sum("n")).collect()
     wanted = s.where("i % 3 = k % 3").select(C("k").alias("capture_id"), C("i").alias("frame"))
 
     def brightest(batches):

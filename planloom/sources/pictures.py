@@ -8,10 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import results as rs
+from ..storage import keyed
 from .captures import cap_points
 from .clouds import located
 
@@ -29,18 +31,40 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns), pa.array([file.read()], pa.binary())], [*batch.schema.names, "content"])
 
 
+def _names(root: str) -> Iterator[pa.RecordBatch]:
+    """The captures' folders below ``root``."""
+    system, at = located(root)
+    names = [f.base_name for f in system.get_file_info(fs.FileSelector(at)) if f.type == fs.FileType.Directory and not f.base_name.startswith(("_", "."))]
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["capture_id"])
+
+
+def _pictures(batches: Iterator[pa.RecordBatch], root: str, folder: str) -> Iterator[pa.RecordBatch]:
+    """The files of captures, a folder after another."""
+    system, at = located(root)
+    for batch in batches:
+        for capture in batch.column("capture_id").to_pylist():
+            found = system.get_file_info(fs.FileSelector(f"{at}/{capture}/{folder}", allow_not_found=True))
+            names = [f.base_name for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))]
+            yield pa.RecordBatch.from_arrays([pa.array([capture] * len(names), pa.string()), pa.array(names, pa.string()), pa.array([f"{root}/{capture}/{folder}/{x}" for x in names], pa.string())], ["capture_id", "name", "path"])
+
+
 def read_frames(spark: SparkSession, root: str, wanted: DataFrame | None = None, folder: str = "rgb") -> DataFrame:
     """Pictures ``root``/<capture>/rgb/<number>.<suffix> in order of capture and number: capture_id, frame, path, content.
 
     With ``wanted`` (capture_id, frame) only those are opened: names are listed, without contents, and met with the wanted numbers first. Files whose names are no numbers are passed over.
+    Tasks list the folders of the wanted captures (of all, by their names, where none are told), so no listing goes through the driver.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    parts = F.split("path", "/")
-    named = listed.select(F.element_at(parts, -3).alias("capture_id"), F.element_at(parts, -2).alias("folder"), F.regexp_extract(F.element_at(parts, -1), r"^(\d+)\.[A-Za-z]+$", 1).alias("number"), "path")
-    own = named.where((C("folder") == folder) & (C("number") != "")).select("capture_id", C("number").cast("long").alias("frame"), "path")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    if wanted is None:
+        captures = spark.range(1, numPartitions=1).mapInArrow(lambda _: _names(root), "capture_id string")
+    else:
+        wanted = wanted.select(C("capture_id").cast("string").alias("capture_id"), C("frame").cast("long").alias("frame")).distinct()
+        captures = wanted.select("capture_id").where("capture_id is not null").distinct()
+    listed = captures.repartition(n, "capture_id").mapInArrow(lambda batches: _pictures(batches, root, folder), "capture_id string, name string, path string")
+    number = F.regexp_extract("name", r"^(\d+)\.[A-Za-z]+$", 1)
+    own = listed.where(number != "").select("capture_id", number.cast("long").alias("frame"), "path")
     if wanted is not None:
-        own = own.join(wanted.select(C("capture_id").cast("string").alias("capture_id"), C("frame").cast("long").alias("frame")).distinct(), ["capture_id", "frame"], "left_semi")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        own = own.join(keyed(wanted), ["capture_id", "frame"], "left_semi")
     dealt = own.repartitionByRange(n, "capture_id", "frame").sortWithinPartitions("capture_id", "frame")
     return dealt.mapInArrow(_contents, "capture_id string, frame long, path string, content binary")
 
