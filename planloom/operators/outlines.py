@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,58 +64,74 @@ def corners_of(edge: DataFrame, keys: list[str]) -> DataFrame:
     return e.select(*keys, "k", F.when(C("axis") == "x", C("level")).otherwise(C("next_level")).alias("x"), F.when(C("axis") == "x", C("next_level")).otherwise(C("level")).alias("z"), C("next_detected").alias("detected"))
 
 
+def _ring(row: np.ndarray, col: np.ndarray) -> list[tuple[int, int]]:
+    """Corners of the outer boundary of cells, from the first cell's upper left one on: along the cells' borders with the room on the right (right, down, left, up)."""
+    top, left, wide = int(row.min()), int(col.min()), int(np.ptp(col)) + 3
+    # cells by one number, in a frame of one empty cell to each side
+    own = set(((row - top + 1) * wide + col - left + 1).tolist())
+    steps = (1, wide, -1, -wide)
+    ahead = ((-wide, 0), (0, -1), (-1, -wide - 1), (-wide - 1, -wide))
+    start = at = min(own)
+    way, out = 0, [start]
+    while True:
+        at += steps[way]
+        a, b = ahead[way]
+        turn = 3 if at + a in own else 0 if at + b in own else 1
+        if turn:
+            way = (way + turn) % 4
+            if at == start and way == 0:
+                return [(x // wide + top - 1, x % wide + left - 1) for x in out]
+            out.append(at)
+
+
+def _simple(line: np.ndarray, tolerance: float) -> np.ndarray:
+    """A line of corners without those that lie within ``tolerance`` of what is left."""
+    keep = np.zeros(len(line), dtype=bool)
+    keep[[0, -1]] = True
+    stack = [(0, len(line) - 1)]
+    while stack:
+        a, b = stack.pop()
+        if b - a < 2:
+            continue
+        d = line[b] - line[a]
+        size = np.hypot(*d)
+        rel = line[a + 1 : b] - line[a]
+        off = np.abs(rel[:, 0] * d[1] - rel[:, 1] * d[0]) / size if size else np.hypot(rel[:, 0], rel[:, 1])
+        if off.max() > tolerance:
+            i = a + 1 + int(off.argmax())
+            keep[i] = True
+            stack += [(a, i), (i, b)]
+    return line[keep]
+
+
 def trace(cells: DataFrame, keys: list[str], tolerance: float = 3.0, grid: float = 0.05) -> DataFrame:
     """The outer boundary of each room's cells, as corners k, x, z, simplified to ``tolerance`` cells.
 
-    A room's cells are bounded by its size; rooms are spread over the cluster.
+    A room's cells are bounded by its size; rooms are spread over the cluster, and many go through a task in one batch.
     """
-
-    def outline(own: set[tuple[int, int]]) -> list[tuple[int, int]]:
-        start = min(own)
-        at, way, out = (start[0], start[1]), 0, []
-        # along the cells' borders with the room on the right: right, down, left, up from the first cell's upper left corner
-        steps = ((0, 1), (1, 0), (0, -1), (-1, 0))
-        ahead = {0: ((-1, 0), (0, 0)), 1: ((0, 0), (0, -1)), 2: ((0, -1), (-1, -1)), 3: ((-1, -1), (-1, 0))}
-        while True:
-            out.append(at)
-            at = (at[0] + steps[way][0], at[1] + steps[way][1])
-            left, right = (((at[0] + a), (at[1] + b)) in own for a, b in ahead[way])
-            way = (way + 3) % 4 if left else way if right else (way + 1) % 4
-            if at == start and way == 0:
-                return out
-
-    def simple(line: np.ndarray) -> np.ndarray:
-        keep = np.zeros(len(line), dtype=bool)
-        keep[[0, -1]] = True
-        stack = [(0, len(line) - 1)]
-        while stack:
-            a, b = stack.pop()
-            if b - a < 2:
-                continue
-            d = line[b] - line[a]
-            size = np.hypot(*d)
-            rel = line[a + 1 : b] - line[a]
-            off = np.abs(rel[:, 0] * d[1] - rel[:, 1] * d[0]) / size if size else np.hypot(rel[:, 0], rel[:, 1])
-            if off.max() > tolerance:
-                i = a + 1 + int(off.argmax())
-                keep[i] = True
-                stack += [(a, i), (i, b)]
-        return line[keep]
-
     kinds = dict(cells.select(*keys).dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", k int, x double, z double"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ring = outline(set(zip(pdf["row"].tolist(), pdf["col"].tolist(), strict=True)))
-        far = max(range(len(ring)), key=lambda i: (abs(ring[i][0] - ring[0][0]) + abs(ring[i][1] - ring[0][1]), -i))
-        line = np.array([*ring, ring[0]], dtype=float)
-        ends = np.concatenate([simple(line[: far + 1])[:-1], simple(line[far:])[:-1]])
-        out = pd.DataFrame({"k": np.arange(len(ends), dtype=np.int32), "x": ends[:, 1] * grid, "z": ends[:, 0] * grid})
-        for key in keys:
-            out.insert(0, key, pdf[key].iloc[0])
-        return out[[*keys, "k", "x", "z"]]
-
-    return cells.groupBy(*keys).applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("cells")
+            ends = held.offsets.to_numpy()
+            row, col = (held.values.field(c).to_numpy().astype(np.int64) for c in ("row", "col"))
+            outlines = []
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                ring = _ring(row[a:b], col[a:b])
+                far = max(range(len(ring)), key=lambda i: (abs(ring[i][0] - ring[0][0]) + abs(ring[i][1] - ring[0][1]), -i))
+                line = np.array([*ring, ring[0]], dtype=float)
+                outlines.append(np.concatenate([_simple(line[: far + 1], tolerance)[:-1], _simple(line[far:], tolerance)[:-1]]))
+            if not outlines:
+                continue
+            n = [len(x) for x in outlines]
+            of, at = np.repeat(np.arange(len(n)), n), np.concatenate(outlines)
+            k = np.concatenate([np.arange(x, dtype=np.int32) for x in n])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(of)) for c in keys), pa.array(k), pa.array(at[:, 1] * grid), pa.array(at[:, 0] * grid)], [*keys, "k", "x", "z"])
+
+    rooms = cells.groupBy(*keys).agg(F.collect_list(F.struct("row", "col")).alias("cells"))
+    return rooms.mapInArrow(run, schema)
 
 
 def outline_walls(corners: DataFrame, keys: list[str], sigma: float = 0.005, loose: float = 0.05) -> DataFrame:

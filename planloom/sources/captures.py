@@ -5,10 +5,13 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from fnmatch import fnmatchcase
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,10 +24,29 @@ PLY_POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("r", "u1"), ("g
 def read_odometry(spark: SparkSession, root: str, name: str = "odometry.csv") -> DataFrame:
     """Frames of captures ``root``/<capture>/odometry.csv (or files of the pattern ``name``): capture_id, frame (the line's number), ts, pose and intrinsics; columns are taken by position.
 
-    A file's lines are numbered within the file by their order, which the reader keeps inside a partition; files are read whole for that.
+    A file's lines are numbered within the file by their order; files are read whole for that. One task names what lies below ``root``, and others look through it and read,
+    so no listing goes through the driver.
     """
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True).withColumn("path", C("_metadata.file_path"))
-    lines = text.select(F.element_at(F.split("path", "/"), -2).alias("capture_id"), F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("n", "line")).where("n > 0 and trim(line) <> ''")
+    from .clouds import located
+
+    hidden = lambda path: any(part.startswith(("_", ".")) for part in path.split("/"))
+
+    def tops(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = located(root)
+        yield pa.RecordBatch.from_arrays([pa.array([f.base_name for f in system.get_file_info(fs.FileSelector(at)) if f.type == fs.FileType.Directory and not hidden(f.base_name)], pa.string())], ["top"])
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = located(root)
+        for batch in batches:
+            for top in batch.column("top").to_pylist():
+                for found in system.get_file_info(fs.FileSelector(f"{at}/{top}", recursive=True)):
+                    if found.type == fs.FileType.File and fnmatchcase(found.base_name, name) and not hidden(found.path[len(at) :].lstrip("/")):
+                        with system.open_input_stream(found.path) as file:
+                            yield pa.RecordBatch.from_arrays([pa.array([found.path.split("/")[-2]]), pa.array([file.read().decode()])], ["capture_id", "value"])
+
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    text = spark.range(1, numPartitions=1).mapInArrow(tops, "top string").repartition(n, "top").mapInArrow(contents, "capture_id string, value string")
+    lines = text.select("capture_id", F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("n", "line")).where("n > 0 and trim(line) <> ''")
     d = lambda i: F.expr(f"try_cast(trim(get(split(line, ','), {i})) AS double)")
     names = {0: "ts", 2: "px", 3: "py", 4: "pz", 5: "qx", 6: "qy", 7: "qz", 8: "qw", 9: "fx", 10: "fy", 11: "cx", 12: "cy"}
     return lines.select("capture_id", (C("n") - 1).cast("long").alias("frame"), *[d(i).alias(name) for i, name in names.items()])
