@@ -31,12 +31,14 @@ def sliced(points: DataFrame, bands: DataFrame, p: Params = DEFAULTS) -> DataFra
     """
     slices = F.greatest(F.round((C("high") - C("low")) / p.height_cell).cast("int"), F.lit(1))
     slices = F.when(slices <= 63 * WORDS, slices).otherwise(F.raise_error(F.lit("a wall band has more height slices than there are bits for")).cast("int"))
-    s = points.join(keyed(bands.select("capture_id", "low", "high")), "capture_id").withColumn("slices", slices).withColumn("slice", F.floor((C("y") - C("low")) / p.height_cell).cast("int"))
+    # slices are told once a capture, not once a point
+    told = bands.select("capture_id", "low", slices.alias("slices"))
+    s = points.join(keyed(told), "capture_id").withColumn("slice", F.floor((C("y") - C("low")) / p.height_cell).cast("int"))
     bit = lambda n, word: F.when((n >= 63 * word) & (n < 63 * word + 63), F.call_function("shiftleft", F.lit(1).cast("long"), n - 63 * word)).otherwise(F.lit(0).cast("long"))
     clipped = F.greatest(F.lit(0), F.least(C("slices") - 1, C("slice")))
     held = F.when((C("slice") >= 0) & (C("slice") < C("slices")), C("slice")).otherwise(-1)
     words = {**{f"any{i}": bit(clipped, i) for i in range(WORDS)}, **{f"held{i}": bit(held, i) for i in range(WORDS)}}
-    return s.withColumns(words).drop("low", "high", "slice", "y")
+    return s.withColumns(words).drop("low", "slice", "y")
 
 
 def columns(band: DataFrame, bands: DataFrame, p: Params = DEFAULTS) -> DataFrame:

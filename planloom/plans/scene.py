@@ -40,24 +40,34 @@ def dealt(spark: SparkSession, homes: DataFrame, key: str = "capture_id") -> Dat
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """capture_id, x, y, z of floors, ceilings and walls."""
-    h = dealt(spark, homes(spark, sf_dir))
+    """capture_id, x, y, z of floors, ceilings and walls.
+
+    Sizes repeat, so there are a fixed few forms of homes: each form's points are laid out once, and every home gets those of its form.
+    """
+    h = homes(spark, sf_dir).withColumn("ended", C("capture_id") % 4 == 1)
+    h = h.withColumn("form", (C("wide") * 1000 + C("deep") * 2 + C("ended").cast("int")).cast("long"))
+    forms = _laid(h.select("form", "wide", "deep", "ended").distinct())
+    return dealt(spark, h.select("capture_id", "form")).join(F.broadcast(forms), "form").select("capture_id", "x", "y", "z")
+
+
+def _laid(h: DataFrame) -> DataFrame:
+    """form, x, y, z of forms of homes."""
     total = C("wide") + 60
     at = lambda c: (C(c) + 0.25) * 0.05
     seq = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     flat = h.withColumn("i", seq(F.floor(total / 2).cast("int"))).withColumn("j", seq(F.floor(C("deep") / 2).cast("int")))
     within = lambda c, span: (c > span[0]) & (c < span[1])
-    flat = flat.select("capture_id", "wide", ((C("i") + 0.25) * 0.1).alias("x"), F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(dx).alias("dx")) for y, dx in FLATS])).alias("f"), ((C("j") + 0.25) * 0.1).alias("z"))
-    flat = flat.select("capture_id", "wide", (C("x") + C("f.dx")).alias("x"), C("f.y").alias("y"), "z")
+    flat = flat.select("form", "wide", ((C("i") + 0.25) * 0.1).alias("x"), F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(dx).alias("dx")) for y, dx in FLATS])).alias("f"), ((C("j") + 0.25) * 0.1).alias("z"))
+    flat = flat.select("form", "wide", (C("x") + C("f.dx")).alias("x"), C("f.y").alias("y"), "z")
     flat = flat.where(~(within(C("x"), UNSEEN[0]) & within(C("z"), UNSEEN[1])))
     hidden = within(C("x") - C("wide") * 0.05, TABLE[0]) & within(C("z"), TABLE[1]) & (C("y") < 1)
-    flat = flat.select("capture_id", "x", F.when(hidden, C("y") + 0.8).otherwise(C("y")).alias("y"), "z")
+    flat = flat.select("form", "x", F.when(hidden, C("y") + 0.8).otherwise(C("y")).alias("y"), "z")
     height = (C("h") + 0.25) * 0.1
     levels = lambda df: df.withColumn("h", seq(F.lit(24)))
     xw = levels(h.withColumn("j", seq(C("deep"))).withColumn("w", F.explode(F.array(F.lit(0), C("wide"), total))))
     xw = xw.where((C("w") != C("wide")) | (at("j") < DOOR[0]) | (at("j") > DOOR[1]))
-    xw = xw.where((C("w") != C("wide")) | (C("capture_id") % 4 != 1) | (at("j") < C("deep") * 0.05 - END)).where((C("w") != 0) | ~within(at("j"), HOLE)).select("capture_id", (C("w") * 0.05 + 0.005).alias("x"), height.alias("y"), at("j").alias("z"))
-    zw = levels(h.withColumn("i", seq(total)).withColumn("w", F.explode(F.array(F.lit(0), C("deep"))))).select("capture_id", at("i").alias("x"), height.alias("y"), (C("w") * 0.05 + 0.005).alias("z"))
+    xw = xw.where((C("w") != C("wide")) | ~C("ended") | (at("j") < C("deep") * 0.05 - END)).where((C("w") != 0) | ~within(at("j"), HOLE)).select("form", (C("w") * 0.05 + 0.005).alias("x"), height.alias("y"), at("j").alias("z"))
+    zw = levels(h.withColumn("i", seq(total)).withColumn("w", F.explode(F.array(F.lit(0), C("deep"))))).select("form", at("i").alias("x"), height.alias("y"), (C("w") * 0.05 + 0.005).alias("z"))
     return flat.unionByName(xw).unionByName(zw)
 
 

@@ -8,7 +8,8 @@ import pytest
 from planloom.operators import outlines as ol
 from planloom.operators import points as pt
 from planloom.operators import raster as rs
-from planloom.plans import aggregates, checks, pictures
+from planloom.operators import walls as wl
+from planloom.plans import aggregates, checks, pictures, scene
 from planloom.sources import captures as sc
 from planloom.sources import pictures as pic
 
@@ -89,3 +90,20 @@ def test_clouds_are_written_by_tasks_by_their_points(spark, monkeypatch):
     whole = pictures.dealt
     monkeypatch.setattr(pictures, "dealt", lambda df, each, *keys: seen.append(each) or whole(df, each, *keys))
     assert pictures.cloud_source(spark, SF).count() > 0 and seen == [1000]
+
+
+def test_slices_are_told_once_a_capture(spark):
+    """The number of slices comes from the capture's side of the join, not from each point."""
+    points = spark.createDataFrame([(1, 0.0, 0.0, 0.45), (1, 0.0, 0.0, 2.1)], "capture_id long, x double, z double, y double")
+    bands = spark.createDataFrame([(1, 0.3, 2.2)], "capture_id long, low double, high double")
+    df = wl.sliced(points, bands)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("round(")
+    assert sorted((r.slices, r.any0, r.held0) for r in df.collect()) == [(19, 2, 2), (19, 1 << 18, 1 << 18)]
+
+
+def test_a_form_of_homes_is_laid_out_once(spark):
+    df = scene.points(spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Generate")
+    assert df.select("capture_id").distinct().count() == scene.homes(spark, SF).count()
