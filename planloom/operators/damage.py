@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..params import DEFAULTS, Params
+from ..storage import dealt, keyed, written
 
 BOX = ("x0", "y0", "x1", "y1")
+#: Detections that one task suppresses or merges.
+DETECTIONS = 100_000
 
 #: Fixed values of the contract: rule, its condition, and what it hints at.
 RULES = (
@@ -42,7 +47,7 @@ def box_overlaps(boxes: DataFrame, keys: list[str], ident: str, cell: float = 10
     span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
     laid = boxes.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
     side = lambda s: laid.select(*keys, "cx", "cy", F.col(ident).alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in BOX])
-    j = side("a").join(side("b"), [*keys, "cx", "cy"]).where("a_id < b_id")
+    j = side("a").join(keyed(side("b")), [*keys, "cx", "cy"]).where("a_id < b_id")
     # a pair counts in the first cell that both touch
     first = (F.col("cx") == F.floor(F.greatest("a_x0", "b_x0") / cell)) & (F.col("cy") == F.floor(F.greatest("a_y0", "b_y0") / cell))
     value = g.iou(tuple(F.col(f"a_{c}") for c in BOX), tuple(F.col(f"b_{c}") for c in BOX))
@@ -52,42 +57,70 @@ def box_overlaps(boxes: DataFrame, keys: list[str], ident: str, cell: float = 10
 def suppress(boxes: DataFrame, keys: list[str], ident: str = "vec_id", p: Params = DEFAULTS) -> DataFrame:
     """Greedy suppression in each picture, whatever the classes: by falling score (then id), a box stays if it overlaps no kept one by half.
 
-    A picture's boxes are few and are handled together; pictures are spread over the cluster.
+    A picture's boxes are few and are handled together; pictures are dealt to tasks by their number, and many go through a task in one batch.
     """
-    schema = boxes.select(*keys, ident, *BOX, "score").schema
+    own = [ident, *BOX, "score"]
+    schema = boxes.select(*keys, *own).schema
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", ident], ascending=[False, True], kind="stable")
-        kept: list[int] = []
-        b = pdf[list(BOX)].to_numpy()
+    def kept(b: np.ndarray) -> list[int]:
+        out: list[int] = []
         area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
         for i in range(len(b)):
-            k = np.array(kept, dtype=int)
+            k = np.array(out, dtype=int)
             w = np.clip(np.minimum(b[i, 2], b[k, 2]) - np.maximum(b[i, 0], b[k, 0]), 0, None)
             h = np.clip(np.minimum(b[i, 3], b[k, 3]) - np.maximum(b[i, 1], b[k, 1]), 0, None)
             union = area[i] + area[k] - w * h
             if not len(k) or not (np.where(union > 0, w * h / np.where(union > 0, union, 1), 0) >= p.nms_iou).any():
-                kept.append(i)
-        return pdf.iloc[kept]
+                out.append(i)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, values = _lists(batch)
+            b = np.stack([values.field(c).to_numpy(zero_copy_only=False).astype(float) for c in BOX], axis=1)
+            # a box alone stays
+            at = [np.arange(i, j) if j - i == 1 else i + np.array(kept(b[i:j]), dtype=np.int64) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            if at:
+                n, at = [len(x) for x in at], pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays([*_repeated(batch, keys, n), *(values.field(c).take(at) for c in own)], schema.names)
+
+    return _ranked(dealt(boxes.select(*schema.names), DETECTIONS, *keys), keys, ident, own).mapInArrow(run, schema)
+
+
+def _ranked(rows: DataFrame, keys: list[str], ident: str, own: list[str]) -> DataFrame:
+    """A row for each group with the list of its rows by falling score, then id; unknown ones come last."""
+    first = [F.coalesce(F.isnan(F.col("score").cast("double")), F.lit(False)) | F.col("score").isNull(), -F.col("score").cast("double"), F.col(ident).isNull(), F.col(ident)]
+    item = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(first)], F.struct(*own).alias("own"))
+    return rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["own"]).alias("own"))
 
-    return boxes.select(*schema.names).groupBy(*keys).applyInPandas(run, schema)
+
+def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.StructArray]:
+    """Where the groups' lists end, and their rows."""
+    held = batch.column("own")
+    ends = held.offsets.to_numpy()
+    return ends - ends[0], held.flatten()
+
+
+def _repeated(batch: pa.RecordBatch, keys: list[str], n: list[int]) -> list[pa.Array]:
+    """The groups' keys, so many times each."""
+    of = pa.array(np.repeat(np.arange(len(n)), n))
+    return [batch.column(c).take(of) for c in keys]
 
 
 def merge_sightings(detections: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Detections of one damage become one row: capture_id, class, surface, score, sightings, width_m, height_m, det_id (of the best).
 
     By falling score, a detection joins the first group of its class and surface whose leader is within half a metre of it, or where either has no centre.
-    Sizes are medians of the known ones. A surface's detections are few and are handled together.
+    Sizes are medians of the known ones. A surface's detections are few and are handled together; surfaces are dealt to tasks by their number, and many go through a task in one batch.
     """
     kind = dict(detections.dtypes)["capture_id"]
     schema = f"capture_id {kind}, class string, surface string, score double, sightings long, width_m double, height_m double, det_id long"
+    keys, own = ["capture_id", "class", "surface"], ["det_id", "score", "cx", "cy", "cz", "width_m", "height_m"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "det_id"], ascending=[False, True], kind="stable")
+    def groups_of(centre: np.ndarray) -> list[list[int]]:
         leaders: list[np.ndarray] = []
         groups: list[list[int]] = []
-        centre = pdf[["cx", "cy", "cz"]].to_numpy(dtype=float)
-        for i in range(len(pdf)):
+        for i in range(len(centre)):
             for n, lead in enumerate(leaders):
                 if np.isnan(lead).any() or np.isnan(centre[i]).any() or np.linalg.norm(lead - centre[i]) < p.merge_distance:
                     groups[n].append(i)
@@ -95,13 +128,29 @@ def merge_sightings(detections: DataFrame, p: Params = DEFAULTS) -> DataFrame:
             else:
                 leaders.append(centre[i])
                 groups.append([i])
-        rows = []
-        for own in groups:
-            part, best = pdf.iloc[own], pdf.iloc[own[0]]
-            rows.append((best["capture_id"], best["class"], best["surface"], best["score"], len(own), part["width_m"].median(), part["height_m"].median(), best["det_id"]))
-        return pd.DataFrame(rows, columns=["capture_id", "class", "surface", "score", "sightings", "width_m", "height_m", "det_id"])
-
-    return detections.groupBy("capture_id", "class", "surface").applyInPandas(run, schema)
+        return groups
+
+    def median(x: np.ndarray) -> float:
+        x = x[~np.isnan(x)]
+        return float(np.median(x)) if len(x) > 1 else float(x[0]) if len(x) else np.nan
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, values = _lists(batch)
+            score, wide, high, *centre = (values.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("score", "width_m", "height_m", "cx", "cy", "cz"))
+            centre = np.stack(centre, axis=1)
+            n, groups = [], []
+            for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                found = [i + np.array(x) for x in groups_of(centre[i:j])]
+                n.append(len(found))
+                groups += found
+            if groups:
+                best = np.array([x[0] for x in groups])
+                sizes = [pa.array([median(v[x]) for x in groups], pa.float64(), from_pandas=True) for v in (wide, high)]
+                said = [pa.array(score[best], from_pandas=True), pa.array([len(x) for x in groups], pa.int64()), *sizes, values.field("det_id").take(pa.array(best)).cast(pa.int64())]
+                yield pa.RecordBatch.from_arrays([*_repeated(batch, keys, n), *said], [*keys, "score", "sightings", "width_m", "height_m", "det_id"])
+
+    return _ranked(dealt(detections.select(*keys, *own), DETECTIONS, *keys), keys, "det_id", own).mapInArrow(run, schema)
 
 
 def scope_table(spark: SparkSession) -> DataFrame:
@@ -110,7 +159,7 @@ def scope_table(spark: SparkSession) -> DataFrame:
 
 def surface_areas(rooms: DataFrame, walls: DataFrame) -> DataFrame:
     """surface, area: walls by length and their room's ceiling (null without one), floors and ceilings by floor area."""
-    w = walls.join(rooms.select("capture_id", "room", "ceiling"), ["capture_id", "room"]).select("capture_id", F.col("wall").alias("surface"), (F.col("length") * F.col("ceiling")).alias("area"))
+    w = walls.join(keyed(rooms.select("capture_id", "room", "ceiling")), ["capture_id", "room"]).select("capture_id", F.col("wall").alias("surface"), (F.col("length") * F.col("ceiling")).alias("area"))
     flat = rooms.select("capture_id", F.explode(F.array(F.concat("room", F.lit("-floor")), F.concat("room", F.lit("-ceiling")))).alias("surface"), F.col("floor_area").alias("area"))
     return w.unionByName(flat)
 
@@ -141,7 +190,7 @@ def repair_scope(damage: DataFrame, areas: DataFrame, scope: DataFrame) -> DataF
 
     Where sizes aren't known, quantities are null; documents round them to two digits.
     """
-    j = damage.join(F.broadcast(scope), "class").join(areas, ["capture_id", "surface"], "left")
+    j = damage.join(F.broadcast(scope), "class").join(keyed(areas), ["capture_id", "surface"], "left")
     known = (F.col("width_m") > 0) & (F.col("height_m") > 0)
     quantity = F.when(F.col("basis") == "surface", F.when(F.col("surface_area") > 0, F.col("surface_area")).otherwise(F.when(known, F.col("area"))))
     quantity = quantity.when(F.col("basis") == "damage+margin", F.when(known, (F.col("width_m") + 0.6) * (F.col("height_m") + 0.6))).when(F.col("basis") == "length", F.when(F.col("width_m").isNotNull() & F.col("height_m").isNotNull(), F.greatest("width_m", "height_m"))).otherwise(1.0)
@@ -158,10 +207,10 @@ def locate(detections: DataFrame, pixels: DataFrame, floors: DataFrame, min_pixe
     span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell).cast("int"), F.floor(F.col(b) / cell).cast("int")))
     laid = detections.withColumn("cell_x", span("x0", "x1")).withColumn("cell_y", span("y0", "y1"))
     sure = pixels.where((F.col("conf") >= 2) & (F.col("depth") > min_depth)).withColumns({"cell_x": F.floor(F.col("col") / cell).cast("int"), "cell_y": F.floor(F.col("row") / cell).cast("int")})
-    j = laid.join(sure, ["frame", "cell_x", "cell_y"]).where((F.col("col") >= F.col("x0")) & (F.col("col") <= F.col("x1")) & (F.col("row") >= F.col("y0")) & (F.col("row") <= F.col("y1")))
+    j = keyed(laid).join(sure, ["frame", "cell_x", "cell_y"]).where((F.col("col") >= F.col("x0")) & (F.col("col") <= F.col("x1")) & (F.col("row") >= F.col("y0")) & (F.col("row") <= F.col("y1")))
     m = j.groupBy("capture_id", "det_id", *BOX, "focal").agg(F.count("*").alias("n"), *[F.median(a).alias(f"c{a}") for a in "xyz"], F.median("depth").alias("distance")).where(F.col("n") >= min_pixels)
     size = lambda a, b: (F.col(b) - F.col(a)) * F.col("distance") / F.col("focal")
-    return m.join(floors, "capture_id", "left").select("capture_id", "det_id", "n", "cx", "cy", "cz", size("x0", "x1").alias("width_m"), size("y0", "y1").alias("height_m"), (F.col("cy") - F.col("floor_y")).alias("height_above_floor"))
+    return m.join(keyed(floors), "capture_id", "left").select("capture_id", "det_id", "n", "cx", "cy", "cz", size("x0", "x1").alias("width_m"), size("y0", "y1").alias("height_m"), (F.col("cy") - F.col("floor_y")).alias("height_above_floor"))
 
 
 def without_depth(detections: DataFrame) -> DataFrame:
@@ -180,18 +229,18 @@ def sightings(boxes: DataFrame, pixels: DataFrame, floors: DataFrame, corners: D
 
     cut = clip_boxes(boxes, width, height, p)
     kept = suppress(cut, ["capture_id", "frame"], "det_id", p).select("capture_id", "det_id")
-    kept = cut.join(kept, ["capture_id", "det_id"], "left_semi")
+    kept = cut.join(keyed(kept), ["capture_id", "det_id"], "left_semi")
     placed = locate(kept.select("capture_id", "frame", "det_id", *BOX, "focal"), pixels, floors)
     places = placed.select("capture_id", F.col("det_id").alias("id"), F.col("cx").alias("x"), F.col("height_above_floor").alias("y"), F.col("cz").alias("z"))
     on_plan = place_on_plan(places, corners, p).withColumnRenamed("id", "det_id")
     own = ["capture_id", "det_id"]
-    return kept.select(*own, "class", "score", "seen_in").join(placed, own).join(on_plan, own).select(*own, "class", "score", "seen_in", "room", "surface", "surface_type", "cx", "cy", "cz", "width_m", "height_m", "height_above_floor")
+    return kept.select(*own, "class", "score", "seen_in").join(keyed(placed), own).join(keyed(on_plan), own).select(*own, "class", "score", "seen_in", "room", "surface", "surface_type", "cx", "cy", "cz", "width_m", "height_m", "height_above_floor")
 
 
 def picture_sightings(detections: DataFrame) -> DataFrame:
     """Detections of pictures without depth in the form of ``sightings``: neither place nor size."""
     none = F.lit(None).cast("double")
-    own = without_depth(detections).join(detections.select("capture_id", "det_id", "seen_in"), ["capture_id", "det_id"])
+    own = without_depth(detections).join(keyed(detections.select("capture_id", "det_id", "seen_in")), ["capture_id", "det_id"])
     return own.select("capture_id", "det_id", "class", "score", "seen_in", "room", "surface", "surface_type", none.alias("cx"), none.alias("cy"), none.alias("cz"), "width_m", "height_m", none.alias("height_above_floor"))
 
 
@@ -202,9 +251,9 @@ def damage_lists(seen: DataFrame, areas: DataFrame, p: Params = DEFAULTS) -> dic
     capture_id, surface, area.
     """
     best = seen.select("capture_id", "det_id", "room", "surface_type", "height_above_floor", "seen_in")
-    merged = merge_sightings(seen, p).join(best, ["capture_id", "det_id"])
+    merged = merge_sightings(seen, p).join(keyed(best), ["capture_id", "det_id"])
     number = F.row_number().over(Window.partitionBy("capture_id").orderBy(F.desc("score"), "det_id")).cast("string")
-    d = measured(merged.withColumn("number", number), p)
+    d = written(measured(merged.withColumn("number", number), p), "damages")
     name = lambda prefix: F.concat(F.lit(prefix), F.col("number"))
     known = (F.col("width_m") > 0) & (F.col("height_m") > 0)
     size = lambda c: g.measure(F.col(c), F.col(f"{c.removesuffix('_m')}_pm95"))
@@ -212,9 +261,9 @@ def damage_lists(seen: DataFrame, areas: DataFrame, p: Params = DEFAULTS) -> dic
         "capture_id", name("D").alias("id"), "class", F.round("score", 2).alias("score"), "room", "surface", "surface_type", "seen_in", F.col("sightings").cast("int").alias("sightings"), size("width_m").alias("width"), size("height_m").alias("height"),
         g.measure(F.when(known, F.col("area")), F.when(known, F.col("area_pm95"))).alias("area"), F.round("height_above_floor", 2).alias("height_above_floor"),
     )
-    keyed = d.withColumn("damage_id", F.struct("capture_id", name("D").alias("id"), name("S").alias("item")))
-    flags = concealed_flags(keyed).select("damage_id.capture_id", F.col("damage_id.id").alias("damage"), "rule", "condition", "flag", "surface")
-    scope = repair_scope(keyed, areas.select("capture_id", "surface", F.col("area").alias("surface_area")), scope_table(seen.sparkSession))
+    named = d.withColumn("damage_id", F.struct("capture_id", name("D").alias("id"), name("S").alias("item")))
+    flags = concealed_flags(named).select("damage_id.capture_id", F.col("damage_id.id").alias("damage"), "rule", "condition", "flag", "surface")
+    scope = repair_scope(named, areas.select("capture_id", "surface", F.col("area").alias("surface_area")), scope_table(seen.sparkSession))
     scope = scope.select("damage_id.capture_id", F.col("damage_id.item").alias("id"), "surface", F.col("damage_id.id").alias("damage"), "action", "quantity", "unit")
     return {"damage": listed, "concealed_damage_flags": flags, "scope": scope}
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DEFAULTS, Params
+from ..storage import keyed
 from .raster import open_, square
 
 C = F.col
@@ -50,7 +51,7 @@ def merge_edges(edge: DataFrame, keys: list[str]) -> DataFrame:
 def snap_edges(edge: DataFrame, walls: DataFrame, keys: list[str], p: Params = DEFAULTS) -> DataFrame:
     """Edges moved to the nearest of the room's walls of their axis within 15 cm, with ``detected``; the others stay."""
     w = walls.select(*keys, "axis", "position", "wall_idx")
-    j = edge.join(w, [*keys, "axis"], "left").withColumn("off", F.when(F.abs(C("position") - C("level")) <= p.align_tolerance, F.abs(C("position") - C("level"))))
+    j = edge.join(keyed(w), [*keys, "axis"], "left").withColumn("off", F.when(F.abs(C("position") - C("level")) <= p.align_tolerance, F.abs(C("position") - C("level"))))
     best = j.groupBy(*keys, "k", "axis", "level", "length").agg(F.min_by("position", F.when(C("off").isNotNull(), F.struct("off", "wall_idx"))).alias("at"))
     return best.select(*keys, "k", "axis", F.coalesce("at", "level").alias("level"), "length", C("at").isNotNull().alias("detected"))
 
@@ -160,13 +161,13 @@ def room_walls(rooms: DataFrame, cells: DataFrame, walls: DataFrame, touched: Da
     """
     keys = ["capture_id", "room_id"]
     odd = rooms.where("shape <> 'rectangular'").select(*keys)
-    patches = cells.join(odd, keys).withColumn("home", F.struct(*keys)).select(C("home").alias("capture_id"), "row", "col")
+    patches = cells.join(keyed(odd), keys).withColumn("home", F.struct(*keys)).select(C("home").alias("capture_id"), "row", "col")
     kept = open_(patches, square(7)).select(C("capture_id.capture_id").alias("capture_id"), C("capture_id.room_id").alias("room_id"), "row", "col")
-    own = walls.join(touched, ["capture_id", "wall_idx"]).select(*keys, "axis", "position", "wall_idx")
+    own = walls.join(keyed(touched), ["capture_id", "wall_idx"]).select(*keys, "axis", "position", "wall_idx")
     corners = corners_of(snap_edges(merge_edges(edges(trace(kept, keys), keys), keys), own, keys), keys)
-    traced = corners.join(outline_walls(corners, keys).drop("detected"), [*keys, "k"]).withColumn("traced", F.lit(True))
-    rest = rooms.join(traced.select(*keys).distinct(), keys, "left_anti")
-    flat = rectangle(rest.select(*keys, "x_low", "x_high", "z_low", "z_high")).join(rectangle_walls(rest), [*keys, "k"]).withColumn("traced", F.lit(False))
+    traced = corners.join(keyed(outline_walls(corners, keys).drop("detected")), [*keys, "k"]).withColumn("traced", F.lit(True))
+    rest = rooms.join(keyed(traced.select(*keys).distinct()), keys, "left_anti")
+    flat = rectangle(rest.select(*keys, "x_low", "x_high", "z_low", "z_high")).join(keyed(rectangle_walls(rest)), [*keys, "k"]).withColumn("traced", F.lit(False))
     names = [*keys, "traced", "k", "x", "z", "length", "pm95", "detected"]
     return traced.select(*names).unionByName(flat.select(*names))
 
@@ -190,8 +191,8 @@ def place_on_plan(places: DataFrame, corners: DataFrame, p: Params = DEFAULTS, r
     box = corners.groupBy("capture_id", "room_id").agg(*[f(c).alias(n) for c in "xz" for f, n in ((F.min, f"low_{c}"), (F.max, f"high_{c}"))])
     span = lambda c: F.explode(F.sequence(F.floor((C(f"low_{c}") - reach) / cell), F.floor((C(f"high_{c}") + reach) / cell)))
     box = box.withColumn("cell_x", span("x")).withColumn("cell_z", span("z")).select("capture_id", "room_id", "cell_x", "cell_z")
-    met = places.withColumns({"cell_x": F.floor(C("x") / cell), "cell_z": F.floor(C("z") / cell)}).join(box, ["capture_id", "cell_x", "cell_z"])
-    j = met.join(e, ["capture_id", "room_id"])
+    met = places.withColumns({"cell_x": F.floor(C("x") / cell), "cell_z": F.floor(C("z") / cell)}).join(keyed(box), ["capture_id", "cell_x", "cell_z"])
+    j = met.join(keyed(e), ["capture_id", "room_id"])
     dx, dz = C("bx") - C("ax"), C("bz") - C("az")
     size = dx * dx + dz * dz
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((C("x") - C("ax")) * dx + (C("z") - C("az")) * dz) / F.when(size > 0, size)))
@@ -207,7 +208,7 @@ def place_on_plan(places: DataFrame, corners: DataFrame, p: Params = DEFAULTS, r
     placed = first.withColumn("surface_type", kind)
     surface = F.when(C("surface_type") == "wall", F.concat(room, F.lit("-W"), (C("near.k") + 1).cast("string"))).otherwise(F.concat(room, F.lit("-"), C("surface_type")))
     told = placed.select("capture_id", "id", room.alias("room"), surface.alias("surface"), "surface_type")
-    return places.select("capture_id", "id").join(told, ["capture_id", "id"], "left").withColumn("surface_type", F.coalesce("surface_type", F.lit("unknown")))
+    return places.select("capture_id", "id").join(keyed(told), ["capture_id", "id"], "left").withColumn("surface_type", F.coalesce("surface_type", F.lit("unknown")))
 
 
 def room_iou(a: DataFrame, b: DataFrame) -> DataFrame:

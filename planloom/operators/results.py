@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import keyed
+
 C = F.col
 
 
@@ -62,12 +64,12 @@ def documents(captures: DataFrame, warnings: DataFrame | None = None, **lists: D
     j = capture.select("capture_id", _as(capture, CAPTURE).alias("capture"))
     for name, kind in LISTS.items():
         empty = F.array().cast(T.ArrayType(kind))
-        j = j.join(_listed(lists[name], kind, name), "capture_id", "left").withColumn(name, F.coalesce(name, empty)) if name in lists else j.withColumn(name, empty)
+        j = j.join(keyed(_listed(lists[name], kind, name)), "capture_id", "left").withColumn(name, F.coalesce(name, empty)) if name in lists else j.withColumn(name, empty)
     if warnings is None:
         j = j.withColumn("warnings", F.array().cast(NAMES))
     else:
         said = warnings.groupBy("capture_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "warning"))), lambda x: x["warning"]).alias("warnings"))
-        j = j.join(said, "capture_id", "left").withColumn("warnings", F.coalesce("warnings", F.array().cast(NAMES)))
+        j = j.join(keyed(said), "capture_id", "left").withColumn("warnings", F.coalesce("warnings", F.array().cast(NAMES)))
     area = lambda f: F.aggregate("rooms", F.lit(0.0), lambda t, r: t + F.coalesce(f(r["floor_area"]), F.lit(0.0)))
     n, known = F.size("rooms"), F.size(F.filter("rooms", lambda r: r["floor_area"]["value"].isNotNull()))
     some = lambda x: F.when((n == 0) | (known > 0), F.round(x, 3))
@@ -158,7 +160,7 @@ def segment_panels(rooms: DataFrame, openings: DataFrame) -> DataFrame:
     """Panels of a plan of several segments: capture_id, segment, rooms, openings (those that touch any of its rooms), sorted ids."""
     r = rooms.where("segment is not null").select("capture_id", "segment", "id")
     touched = openings.select("capture_id", C("id").alias("opening"), F.explode("rooms").alias("id"))
-    j = r.join(touched, ["capture_id", "id"], "left")
+    j = r.join(keyed(touched), ["capture_id", "id"], "left")
     return j.groupBy("capture_id", "segment").agg(F.sort_array(F.collect_set("id")).alias("rooms"), F.sort_array(F.collect_set("opening")).alias("openings"))
 
 

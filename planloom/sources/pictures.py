@@ -161,7 +161,7 @@ def plan_panels(docs: DataFrame) -> DataFrame:
     rooms = d.select("capture_id", F.posexplode("d.rooms").alias("n", "r")).select("capture_id", F.coalesce("r.segment", F.lit(0)).alias("segment"), "n", "r").where("r.outline is not null")
     ids = rooms.select("capture_id", "segment", C("r.id").alias("room"))
     doors = d.select("capture_id", F.posexplode("d.openings").alias("n", "o"))
-    met = doors.select("capture_id", "n", F.explode("o.rooms").alias("room")).join(ids, ["capture_id", "room"]).select("capture_id", "segment", "n").distinct().join(doors, ["capture_id", "n"])
+    met = doors.select("capture_id", "n", F.explode("o.rooms").alias("room")).join(keyed(ids), ["capture_id", "room"]).select("capture_id", "segment", "n").distinct().join(keyed(doors), ["capture_id", "n"])
     key = ["capture_id", "segment"]
     at = lambda p: F.struct(p[0].alias("x"), p[1].alias("z"))
     corners = rooms.select(*key, F.explode("r.outline").alias("p")).unionByName(met.select(*key, F.explode(F.array("o.start", "o.end")).alias("p"))).select(*key, at(C("p")).alias("p"))
@@ -170,11 +170,11 @@ def plan_panels(docs: DataFrame) -> DataFrame:
     pz = lambda z: F.round((z - C("z0")) * METRE + MARGIN + HEAD)
     line = lambda kind, a, b, ident=F.lit(""): F.concat(F.lit(f'<line class="{kind}" id="'), ident, F.format_string('" x1="%.0f" y1="%.0f" x2="%.0f" y2="%.0f"/>', px(a[0]), pz(a[1]), px(b[0]), pz(b[1])))
     # layers: fills, walls, doors, lengths, labels
-    r = rooms.join(frame, key)
+    r = rooms.join(keyed(frame), key)
     fill = r.select(*key, F.lit(0).alias("layer"), "n", F.lit(0).alias("k"), F.concat(F.lit('<polygon class="room" id="'), C("r.id"), F.lit('" points="'), F.array_join(F.transform("r.outline", lambda p: F.format_string("%.0f,%.0f", px(p[0]), pz(p[1]))), " "), F.lit('"/>')).alias("e"))
     w = r.select(*key, "n", "x0", "z0", C("r.outline").alias("ring"), F.posexplode("r.walls").alias("k", "w"))
     walls = w.select(*key, F.lit(1).alias("layer"), "n", "k", F.when(C("w.detected"), line("wall", C("w.start"), C("w.end"), C("w.id"))).otherwise(line("guess", C("w.start"), C("w.end"), C("w.id"))).alias("e"))
-    o = met.join(frame, key)
+    o = met.join(keyed(frame), key)
     middle = lambda a, b: ((px(a[0]) + px(b[0])) / 2, (pz(a[1]) + pz(b[1])) / 2)
     mx, mz = middle(C("o.start"), C("o.end"))
     cut = o.select(*key, F.lit(2).alias("layer"), "n", F.lit(0).alias("k"), F.concat(line("gap", C("o.start"), C("o.end")), line("door", C("o.start"), C("o.end"), C("o.id")), _text(mx, mz - 12, F.format_string("%.2f", "o.width.value"), "width")).alias("e"))
@@ -193,10 +193,10 @@ def plan_panels(docs: DataFrame) -> DataFrame:
     body = drawn.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("layer", "n", "k", "e"))), lambda x: x["e"]), "").alias("body"))
     wide, high = F.round((C("x1") - C("x0")) * METRE + 2 * MARGIN), F.round((C("z1") - C("z0")) * METRE + 2 * MARGIN + HEAD)
     head = F.concat(F.initcap("tier"), F.lit(" plan"), F.when(C("segment") > 0, F.format_string(", segment %d", "segment")).otherwise(""))
-    panels = body.join(frame, key).join(tier, "capture_id")
+    panels = body.join(keyed(frame), key).join(keyed(tier), "capture_id")
     bar = F.concat(F.format_string(f'<line class="wall" id="scale" x1="20" y1="%.0f" x2="{20 + METRE}" y2="%.0f"/>', high - 20, high - 20), _text(F.lit(20 + METRE / 2), high - 28, F.lit("1 m"), "scale"))
     svg = F.concat(F.format_string('<svg xmlns="http://www.w3.org/2000/svg" width="%.0f" height="%.0f">', wide, high), F.lit(STYLE), _text(F.lit(20.0), F.lit(30.0), head, "head"), "body", bar, F.lit("</svg>"))
-    none = tier.join(ids.select("capture_id").distinct(), "capture_id", "left_anti").select("capture_id", F.lit(0).alias("segment"), F.lit(f'<svg xmlns="http://www.w3.org/2000/svg" width="600" height="300">{STYLE}<text class="head" x="300" y="150">No rooms found</text></svg>').alias("svg"))
+    none = tier.join(keyed(ids.select("capture_id").distinct()), "capture_id", "left_anti").select("capture_id", F.lit(0).alias("segment"), F.lit(f'<svg xmlns="http://www.w3.org/2000/svg" width="600" height="300">{STYLE}<text class="head" x="300" y="150">No rooms found</text></svg>').alias("svg"))
     return panels.select(*key, svg.alias("svg")).unionByName(none)
 
 

@@ -5,11 +5,12 @@ from math import floor
 import numpy as np
 import pytest
 
+from planloom.operators import damage as dm
 from planloom.operators import outlines as ol
 from planloom.operators import points as pt
 from planloom.operators import raster as rs
 from planloom.operators import walls as wl
-from planloom.plans import aggregates, checks, pictures, scene
+from planloom.plans import aggregates, checks, documents, pictures, scene
 from planloom.sources import captures as sc
 from planloom.sources import pictures as pic
 
@@ -107,3 +108,31 @@ def test_a_form_of_homes_is_laid_out_once(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Generate")
     assert df.select("capture_id").distinct().count() == scene.homes(spark, SF).count()
+
+
+def test_detections_are_dealt_by_picture(spark, monkeypatch):
+    """A few boxes a picture: none of the pictures waits for all others in one task, and equal scores go by id."""
+    monkeypatch.setattr(dm, "DETECTIONS", 40)
+    rows = [(p, 10 * p + i, x, 0.0, x + 10.0, 10.0, s) for p in range(100) for i, (x, s) in enumerate([(0.0, 0.5), (1.0, 0.5), (30.0, None), (31.0, 0.2 if p % 2 else None)])]
+    kept = dm.suppress(spark.createDataFrame(rows[::-1], "picture int, det_id long, x0 double, y0 double, x1 double, y1 double, score double").coalesce(1), ["picture"], "det_id")
+    assert tasks(kept) == 10
+    assert sorted(r.det_id for r in kept.collect()) == sorted(k for p in range(100) for k in (10 * p, 10 * p + 2 + p % 2))
+
+
+def test_sightings_are_merged_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(dm, "DETECTIONS", 40)
+    rows = [(h, 4 * h + i, "crack", None if h % 2 else "S", 0.9 - i / 10, float(i + 1) if i else None, None, x, 0.0, 0.0) for h in range(100) for i, x in enumerate([0.0, 0.2, 0.4, 3.0])]
+    seen = spark.createDataFrame(rows, "capture_id long, det_id long, class string, surface string, score double, width_m double, height_m double, cx double, cy double, cz double").coalesce(1)
+    merged = dm.merge_sightings(seen)
+    assert tasks(merged) == 10
+    got = sorted((r.capture_id, r.surface, r.det_id, r.sightings, r.width_m, r.height_m) for r in merged.collect())
+    assert got == [x for h in range(100) for x in ((h, None if h % 2 else "S", 4 * h, 3, 2.5, None), (h, None if h % 2 else "S", 4 * h + 3, 1, 4.0, None))]
+
+
+def test_nothing_of_homes_is_broadcast_for_damage(spark):
+    """Pixels are laid out from a small table, which Spark takes for small."""
+    boxes, px = documents._pictures(spark, SF)
+    floors = scene.homes(spark, SF).selectExpr("capture_id", "0.0D as floor_y")
+    corners = scene.homes(spark, SF).selectExpr("capture_id", "1 as room_id", "posexplode(array(struct(0.0D as x, 0.0D as z), struct(9.0D as x, 0.0D as z), struct(9.0D as x, 9.0D as z), struct(0.0D as x, 9.0D as z))) as (k, p)", "2.5D as ceiling").selectExpr("capture_id", "room_id", "k", "p.x", "p.z", "ceiling")
+    plan = dm.sightings(boxes, px, floors, corners, 1000, 1000)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan
