@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..params import DEFAULTS, Params
-from ..storage import dealt, keyed, merged, written
+from ..storage import dealt, keyed, written
 from . import frames as fr
 from .points import voxel_downsample
 
@@ -241,21 +244,58 @@ def metric_points(pixels: DataFrame, poses: DataFrame, scales: DataFrame, p: Par
     return voxel_downsample(upright, key, p).select("piece", "x", "y", "z", "w")
 
 
+def _overlaps(at: np.ndarray, plan: np.ndarray, turns: list[float], shifts: list[float], cell: float) -> np.ndarray:
+    """How many of the plan's cells (row, col) places (x, z) lie on, by turn and by shift along x and z. Cells that several places lie on count once."""
+    rows, cols = np.unique(plan[:, 0]), np.unique(plan[:, 1])
+    # numbers of the plan's cells by the rows and columns that it has; 0, and a last row and column, for cells elsewhere
+    known = np.zeros((len(rows) + 1, len(cols) + 1), np.int64)
+    at_row, at_col = np.searchsorted(rows, plan[:, 0]), np.searchsorted(cols, plan[:, 1])
+    known[at_row, at_col] = 1
+    known[known > 0] = np.arange(1, known.sum() + 1)
+    size = int(known.max()) + 1
+    known, wide = known.ravel(), known.shape[1]
+    mine = size * np.arange(len(shifts))[:, None]
+
+    def among(values: np.ndarray, own: np.ndarray) -> np.ndarray:
+        i = np.minimum(np.searchsorted(own, values), len(own) - 1)
+        return np.where(own[i] == values, i, len(own))
+
+    out = np.zeros((len(turns), len(shifts), len(shifts)), np.int64)
+    by = np.array(shifts)[:, None]
+    for t, turn in enumerate(turns):
+        c, s = math.cos(math.radians(turn)), math.sin(math.radians(turn))
+        col = among(np.floor((c * at[:, 0] - s * at[:, 1] + by) / cell), cols)
+        row = among(np.floor((s * at[:, 0] + c * at[:, 1] + by) / cell), rows)
+        for k, own in enumerate(row):
+            met = np.zeros(size * len(shifts), bool)
+            met[known[own * wide + col] + mine] = True
+            out[t, :, k] = np.count_nonzero(met.reshape(len(shifts), size)[:, 1:], axis=1)
+    return out
+
+
 def wall_anchor(plan: DataFrame, chunk: DataFrame, shifts: list[float], turns: list[float], cell: float = 0.02, min_overlap: int = 150, min_gain: float = 1.05) -> DataFrame:
     """The small move of a chunk's wall points that lays most of them on the plan's wall cells: capture_id, turn, dx, dz, overlap, start, accepted.
 
-    All turns (about the origin) and shifts of the given short lists are tried; overlap counts distinct cells. Of equal overlaps the least move counts, then
-    the first. It is accepted with 150 cells and 5 % more than without a move.
+    All turns (about the origin) and shifts are tried; overlap counts distinct cells. Of equal overlaps the least move counts, then
+    the first. It is accepted with 150 cells and 5 % more than without a move. A capture's places and cells are brought together once and all moves
+    are tried there, so no table of moved places is made.
     """
-    spark = plan.sparkSession
-    moves = [(float(t), float(x), float(z), abs(t) + abs(x) + abs(z)) for t in turns for x in shifts for z in shifts]
-    sweep = spark.createDataFrame(moves, "turn double, dx double, dz double, size double")
-    places = chunk.select("capture_id", F.round("x", 4).alias("x"), F.round("z", 4).alias("z")).distinct()
-    zero = F.lit(0.0)
-    moved = places.crossJoin(F.broadcast(sweep))
-    x, z = g.turn_and_shift(C("x"), C("z"), zero, zero, C("turn"), C("dx"), C("dz"))
-    laid = moved.select("capture_id", "turn", "dx", "dz", "size", F.floor(z / cell).cast("long").alias("row"), F.floor(x / cell).cast("long").alias("col")).distinct()
-    n = laid.join(merged(plan.select("capture_id", "row", "col")), ["capture_id", "row", "col"]).groupBy("capture_id", "turn", "dx", "dz", "size").agg(F.count("*").alias("n"))
-    best = F.max_by(F.struct("turn", "dx", "dz", "n"), F.struct(C("n"), -C("size"), -C("turn"), -C("dx"), -C("dz")))
-    m = n.groupBy("capture_id").agg(best.alias("b"), F.coalesce(F.max(F.when(C("size") == 0, C("n"))), F.lit(0)).alias("start"))
-    return m.select("capture_id", "b.turn", "b.dx", "b.dz", C("b.n").alias("overlap"), "start", ((C("b.n") >= min_overlap) & (C("b.n") >= min_gain * C("start"))).alias("accepted"))
+    moves = np.array([(t, x, z, abs(t) + abs(x) + abs(z)) for t in turns for x in shifts for z in shifts], float)
+    still = np.flatnonzero(moves[:, 3] == 0)
+    kind = dict(chunk.dtypes)["capture_id"]
+    schema = f"capture_id {kind}, turn double, dx double, dz double, overlap long, start long, accepted boolean"
+
+    def run(key, own: pa.Table, cells: pa.Table) -> pa.Table:
+        if key[0].as_py() is not None and own.num_rows and cells.num_rows:
+            at, there = (np.stack([t[c].to_numpy() for c in names], axis=1) for t, names in ((own, "xz"), (cells, ("home_row", "home_col"))))
+            n = _overlaps(at, there, turns, shifts, cell).ravel()
+            best = np.lexsort((moves[:, 2], moves[:, 1], moves[:, 0], moves[:, 3], -n))[0]
+            start = int(n[still].max(initial=0))
+            if n[best]:
+                told = {"capture_id": key[0], **dict(zip(("turn", "dx", "dz"), moves[best, :3].tolist(), strict=True)), "overlap": int(n[best]), "start": start, "accepted": bool(n[best] >= min_overlap and n[best] >= min_gain * start)}
+                return pa.table({c: pa.array([v.as_py() if c == "capture_id" else v], own["capture_id"].type if c == "capture_id" else None) for c, v in told.items()})
+        return pa.table({"capture_id": pa.array([], own["capture_id"].type), **{c: pa.array([], pa.float64()) for c in ("turn", "dx", "dz")}, **{c: pa.array([], pa.int64()) for c in ("overlap", "start")}, "accepted": pa.array([], pa.bool_())})
+
+    places = chunk.select("capture_id", F.round("x", 4).alias("x"), F.round("z", 4).alias("z")).where("x is not null and z is not null").distinct()
+    there = plan.where("row is not null and col is not null").select(C("capture_id").alias("home"), C("row").alias("home_row"), C("col").alias("home_col"))
+    return places.groupBy("capture_id").cogroup(there.groupBy("home")).applyInArrow(run, schema)

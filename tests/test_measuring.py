@@ -341,6 +341,30 @@ def test_anchors_of_homes_tell_their_overlaps(spark):
     assert all(r.overlap >= 150 and r.overlap >= 1.05 * r.start for r in got.collect())
 
 
+def test_anchors_try_every_move(spark, monkeypatch):
+    """A degree and 10 cm to all sides, of which the best is that of plain loops; no table of moved places is made."""
+    asked = []
+    whole = mo.wall_anchor
+    monkeypatch.setattr(mo, "wall_anchor", lambda *a: asked.append(a[2:]) or whole(*a))
+    plan = results.wall_anchor(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    assert asked == [([-0.1, -0.08, -0.06, -0.04, -0.02, 0.0, 0.02, 0.04, 0.06, 0.08, 0.1], [-1.0, -0.75, -0.5, -0.25, 0.0, 0.25, 0.5, 0.75, 1.0])]
+    r = np.random.default_rng(5)
+    cells = sorted({(int(a), int(b)) for a, b in r.integers(-40, 60, (300, 2))})
+    at = [(float(round((b + 0.31) * 0.02 - 0.08, 4)), float(round((a + 0.17) * 0.02 + 0.1, 4))) for a, b in cells] + [(None, 1.0)]
+    there = spark.createDataFrame([(k, a, b) for k in ("a", None) for a, b in cells], "capture_id string, row long, col long")
+    mine = spark.createDataFrame([(k, x, z) for k in ("a", "b", None) for x, z in at], "capture_id string, x double, z double")
+    got = whole(there, mine, *asked[0]).collect()
+    n = {}
+    for t in asked[0][1]:
+        c, s = np.cos(np.radians(t)), np.sin(np.radians(t))
+        for dx in asked[0][0]:
+            for dz in asked[0][0]:
+                n[t, dx, dz] = len({(int(np.floor((s * x + c * z + dz) / 0.02)), int(np.floor((c * x - s * z + dx) / 0.02))) for x, z in at[:-1]} & set(cells))
+    best = min(n, key=lambda m: (-n[m], sum(map(abs, m)), m))
+    assert best == (0.0, 0.08, -0.1) and [tuple(x) for x in got] == [("a", *best, n[best], n[0.0, 0.0, 0.0], True)]
+
+
 def test_laid_out_points_are_dealt_and_not_broadcast(spark):
     """The tables that the homes are laid out from are small; the points aren't."""
     p = scene.points(spark, SF)
