@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,13 +48,19 @@ def wall_band(points: DataFrame, levels: DataFrame, p: Params = DEFAULTS) -> Dat
     return j.where((F.col("y") > F.col("floor_y") + p.band_low) & (F.col("y") < top)).drop("floor_y", "ceiling_y")
 
 
+def places_of(points: DataFrame) -> DataFrame:
+    """Places in plan to the millimetre with their number of points: capture_id, x, z, k. Points that stand above each other are one before they are rounded, which costs more than adding up."""
+    k = F.sum("k") if "k" in points.columns else F.count("*")
+    own = points.groupBy("capture_id", "x", "z").agg(k.alias("k"))
+    return own.groupBy("capture_id", F.round("x", 3).alias("x"), F.round("z", 3).alias("z")).agg(F.sum("k").alias("k"))
+
+
 def strips(points: DataFrame, angles: DataFrame | None = None, p: Params = DEFAULTS) -> DataFrame:
     """Points by capture, angle (if given: a short table), axis and strip of 2 cm, after turning them about the vertical.
 
     Points (or places with their number k of points) are first added up by millimetre, so that each angle is tried on places and not on points.
     """
-    k = F.sum("k") if "k" in points.columns else F.count("*")
-    places = points.groupBy("capture_id", F.round("x", 3).alias("x"), F.round("z", 3).alias("z")).agg(k.alias("k"))
+    places = places_of(points)
     if angles is not None:
         places = places.crossJoin(F.broadcast(angles))
         x, z = g.rotate_about_vertical(F.col("x"), F.col("z"), F.col("angle"))
@@ -72,16 +80,37 @@ def angle_table(points: DataFrame, first: float, step: float, n: int) -> DataFra
     return points.sparkSession.range(n).select((F.lit(first) + F.col("id") * step).alias("angle"))
 
 
+def _spikiest(x: np.ndarray, z: np.ndarray, k: np.ndarray, angles: np.ndarray, strip: float) -> float:
+    """The angle of the greatest ``spikiness`` of places with their numbers of points; the first of equals."""
+    found = []
+    for a in np.radians(angles):
+        squares = 0.0
+        for at in (np.cos(a) * x + np.sin(a) * z, np.cos(a) * z - np.sin(a) * x):
+            i = np.floor(at / strip).astype(np.int64)
+            i -= i.min()
+            if i.max() > 100_000 + 4 * len(i):  # strays far off
+                i = np.unique(i, return_inverse=True)[1]
+            squares += np.square(np.bincount(i, weights=k)).sum()
+        found.append(squares)
+    return float(angles[int(np.argmax(found))])
+
+
 def find_rotation(points: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """The turn by which walls lie along the axes: 180 angles of half a degree, then 21 of a twentieth around the best (the first of equals)."""
-    best = lambda s: s.groupBy("capture_id").agg(F.max_by("angle", F.struct(F.col("spikiness"), -F.col("angle"))).alias("angle"))
-    coarse = best(spikiness(strips(points, angle_table(points, 0.0, 0.5, 180), p)))
-    offsets = angle_table(points, -10.0, 1.0, 21)
-    # each capture has its own angles now: turned first by the coarse one, then by the fine ones
-    x, z = g.rotate_about_vertical(F.col("x"), F.col("z"), F.col("coarse"))
-    turned = points.join(keyed(coarse.withColumnRenamed("angle", "coarse")), "capture_id").select("capture_id", x.alias("x"), z.alias("z"))
-    fine = best(spikiness(strips(turned, offsets.select((F.col("angle") * 0.05).alias("angle")), p)))
-    return coarse.withColumnRenamed("angle", "coarse").join(keyed(fine.withColumnRenamed("angle", "fine")), "capture_id").select("capture_id", F.round(F.col("coarse") + F.col("fine"), 2).alias("angle"))
+    """The turn by which walls lie along the axes: 180 angles of half a degree, then 21 of a twentieth around the best (the first of equals).
+
+    Spark adds points up by place; a capture's places are brought together once, and all angles are tried there, so that no table of places by angle is made.
+    """
+    places = places_of(points.select("capture_id", "x", "z")).where("capture_id is not null and x is not null and z is not null")
+
+    def run(own: pa.Table) -> pa.Table:
+        x, z, k = (own[c].to_numpy().astype(float) for c in ("x", "z", "k"))
+        coarse = _spikiest(x, z, k, np.arange(180) * 0.5, p.strip)
+        c, s = np.cos(np.radians(coarse)), np.sin(np.radians(coarse))
+        fine = _spikiest(c * x + s * z, c * z - s * x, k, (np.arange(21) - 10) * 0.05, p.strip)
+        return pa.table({"capture_id": own["capture_id"][:1], "angle": pa.array([coarse + fine])})
+
+    kind = dict(points.dtypes)["capture_id"]
+    return places.groupBy("capture_id").applyInArrow(run, f"capture_id {kind}, angle double").select("capture_id", F.round("angle", 2).alias("angle"))
 
 
 def wall_spikes(strip_counts: DataFrame, p: Params = DEFAULTS) -> DataFrame:

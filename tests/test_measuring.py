@@ -341,6 +341,21 @@ def test_anchors_of_homes_tell_their_overlaps(spark):
     assert all(r.overlap >= 150 and r.overlap >= 1.05 * r.start for r in got.collect())
 
 
+def test_angles_are_tried_on_places_of_a_capture(spark):
+    """No table of places by angle is made, and the best angle is that of the operators for single steps."""
+    r = np.random.default_rng(8)
+    t = np.radians(-17.3)
+    flat = np.concatenate([np.stack([np.full(300, 2.011), r.uniform(0, 3, 300)], 1), np.stack([r.uniform(0, 2, 200), np.full(200, 1.011)], 1)])
+    rows = [(c, float(np.cos(t) * a + np.sin(t) * b), float(np.cos(t) * b - np.sin(t) * a)) for c in ("a", None) for a, b in flat] + [("a", 9e6, 0.0)]
+    df = spark.createDataFrame(rows, "capture_id string, x double, z double")
+    out = pt.find_rotation(df)
+    steps = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in steps and "NestedLoop" not in steps and "Cartesian" not in steps
+    got = [tuple(x) for x in out.collect()]
+    one = pt.spikiness(pt.strips(df.where("capture_id = 'a'"), pt.angle_table(df, 0.0, 0.5, 180))).orderBy(F.desc("spikiness"), "angle").first().angle
+    assert len(got) == 1 and got[0][0] == "a" and abs(got[0][1] - one) <= 0.5 and abs(got[0][1] % 90 - 17.3) <= 0.3
+
+
 def test_anchors_try_every_move(spark, monkeypatch):
     """A degree and 10 cm to all sides, of which the best is that of plain loops; no table of moved places is made."""
     asked = []
