@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..params import DEFAULTS, Params
 from ..storage import keyed
-from .raster import open_, square
+from .raster import cells_of, open_, square
 
 C = F.col
 
@@ -161,7 +161,9 @@ def room_walls(rooms: DataFrame, cells: DataFrame, walls: DataFrame, touched: Da
     """
     keys = ["capture_id", "room_id"]
     odd = rooms.where("shape <> 'rectangular'").select(*keys)
-    patches = cells.join(keyed(odd), keys).withColumn("home", F.struct(*keys)).select(C("home").alias("capture_id"), "row", "col")
+    # cells are laid out only of captures that have such rooms
+    held = cells_of(cells.join(keyed(odd.select("capture_id").distinct()), "capture_id", "left_semi"))
+    patches = held.join(keyed(odd), keys).withColumn("home", F.struct(*keys)).select(C("home").alias("capture_id"), "row", "col")
     kept = open_(patches, square(7)).select(C("capture_id.capture_id").alias("capture_id"), C("capture_id.room_id").alias("room_id"), "row", "col")
     own = walls.join(keyed(touched), ["capture_id", "wall_idx"]).select(*keys, "axis", "position", "wall_idx")
     corners = corners_of(snap_edges(merge_edges(edges(trace(kept, keys), keys), keys), own, keys), keys)

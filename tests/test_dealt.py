@@ -136,3 +136,36 @@ def test_nothing_of_homes_is_broadcast_for_damage(spark):
     corners = scene.homes(spark, SF).selectExpr("capture_id", "1 as room_id", "posexplode(array(struct(0.0D as x, 0.0D as z), struct(9.0D as x, 0.0D as z), struct(9.0D as x, 9.0D as z), struct(0.0D as x, 9.0D as z))) as (k, p)", "2.5D as ceiling").selectExpr("capture_id", "room_id", "k", "p.x", "p.z", "ceiling")
     plan = dm.sightings(boxes, px, floors, corners, 1000, 1000)._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan
+
+
+def test_charts_stand_for_cells(spark, monkeypatch):
+    """One row a home holds its rooms; places that are few meet charts in tasks of so many cells, and points of heights are never written."""
+    cells = spark.createDataFrame([(h, r, c, 1 + (c > 3)) for h in range(12) for r in range(-2, 6) for c in range(9) if (r + c + h) % 7], "capture_id long, row int, col int, room_id int")
+    held = rs.charts(cells)
+    assert held.count() == 12 and rs.cells_of(cells) is cells
+    assert sorted(map(tuple, rs.cells_of(held).collect())) == sorted(map(tuple, cells.collect())) and rs.cells_of(held).schema == cells.schema
+    monkeypatch.setattr(rs, "CHARTED", 72)
+    assert tasks(rs.dealt_charts(held)) == 12
+    doors = spark.createDataFrame([(h, 1, "door", 0.2, 0.1, 0.2, 0.3, 0.2) for h in range(12)], "capture_id long, gap_idx int, kind string, ax double, az double, bx double, bz double, width double")
+    out = wl.door_rooms(doors, held)
+    assert tasks(out) == 12
+    assert sorted((r.capture_id, *r.rooms) for r in out.collect()) == sorted((r.capture_id, *r.rooms) for r in wl.door_rooms(doors, cells).collect())
+    wrote = []
+    whole = wl.written
+    monkeypatch.setattr(wl, "written", lambda df, name: wrote.append((name, df.count())) or whole(df, name))
+    points = spark.createDataFrame([(h, 0.01 * h + y, r, c) for h in range(12) for r in range(-2, 6) for c in range(9) for y in (0.0, 0.01, 2.5, 2.501, 2.502)], "capture_id long, y double, row int, col int")
+    levels = spark.createDataFrame([(h, 0.01 * h) for h in range(12)], "capture_id long, floor_y double")
+    show = lambda rooms: sorted((r.capture_id, r.room_id, round(r.floor_y, 6), r.floor_points, r.ceiling_y and round(r.ceiling_y, 6), round(r.ceiling_seen, 6), r.note) for r in wl.room_heights(points, rooms, levels).collect())
+    got = show(held)
+    assert got == show(cells) and len(got) == 24 and all(abs(x[4] - 0.01 * x[0] - 2.501) < 1e-6 for x in got if x[4])
+    assert wrote and all(n <= 24 for _, n in wrote)
+
+
+def test_homes_write_charts(spark, monkeypatch):
+    from planloom.plans import plan
+
+    wrote = {}
+    whole = plan.written
+    monkeypatch.setattr(plan, "written", lambda df, name: wrote.setdefault(name, whole(df, name)))
+    plan.charted_home(spark, SF)
+    assert wrote["rooms"].count() == scene.homes(spark, SF).count() and "rooms" in wrote["rooms"].columns and "points" not in wrote
